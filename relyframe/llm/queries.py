@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relyframe.llm import quality, sharding
+from relyframe.llm import chat, quality, sharding, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_warc": warc.op2_warc,
+    "op3_chat_format": chat.op3_chat_format,
     "op7_sharding": sharding.op7_sharding,
     "op8_quality_rules": quality.op8_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_warc": warc.OP2_SQL,
+    "op3_chat_format": chat.OP3_SQL,
     "op8_quality_rules": quality.OP8_SQL,
 }
