@@ -185,6 +185,8 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, node_limit: int = NODE
 
     ``distinct`` has one row a fingerprint. No rows give no links.
     """
+    if radius > 2:
+        raise ValueError("large nodes are exact for a radius of at most 2")
     n_blocks = n_blocks_for(distinct.count(), radius)
     masks = F.array(*(F.lit(_signed(m)) for m in _masks(n_blocks, radius)))
     keyed = distinct.select("fp", F.explode(masks).alias("mask")).withColumn("node", F.col("fp").bitwiseAND(F.col("mask")))
@@ -198,7 +200,7 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, node_limit: int = NODE
         .select("mask", "node", "fp")
         .mapInPandas(_walk(radius), "u long, v long")
     )
-    # Members of a large node: two within 2 bits share a variant with at most one bit changed; wider radii need radius // 2 more.
+    # Members of a large node: two within 2 bits share a variant with at most one bit changed.
     bits = [0, *(_signed(1 << k) for k in range(64))]
     flips = F.array(*(F.lit(x) for x in bits))
     hot = keyed.filter(F.col("n") > node_limit).select("fp").distinct()
