@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relyframe.llm import chat, quality, sharding, simhash, warc
+from relyframe.llm import chat, packing, quality, sharding, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": warc.op2_warc,
     "op3_chat_format": chat.op3_chat_format,
+    "op4_packing": packing.op4_packing,
     "op7_sharding": sharding.op7_sharding,
     "op8_quality_rules": quality.op8_quality_rules,
     "op10_simhash": simhash.op10_simhash,
