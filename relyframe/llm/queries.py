@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relyframe.llm import chat, packing, quality, sharding, simhash, warc
+from relyframe.llm import chat, decontaminate, packing, quality, sharding, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": warc.op2_warc,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": packing.op4_packing,
     "op7_sharding": sharding.op7_sharding,
     "op8_quality_rules": quality.op8_quality_rules,
+    "op9_decontamination": decontaminate.op9_decontamination,
     "op10_simhash": simhash.op10_simhash,
 }
 
@@ -21,4 +22,5 @@ ORACLE_SQL: dict[str, str] = {
     "op2_warc": warc.OP2_SQL,
     "op3_chat_format": chat.OP3_SQL,
     "op8_quality_rules": quality.OP8_SQL,
+    "op9_decontamination": decontaminate.OP9_SQL,
 }
