@@ -89,13 +89,26 @@ def _sized(small: DataFrame, n: int) -> DataFrame:
     return F.broadcast(small) if n <= BROADCAST_ROWS else small
 
 
-def find_windows(docs: DataFrame, items: DataFrame) -> DataFrame:
+def short_lengths(items: DataFrame) -> list[int]:
+    """Lengths of the items that are shorter than a window, WINDOW - 1 numbers at most."""
+    n = items.select(F.size(_exact_words(F.col("text"))).alias("n")).filter(F.col("n").between(1, WINDOW - 1))
+    return sorted(r.n for r in n.distinct().collect())
+
+
+def item_windows(items: DataFrame, lengths: list[int]) -> DataFrame:
+    """(item_id, window, length) of each item: its windows, or itself if it is shorter."""
+    hashed = items.select("item_id", F.transform(_exact_words(F.col("text")), lambda w: F.xxhash64(w)).alias("_h"))
+    made = None
+    for length in [*lengths, WINDOW]:
+        fit = hashed.filter(F.size("_h") == length) if length < WINDOW else hashed
+        part = _grams(fit, "_h", length, "_g").select("item_id", F.explode("_g").alias("window"), F.lit(length).alias("length"))
+        made = part if made is None else made.union(part)
+    return materialize(made.distinct())
+
+
+def find_windows(docs: DataFrame, items: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFrame:
     """Occurrences (doc_id, text_key, at, length, window) of items' windows in documents, at word ``at`` (from 0)."""
-    lengths_of = items.select(F.size(_exact_words(F.col("text"))).alias("n")).filter(F.col("n").between(1, WINDOW - 1))
-    lengths = sorted(r.n for r in lengths_of.distinct().collect())  # WINDOW - 1 rows at most
-    marked = materialize(
-        _loose(items.select("text"), lengths).select(F.explode("kept").alias("mark")).distinct()
-    )
+    marked = materialize(_loose(items.select("text"), lengths).select(F.explode("kept").alias("mark")).distinct())
     kept = _loose(docs.select("doc_id", "text_key", "text"), lengths)
     # Kept hashes leave the text behind; a document with several hits is named once.
     named = kept.select("doc_id", "text_key", F.explode("kept").alias("mark"))
@@ -104,28 +117,16 @@ def find_windows(docs: DataFrame, items: DataFrame) -> DataFrame:
     same = docs["text_key"].eqNullSafe(named["text_key"]) & docs["doc_id"].eqNullSafe(named["doc_id"])
     again = docs.join(named, same, "left_semi").distinct()
     rows = again.select("doc_id", "text_key", F.transform(_exact_words(F.col("text")), lambda w: F.xxhash64(w)).alias("_h"))
-    windows = item_windows(items).select("window", "length").distinct()
-    windows = _sized(windows, windows.count())
+    wanted = windows.select("window", "length").distinct()
+    wanted = _sized(wanted, wanted.count())
     found = None
     for length in [*lengths, WINDOW]:
         placed = _grams(rows, "_h", length, "_g").select("doc_id", "text_key", F.posexplode("_g").alias("at", "window"))
-        hit = placed.withColumn("length", F.lit(length)).join(windows, ["window", "length"], "left_semi")
+        hit = placed.withColumn("length", F.lit(length)).join(wanted, ["window", "length"], "left_semi")
         found = hit if found is None else found.union(hit)
     return found.select("doc_id", "text_key", "at", "length", "window")
 
 
-def item_windows(items: DataFrame) -> DataFrame:
-    """(item_id, window, length) of each item: its windows, or itself if it is shorter."""
-    hashed = items.select("item_id", F.transform(_exact_words(F.col("text")), lambda w: F.xxhash64(w)).alias("_h"))
-    hashed = hashed.filter(F.size("_h") > 0)
-    whole = _grams(hashed, "_h", WINDOW, "_g").select("item_id", F.explode("_g").alias("window"), F.lit(WINDOW).alias("length"))
-    for length in range(1, WINDOW):
-        short = hashed.filter(F.size("_h") == length)
-        short = _grams(short, "_h", length, "_g").select("item_id", F.explode("_g").alias("window"), F.lit(length).alias("length"))
-        whole = whole.union(short)
-    return whole.distinct()
-
-
 def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     """One row a document: doc_id, n_words, n_hit, n_items, items (sorted ids as strings).
 
@@ -136,11 +137,13 @@ def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     text = F.coalesce(docs["text"], F.lit(""))
     docs = docs.select(docs["doc_id"], F.xxhash64(text).alias("text_key"), text.alias("text"))
     items = items.select(F.coalesce(items["item_id"].cast("string"), F.lit("")).alias("item_id"), F.coalesce(items["text"], F.lit("")).alias("text"))
-    found = materialize(find_windows(docs, items))
+    lengths = short_lengths(items)
+    windows = item_windows(items, lengths)
+    found = materialize(find_windows(docs, items, windows, lengths))
     keys = ["doc_id", "text_key"]
     covered = found.select(*keys, F.explode(F.sequence("at", F.col("at") + F.col("length") - 1)).alias("word"))
     n_hit = covered.distinct().groupBy(*keys).agg(F.count("*").alias("n_hit"))
-    by_item = found.select(*keys, "window", "length").distinct().join(item_windows(items), ["window", "length"])
+    by_item = found.select(*keys, "window", "length").distinct().join(windows, ["window", "length"])
     by_item = by_item.select(*keys, "item_id").distinct()
     by_item = by_item.groupBy(*keys).agg(F.array_sort(F.collect_set("item_id")).alias("items"))
     n_hit, by_item = n_hit.alias("h"), by_item.alias("i")

@@ -10,6 +10,7 @@ is decoded. Files hold a bounded number of records of bounded size, so a reader
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterable, Iterator
 
@@ -22,6 +23,8 @@ from relyframe.llm.common import materialize, shared_dir, table
 SEGMENT_BYTES = 16_384
 CHUNK_BYTES = 4_096
 RECORDS_PER_FILE = 256
+#: Repeated payloads up to which their digests are broadcast (about 50 bytes each).
+BROADCAST_ROWS = 100_000
 _CRLF = b"\r\n"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 _URN = "urn:relyframe:page:"
@@ -97,6 +100,9 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT_BYTES) ->
         "page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload")
     ).withColumn("sha", F.sha1("payload"))
     first = rows.groupBy("sha").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    first = materialize(first)
+    if first.count() <= BROADCAST_ROWS:  # else Spark joins by shuffle
+        first = F.broadcast(first)
     rows = rows.join(first, "sha", "left").select(
         "page_id",
         F.monotonically_increasing_id().alias("row_id"),
@@ -114,7 +120,7 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT_BYTES) ->
 
     rows = rows.withColumn("page_id", F.col("page_id").cast("string")).withColumn("refers_to", F.col("refers_to").cast("string"))
     archives = rows.mapInPandas(records, "record binary").select(F.col("record").cast("string"))
-    archives.write.option("lineSep", "\r\n").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    archives.write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
 def parse_archive(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -141,14 +147,13 @@ def _segments(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for content in pdf["content"]:
             rows = []
-            for h, block in parse_archive(bytes(content)):
+            for h, block in parse_archive(gzip.decompress(content)):
                 origin = h.get("warc-segment-origin-id", h["warc-record-id"])
                 number, total = int(h.get("warc-segment-number", 1)), h.get("warc-segment-total-length")
                 total = len(block) if "warc-segment-number" not in h else total and int(total)
                 digest = h.get("warc-payload-digest", "").removeprefix("sha1:") or None
                 rows.append((origin, number, total, h["warc-type"], _page(origin), h.get("warc-target-uri"), digest, _page(h.get("warc-refers-to")), block))
-            out = pd.DataFrame(rows, columns=names, dtype=object)
-            yield out
+            yield pd.DataFrame(rows, columns=names, dtype=object)
 
 
 def _assembled(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -170,7 +175,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     ``complete`` is false, and the payload null, where segment numbers have gaps or the total length differs from
     the stated one. The payload of a revisit is null; its digest is the stated one. An empty folder gives no rows.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt.gz").load(path).select("content")
     segments = files.mapInPandas(_segments, _SEGMENT_SCHEMA)
     origins = segments.groupBy("origin").agg(
         F.max("total").alias("total"),
