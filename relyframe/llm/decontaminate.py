@@ -5,6 +5,9 @@ kept. Any WINDOW words that a document shares with a benchmark item contain a ke
 kept hashes finds every document that may be hit. Hits are then extended: only those documents are read again,
 and their whole windows are joined with the items' windows. Items shorter than a window are windows as a whole,
 and are looked for at their own length.
+
+Arrays are unnested with the outer forms of explode: for the inner ones Spark adds a filter on the array's size and
+pushes it down, where it repeats the whole chain of array expressions many times over.
 """
 
 from __future__ import annotations
@@ -18,18 +21,15 @@ WINDOW = 10
 GRAM = 5
 #: Rows up to which the items' hashes are broadcast (16 bytes each); beyond, Spark joins by shuffle.
 BROADCAST_ROWS = 500_000
-#: Words before A-Z are lower-cased.
-_RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: ASCII characters that are not in words: all but digits and letters.
+_BETWEEN = "".join(c for c in map(chr, range(128)) if not c.isalnum())
 
 
 def _words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(_RAW_WORD), F.lit(0))
-
-
-def _exact_words(text: Column) -> Column:
     """Words with A-Z, and only those, in lower case."""
-    return _words(F.translate(text, _UPPER, _LOWER))
+    spaced = F.btrim(F.translate(text, _UPPER + _BETWEEN, _LOWER + " " * len(_BETWEEN)))
+    return F.when(spaced == "", F.array().cast("array<string>")).otherwise(F.split(spaced, " +", -1))
 
 
 def _zip(a: str, b: str, shift: int, n: Column, f) -> Column:
@@ -75,10 +75,10 @@ def _winnowed(rows: DataFrame, hashed: str, out: str) -> DataFrame:
     return rows.select(*keep, F.array_distinct(name).alias(out))
 
 
-def _loose(rows: DataFrame, lengths: list[int]) -> DataFrame:
-    """``rows`` (keys, text) with ``kept``: fingerprints that don't tell letter case of any script apart."""
+def _fingerprints(rows: DataFrame, lengths: list[int]) -> DataFrame:
+    """``rows`` (keys, text) without the text, with the array ``kept``."""
     keys = [c for c in rows.columns if c != "text"]
-    rows = rows.select(*keys, F.transform(_words(F.col("text")), lambda w: F.xxhash64(F.lower(w))).alias("_h"))
+    rows = rows.select(*keys, F.transform(_words(F.col("text")), lambda w: F.xxhash64(w)).alias("_h"))
     rows = _winnowed(rows, "_h", "kept")
     for length in lengths:
         rows = _grams(rows, "_h", length, "_short").withColumn("kept", F.concat("kept", F.array_distinct("_short")))
@@ -91,37 +91,37 @@ def _sized(small: DataFrame, n: int) -> DataFrame:
 
 def short_lengths(items: DataFrame) -> list[int]:
     """Lengths of the items that are shorter than a window, WINDOW - 1 numbers at most."""
-    n = items.select(F.size(_exact_words(F.col("text"))).alias("n")).filter(F.col("n").between(1, WINDOW - 1))
+    n = items.select(F.size(_words(F.col("text"))).alias("n")).filter(F.col("n").between(1, WINDOW - 1))
     return sorted(r.n for r in n.distinct().collect())
 
 
 def item_windows(items: DataFrame, lengths: list[int]) -> DataFrame:
     """(item_id, window, length) of each item: its windows, or itself if it is shorter."""
-    hashed = items.select("item_id", F.transform(_exact_words(F.col("text")), lambda w: F.xxhash64(w)).alias("_h"))
+    hashed = items.select("item_id", F.transform(_words(F.col("text")), lambda w: F.xxhash64(w)).alias("_h"))
     made = None
     for length in [*lengths, WINDOW]:
         fit = hashed.filter(F.size("_h") == length) if length < WINDOW else hashed
-        part = _grams(fit, "_h", length, "_g").select("item_id", F.explode("_g").alias("window"), F.lit(length).alias("length"))
+        part = _grams(fit, "_h", length, "_g").select("item_id", F.explode_outer("_g").alias("window"), F.lit(length).alias("length"))
         made = part if made is None else made.union(part)
-    return materialize(made.distinct())
+    return materialize(made.filter("window is not null").distinct())
 
 
 def find_windows(docs: DataFrame, items: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFrame:
     """Occurrences (doc_id, text_key, at, length, window) of items' windows in documents, at word ``at`` (from 0)."""
-    marked = materialize(_loose(items.select("text"), lengths).select(F.explode("kept").alias("mark")).distinct())
-    kept = _loose(docs.select("doc_id", "text_key", "text"), lengths)
+    marked = materialize(_fingerprints(items.select("text"), lengths).select(F.explode_outer("kept").alias("mark")).filter("mark is not null").distinct())
+    kept = _fingerprints(docs.select("doc_id", "text_key", "text"), lengths)
     # Kept hashes leave the text behind; a document with several hits is named once.
-    named = kept.select("doc_id", "text_key", F.explode("kept").alias("mark"))
+    named = kept.select("doc_id", "text_key", F.explode_outer("kept").alias("mark"))
     named = named.join(_sized(marked, marked.count()), "mark", "left_semi").select("doc_id", "text_key").distinct()
     named = materialize(named)
     same = docs["text_key"].eqNullSafe(named["text_key"]) & docs["doc_id"].eqNullSafe(named["doc_id"])
     again = docs.join(named, same, "left_semi").distinct()
-    rows = again.select("doc_id", "text_key", F.transform(_exact_words(F.col("text")), lambda w: F.xxhash64(w)).alias("_h"))
+    rows = again.select("doc_id", "text_key", F.transform(_words(F.col("text")), lambda w: F.xxhash64(w)).alias("_h"))
     wanted = windows.select("window", "length").distinct()
     wanted = _sized(wanted, wanted.count())
     found = None
     for length in [*lengths, WINDOW]:
-        placed = _grams(rows, "_h", length, "_g").select("doc_id", "text_key", F.posexplode("_g").alias("at", "window"))
+        placed = _grams(rows, "_h", length, "_g").select("doc_id", "text_key", F.posexplode_outer("_g").alias("at", "window"))
         hit = placed.withColumn("length", F.lit(length)).join(wanted, ["window", "length"], "left_semi")
         found = hit if found is None else found.union(hit)
     return found.select("doc_id", "text_key", "at", "length", "window")
@@ -149,7 +149,7 @@ def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     n_hit, by_item = n_hit.alias("h"), by_item.alias("i")
     same = F.col("h.text_key").eqNullSafe(F.col("i.text_key")) & F.col("h.doc_id").eqNullSafe(F.col("i.doc_id"))
     hit = materialize(n_hit.join(by_item, same).select("h.doc_id", "h.text_key", "n_hit", "items")).alias("h")
-    sized = docs.select(*keys, F.regexp_count("text", F.lit(_RAW_WORD)).cast("long").alias("n_words")).alias("d")
+    sized = docs.select(*keys, F.size(_words(F.col("text"))).cast("long").alias("n_words")).alias("d")
     same = F.col("h.text_key").eqNullSafe(F.col("d.text_key")) & F.col("h.doc_id").eqNullSafe(F.col("d.doc_id"))
     items_or_none = F.coalesce("items", F.array().cast("array<string>"))
     return sized.join(hit, same, "left").select(

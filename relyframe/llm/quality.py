@@ -96,6 +96,18 @@ def apply_policy(led: DataFrame, policy: str = PRODUCTION) -> DataFrame:
     return led.withColumn("kept", F.col("failed_bits").bitwiseAND(F.lit(mask_of(policy))) == 0)
 
 
+def keep(docs: DataFrame, policy: str = PRODUCTION, text_col: str = "text") -> DataFrame:
+    """The documents that a policy keeps, with their columns as they were.
+
+    The verdict passes through a generator: a plain filter would be pushed down into the chain of array
+    expressions and repeat it many times over.
+    """
+    whole = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("whole"), docs[text_col].alias("body"))
+    led = apply_policy(ledger(whole, "body"), policy)
+    kept = led.select(F.explode_outer(F.array(F.when(F.col("kept"), F.col("whole")))).alias("whole"))
+    return kept.filter("whole is not null").select("whole.*")
+
+
 def ablations(led: DataFrame, policy: str = PRODUCTION) -> DataFrame:
     """For each rule of a policy: documents failing it, failing only it, and kept without it.
 
