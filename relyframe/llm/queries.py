@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relyframe.llm import chat, decontaminate, packing, quality, sharding, simhash, warc
+from relyframe.llm import chat, decontaminate, packing, quality, sharding, simhash, substring, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": warc.op2_warc,
     "op3_chat_format": chat.op3_chat_format,
     "op4_packing": packing.op4_packing,
+    "op5_substring": substring.op5_substring,
     "op7_sharding": sharding.op7_sharding,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_decontamination": decontaminate.op9_decontamination,
