@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relyframe.llm import chat, decontaminate, packing, quality, sharding, simhash, substring, warc
+from relyframe.llm import chat, decontaminate, html_text, licenses, packing, quality, sharding, simhash, substring, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": licenses.op1_license_scan,
     "op2_warc": warc.op2_warc,
     "op3_chat_format": chat.op3_chat_format,
     "op4_packing": packing.op4_packing,
     "op5_substring": substring.op5_substring,
+    "op6_html_text": html_text.op6_html_text,
     "op7_sharding": sharding.op7_sharding,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_decontamination": decontaminate.op9_decontamination,
