@@ -23,6 +23,8 @@ from relyframe.llm.common import materialize, shared_dir, table
 SEGMENT_BYTES = 16_384
 CHUNK_BYTES = 4_096
 RECORDS_PER_FILE = 256
+#: Bytes of records after which a writer hands on a batch.
+BATCH_BYTES = 4 << 20
 #: Repeated payloads up to which their digests are broadcast (about 50 bytes each).
 BROADCAST_ROWS = 100_000
 _CRLF = b"\r\n"
@@ -112,15 +114,21 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT_BYTES) ->
     )
 
     def records(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        whole = lambda x: None if pd.isna(x) else int(x)
         for pdf in batches:
-            whole = lambda x: None if pd.isna(x) else int(x)
-            for row in zip(pdf["page_id"], pdf["row_id"], pdf["url"], pdf["payload"], pdf["refers_to"], strict=True):
-                page_id, row_id, url, payload, refers_to = row
-                yield pd.DataFrame({"record": page_records(whole(page_id), int(row_id), url, bytes(payload), whole(refers_to), segment)})
+            ready, size = [], 0
+            for page_id, row_id, url, payload, refers_to in zip(*(pdf[c] for c in ("page_id", "row_id", "url", "payload", "refers_to")), strict=True):
+                own = page_records(whole(page_id), int(row_id), url, payload, whole(refers_to), segment)
+                ready += own
+                size += sum(map(len, own))
+                if size > BATCH_BYTES:
+                    yield pd.DataFrame({"record": ready})
+                    ready, size = [], 0
+            yield pd.DataFrame({"record": ready})
 
     rows = rows.withColumn("page_id", F.col("page_id").cast("string")).withColumn("refers_to", F.col("refers_to").cast("string"))
     archives = rows.mapInPandas(records, "record binary").select(F.col("record").cast("string"))
-    archives.write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    archives.write.option("lineSep", "\r\n").option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
 def parse_archive(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
