@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 SPACES = r"[\x20\x09-\x0D]+"
 
+#: Bits of the table by which rows that may be wanted are told before they are shuffled (2 MB at most).
+FILTER_BITS = 1 << 24
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
@@ -42,3 +45,17 @@ def split_words(text: Column) -> Column:
     """Words between runs of ASCII white space, unchanged; none for an empty text."""
     bare = F.btrim(text, F.lit(SPACE_CHARS))
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPACES, -1))
+
+
+def mark_members(rows: DataFrame, keys: DataFrame, key: str = "key") -> DataFrame:
+    """``rows`` with ``maybe``: whether their key may be in ``keys``; false is certain.
+
+    The keys become a bit table of bounded size, which is broadcast, so rows that are surely not among them need no
+    shuffle. Where the table fills up, more rows are marked and the result stays right.
+    """
+    bit = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(63).cast("int"))
+    words = keys.select(F.shiftright(bit, 6).alias("cell"), mask.alias("bits"))
+    words = materialize(words.groupBy("cell").agg(F.bit_or("bits").alias("bits")))
+    joined = rows.withColumn("cell", F.shiftright(bit, 6)).join(F.broadcast(words), "cell", "left")
+    return joined.withColumn("maybe", F.coalesce(F.col("bits").bitwiseAND(mask) != 0, F.lit(False))).drop("cell", "bits")

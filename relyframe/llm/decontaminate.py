@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relyframe.llm.common import materialize, table
+from relyframe.llm.common import mark_members, materialize, table
 
 WINDOW = 10
 GRAM = 5
@@ -161,6 +161,25 @@ def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
+def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The documents without an occurrence of any window, with their columns as they were.
+
+    Null texts, ids and items are as in ``hits``. Only documents that may have to go are shuffled.
+    """
+    text = F.coalesce(docs["text"], F.lit(""))
+    keyed = docs.withColumn("text_key", F.xxhash64(text)).withColumn("key", F.xxhash64("doc_id", "text_key"))
+    items = items.select(F.coalesce(items["text"], F.lit("")).alias("text"), F.lit("").alias("item_id"))
+    lengths = short_lengths(items)
+    plain = docs.select("doc_id", F.xxhash64(text).alias("text_key"), text.alias("text"))
+    found = find_windows(plain, items, item_windows(items, lengths), lengths).select("doc_id", "text_key").distinct()
+    found = materialize(found.withColumn("key", F.xxhash64("doc_id", "text_key")))
+    rows = mark_members(keyed, found)
+    touched = rows.filter("maybe")
+    same = touched["doc_id"].eqNullSafe(found["doc_id"]) & touched["text_key"].eqNullSafe(found["text_key"])
+    touched = touched.join(found, same, "left_anti")
+    return rows.filter("not maybe").select(docs.columns).union(touched.select(docs.columns))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents against all benchmark items."""
     found = hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

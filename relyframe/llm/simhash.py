@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relyframe.llm.common import materialize, table
+from relyframe.llm.common import mark_members, materialize, table
 from relyframe.llm.components import components
 
 RADIUS = 2
@@ -226,6 +226,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(named, "fp").select("id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each component the document with the smallest id, with its columns as they were.
+
+    Repeated rows of an id are one document, of which one row stays; a null id counts as larger than all others.
+    Only documents that may have to go are shuffled.
+    """
+    last = F.lit((1 << 63) - 1)
+    found = near_duplicates(docs, id_col, text_col)
+    found = materialize(found.select(F.coalesce("id", last).alias("key"), F.coalesce("component_id", last).alias("first")))
+    gone = found.filter("key <> first").select("key").distinct()
+    repeated = found.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    rows = mark_members(docs.withColumn("key", F.coalesce(docs[id_col], last)), gone.union(repeated))
+    touched = rows.filter("maybe").join(gone, "key", "left_anti").dropDuplicates(["key"])
+    return rows.filter("not maybe").select(docs.columns).union(touched.select(docs.columns))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with their fingerprints and components."""
     found = near_duplicates(table(spark, sf_dir, "documents"))

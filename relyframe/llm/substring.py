@@ -24,12 +24,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relyframe.llm.common import materialize, table
+from relyframe.llm.common import mark_members, materialize, table
 
 LENGTH = 50
 GRAM = 8
-#: Bits of the filter that names candidate documents before their texts are shuffled (2 MB at most).
-FILTER_BITS = 1 << 24
 _LAST = (1 << 63) - 1
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _EMPTY = hashlib.sha256(b"").hexdigest()
@@ -211,16 +209,6 @@ def _remaining(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["key", "tk", "n_removed", "kept_sha256", "removed"])
 
 
-def _marked(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """Documents with ``maybe``: whether their key may be in ``keys``. A bit table of bounded size is broadcast."""
-    bit = F.pmod(F.xxhash64("key"), F.lit(FILTER_BITS))
-    mask = F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(63).cast("int"))
-    words = keys.select(F.shiftright(bit, 6).alias("cell"), mask.alias("bits"))
-    words = materialize(words.groupBy("cell").agg(F.bit_or("bits").alias("bits")))
-    joined = docs.withColumn("cell", F.shiftright(bit, 6)).join(F.broadcast(words), "cell", "left")
-    return joined.withColumn("maybe", F.coalesce(F.col("bits").bitwiseAND(mask) != 0, F.lit(False))).drop("cell", "bits")
-
-
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> list:
     """Columns doc_id, key (order of ids, null last), tk (a hash of the text) and text (bytes)."""
     text, doc_id = F.coalesce(docs[text_col], F.lit("")), docs[id_col].cast("long")
@@ -246,7 +234,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     anchors = scanned.select("key", "tk", "anchors").join(copies, ["key", "tk"], "left_anti").select("key", F.explode("anchors").alias("anchor"))
     shared = anchors.groupBy("anchor").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low < high").select("anchor")
     shared = materialize(anchors.join(shared, "anchor").groupBy("key").agg(F.collect_set("anchor").alias("shared")))
-    candidates = _marked(docs.select("key", "tk", "text"), shared.select("key")).filter("maybe").drop("maybe").join(shared, "key")
+    candidates = mark_members(docs.select("key", "tk", "text"), shared.select("key")).filter("maybe").drop("maybe").join(shared, "key")
     candidates = materialize(candidates.join(copies, ["key", "tk"], "left_anti"))
     windows = materialize(candidates.select("key", "text", "shared").mapInPandas(_windows, "h1 long, h2 int, key long, at int"))
     owners = windows.groupBy("h1", "h2").agg(F.min(F.struct("key", "at")).alias("own"), F.max("key").alias("high"))
@@ -307,7 +295,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     names = docs.columns
     others = [c for c in names if c != text_col]
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others)
-    rows = _marked(docs.select(*names, *_keyed(docs, id_col, text_col)[1:3]), spans.select("key"))
+    rows = mark_members(docs.select(*names, *_keyed(docs, id_col, text_col)[1:3]), spans.select("key"))
     untouched = rows.filter("not maybe").select(*names)
     touched = rows.filter("maybe").join(spans, ["key", "tk"], "left")
     same = touched.filter("removed is null").select(*names)
