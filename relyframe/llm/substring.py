@@ -4,8 +4,10 @@ A window of LENGTH words that also starts in a document with a smaller id marks
 
 1. Each document is read once: exact copies of a text are told by its hash, and winnowed hashes of GRAM words
    (anchors; every window holds one) are kept. Anchors in two or more documents name the candidate documents.
-2. Windows of candidates that hold such an anchor are hashed; the first document of each hash owns it. Counting
-   and first documents are map-side aggregates, so a passage in a third of all documents is one row a task.
+2. Stretches of windows around such an anchor are hashed whole; equal stretches become one row. Only where stretches
+   around one anchor differ, the windows of one document for each of them are hashed one by one. The first document of
+   each stretch or window owns it. First documents come from map-side aggregates, so a passage in a third of all
+   documents is one row a task.
 3. The owned runs of a document are its reference text. Candidate runs of later documents are joined with the
    reference texts that they may match, not broadcast, as those grow with the corpus. A suffix automaton of each reference text
    streams the runs for matching statistics; maximal spans of LENGTH words or more are removed. So hashes only
@@ -21,14 +23,17 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relyframe.llm.common import mark_members, materialize, table
 
 LENGTH = 50
 GRAM = 8
+#: Rows after which a task hands on a batch.
+BATCH_ROWS = 200_000
 _LAST = (1 << 63) - 1
+_WINDOW_NAMES = ["h1", "h2", "key", "at", "content", "n", "i"]
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _EMPTY = hashlib.sha256(b"").hexdigest()
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -155,13 +160,56 @@ def _scan(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=names)
 
 
-def _windows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _stretches(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Stretches of neighbouring windows with one shared anchor: a hash of all their words, place and number."""
     for pdf in batches:
+        out = []
         for key, text, shared in zip(pdf["key"], pdf["text"], pdf["shared"], strict=True):
             hashed = _word_hashes(text.split())
-            at = np.flatnonzero(np.isin(window_minima(hashed), np.asarray(shared).view(np.uint64)))
-            h1, h2 = (_rolling(hashed, LENGTH, b)[at].view(np.int64) for b in _BASES)
-            yield pd.DataFrame({"h1": h1, "h2": (h2 >> 32).astype(np.int32), "key": np.full(len(at), key), "at": at.astype(np.int32)})
+            minima = window_minima(hashed)
+            first = np.flatnonzero(np.append(True, minima[1:] != minima[:-1]))
+            count = np.diff(np.append(first, len(minima)))
+            wanted = np.isin(minima[first], np.asarray(shared).view(np.uint64))
+            first, count = first[wanted], count[wanted]
+            up, down = _power_tables(_BASES[1], len(hashed))
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashed * up[: len(hashed)], dtype=np.uint64)])
+            content = (sums[first + count + LENGTH - 1] - sums[first]) * down[first]
+            out.append((minima[first], content, np.full(len(first), key), first, count))
+        anchor, content, key, first, count = (np.concatenate(x) for x in zip(*out, strict=True))
+        yield pd.DataFrame({"anchor": anchor.view(np.int64), "content": content.view(np.int64), "key": key, "at": first, "n": count})
+
+
+def _windows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Window hashes of the stretches that a document stands for."""
+    for pdf in batches:
+        out, size = [], 0
+        for key, text, stretches in zip(pdf["key"], pdf["text"], pdf["stretches"], strict=True):
+            hashed = _word_hashes(text.split())
+            h1, h2 = _rolling(hashed, LENGTH, _BASES[0]).view(np.int64), _rolling(hashed, LENGTH, _BASES[1]).view(np.int64)
+            at = np.concatenate([np.arange(s["at"], s["at"] + s["n"]) for s in stretches])
+            content = np.concatenate([np.full(s["n"], s["content"]) for s in stretches])
+            n = np.concatenate([np.full(s["n"], s["n"]) for s in stretches])
+            i = np.concatenate([np.arange(s["n"]) for s in stretches])
+            inside = at < len(h1)  # texts that share an id may differ in length
+            at, content, n, i = at[inside], content[inside], n[inside], i[inside]
+            out.append((h1[at], (h2[at] >> 32).astype(np.int32), np.full(len(at), key), at, content, n, i))
+            size += len(at)
+            if size > BATCH_ROWS:
+                yield pd.DataFrame(dict(zip(_WINDOW_NAMES, (np.concatenate(x) for x in zip(*out, strict=True)), strict=True)))
+                out, size = [], 0
+        if out:
+            yield pd.DataFrame(dict(zip(_WINDOW_NAMES, (np.concatenate(x) for x in zip(*out, strict=True)), strict=True)))
+
+
+def _union(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans of window starts [a, b) joined where they touch."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
 
 
 def _cut(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -169,15 +217,16 @@ def _cut(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = ["owner", "key", "tk", "at", "words"]
     for pdf in batches:
         rows = []
-        for key, tk, text, parts in zip(pdf["key"], pdf["tk"], pdf["text"], pdf["parts"], strict=True):
+        for key, tk, text, owned, later in zip(pdf["key"], pdf["tk"], pdf["text"], pdf["owned"], pdf["later"], strict=True):
             words = text.split()
-            for part in parts:
-                runs = _runs(np.unique(np.asarray(part["starts"])))
-                if part["owner"] is None or pd.isna(part["owner"]):
-                    own = [b" ".join(words[a : b + LENGTH]) for a, b in runs]
-                    rows.append((key, None, tk, 0, b"\n".join(own)))
-                else:
-                    rows += [(part["owner"], key, tk, a, b" ".join(words[a : b + LENGTH])) for a, b in runs]
+            span = lambda a, b: b" ".join(words[a : b + LENGTH - 1])
+            if owned is not None:
+                rows.append((key, None, tk, 0, b"\n".join(span(a, b) for a, b in _union((p["at"], p["at"] + p["n"]) for p in owned))))
+            by_owner: dict[tuple[int, int], list] = {}
+            for p in later if later is not None else []:
+                by_owner.setdefault((p["owner"], p["at"] - p["owner_at"]), []).append((p["at"], p["at"] + p["n"]))
+            for (owner, _), spans in by_owner.items():
+                rows += [(owner, key, tk, a, span(a, b)) for a, b in _union(spans)]
         yield pd.DataFrame(rows, columns=names, dtype=object)
 
 
@@ -216,6 +265,11 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> list:
     return [doc_id.alias("doc_id"), key.alias("key"), F.xxhash64(text).alias("tk"), text.cast("binary").alias("text")]
 
 
+def _segment(i: Column, count: Column, owner: Column, at: Column) -> Column:
+    """Windows i to i + count - 1 of a stretch, which start in ``owner`` from word ``at``."""
+    return F.struct(i.cast("int").alias("i"), count.cast("int").alias("count"), owner.alias("owner"), at.cast("int").alias("owner_at"))
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, key, tk, n_words, n_removed, kept_sha256, removed (begin, end in words).
 
@@ -234,17 +288,31 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     anchors = scanned.select("key", "tk", "anchors").join(copies, ["key", "tk"], "left_anti").select("key", F.explode("anchors").alias("anchor"))
     shared = anchors.groupBy("anchor").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low < high").select("anchor")
     shared = materialize(anchors.join(shared, "anchor").groupBy("key").agg(F.collect_set("anchor").alias("shared")))
-    candidates = mark_members(docs.select("key", "tk", "text"), shared.select("key")).filter("maybe").drop("maybe").join(shared, "key")
-    candidates = materialize(candidates.join(copies, ["key", "tk"], "left_anti"))
-    windows = materialize(candidates.select("key", "text", "shared").mapInPandas(_windows, "h1 long, h2 int, key long, at int"))
-    owners = windows.groupBy("h1", "h2").agg(F.min(F.struct("key", "at")).alias("own"), F.max("key").alias("high"))
-    owners = owners.filter("own.key < high").drop("high")
-    found = windows.join(owners, ["h1", "h2"])
-    later = found.filter("key > own.key").groupBy("key", F.col("own.key").alias("owner"), (F.col("at") - F.col("own.at")).alias("shift"))
-    later = later.agg(F.collect_list("at").alias("starts")).select("key", F.struct("owner", "starts").alias("part"))
-    owned = owners.groupBy(F.col("own.key").alias("key")).agg(F.collect_list("own.at").alias("starts"))
-    owned = owned.select("key", F.struct(F.lit(None).cast("long").alias("owner"), "starts").alias("part"))
-    parts = later.union(owned).groupBy("key").agg(F.collect_list("part").alias("parts"))
+    candidates = mark_members(docs.select("key", "tk", "text"), shared.select("key")).filter("maybe").drop("maybe")
+    candidates = materialize(candidates.join(shared, "key"))
+    schema = "anchor long, content long, key long, at int, n int"
+    stretches = materialize(candidates.select("key", "text", "shared").mapInPandas(_stretches, schema))
+    # Equal stretches are one row from here on; the first document stands for it.
+    same = ["content", "n"]
+    own = F.min(F.struct("key", "at")).alias("own")
+    contents = materialize(stretches.groupBy("anchor", *same).agg(own, F.max("key").alias("high")))
+    kinds = contents.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("own.key").alias("low"), F.max("high").alias("top"))
+    contents = contents.join(kinds.filter("low < top"), "anchor")
+    alone = contents.filter("kinds = 1").select(*same, F.array(_segment(F.lit(0), F.col("n"), F.col("own.key"), F.col("own.at"))).alias("owners"))
+    # Stretches that differ around one anchor may still share windows: those are compared one by one.
+    asked = contents.filter("kinds > 1").select(F.col("own.key").alias("key"), F.struct(F.col("own.at").alias("at"), *same).alias("s"))
+    asked = asked.groupBy("key").agg(F.collect_list("s").alias("stretches"))
+    schema = "h1 long, h2 int, key long, at int, content long, n int, i int"
+    windows = materialize(candidates.select("key", "text").join(asked, "key").mapInPandas(_windows, schema))
+    first = windows.groupBy("h1", "h2").agg(own)
+    owners = windows.join(first, ["h1", "h2"]).groupBy(*same).agg(F.collect_list(_segment(F.col("i"), F.lit(1), F.col("own.key"), F.col("own.at"))).alias("owners"))
+    owners = alone.union(owners)
+    found = stretches.select("key", "at", *same).join(owners, same).select("key", F.col("at").alias("base"), F.inline("owners"))
+    found = materialize(found.filter("owner < key").select("key", (F.col("base") + F.col("i")).alias("at"), "count", "owner", "owner_at"))
+    later = found.groupBy("key").agg(F.collect_list(F.struct("owner", "at", "owner_at", F.col("count").alias("n"))).alias("later"))
+    owned = found.select(F.col("owner").alias("key"), F.col("owner_at").alias("at"), F.col("count").alias("n")).distinct()
+    owned = owned.groupBy("key").agg(F.collect_list(F.struct("at", "n")).alias("owned"))
+    parts = owned.join(later, "key", "full")
     texts = candidates.select("key", "tk", "text")
     cut = materialize(texts.join(parts, "key").mapInPandas(_cut, "owner long, key long, tk long, at long, words binary"))
     references = cut.filter("key is null").groupBy("owner").agg(F.array_sort(F.collect_set("words")).alias("reference"))
