@@ -74,7 +74,7 @@ def nearest_prototype(probe: DataFrame, reference: DataFrame, key: str, exclude_
     n_parts = max(1, -(-probe.count() // BLOCK_ROWS))
     packed = packed.select("block", "refs", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))).alias("part"))
     part = F.pmod(F.xxhash64(key), F.lit(n_parts)).cast("int").alias("part")
-    asked = probe.select(F.col(key).cast("string").alias("k"), F.col("proto").alias("p"), part, F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).cast("long").alias("block"))
+    asked = probe.select(F.col(key).cast("string").alias("k"), F.col("proto").alias("p"), part, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("block"))
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):

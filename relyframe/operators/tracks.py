@@ -4,31 +4,35 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def _keep(boxes: np.ndarray, scores: np.ndarray, iou: float) -> list[int]:
-    """Greedy suppression of (x0, y0, x1, y1) boxes by falling score."""
-    order, kept = np.argsort(-scores, kind="stable"), []
-    areas = (boxes[:, 2] - boxes[:, 0]) * (boxes[:, 3] - boxes[:, 1])
-    while len(order):
-        top, rest = order[0], order[1:]
-        kept.append(int(top))
-        low, high = np.maximum(boxes[top, :2], boxes[rest, :2]), np.minimum(boxes[top, 2:], boxes[rest, 2:])
-        shared = np.prod(np.clip(high - low, 0, None), axis=1)
-        order = rest[shared / np.maximum(areas[top] + areas[rest] - shared, 1e-12) <= iou]
-    return kept
+#: Detections in a bundle of videos, on average.
+BUNDLE_ROWS = 5_000
 
 
 def suppress(detections: DataFrame, iou: float = 0.5) -> DataFrame:
-    """Detections (video_id, frame_idx, det_id, score, box) that survive; a group is one frame's top detections."""
+    """Detections (video_id, frame_idx, det_id, score, box) that survive greedy suppression by falling score.
+
+    Boxes are (x0, y0, x1, y1); rows without one are dropped. A group is one frame's top detections, folded in order.
+    """
+    kept_cols = [c for c in detections.columns if c not in ("video_id", "frame_idx")]
+    row = F.struct((-F.col("score")).alias("_rank"), "det_id", F.struct(*kept_cols).alias("row"))
+    frames = detections.filter("box is not null").groupBy("video_id", "frame_idx").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    size = lambda b: (b[2] - b[0]) * (b[3] - b[1])
 
-    def frame(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf[pdf["box"].notna()].sort_values(["score", "det_id"], ascending=[False, True])
-        return pdf.iloc[_keep(np.vstack(pdf["box"].to_numpy()).astype(float), pdf["score"].to_numpy(), iou)] if len(pdf) else pdf
+    def overlap(a: Column, b: Column) -> Column:
+        side = lambda lo, hi: F.greatest(F.least(a[hi], b[hi]) - F.greatest(a[lo], b[lo]), F.lit(0.0))
+        shared = side(0, 2) * side(1, 3)
+        return shared / F.greatest(size(a) + size(b) - shared, F.lit(1e-12))
 
-    return detections.groupBy("video_id", "frame_idx").applyInPandas(frame, detections.schema)
+    first = F.slice("rows", F.lit(1), F.lit(1))
+    survive = F.aggregate(
+        F.slice("rows", F.lit(2), F.size("rows")),
+        first,
+        lambda acc, r: F.when(F.exists(acc, lambda k: overlap(k.row.box, r.row.box) > iou), acc).otherwise(F.concat(acc, F.array(r))),
+    )
+    return frames.select("video_id", "frame_idx", F.explode(survive).alias("s")).select("video_id", "frame_idx", "s.row.*").select(*detections.columns)
 
 
 def _assign(similarity: np.ndarray) -> list[tuple[int, int]]:
@@ -65,7 +69,7 @@ def link(detections: DataFrame, threshold: float) -> DataFrame:
     """Detections (video_id, frame_idx, det_id, embed) with ``track_id``: per frame the assignment to running tracks with
     the greatest summed cosine; pairs below the threshold start tracks of their own; a track keeps its last vector.
 
-    Linking is sequential inside a video and parallel over videos.
+    Linking is sequential inside a video and parallel over videos, which are dealt to tasks in bundles.
     """
 
     def video(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -84,8 +88,14 @@ def link(detections: DataFrame, threshold: float) -> DataFrame:
                 running[ids[at]] = x[r]
         return pdf.assign(track_id=ids)
 
+    def bundle(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([video(own) for _, own in pdf.groupby("video_id", sort=False)])[[*names, "track_id"]]
+
+    names = detections.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in detections.schema.fields)
-    return detections.groupBy("video_id").applyInPandas(video, f"{schema}, track_id long")
+    n = max(1, detections.count() // BUNDLE_ROWS)
+    dealt = detections.withColumn("_bundle", F.pmod(F.xxhash64("video_id"), F.lit(n)))
+    return dealt.groupBy("_bundle").applyInPandas(bundle, f"{schema}, track_id long")
 
 
 def assemble(detections: DataFrame, n_frames: int, threshold: float = 0.0, gain: float = 1.0) -> DataFrame:

@@ -11,22 +11,27 @@ from relyframe.operators.scoring import confidence_cells
 from relyframe.sources.tables import prediction_rows, read_predictions
 
 
-def ingest_predictions(spark: SparkSession, source: str, table_path: str, checkpoint: str, tracker: str) -> StreamingQuery:
-    """Append the rows of new prediction files, each once; ends when all present files are read."""
-    files = read_predictions(spark, source, tracker, stream=True)
+def ingest_rows(new_rows: DataFrame, table_path: str, checkpoint: str) -> StreamingQuery:
+    """Append the rows of a streaming frame to a table, each once; ends when all that is present is read.
 
-    def batch(new: DataFrame, batch_id: int) -> None:
-        # A batch that is run again overwrites its own folder, so rows never appear twice.
-        rows = prediction_rows(new.dropDuplicates(["video_id", "category_id"]))
+    A batch that is run again overwrites its own folder, so rows never appear twice.
+    """
+
+    def batch(rows: DataFrame, batch_id: int) -> None:
         rows.write.mode("overwrite").parquet(f"{table_path}/batch={batch_id}")
 
-    return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return new_rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def ingest_predictions(spark: SparkSession, source: str, table_path: str, checkpoint: str, tracker: str) -> StreamingQuery:
+    """Append the masklet rows of new prediction files; a file is a probe, and is read once."""
+    return ingest_rows(prediction_rows(read_predictions(spark, source, tracker, stream=True)), table_path, checkpoint)
 
 
-def confidence_of(spark: SparkSession, table_path: str, threshold: float) -> DataFrame:
-    """Confidence cells (category) of what has been ingested."""
+def confidence_of(spark: SparkSession, table_path: str, threshold: float, cell: list[str] = ("category_id",)) -> DataFrame:
+    """Confidence cells of what has been ingested: rows with video_id, category_id, score, covered, total."""
     rows = spark.read.parquet(table_path).withColumn("probe", F.concat_ws(":", "video_id", "category_id"))
-    return confidence_cells(rows, threshold, ["category_id"])
+    return confidence_cells(rows, threshold, list(cell))
 
 
 def ingest_embeddings(spark: SparkSession, source: str, schema: str, table_path: str, checkpoint: str, encoder, out_schema: str) -> StreamingQuery:
