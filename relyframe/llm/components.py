@@ -11,13 +11,14 @@ from relyframe.llm.common import materialize
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One step over (u, v). The minimum of each neighbourhood comes from a map-side aggregate, then a join.
 
-    The join's hot keys (a centre with a third of all nodes) are plain join rows that Spark splits.
+    The minima are written first, so the join's hot keys (a centre with a third of all nodes) are plain rows that Spark splits.
     """
     if large:
         links = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         links = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = links.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    least = materialize(least)
     joined = links.join(least, "u")
     if large:
         out = joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))

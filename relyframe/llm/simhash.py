@@ -13,6 +13,7 @@ are reduced to spanning ones. Nothing is capped.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from itertools import combinations, repeat
 
@@ -30,6 +31,13 @@ SHINGLE = 3
 SEED = 42
 #: Members up to which a node of the index is walked by one task.
 NODE_LIMIT = 2_048
+#: Wide links, for near copies of five-word similarity 0.8 or more: two fingerprints differ in about
+#: 64 acos(2 s / (1 + s)) / pi = 9.7 bits there, and less for three words. Bits allowed for each and in sum, and the recall
+#: aimed at for WIDE_AT bits.
+WIDE, WIDE_SUM = {3: 12, 5: 16}, 23
+WIDE_RECALL, WIDE_AT = 0.99, 10
+_TILE = 1024
+_LAST = (1 << 63) - 1
 _LEAF, _FANOUT, _SMALL, _PIECE = 16, 8, 32, 1 << 15
 
 
@@ -191,6 +199,7 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, node_limit: int = NODE
     masks = F.array(*(F.lit(_signed(m)) for m in _masks(n_blocks, radius)))
     keyed = distinct.select("fp", F.explode(masks).alias("mask")).withColumn("node", F.col("fp").bitwiseAND(F.col("mask")))
     counts = keyed.groupBy("mask", "node").agg(F.count("*").alias("n")).filter("n > 1")
+    counts = materialize(counts)  # so that a hot node is a plain key of the join, which Spark splits
     keyed = materialize(keyed.join(counts, ["mask", "node"]))
     walked = (
         keyed.filter(F.col("n") <= node_limit)
@@ -226,18 +235,107 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(named, "fp").select("id", "fp", "component_id")
 
 
+def wide_masks(n: int, radius: int = WIDE_AT, recall: float = WIDE_RECALL) -> list[int]:
+    """Seeded masks of as many bits as leave about 64 of n random fingerprints to a node, and as many masks as meet the recall."""
+    m = max(12, round(math.log2(max(n, 1) / 64)))
+    one = math.prod((64 - radius - k) / (64 - k) for k in range(m))
+    rng = np.random.default_rng(SEED)
+    return [sum(1 << int(b) for b in rng.choice(64, m, replace=False)) for _ in range(math.ceil(math.log(1 - recall) / math.log(1 - one)))]
+
+
+def _join_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Merge the groups of places a[i] and b[i]; labels stay roots."""
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            return
+        np.minimum.at(label, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while not np.array_equal(label, flat := label[label]):
+            label[:] = flat
+
+
+def _node_labels(three: np.ndarray, five: np.ndarray) -> np.ndarray:
+    """Groups of a node's members, which are in Gray order: tiles of neighbours; a tile whose members are all in one group is pruned whole."""
+    n = len(three)
+    label = np.arange(n)
+    for i in range(0, n, _TILE):
+        for j in range(i, n, _TILE):
+            own, other = label[i : i + _TILE], label[j : j + _TILE]
+            if own.min() == own.max() == other.min() == other.max():
+                continue
+            bits = np.bitwise_count(three[i : i + _TILE, None] ^ three[None, j : j + _TILE])
+            a, b = np.nonzero(bits <= WIDE[3])
+            more = np.bitwise_count(five[a + i] ^ five[b + j])
+            near = (more <= WIDE[5]) & (more + bits[a, b] <= WIDE_SUM)
+            _join_labels(label, a[near] + i, b[near] + j)
+    return label
+
+
+def _walk_wide(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Spanning links inside the nodes of a partition that is sorted by node and Gray rank."""
+    held: pd.DataFrame | None = None
+
+    def links(pdf: pd.DataFrame) -> pd.DataFrame:
+        u, v = [], []
+        starts = np.flatnonzero(np.append(True, (np.diff(pdf["mask"]) != 0) | (np.diff(pdf["node"]) != 0)))
+        three, five, key = pdf["fp3"].to_numpy().view(np.uint64), pdf["fp5"].to_numpy().view(np.uint64), pdf["key"].to_numpy()
+        for a, b in zip(starts, np.append(starts[1:], len(pdf)), strict=True):
+            if b - a > 1:
+                label = _node_labels(three[a:b], five[a:b])
+                moved = np.flatnonzero(label != np.arange(b - a))
+                u.append(key[a + moved])
+                v.append(key[a + label[moved]])
+        return pd.DataFrame({"u": np.concatenate(u), "v": np.concatenate(v)} if u else {"u": [], "v": []}, dtype="int64").drop_duplicates()
+
+    for pdf in batches:
+        pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+        open_ = (pdf["mask"] == pdf["mask"].iloc[-1]) & (pdf["node"] == pdf["node"].iloc[-1])
+        held = pdf[open_].reset_index(drop=True)  # the last node may go on in the next batch
+        if not open_.all():
+            yield links(pdf[~open_].reset_index(drop=True))
+    if held is not None and len(held):
+        yield links(held)
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(key, first) of each document: its id (null: the largest long) and the smallest id of its group of near copies.
+
+    Documents are linked where their three-word and five-word fingerprints differ in at most WIDE bits and
+    WIDE_SUM in all. Candidates share the bits of one of the seeded masks, which finds a link of WIDE_AT bits with
+    probability WIDE_RECALL, and a nearer one with more. Repeated rows are one document; empty texts are copies of each other.
+    """
+    last = F.lit(_LAST)
+
+    def each(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            fps = [np.array([fingerprint(t, k) for t in pdf["text"]], np.uint64).view(np.int64) for k in (3, 5)]
+            yield pd.DataFrame({"key": pdf["key"], "fp3": fps[0], "fp5": fps[1]})
+
+    rows = docs.select(F.coalesce(docs[id_col].cast("long"), last).alias("key"), docs[text_col].cast("binary").alias("text"))
+    prints = materialize(rows.mapInPandas(each, "key long, fp3 long, fp5 long"))
+    distinct = materialize(prints.groupBy("fp3", "fp5").agg(F.min("key").alias("key")))
+    masks = F.array(*(F.lit(_signed(m)) for m in wide_masks(distinct.count())))
+    keyed = distinct.select("key", "fp3", "fp5", F.posexplode(masks).alias("mask", "bits"))
+    keyed = keyed.select("key", "fp3", "fp5", "mask", F.col("fp3").bitwiseAND(F.col("bits")).alias("node"))
+    dealt = keyed.repartition("mask", "node").withColumn("rank", gray_rank(F.col("fp3"))).sortWithinPartitions("mask", "node", "rank")
+    links = dealt.select("key", "fp3", "fp5", "mask", "node").mapInPandas(_walk_wide, "u long, v long")
+    roots = components(links).select(F.col("node").alias("own"), "root")
+    named = distinct.join(roots, F.col("key") == F.col("own"), "left").select("fp3", "fp5", F.coalesce("root", "key").alias("first"))
+    named = materialize(named)
+    return prints.join(named, ["fp3", "fp5"]).select("key", "first")
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of each component the document with the smallest id, with its columns as they were.
+    """Of each group of near copies the document with the smallest id, with its columns as they were.
 
     Repeated rows of an id are one document, of which one row stays; a null id counts as larger than all others.
     Only documents that may have to go are shuffled.
     """
-    last = F.lit((1 << 63) - 1)
-    found = near_duplicates(docs, id_col, text_col)
-    found = materialize(found.select(F.coalesce("id", last).alias("key"), F.coalesce("component_id", last).alias("first")))
+    found = materialize(near_copies(docs, id_col, text_col))
     gone = found.filter("key <> first").select("key").distinct()
     repeated = found.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    rows = mark_members(docs.withColumn("key", F.coalesce(docs[id_col], last)), gone.union(repeated))
+    rows = mark_members(docs.withColumn("key", F.coalesce(docs[id_col], F.lit(_LAST))), gone.union(repeated))
     touched = rows.filter("maybe").join(gone, "key", "left_anti").dropDuplicates(["key"])
     return rows.filter("not maybe").select(docs.columns).union(touched.select(docs.columns))
 

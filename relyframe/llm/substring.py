@@ -287,7 +287,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # Anchors of first texts that other documents have, too.
     anchors = scanned.select("key", "tk", "anchors").join(copies, ["key", "tk"], "left_anti").select("key", F.explode("anchors").alias("anchor"))
     shared = anchors.groupBy("anchor").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low < high").select("anchor")
-    shared = materialize(anchors.join(shared, "anchor").groupBy("key").agg(F.collect_set("anchor").alias("shared")))
+    # Written first: only then is a hot anchor a plain row of the join, which Spark splits.
+    shared = materialize(anchors.join(materialize(shared), "anchor").groupBy("key").agg(F.collect_set("anchor").alias("shared")))
     candidates = mark_members(docs.select("key", "tk", "text"), shared.select("key")).filter("maybe").drop("maybe")
     candidates = materialize(candidates.join(shared, "key"))
     schema = "anchor long, content long, key long, at int, n int"
@@ -304,7 +305,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     asked = asked.groupBy("key").agg(F.collect_list("s").alias("stretches"))
     schema = "h1 long, h2 int, key long, at int, content long, n int, i int"
     windows = materialize(candidates.select("key", "text").join(asked, "key").mapInPandas(_windows, schema))
-    first = windows.groupBy("h1", "h2").agg(own)
+    first = materialize(windows.groupBy("h1", "h2").agg(own))
     owners = windows.join(first, ["h1", "h2"]).groupBy(*same).agg(F.collect_list(_segment(F.col("i"), F.lit(1), F.col("own.key"), F.col("own.at"))).alias("owners"))
     owners = alone.union(owners)
     found = stretches.select("key", "at", *same).join(owners, same).select("key", F.col("at").alias("base"), F.inline("owners"))
@@ -315,7 +316,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     parts = owned.join(later, "key", "full")
     texts = candidates.select("key", "tk", "text")
     cut = materialize(texts.join(parts, "key").mapInPandas(_cut, "owner long, key long, tk long, at long, words binary"))
-    references = cut.filter("key is null").groupBy("owner").agg(F.array_sort(F.collect_set("words")).alias("reference"))
+    references = materialize(cut.filter("key is null").groupBy("owner").agg(F.array_sort(F.collect_set("words")).alias("reference")))
     # A hot reference text is a hot key of this join, which Spark splits.
     spans = cut.filter("key is not null").join(references, "owner")
     spans = spans.select("reference", "key", "tk", "at", "words").mapInPandas(_match, "key long, tk long, begin long, end long")
