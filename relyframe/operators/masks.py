@@ -8,8 +8,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-METRICS = "area long, x int, y int, w int, h int"
+METRICS = T.StructType([T.StructField("area", T.LongType()), *(T.StructField(c, T.IntegerType()) for c in "xywh")])
 
 
 def run_lengths(counts: str) -> list[int]:
