@@ -282,7 +282,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     scanned = materialize(docs.mapInPandas(_scan, schema))
     firsts = scanned.filter(F.col("n_words") >= LENGTH).groupBy("t1", "t2").agg(F.min("key").alias("first"), F.count("*").alias("n"))
     narrow = scanned.select("key", "tk", "t1", "t2")
-    copies = narrow.join(firsts.filter("n > 1").drop("n"), ["t1", "t2"]).filter("first < key").select("key", "tk").distinct()
+    firsts = materialize(firsts.filter("n > 1").drop("n"))
+    copies = narrow.join(firsts, ["t1", "t2"]).filter("first < key").select("key", "tk").distinct()
     copies = materialize(copies)
     # Anchors of first texts that other documents have, too.
     anchors = scanned.select("key", "tk", "anchors").join(copies, ["key", "tk"], "left_anti").select("key", F.explode("anchors").alias("anchor"))
