@@ -167,17 +167,18 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     Null texts, ids and items are as in ``hits``. Only documents that may have to go are shuffled.
     """
     text = F.coalesce(docs["text"], F.lit(""))
-    keyed = docs.withColumn("text_key", F.xxhash64(text)).withColumn("key", F.xxhash64("doc_id", "text_key"))
+    row, doc_id, text_key = F.struct(*(docs[c] for c in docs.columns)), docs["doc_id"], F.xxhash64(text)
+    keyed = docs.select(row.alias("row"), doc_id.alias("doc_id"), text_key.alias("text_key"), F.xxhash64(doc_id, text_key).alias("key"))
     items = items.select(F.coalesce(items["text"], F.lit("")).alias("text"), F.lit("").alias("item_id"))
     lengths = short_lengths(items)
-    plain = docs.select("doc_id", F.xxhash64(text).alias("text_key"), text.alias("text"))
+    plain = docs.select(doc_id.alias("doc_id"), text_key.alias("text_key"), text.alias("text"))
     found = find_windows(plain, items, item_windows(items, lengths), lengths).select("doc_id", "text_key").distinct()
     found = materialize(found.withColumn("key", F.xxhash64("doc_id", "text_key")))
     rows = mark_members(keyed, found)
     touched = rows.filter("maybe")
     same = touched["doc_id"].eqNullSafe(found["doc_id"]) & touched["text_key"].eqNullSafe(found["text_key"])
     touched = touched.join(found, same, "left_anti")
-    return rows.filter("not maybe").select(docs.columns).union(touched.select(docs.columns))
+    return rows.filter("not maybe").select("row").union(touched.select("row")).select("row.*")
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -335,9 +335,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     found = materialize(near_copies(docs, id_col, text_col))
     gone = found.filter("key <> first").select("key").distinct()
     repeated = found.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    rows = mark_members(docs.withColumn("key", F.coalesce(docs[id_col], F.lit(_LAST))), gone.union(repeated))
+    whole = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.coalesce(docs[id_col].cast("long"), F.lit(_LAST)).alias("key"))
+    rows = mark_members(whole, gone.union(repeated))
     touched = rows.filter("maybe").join(gone, "key", "left_anti").dropDuplicates(["key"])
-    return rows.filter("not maybe").select(docs.columns).union(touched.select(docs.columns))
+    return rows.filter("not maybe").select("row").union(touched.select("row")).select("row.*")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -363,15 +363,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = repeated_spans(docs, id_col, text_col).filter("n_removed > 0").select("key", "tk", "removed")
     spans = materialize(spans.distinct())
     names = docs.columns
-    others = [c for c in names if c != text_col]
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others)
-    rows = mark_members(docs.select(*names, *_keyed(docs, id_col, text_col)[1:3]), spans.select("key"))
-    untouched = rows.filter("not maybe").select(*names)
+    # Under numbers, so that no column clashes with those of the work.
+    kinds = ", ".join(f"c{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(names) if c != text_col)
+    whole = docs.select(F.struct(*(docs[c].alias(f"c{k}") for k, c in enumerate(names))).alias("row"), *_keyed(docs, id_col, text_col)[1:3])
+    rows = mark_members(whole, spans.select("key"))
     touched = rows.filter("maybe").join(spans, ["key", "tk"], "left")
-    same = touched.filter("removed is null").select(*names)
-    bare = touched.filter("removed is not null").select(*others, F.col(text_col).cast("binary").alias("text"), "removed")
-    cut = bare.mapInPandas(_without, f"{kinds}, text string").withColumnRenamed("text", text_col).select(*names)
-    return untouched.union(same).union(cut)
+    at = names.index(text_col)
+    others = [f"row.c{k}" for k in range(len(names)) if k != at]
+    bare = touched.filter("removed is not null").select(*others, F.col(f"row.c{at}").cast("binary").alias("text"), "removed")
+    cut = bare.mapInPandas(_without, f"{kinds}, text string".lstrip(", ")).withColumnRenamed("text", f"c{at}")
+    same = rows.filter("not maybe").select("row.*").union(touched.filter("removed is null").select("row.*"))
+    return same.unionByName(cut).toDF(*names)
 
 
 def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:

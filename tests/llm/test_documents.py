@@ -358,5 +358,15 @@ def test_prefix_filter_loses_nothing():
         assert scorer.best(t) == open_.best(t)
 
 
+def test_clashing_columns_survive(spark, docs):
+    names = ["key", "maybe", "cell", "bits", "removed", "tk", "text_key", "first", "words", "shard", "hashed", "n_hit"]
+    wide = docs.select("doc_id", "text", "source", *(F.lit(f"own {n}").alias(n) for n in names))
+    items = spark.createDataFrame([(1, documents()[20][1])], "item_id long, text string")
+    for out in (simhash.keep_one(wide), decontaminate.clean(wide, items), substring.remove_repeats(wide), quality.keep(wide)):
+        assert out.columns == wide.columns and out.count() > 0
+        assert all(out.filter(F.col(n) != f"own {n}").count() == 0 for n in ("key", "maybe", "removed", "first"))
+    assert sharding.stratified_interleave(wide, "doc_id", "source").filter("key = 'own key'").count() == len(documents())
+
+
 def test_text_columns_are_whole(docs):
     assert docs.agg(F.max(F.length("text"))).first()[0] > 5000
