@@ -79,10 +79,6 @@ def gray_rank(code: Column) -> Column:
     return code
 
 
-def _rotated(code: Column, k: int) -> Column:
-    return code if k == 0 else F.shiftleft(code, k).bitwiseOR(F.shiftrightunsigned(code, 64 - k))
-
-
 def _masks(n_blocks: int, radius: int) -> list[int]:
     """Bit masks of the choices of n_blocks - radius blocks; one of them is free of any radius differences."""
     edges = [64 * k // n_blocks for k in range(n_blocks + 1)]
