@@ -155,7 +155,6 @@ def convert_tracks(spark: SparkSession, path: str, wanted: DataFrame, max_frames
         "seq_ord", F.concat_ws("__", "dataset", "seq_name").alias("video_name"), F.col("seq_name").alias("location_id"), "kept", "annotated_image_paths",
         "segmentations", "height", "width", F.explode("track_category_ids").alias("track_id", "category_id"),
     )
-    rle = lambda i: F.nullif(F.get(F.col("segmentations"), i)[F.col("track_id")].rle, F.lit(""))
     tracks = tracks.join(F.broadcast(classes.select("category_id", F.col("name").alias("noun_phrase"))), "category_id")
     tracks = tracks.withColumn("rles", F.transform("kept", lambda i: F.get(F.transform("segmentations", lambda m: F.nullif(m[F.col("track_id")].rle, F.lit(""))), i)))
     tracks = tracks.filter(F.exists("rles", lambda r: r.isNotNull()))
