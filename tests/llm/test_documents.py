@@ -370,3 +370,34 @@ def test_clashing_columns_survive(spark, docs):
 
 def test_text_columns_are_whole(docs):
     assert docs.agg(F.max(F.length("text"))).first()[0] > 5000
+
+
+def test_near_copies_are_links_of_exact_similarity(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(simhash, "NODE_LIMIT", 24)  # nodes are split, too
+    r = random.Random(11)
+    vocab = [f"w{i}" for i in range(5000)]
+    texts = []
+    for share in (0.115, 0.105, 0.1, 0.16, 0.2):  # a block of the text replaced: similarity 0.79, 0.81, 0.82, 0.72, 0.67
+        for _ in range(24):
+            base = [r.choice(vocab) for _ in range(400)]
+            n = round(400 * share)
+            at = r.randrange(400 - n)
+            texts += [" ".join(base), " ".join(base[:at] + [r.choice(vocab) for _ in range(n)] + base[at + n :])]
+    base = [r.choice(vocab) for _ in range(120)]
+    for _ in range(60):  # a family that a chain of links may join
+        copy = list(base)
+        for _ in range(r.randrange(6)):
+            copy[r.randrange(120)] = r.choice(vocab)
+        texts.append(" ".join(copy))
+    want = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(max(0, i - 60), i):
+            if (i < 240 and i == j + 1 or j >= 240) and jaccard(texts[i], texts[j]) >= 0.8 and want[i] != want[j]:
+                a, b = sorted((want[i], want[j]))
+                want = [a if x == b else x for x in want]
+    got = {x.key: x["first"] for x in simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    joined = sum(got[i] == want[i] != i for i in got)
+    assert not [i for i in got if want[i] == i and got[i] != i]  # nothing below the similarity is linked
+    assert joined >= 0.97 * sum(want[i] != i for i in got)
