@@ -3,9 +3,10 @@
 Pages become tokens: tags with their path, and text blocks with theirs. Tokens of a host that occur equally often
 on each of its pages share an occurrence vector; the vector is reduced to an order-free hash by a map-side aggregate,
 so a host with a third of all pages is one row a token and task. Tokens with equal vectors form a class; a class is
-valid if its tokens keep one order on all pages. Valid classes are nested by the slots their tokens enclose. The class of
-tokens that occur once on every page is the template's frame. Its constant texts are not content; what is left in
-the slots of the article, less navigation, adverts, forms and the like by their elements, is the main text.
+valid if its tokens keep one order on all pages, and split where they don't. Valid classes are nested by the slots their
+tokens enclose. Classes of tokens that occur once on each page of a layout, or of half a host, are the template's frames; a
+host may have several. Their constant texts are not content; what is left in the article, less navigation, adverts,
+forms and the like by their elements, is the main text.
 """
 
 from __future__ import annotations
@@ -20,12 +21,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relyframe.llm.common import materialize, table
+from relyframe.llm.common import mark_members, materialize, table
 
 #: Pages that a host needs before its constant texts count as template.
 MIN_PAGES = 8
 #: Hosts up to which their templates are broadcast (a few hundred bytes each).
 BROADCAST_HOSTS = 20_000
+#: Stands for all tokens of a page; its count is that of the host's pages that have any.
+ALL_TOKENS = 1
 # Fixed values of HTML: elements whose content is no text, elements without an end, elements that end a block.
 _RAW = {"script", "style", "template", "noscript", "textarea", "title", "svg", "iframe"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -81,6 +84,9 @@ def blocks(page: str) -> tuple[list[tuple[str, str, bool, bool]], list[str]]:
             parts.append(text)
         elif name is not None:
             name = name.lower()
+            if name == "br":  # a new line of the same block: a constant line of a text that varies is content
+                parts.append(" ")
+                continue
             if name not in _INLINE:
                 flush()
             if m["close"]:
@@ -112,19 +118,23 @@ def _key(kind: str, path: str, text: str = "") -> int:
     return xxhash.xxh3_64_intdigest(f"{kind}\x00{path}\x00{text}") - (1 << 63)
 
 
-def page_tokens(page: str) -> list[tuple[int, int, int]]:
-    """(token, occurrences, place of the first) of a page; tags and text blocks, told apart by path."""
+def page_tokens(page: str) -> list[tuple[int, bool, int, int]]:
+    """(token, whether a tag, occurrences, place of the first) of a page; tags and text blocks, told apart by path."""
     found, tags = blocks(page)
-    counts: dict[int, list[int]] = {}
+    counts: dict[int, list] = {}
     for at, (kind, path, text) in enumerate([*(("t", t, "") for t in tags), *(("x", b[0], b[1]) for b in found)]):
-        counts.setdefault(_key(kind, path, text), [0, at])[0] += 1
-    return [(k, n, at) for k, (n, at) in counts.items()]
+        counts.setdefault(_key(kind, path, text), [kind == "t", 0, at])[1] += 1
+    return [(k, *x) for k, x in counts.items()]
 
 
 def _tokens(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Tokens of pages that have any; ALL_TOKENS stands for all of a page's, so that such pages are counted."""
     for pdf in batches:
-        rows = [(h, i, *t) for h, i, page in zip(pdf["host"], pdf["page_key"], pdf["html"], strict=True) for t in page_tokens(page)]
-        yield pd.DataFrame(rows, columns=["host", "page_key", "token", "n", "at"])
+        rows = []
+        for h, i, page in zip(pdf["host"], pdf["page_key"], pdf["html"], strict=True):
+            if found := page_tokens(page):
+                rows += [(h, i, *t) for t in found] + [(h, i, ALL_TOKENS, False, 1, 0)]
+        yield pd.DataFrame(rows, columns=["host", "page_key", "token", "is_tag", "n", "at"])
 
 
 def _hosted(pages: DataFrame) -> DataFrame:
@@ -133,37 +143,62 @@ def _hosted(pages: DataFrame) -> DataFrame:
     return pages.select(pages["page_id"], pages["url"], host.alias("host"), F.xxhash64(pages["page_id"], pages["url"], text).alias("page_key"), text.alias("html"))
 
 
+def _runs(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Classes split where their members' first or last places fall behind those of an earlier member: each run keeps one order."""
+    for pdf in batches:
+        rows = []
+        for host, vector, n_pages, most, members in zip(pdf["host"], pdf["vector"], pdf["n_pages"], pdf["most"], pdf["members"], strict=True):
+            run: list = []
+            for m in members:
+                if run and (m["first"] < run[-1]["first"] or m["last"] < run[-1]["last"]):
+                    rows.append((host, vector, n_pages, most, run))
+                    run = []
+                run.append(m)
+            rows.append((host, vector, n_pages, most, run))
+        out = [(h, v, n, k, len(r), any(m["is_tag"] for m in r), [m["at"] for m in r], [m["token"] for m in r]) for h, v, n, k, r in rows if len(r) > 1]
+        yield pd.DataFrame(out, columns=["host", "vector", "n_pages", "most", "size", "has_tag", "places", "tokens"])
+
+
+def _one_each(hosted: DataFrame) -> DataFrame:
+    """The rows of each page once; only rows that may be repeated are shuffled."""
+    repeated = materialize(hosted.groupBy("page_key").agg(F.count("*").alias("n")).filter("n > 1").select("page_key"))
+    rows = mark_members(hosted.select("host", "page_key", "html"), repeated, "page_key")
+    once = rows.filter("maybe").dropDuplicates(["page_key"])
+    return rows.filter("not maybe").union(once).select("host", "page_key", "html")
+
+
 def templates(hosted: DataFrame) -> DataFrame:
     """(host, vector, n_pages, size, is_frame, slot, tokens): valid equivalence classes, their tokens in page order.
 
-    ``is_frame`` marks the class whose tokens occur once on every page; ``slot`` is the gap between the frame's
-    tokens (by number) that another class is nested in, null without a frame. Only classes of two tokens or more on
-    MIN_PAGES pages or more are kept.
+    ``is_frame`` marks classes whose tokens occur once on each page of a group of pages: a group is a layout, which the class
+    has a tag of, or half of the host's pages that have tokens or more. ``slot`` is the gap between the tokens (by number) of
+    the host's widest frame that another class is nested in, null without a frame. A class out of order is split into runs
+    that keep one. Only classes of two tokens or more on MIN_PAGES pages or more are kept.
     """
-    tokens = hosted.select("host", "page_key", "html").mapInPandas(_tokens, "host string, page_key long, token long, n long, at long")
+    tokens = _one_each(hosted).mapInPandas(_tokens, "host string, page_key long, token long, is_tag boolean, n long, at long")
     vectors = tokens.groupBy("host", "token").agg(
         F.bit_xor(F.xxhash64("page_key", "n")).alias("vector"),
         F.count("*").alias("n_pages"),
-        F.min("n").alias("least"),
         F.max("n").alias("most"),
         F.avg("at").alias("at"),
         F.min("at").alias("first"),
         F.max("at").alias("last"),
+        F.first("is_tag").alias("is_tag"),
     )
     # A text that few pages share is in no class; dropping it here keeps the classes small.
-    vectors = vectors.filter(F.col("n_pages") >= MIN_PAGES)
-    classes = vectors.groupBy("host", "vector", "n_pages").agg(
-        F.array_sort(F.collect_list(F.struct("at", "token", "first", "last"))).alias("members"),
-        F.max("most").alias("most"),
-        F.count("*").alias("size"),
-    )
+    vectors = vectors.filter((F.col("n_pages") >= MIN_PAGES) | (F.col("token") == ALL_TOKENS))
+    vectors = materialize(vectors)
+    pages = vectors.filter(F.col("token") == ALL_TOKENS).select("host", F.col("n_pages").alias("all_pages"))
+    members = F.struct("at", "token", "first", "last", "is_tag")
+    classes = vectors.filter(F.col("token") != ALL_TOKENS).groupBy("host", "vector", "n_pages")
+    classes = classes.agg(F.array_sort(F.collect_list(members)).alias("members"), F.max("most").alias("most"))
+    classes = classes.mapInPandas(_runs, "host string, vector long, n_pages long, most long, size long, has_tag boolean, places array<double>, tokens array<long>")
     # Valid: the members' first and last places over all pages rise in the same order as their mean places.
-    rising = (F.col("members.first") == F.array_sort("members.first")) & (F.col("members.last") == F.array_sort("members.last"))
-    classes = classes.filter((F.col("size") > 1) & rising)
-    pages = hosted.groupBy("host").agg(F.count_distinct("page_key").alias("all_pages"))
-    classes = classes.join(pages, "host").withColumn("is_frame", (F.col("most") == 1) & (F.col("n_pages") == F.col("all_pages")))
-    frames = classes.filter("is_frame").select("host", F.col("members.at").alias("frame_at"))
-    begin = F.element_at("members.at", 1)
+    wide = F.col("has_tag") | (2 * F.col("n_pages") >= F.col("all_pages"))
+    classes = materialize(classes.join(pages, "host").withColumn("is_frame", (F.col("most") == 1) & wide))
+    widest = F.max_by("places", F.struct("n_pages", "size", "vector"))
+    frames = classes.filter("is_frame").groupBy("host").agg(widest.alias("frame_at"))
+    begin = F.element_at("places", 1)
     return classes.join(frames, "host", "left").select(
         "host",
         "vector",
@@ -171,7 +206,7 @@ def templates(hosted: DataFrame) -> DataFrame:
         "size",
         "is_frame",
         F.when(~F.col("is_frame"), F.size(F.filter("frame_at", lambda at: at < begin))).alias("slot"),
-        F.transform("members", lambda m: m.token).alias("tokens"),
+        "tokens",
     )
 
 
@@ -209,7 +244,7 @@ def extract(pages: DataFrame) -> DataFrame:
     dropped. Hosts with fewer than MIN_PAGES pages have no template; their pages are read by elements alone.
     """
     hosted = _hosted(pages)
-    frames = templates(hosted).filter("is_frame").select("host", F.col("tokens").alias("frame"))
+    frames = templates(hosted).filter("is_frame").groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("frame"))
     frames = materialize(frames)
     frames = F.broadcast(frames) if frames.count() <= BROADCAST_HOSTS else frames
     kind = pages.schema["page_id"].dataType.simpleString()

@@ -135,3 +135,22 @@ def test_extra_columns_do_not_clash(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a</p>", "x", "y")], "page_id long, url string, html string, host string, frame string")
     assert html_text.extract(pages).first().text == "a"
     assert F.lit(1) is not None
+
+
+def test_frames_of_layouts_and_bad_pages(spark):
+    other = "<body><section><h2>News {n}</h2><p>Item {n}</p><b>Read more</b></section><div>Fixed line</div></body>"
+    rows = [(n, f"http://h.example/{n}", PAGE.format(n=n)) for n in range(20)] + [(100 + n, f"http://h.example/o{n}", other.format(n=n)) for n in range(10)]
+    rows += [(200, "http://h.example/null", None), (201, "http://h.example/empty", ""), (202, "http://h.example/error", "<html><body><h1>Not found</h1></body></html>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract(pages).collect()}
+    assert got[4] == "Head 4 First & bold4ness here next open para graph 4"
+    assert got[103] == "News 3 Item 3"
+    assert got[200] == got[201] == "" and got[202] == "Not found"
+
+
+def test_classes_out_of_order_are_split():
+    places = [(0.0, 0, 0), (1.0, 1, 1), (2.0, 3, 3), (3.0, 2, 4), (4.0, 5, 5)]
+    members = [{"at": at, "token": k, "first": first, "last": last, "is_tag": k == 0} for k, (at, first, last) in enumerate(places)]
+    pdf = html_text.pd.DataFrame({"host": ["h"], "vector": [1], "n_pages": [9], "most": [1], "members": [members]})
+    (got,) = html_text._runs([pdf])
+    assert got["tokens"].tolist() == [[0, 1, 2], [3, 4]] and got["has_tag"].tolist() == [True, False]
