@@ -160,14 +160,21 @@ def inherit(scanned: DataFrame) -> DataFrame:
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as files of a tree source/language/block/id.
 
-    The table has no licence files: the first document of each directory (smallest id) stands for one, and gives
-    its licence, if it has any, to the directory.
+    The table has no licence files: the first document of each block (smallest id) stands for one, and gives its
+    licence, if it has any, to the directory. In each source, language and outer block the first document with a licence
+    is put into that directory itself and stands for its licence file.
     """
     docs = table(spark, sf_dir, "documents")
     block = F.floor(F.col("doc_id") / FANOUT)
     folder = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), (block / FANOUT).cast("long"), block)
     files = docs.select(F.col("doc_id").alias("id"), F.concat_ws("/", folder, F.col("doc_id")).alias("path"), "text")
-    scanned = materialize(scan(files).withColumn("dir", F.regexp_replace("path", r"/?[^/]*$", "")))
+    scanned = materialize(scan(files))
+    parts = F.split("path", "/", -1)
+    levels = F.array(*(F.struct(F.lit(k).alias("depth"), F.array_join(F.slice(parts, 1, k), "/").alias("upper")) for k in (1, 2, 3)))
+    upper = scanned.filter("licence is not null").select("id", F.inline(levels)).groupBy("depth", "upper").agg(F.min("id").alias("id"))
+    upper = materialize(upper.groupBy("id").agg(F.min_by("upper", "depth").alias("upper")))
+    scanned = scanned.join(upper, "id", "left").withColumn("path", F.coalesce(F.concat("upper", F.lit("/"), "id"), "path")).drop("upper")
+    scanned = materialize(scanned.withColumn("dir", F.regexp_replace("path", r"/?[^/]*$", "")))
     first = scanned.groupBy("dir").agg(F.min("id").alias("first_id"))
     scanned = scanned.join(first, "dir").withColumn("is_licence_file", F.col("id") == F.col("first_id")).drop("dir", "first_id")
     return inherit(scanned).select(

@@ -63,3 +63,8 @@ def test_pipeline_stages(spark, texts):
     clean = {r.doc_id for r in seen["benchmark_decontamination"].collect()}
     assert clean <= one and {r.doc_id for r in seen["packing"].collect()} == clean
     assert corpus_pipeline.run(spark, SMALL).count() == seen["packing"].count()
+
+
+def test_op1_inherits_from_upper_directories(spark):
+    rows = queries.QUERIES["op1_license_scan"](spark, SMALL).collect()
+    assert any(r.inherited_from and r.path.count("/") > r.inherited_from.count("/") + 1 for r in rows)
