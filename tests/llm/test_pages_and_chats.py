@@ -1,7 +1,9 @@
 """WARC round trips, main texts, and chat logs on small hard fixtures."""
 
 import hashlib
+import random
 import tempfile
+import time
 from collections import Counter
 
 import pytest
@@ -71,7 +73,7 @@ def test_main_text_of_a_host(spark):
     assert html_text.extract(pages).count() == len(rows)
     assert html_text.extract(pages.limit(0)).count() == 0
     classes = html_text.templates(html_text._hosted(pages)).collect()
-    assert any(c.is_frame and c["size"] > 10 for c in classes)
+    assert any(c.is_frame and len(c.tokens) > 10 for c in classes)
 
 
 def test_page_without_article():
@@ -150,7 +152,70 @@ def test_frames_of_layouts_and_bad_pages(spark):
 
 def test_classes_out_of_order_are_split():
     places = [(0.0, 0, 0), (1.0, 1, 1), (2.0, 3, 3), (3.0, 2, 4), (4.0, 5, 5)]
-    members = [{"at": at, "token": k, "first": first, "last": last, "is_tag": k == 0} for k, (at, first, last) in enumerate(places)]
-    pdf = html_text.pd.DataFrame({"host": ["h"], "vector": [1], "n_pages": [9], "most": [1], "members": [members]})
-    (got,) = html_text._runs([pdf])
-    assert got["tokens"].tolist() == [[0, 1, 2], [3, 4]] and got["has_tag"].tolist() == [True, False]
+    members = [{"at": at, "token": k, "first": first, "last": last} for k, (at, first, last) in enumerate(places)]
+    assert [[m["token"] for m in run] for run in html_text.in_order(members)] == [[0, 1, 2], [3, 4]]
+
+
+SOUP = """<html><body><div class="top">Home</div><div class="mid">{ad}</div><div class="core"><h2>{title}</h2>{parts}<p>Was this helpful?</p></div>
+<div class="low"><p>{other}</p></div><div class="end">All rights reserved</div></body></html>"""
+
+
+def soup(n):
+    """A page without telling names, and its main text."""
+    r = random.Random(n)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    words = lambda k: " ".join(word() for _ in range(k))
+    title, parts = words(4), [(words(30), words(3)) for _ in range(r.randint(1, 5))]
+    body = "".join(f"<section><p>{a}</p><div>Read on</div><p>Source: {b}</p></section>" for a, b in parts)
+    return SOUP.format(ad=words(3), title=title, parts=body, other=words(4)), " ".join([title, *(f"{a} Source: {b}" for a, b in parts)])
+
+
+def test_template_of_a_generated_host(spark):
+    made = {n: soup(n) for n in range(40)}
+    rows = [(n, "http://soup.example/", x) for n, (x, _) in made.items()] + [(n, "http://soup.example/", made[n][0]) for n in (3, 3, 5)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract(pages).collect()}
+    assert got == {n: text for n, (_, text) in made.items()}  # "Read on" stands once in each record, so it's template
+    alone = html_text.main_text(made[0][0], None)
+    assert "Home" in alone and "Was this helpful?" in alone  # without a template nothing tells
+
+
+def test_classes_equal_brute_force(spark):
+    made = [soup(n)[0] for n in range(30)] + [PAGE.format(n=n) for n in range(9)]
+    rows = [(n, "http://mixed.example/", x) for n, x in enumerate(made)]
+    counts = [{t[0]: t[2] for t in html_text.page_tokens(x)} for x in made]
+    tags = {t[0] for x in made for t in html_text.page_tokens(x) if t[1] != "text"}
+    by_vector = {}
+    for token in {t for c in counts for t in c}:
+        by_vector.setdefault(tuple(c.get(token, 0) for c in counts), set()).add(token)
+    want = {frozenset(c) for v, c in by_vector.items() if sum(n > 0 for n in v) >= html_text.MIN_PAGES and c & tags}
+    found = {}
+    for r in html_text.templates(html_text._hosted(spark.createDataFrame(rows, "page_id long, url string, html string"))).collect():
+        found.setdefault((r.vector, r.n_pages), set()).update(r.tokens)
+    assert {frozenset(c) for c in found.values()} <= want and sum(map(len, found.values())) >= 0.9 * sum(map(len, want))
+
+
+def test_repeated_article_is_no_template(spark):
+    page = "<body><div class='ad'>Buy {n}</div><article><h1>Same title</h1><p>The same long paragraph again and again.</p><p>{n}</p></article></body>"
+    rows = [(n, f"http://copies.example/{n}", page.format(n=n)) for n in range(12)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[7] == "Same title The same long paragraph again and again. 7"
+
+
+def test_names_in_an_article():
+    text = html_text.main_text
+    assert text("<article><div class='share-price'>12</div><section id='search-algorithms'>s <span hidden>no</span>t</section></article>", None) == "12 s t"
+    assert text("<article><div class='ad-slot'>a</div><div class='comment-list top'>b</div><p class=sidebar>c</p>d</article>", None) == "d"
+    assert text("<p title=it's>One</p><p>Two</p><p>Three don't</p>", None) == "One Two Three don't"
+    assert text("<p data-x='a>b' class=\"x\">One</p><p a=\"<p>\">Two</P ><br/>&lt;3<![CDATA[x]]><?y?></>", None) == "One Two <3"
+    assert text("<p>a<!-->b<!-- c --!> -->d<script>x</scripty></script >e<a href='x", None) == "ab -->d e"
+
+
+@pytest.mark.parametrize("piece", ['<a title="x ', "<div>", "<p>", "</p>", "<b><div>", "<u><div><i><i></u>", "<!--", "<li>", "&amp", "<", "<a =", "<table><tr><td>", "<h1 a='"])
+def test_hostile_pages_take_linear_time(piece):
+    took = []
+    for size in (100_000, 400_000):
+        began = time.process_time()
+        html_text.main_text((piece * (size // len(piece) + 1))[:size], None)
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * max(took[0], 0.02)
