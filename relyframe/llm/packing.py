@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import heapq
 import math
-import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -32,7 +31,9 @@ END_ID = 1
 CACHE_WORDS = 500_000
 TOKENIZER = "word_bpe_49k.json"
 #: Marks that form a token run of their own after a word of letters.
-_MARKS = "*%&#$,.!|?:;"
+_MARKS = b"*%&#$,.!|?:;"
+#: The first letter that isn't looked up directly, and the one below it whose lower case is two characters.
+_BEYOND, _LONGER = "\u0250", "\u0130"
 _ENDING = np.array([END_ID], "<u4").tobytes()
 
 
@@ -51,11 +52,11 @@ def _byte_letters() -> dict[int, str]:
 
 
 class WordIds(dict):
-    """Ids (little-endian unsigned 32-bit) of words without ASCII white space, kept while there is room.
+    """Ids (little-endian unsigned 32-bit) of UTF-8 words without ASCII white space, kept while there is room.
 
-    The tokenizer drops white space and never joins pieces across it, so a text's ids are its words' ids in
-    order. Inside a word it never joins a run of letters with the marks that follow. A word of letters is looked up
-    in the model directly, in lower case; all else goes through the whole tokenizer.
+    The tokenizer drops white space and never joins pieces across it, so a text's ids are its words' ids in order. Inside a
+    word it never joins a run of letters with the marks that follow. A word of plain letters is looked up in the model
+    directly, in lower case; all else goes through the whole tokenizer.
     """
 
     def __init__(self, path: str, room: int = CACHE_WORDS):
@@ -65,32 +66,36 @@ class WordIds(dict):
         self.tokenizer, self.room, self.letters = Tokenizer.from_file(path), room, _byte_letters()
         self.model = self.tokenizer.model
 
-    def __missing__(self, word: str) -> bytes:
+    def __missing__(self, word: bytes) -> bytes:
         core = word.rstrip(_MARKS)
-        if core.isalpha() and len(core) < len(word):
+        letters = core.decode()
+        if not _is_plain(letters):
+            ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
+            found = np.array(ids, "<u4").tobytes()
+        elif len(core) < len(word):
             found = self[core] + self[word[len(core) :]]
         else:
-            found = np.array(self._spelled(word) if core.isalpha() else self._whole(word), "<u4").tobytes()
+            found = np.array(self._spelled(letters.lower()), "<u4").tobytes()
         if len(self) < self.room:
             self[word] = found
         return found
 
-    def _whole(self, word: str) -> list[int]:
-        return self.tokenizer.encode(word, add_special_tokens=False).ids
+    def _spelled(self, low: str) -> list[int]:
+        """Ids of a word of lower-case letters."""
+        spelled = low if low.isascii() else low.encode().decode("latin-1").translate(self.letters)
+        return [t.id for t in self.model.tokenize(spelled)]
 
-    def _spelled(self, word: str) -> list[int]:
-        """Ids of a word of letters; lower case goes letter by letter, as in the tokenizer."""
-        if word.isascii():
-            return [t.id for t in self.model.tokenize(word.lower())]
-        low = "".join(map(str.lower, word))
-        if not low.isalpha() or not unicodedata.is_normalized("NFC", word) or not unicodedata.is_normalized("NFC", low):
-            return self._whole(word)
-        return [t.id for t in self.model.tokenize(low.encode().decode("latin-1").translate(self.letters))]
+    def of(self, text: bytes) -> np.ndarray:
+        """Ids of a UTF-8 text, the end id last."""
+        return np.frombuffer(b"".join(map(self.__getitem__, text.split())) + _ENDING, "<u4")
 
-    def of(self, text: str) -> np.ndarray:
-        """Ids of a text, the end id last."""
-        words = text.split() if text.isascii() else text.replace("\t", " ").replace("\n", " ").split(" ")
-        return np.frombuffer(b"".join(map(self.__getitem__, words)) + _ENDING, "<u4")
+
+def _is_plain(word: str) -> bool:
+    """Whether a word is made of letters up to Latin Extended-B that stay letters in lower case.
+
+    A letter that becomes a letter and a combining mark isn't plain: the tokenizer joins that mark with those that follow.
+    """
+    return word.isalpha() and (word.isascii() or (max(word) < _BEYOND and _LONGER not in word))
 
 
 _loaded: dict[str, WordIds] = {}
@@ -120,7 +125,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
         for pdf in batches:
             rows = []
             for doc, text in zip(pdf["id"], pdf["text"], strict=True):
-                ids = known.of(text)
+                ids = known.of(bytes(text))
                 for start, length in cuts(len(ids)):
                     part = ids[start : start + length]
                     rows.append((doc, start, length, zlib.crc32(part), len(ids), *([part.astype("i8")] if with_ids else [])))
@@ -129,7 +134,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<long>" * with_ids
-    rows = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+    rows = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).cast("binary").alias("text"))
     return rows.mapInPandas(each, schema)
 
 
@@ -191,26 +196,31 @@ def pack_block(sizes: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
 def pack(cut: DataFrame, capacity: int = CAPACITY, block_pieces: int = BLOCK_PIECES) -> DataFrame:
     """Pieces with ``sequence_id`` and ``offset``; every sequence holds at most ``capacity`` tokens without gaps.
 
-    A piece of a whole window is a sequence of its own. Repeated documents are packed like others. No pieces give
-    no rows. Other columns are kept.
+    A piece of a whole window is a sequence of its own. Repeated documents are packed like others; equal pieces are
+    interchangeable. No pieces give no rows. Other columns are kept, whatever their names; ``sequence_id`` and ``offset`` of
+    the input are replaced.
     """
     n_blocks = max(1, math.ceil(cut.filter(F.col("length") < capacity).count() / block_pieces))
-    names = cut.columns
+    names = [c for c in cut.columns if c not in ("sequence_id", "offset")]
+    own = [f"c{k}" for k in range(len(names))]  # numbers, so that no column clashes with those of the work
+    id_, start, length, crc = (own[names.index(c)] for c in ("id", "start", "length", "ids_crc32"))
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["start", "ids_crc32"], kind="stable").sort_values("id", kind="stable").reset_index(drop=True)
-        sizes = pdf["length"].to_numpy()
+        pdf = pdf.sort_values([start, crc], kind="stable").sort_values(id_, kind="stable").reset_index(drop=True)
+        sizes = pdf[length].to_numpy()
         partial = np.flatnonzero(sizes < capacity)
         windows = [partial[w] for w in pack_block(sizes[partial], capacity)] + [[k] for k in np.flatnonzero(sizes >= capacity)]
         place, offset = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64)
         for k, members in enumerate(windows):
             place[members] = k
             offset[members] = np.cumsum(sizes[members]) - sizes[members]
-        return pdf[names].assign(sequence_id=(int(pdf["block"].iloc[0]) << 24) + place, offset=offset)
+        return pdf[own].assign(sequence_id=(int(pdf["block"].iloc[0]) << 24) + place, offset=offset)
 
-    keyed = cut.withColumn("block", F.pmod(F.xxhash64("id", "start", "ids_crc32"), F.lit(n_blocks)))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema.fields)
-    return keyed.groupBy("block").applyInPandas(block, f"{schema}, sequence_id long, offset long")
+    keyed = cut.select(*(cut[c].alias(k) for c, k in zip(names, own, strict=True)))
+    keyed = keyed.withColumn("block", F.pmod(F.xxhash64(id_, start, crc), F.lit(n_blocks)))
+    schema = ", ".join(f"{k} {cut.schema[c].dataType.simpleString()}" for c, k in zip(names, own, strict=True))
+    packed = keyed.groupBy("block").applyInPandas(block, f"{schema}, sequence_id long, offset long")
+    return packed.toDF(*names, "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", with_ids: bool = False) -> DataFrame:

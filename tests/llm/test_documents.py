@@ -330,7 +330,34 @@ def test_words_spell_the_whole_tokenizer():
     known = packing.word_ids(packing.default_tokenizer())
     tricky = ["<|endoftext|> it's I'LL don't 12,000 İstanbul ΑΣ Σ, ﬁx", "été café  x y ½x x² _a_ foo_bar, 'S ...!! A'B. <|startoftext|>x", "aͅ ǅungla ÅÅ Å Ω K, ª º", "", " \n\t"]
     for t in tricky:
-        assert known.of(t).tolist() == [*known.tokenizer.encode(t, add_special_tokens=False).ids, 1]
+        assert known.of(t.encode()).tolist() == [*known.tokenizer.encode(t, add_special_tokens=False).ids, 1]
+
+
+def test_random_texts_spell_the_whole_tokenizer():
+    import random
+
+    r = random.Random(4)
+    known = packing.word_ids(packing.default_tokenizer())
+    odd = list("\x00\x01\x1b\x1c\x1d\x1e\x1f\x7f\x85\xa0\u1680\u2003\u2028\u3000\t\n\x0b\x0c\r") + list("İıßẞŉǰΣςſﬁKÅªº½²٣あ中\U0001f600\u0307\u0301\u0345\u200d_-'’\"()<>|") + list(packing._MARKS.decode())
+    plain = list("abcdefghijklmnopqrstuvwxyzABCXYZéèüñßÄÖŒœøÆĲĳǅ0123456789")
+    parts = ["the", "don't", "it's", "I'LL", "'s", "BELEDİYESİ,", "İ.", "<|endoftext|>", "e\u0301.", "naïve!!", "a\x1cb", "x"]
+    texts = []
+    for _ in range(50_000):
+        kind = r.random()
+        draw = lambda: r.choice(odd) if r.random() < 0.35 else r.choice(parts) if r.random() < 0.2 else r.choice(plain)
+        texts.append("".join(" " if r.random() < 0.12 else draw() for _ in range(r.randint(1, 12 if kind < 0.9 else 40))))
+    whole = known.tokenizer.encode_batch(texts, add_special_tokens=False)
+    wrong = [(t, known.of(t.encode()).tolist(), e.ids) for t, e in zip(texts, whole, strict=True) if known.of(t.encode()).tolist() != [*e.ids, 1]]
+    assert not wrong, (len(wrong), wrong[:3])
+
+
+def test_packing_keeps_clashing_columns(spark):
+    rows = [(i, 0, 100 + i, 7 * i, f"b{i}", i, "s", -1, -2) for i in range(50)]
+    cut = spark.createDataFrame(rows, "id long, start long, length long, ids_crc32 long, block string, c0 long, `odd name` string, offset long, sequence_id long")
+    out = packing.pack(cut)
+    assert out.columns == ["id", "start", "length", "ids_crc32", "block", "c0", "odd name", "sequence_id", "offset"]
+    assert {(r.id, r.block, r.c0, r["odd name"]) for r in out.collect()} == {(i, f"b{i}", i, "s") for i in range(50)}
+    assert all(r.offset >= 0 and r.sequence_id >= 0 for r in out.collect())
 
 
 # Licences
