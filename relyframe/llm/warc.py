@@ -164,24 +164,37 @@ def _segments(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(rows, columns=names, dtype=object)
 
 
+def reassembled(segments: Iterable[dict], total: int | None, digest: str | None, is_response: bool) -> tuple[bytes | None, bool]:
+    """Payload of an origin's segments, and whether all of them are there and the payload has the stated digest."""
+    ordered = sorted(segments, key=lambda s: s["number"])
+    block = b"".join(bytes(s["block"]) for s in ordered)
+    if [s["number"] for s in ordered] != list(range(1, len(ordered) + 1)) or total is None or len(block) != total:
+        return None, False
+    if not is_response:
+        return None, True
+    try:
+        payload = dechunked(block[block.index(_CRLF * 2) + 4 :])
+    except ValueError:
+        return None, False
+    return (payload, True) if digest is None or base32_sha1(payload) == digest else (None, False)
+
+
 def _assembled(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        payloads, complete = [], []
-        for kind, total, segments in zip(pdf["kind"], pdf["total"], pdf["segments"], strict=True):
-            ordered = sorted(segments, key=lambda s: s["number"])
-            block = b"".join(bytes(s["block"]) for s in ordered)
-            whole = [s["number"] for s in ordered] == list(range(1, len(ordered) + 1)) and not pd.isna(total) and len(block) == int(total)
-            payload = dechunked(block[block.index(b"\r\n\r\n") + 4 :]) if whole and kind == "response" else None
-            payloads.append(payload)
-            complete.append(whole)
-        yield pdf[["page_id", "url", "kind", "digest", "refers_to", "n_segments"]].assign(payload=payloads, complete=complete)
+        found = [
+            reassembled(segments, None if pd.isna(total) else int(total), digest, kind == "response")
+            for kind, total, digest, segments in zip(pdf["kind"], pdf["total"], pdf["digest"], pdf["segments"], strict=True)
+        ]
+        columns = ["page_id", "url", "kind", "digest", "refers_to", "n_segments"]
+        yield pdf[columns].assign(payload=[x[0] for x in found], complete=[x[1] for x in found])
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """Reassembled records: page_id, url, kind, digest, refers_to, n_segments, payload, complete.
 
-    ``complete`` is false, and the payload null, where segment numbers have gaps or the total length differs from
-    the stated one. The payload of a revisit is null; its digest is the stated one. An empty folder gives no rows.
+    ``complete`` is false, and the payload null, where segment numbers have gaps, the total length or the payload's
+    digest differs from the stated one, or the chunked framing is broken. The payload of a revisit is null; its digest is
+    the stated one. An empty folder gives no rows.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt.gz").load(path).select("content")
     segments = files.mapInPandas(_segments, _SEGMENT_SCHEMA)
@@ -199,30 +212,27 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return origins.drop("origin").mapInPandas(_assembled, schema)
 
 
+def measured(read: DataFrame) -> DataFrame:
+    """Records with ``payload_bytes``; that of a revisit is its response's: of the page that it refers to, with its digest.
+
+    It is null for a damaged response, and for a revisit whose response is missing or damaged. Records of repeated ids with
+    different payloads are told apart by digest. Only revisits are joined, so no null key is shuffled.
+    """
+    columns = ["page_id", "digest", "kind", "refers_to", "n_segments", "complete"]
+    records = materialize(read.select(*columns, F.octet_length("payload").cast("long").alias("payload_bytes")))
+    responses = records.filter("kind = 'response'")
+    sizes = responses.filter("payload_bytes is not null").groupBy(F.col("page_id").alias("refers_to"), "digest").agg(F.min("payload_bytes").alias("payload_bytes"))
+    # Written first, so that Spark can split a response that a third of all pages revisit.
+    revisits = records.filter("kind <> 'response'").drop("payload_bytes").join(materialize(sizes), ["refers_to", "digest"], "left")
+    return responses.unionByName(revisits)
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written to archives and read back; revisits take the size of the page that they refer to."""
     path = shared_dir(spark)
     write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
-    read = read_archives(spark, path)
-    measured = materialize(
-        read.select(
-            "page_id",
-            F.octet_length("payload").cast("long").alias("own_bytes"),
-            "digest",
-            F.sha1("payload").alias("own_sha"),
-            F.col("kind").alias("record_type"),
-            "refers_to",
-            "n_segments",
-        )
-    )
-    origin = measured.filter("record_type = 'response'").groupBy(F.col("page_id").alias("refers_to")).agg(F.first("own_bytes").alias("origin_bytes"))
-    return measured.join(origin, "refers_to", "left").select(
-        "page_id",
-        F.coalesce("own_bytes", "origin_bytes").alias("payload_bytes"),
-        F.col("digest").alias("payload_digest"),
-        "record_type",
-        "refers_to",
-        "n_segments",
+    return measured(read_archives(spark, path)).select(
+        "page_id", "payload_bytes", F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to", "n_segments", "complete"
     )
 
 
@@ -243,6 +253,6 @@ SELECT page_id, payload_bytes,
   CASE WHEN page_id <> first_id THEN 1
     ELSE (87 + payload_bytes + 5 + CASE WHEN payload_bytes > 0 THEN
       (payload_bytes // 4096) * 8 + CASE WHEN payload_bytes % 4096 > 0 THEN length(to_hex(payload_bytes % 4096)) + 4 ELSE 0 END
-      ELSE 0 END + 16383) // 16384 END AS n_segments
+      ELSE 0 END + 16383) // 16384 END AS n_segments, true AS complete
 FROM g
 """

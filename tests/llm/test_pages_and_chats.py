@@ -49,6 +49,31 @@ def test_warc_missing_segment(spark):
     assert got.page_id == 7 and not got.complete and got.payload is None
 
 
+def test_warc_repeated_ids_and_damage(spark):
+    import gzip
+
+    rows = [(1, "u", "a"), (1, "u", "bbbb"), (2, "u", "a"), (3, "u", "bbbb"), (4, "u", "bbbb"), (5, "u", "lone"), (None, "u", None), (6, "u", "")]
+    path = f"file://{tempfile.mkdtemp(prefix='spark-')}/w"
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
+    found = warc.measured(warc.read_archives(spark, path))
+    got = Counter((r.page_id, r.kind, r.refers_to, r.payload_bytes, r.complete) for r in found.collect())
+    assert got == Counter([(1, "response", None, 1, True), (1, "response", None, 4, True), (2, "revisit", 1, 1, True), (3, "revisit", 1, 4, True), (4, "revisit", 1, 4, True), (5, "response", None, 4, True), (None, "revisit", 6, 0, True), (6, "response", None, 0, True)])
+    whole = warc.page_records(7, 1, "u", b"abc" * 900, None, 500)
+    for damage in (lambda x: x.replace(b"abcabc", b"abcabd", 1), lambda x: x.replace(b"\r\n1000\r\n", b"\r\n1001\r\n").replace(b"\r\na8c\r\n", b"\r\na8d\r\n")):
+        folder = tempfile.mkdtemp(prefix="spark-")
+        with open(f"{folder}/a.txt.gz", "wb") as f:
+            f.write(gzip.compress(b"".join(damage(r) + b"\r\n" for r in whole)))
+        (bad,) = warc.measured(warc.read_archives(spark, f"file://{folder}")).collect()
+        assert bad.page_id == 7 and not bad.complete and bad.payload_bytes is None
+
+
+def test_warc_extra_columns_do_not_clash(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>a</p>", "x", "y", "z")], "page_id long, url string, html string, sha string, payload string, first_id string")
+    path = f"file://{tempfile.mkdtemp(prefix='spark-')}/w"
+    warc.write_archives(pages, path)
+    assert bytes(warc.read_archives(spark, path).first().payload) == b"<p>a</p>"
+
+
 def test_warc_empty(spark):
     path = f"file://{tempfile.mkdtemp(prefix='spark-')}/w"
     warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), path)
