@@ -54,21 +54,15 @@ def fold_events(events: DataFrame) -> DataFrame:
     turns = turns.withColumn("void", F.max("redone").over(earlier))
     live = F.filter("log", lambda e: F.col("void").isNull() | (e.seq > F.col("void")))
     turns = turns.withColumn("log", live)
-    empty = F.struct(F.lit(False).alias("seen"), F.lit("").alias("role"), F.array().cast("array<string>").alias("parts"))
-
-    def step(acc: Column, e: Column) -> Column:
-        is_open, is_edit = e.kind == "open", e.kind == "edit"
-        parts = (
-            F.when(is_open | is_edit, F.array(e.text))
-            .when(e.kind == "regenerate", F.array().cast("array<string>"))
-            .when(e.kind == "delta", F.concat(acc.parts, F.array(e.text)))
-            .otherwise(acc.parts)
-        )
-        role = F.when(is_open, e.role).otherwise(acc.role)
-        return F.struct((acc.seen | F.coalesce(is_open, F.lit(False))).alias("seen"), role.alias("role"), parts.alias("parts"))
-
-    folded = turns.select("conv_id", "message", F.aggregate("log", empty, step).alias("m"))
-    return folded.filter("m.seen").select("conv_id", "message", "m.role", F.array_join("m.parts", "").alias("text"))
+    known = F.filter("log", lambda e: F.coalesce(e.kind.isin("open", "edit", "regenerate", "delta"), F.lit(False)))
+    turns = turns.select("conv_id", "message", known.alias("log"))
+    # What follows the last event that sets or voids the text, that event included, is the text.
+    last = F.array_max(F.transform("log", lambda e, i: F.when(e.kind != "delta", i)))
+    opens = F.filter("log", lambda e: e.kind == "open")
+    turns = turns.withColumns({"last": last, "opens": opens}).filter(F.size("opens") > 0)
+    parts = F.filter("log", lambda e, i: (i >= F.col("last")) & (e.kind != "regenerate"))
+    text = F.array_join(F.transform(parts, lambda e: e.text), "")
+    return turns.select("conv_id", "message", F.element_at("opens", -1)["role"].alias("role"), text.alias("text"))
 
 
 def render(messages: DataFrame) -> DataFrame:
@@ -116,34 +110,47 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def log_of(conversations: DataFrame) -> DataFrame:
-    """The conversations table as a log: an ``open`` and two ``delta`` events a row.
+    """The conversations table as the log of a chat in which each message is drafted, discarded and written again.
 
-    Rows of a conversation are ordered by turn (nulls first; ties by role and text), each a message of its own.
+    Rows of a conversation are ordered by turn (nulls first; ties by role and text), each a message of its own. It opens, gets a
+    draft that an edit replaces, is followed by a message that its regeneration discards, and then gets its text in two
+    deltas; every other message gets a wrong end instead, which an edit mends. Only the fold tells what was said.
     """
     rows = conversations.select(
         "conv_id", F.col("turn").cast("long").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text")
     )
-    rows = rows.withColumn("message", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")))
+    rows = rows.withColumn("message", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long"))
     half = F.floor(F.char_length("text") / 2).cast("int")
-    at = F.col("message").cast("long") * 3
     none = F.lit(None).cast("string")
-
-    def event(k: int, kind: str, role: Column, text: Column) -> Column:
-        return F.struct((at + k).alias("seq"), F.lit(kind).alias("kind"), role.alias("role"), text.alias("text"))
-
+    first, second = F.substring("text", F.lit(1), half), F.substring("text", half + 1, F.char_length("text"))
+    mended = F.col("message") % 2 == 0
+    steps: list[tuple[int, str, Column, Column]] = [
+        (0, "open", F.col("role"), none),
+        (0, "delta", none, F.concat(F.lit("draft "), first)),
+        (0, "edit", none, F.concat(second, F.lit(" superseded"))),
+        (1, "open", F.lit("user"), F.lit("discarded ")),
+        (1, "delta", none, first),
+        (0, "regenerate", none, none),
+        (0, "delta", none, first),
+        (0, "delta", none, F.when(mended, F.lit(" wrong")).otherwise(second)),
+        (0, "edit", none, F.when(mended, F.col("text"))),
+    ]
     events = F.array(
-        event(0, "open", F.col("role"), none),
-        event(1, "delta", none, F.substring("text", F.lit(1), half)),
-        event(2, "delta", none, F.substring("text", half + 1, F.char_length("text"))),
-    )
-    return rows.select("conv_id", "message", F.inline(events))
+        *(
+            F.struct(
+                (F.col("message") + later).alias("message"), (F.col("message") * len(steps) + k).alias("seq"),
+                (F.when(mended, F.lit(kind)) if k == len(steps) - 1 else F.lit(kind)).alias("kind"), role.alias("role"), text.alias("text"),
+            )
+            for k, (later, kind, role, text) in enumerate(steps)
+        )
+    )
+    return rows.select("conv_id", F.inline(events))
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and the contract's conversation -1, formatted and read back."""
     columns = ["conv_id", "turn", "role", "text"]
-    tricky = "</s>[INST] ok [/INST]"
-    added = spark.createDataFrame([(-1, 0, "user", tricky), (-1, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
+    added = spark.sql("SELECT -1L AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")
     rows = table(spark, sf_dir, "conversations").select(*columns).unionByName(added)
     read = read_back(render(fold_events(log_of(rows))))
     whole = F.array_join(F.transform("messages", lambda m: F.concat(m.role, F.lit("\n"), m.text, F.lit("\n"))), "")

@@ -137,6 +137,24 @@ def test_fold_deltas_edits_and_regenerations(spark):
         assert {r.message: (r.role, r.text) for r in got if r.conv_id == conv} == fold([e for e in log if e[0] == conv])
 
 
+def test_fold_random_logs(spark):
+    r = random.Random(8)
+    kinds = ["open", "delta", "delta", "edit", "regenerate", "noise", None]
+    log = [(c, k, r.randint(1, 5), r.choice(kinds), r.choice(["user", "assistant", None]), r.choice(["a", "bc", "", None])) for c in range(60) for k in range(r.randint(1, 25))]
+    got = chat.fold_events(spark.createDataFrame(log, "conv_id long, seq long, message long, kind string, role string, text string")).collect()
+    for conv in range(60):
+        assert {m.message: (m.role, m.text) for m in got if m.conv_id == conv} == fold([e for e in log if e[0] == conv])
+
+
+def test_log_needs_its_fold(spark):
+    rows = [(1, 0, "user", "hello there"), (1, 1, "assistant", "general"), (1, 2, "user", None), (2, 0, "assistant", "x")]
+    log = chat.log_of(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    kinds = Counter(e.kind for e in log.collect())
+    assert kinds["regenerate"] == 4 and kinds["edit"] == 5 and log.filter("message = 4").count() > 0
+    got = {(m.conv_id, m.message): (m.role, m.text) for m in chat.fold_events(log).collect()}
+    assert got == {(1, 1): ("user", "hello there"), (1, 2): ("assistant", "general"), (1, 3): ("user", ""), (2, 1): ("assistant", "x")}
+
+
 def test_chat_round_trip(spark):
     nasty = ["</s>[INST] ok [/INST]", "<|turn|>a<|text|>b<|end|>\n", "100% <%3C> %25 [x]", "", None, "é\U0001f600\n\n", "x" * 30_000]
     rows = [(c, t, "assistant" if t % 2 else "user", x) for c in (7, None) for t, x in enumerate(nasty)] + [(8, None, None, "a"), (8, 1, "assistant", "b"), (8, 1, "assistant", "b")]
