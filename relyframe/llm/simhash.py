@@ -13,7 +13,6 @@ are reduced to spanning ones. Nothing is capped.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable, Iterator
 from itertools import combinations, repeat
 
@@ -31,20 +30,24 @@ SHINGLE = 3
 SEED = 42
 #: Members up to which a node of the index is walked by one task.
 NODE_LIMIT = 2_048
-#: Wide links, for near copies of five-word similarity 0.8 or more: two fingerprints differ in about
-#: 64 acos(2 s / (1 + s)) / pi = 9.7 bits there, and less for three words. Bits allowed for each and in sum, and the recall
-#: aimed at for WIDE_AT bits.
-WIDE, WIDE_SUM = {3: 12, 5: 16}, 23
-WIDE_RECALL, WIDE_AT = 0.99, 10
-#: Limits of what is proposed: at similarity 0.8 a replaced block moves either fingerprint by 9.7 bits on average with a standard
-#: deviation of 2.9, so that three of them are within. Proposals become links at a similarity of 4/5 exactly.
-PROPOSE, PROPOSE_SUM = {3: 18, 5: 20}, 32
+#: Near copies: sets of five-word shingles whose Jaccard similarity is SIMILAR or more.
+WORDS = 5
 SIMILAR = (4, 5)
+#: Content keys of a document: BANDS series of least hashes, of which DEPTHS name the node at each level. Two sets of similarity
+#: 0.8 share a first-level node with probability 1 - (1 - 0.8 ** 2) ** 8 = 0.9997.
+BANDS, DEPTHS = 8, (2, 4, 8)
+#: Differing bits of two fingerprints up to which a pair is proposed: at a similarity of 0.8 they differ in 64 acos(2 s / (1 + s)) / pi
+#: = 9.7 bits on average with a standard deviation of 2.9. Of 16 least hashes, 12.8 agree on average (deviation 1.6).
+WIDE_RADIUS, LEAST_AGREED = 20, 7
+#: Rounds in which each document has two proposals, before all that are left are compared.
+ROUNDS = 2
+#: Blocks of documents outside the largest group of a hot node up to which all are compared there, and not in deeper nodes only.
+MOST_BLOCKS = 8
 #: Hot nodes up to which their list is broadcast.
 BROADCAST_NODES = 100_000
-_TILE = 1024
 _LAST = (1 << 63) - 1
 _LEAF, _FANOUT, _SMALL, _PIECE = 16, 8, 32, 1 << 15
+_PAIRS = 1 << 20
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
@@ -57,12 +60,16 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     else:
         grams = map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False))
     n = max(1, len(words) - shingle + 1)
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64, n)
+    return _majority(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64, n))
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
-    for at in range(0, n, _PIECE):
+    for at in range(0, len(hashes), _PIECE):
         bits = np.unpackbits(hashes[at : at + _PIECE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.int32)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -104,8 +111,12 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def _pairs_of_groups(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of places within the radius in a node's fingerprints, which are sorted by Gray rank."""
+def _pairs_of_groups(fps: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places within the radius in a node's fingerprints, which are sorted by Gray rank, in pieces.
+
+    Groups of neighbours are leaves; FANOUT groups make one above. A group has the bits that all its members share, with
+    their pattern. Two groups whose shared bits differ in more than the radius are pruned with all that is below them.
+    """
     ones = np.uint64(0xFFFFFFFFFFFFFFFF)
     starts = [np.arange(0, len(fps), _LEAF)]
     while len(starts[-1]) > _FANOUT:
@@ -114,27 +125,25 @@ def _pairs_of_groups(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarr
     for s in starts:
         lead = np.repeat(fps[s], np.diff(np.append(s, len(fps))))
         levels.append((fps[s], ones ^ np.bitwise_or.reduceat(fps ^ lead, s)))  # pattern, bits that all members share
-    a, b = np.triu_indices(len(starts[-1]))
-    for depth in range(len(starts) - 1, -1, -1):
+    step, leaf = np.arange(_FANOUT), np.arange(_LEAF)
+    waiting = [(len(starts) - 1, *np.triu_indices(len(starts[-1])))] if len(fps) else []
+    while waiting:
+        depth, a, b = waiting.pop()
         pattern, shared = levels[depth]
         near = np.bitwise_count((pattern[a] ^ pattern[b]) & shared[a] & shared[b]) <= radius
         a, b = a[near], b[near]
-        if depth:
-            step = np.arange(_FANOUT)
-            a = (a[:, None, None] * _FANOUT + step[:, None] + 0 * step).ravel(), b
-            b = (b[:, None, None] * _FANOUT + step + 0 * step[:, None]).ravel()
-            a = a[0]
-            inside = (a <= b) & (b < len(starts[depth - 1]))
-            a, b = a[inside], b[inside]
-    step, found = np.arange(_LEAF), []
-    for at in range(0, len(a), 4096):
-        i = (a[at : at + 4096, None, None] * _LEAF + step[:, None] + 0 * step).ravel()
-        j = (b[at : at + 4096, None, None] * _LEAF + step + 0 * step[:, None]).ravel()
-        inside = (i < j) & (j < len(fps))
-        i, j = i[inside], j[inside]
-        near = np.bitwise_count(fps[i] ^ fps[j]) <= radius
-        found.append((i[near], j[near]))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (step[:0], step[:0])
+        width, size = (step, len(starts[depth - 1])) if depth else (leaf, len(fps))
+        most = max(1, _PAIRS // len(width) ** 2)
+        for at in range(0, len(a), most):
+            i = (a[at : at + most, None, None] * len(width) + width[:, None] + 0 * width).ravel()
+            j = (b[at : at + most, None, None] * len(width) + width + 0 * width[:, None]).ravel()
+            inside = (j < size) & (i <= j if depth else i < j)
+            i, j = i[inside], j[inside]
+            if depth:
+                waiting.append((depth - 1, i, j))
+                continue
+            near = np.bitwise_count(fps[i] ^ fps[j]) <= radius
+            yield i[near], j[near]
 
 
 def _spanning(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -165,9 +174,9 @@ def _walk(radius: int):
             a.append(i[near])
             b.append(i[near] + k)
         for s, n in zip(first[size > _SMALL], size[size > _SMALL], strict=True):
-            i, j = _pairs_of_groups(fps[s : s + n], radius)
-            a.append(i + s)
-            b.append(j + s)
+            for i, j in _pairs_of_groups(fps[s : s + n], radius):
+                a.append(i + s)
+                b.append(j + s)
         label = _spanning(len(fps), np.concatenate(a), np.concatenate(b)) if a else np.arange(len(fps))
         moved = np.flatnonzero(label != np.arange(len(fps)))
         return pd.DataFrame({"u": fps[moved].view(np.int64), "v": fps[label[moved]].view(np.int64)})
@@ -237,146 +246,191 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(named, "fp").select("id", "fp", "component_id")
 
 
-def wide_masks(n: int, radius: int = WIDE_AT, recall: float = WIDE_RECALL) -> list[int]:
-    """Seeded masks of as many bits as leave about 64 of n random fingerprints to a node, and as many masks as meet the recall."""
-    m = max(12, round(math.log2(max(n, 1) / 64)))
-    one = math.prod((64 - radius - k) / (64 - k) for k in range(m))
-    rng = np.random.default_rng(SEED)
-    return [sum(1 << int(b) for b in rng.choice(64, m, replace=False)) for _ in range(math.ceil(math.log(1 - recall) / math.log(1 - one)))]
+def shingles(text: bytes | None, shingle: int = WORDS) -> np.ndarray:
+    """The set of XXH64 hashes of a text's word shingles, in order; fewer words are one shingle, no words none."""
+    words = (text or b"").lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    grams = map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False)) if len(words) >= shingle else iter([b" ".join(words)])
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64))
 
 
-def _join_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Merge the groups of places a[i] and b[i]; labels stay roots."""
-    while True:
-        x, y = label[a], label[b]
-        apart = x != y
-        if not apart.any():
-            return
-        np.minimum.at(label, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
-        while not np.array_equal(label, flat := label[label]):
-            label[:] = flat
+def _same(hashes: np.ndarray) -> int:
+    """A name of a set of shingles."""
+    return xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63)
 
 
-def _node_labels(three: np.ndarray, five: np.ndarray) -> np.ndarray:
-    """Groups of a node's members, which are in Gray order: tiles of neighbours; a tile whose members are all in one group is pruned whole."""
-    n = len(three)
-    label = np.arange(n)
-    for i in range(0, n, _TILE):
-        for j in range(i, n, _TILE):
-            own, other = label[i : i + _TILE], label[j : j + _TILE]
-            if own.min() == own.max() == other.min() == other.max():
-                continue
-            bits = np.bitwise_count(three[i : i + _TILE, None] ^ three[None, j : j + _TILE])
-            a, b = np.nonzero(bits <= WIDE[3])
-            more = np.bitwise_count(five[a + i] ^ five[b + j])
-            near = (more <= WIDE[5]) & (more + bits[a, b] <= WIDE_SUM)
-            _join_labels(label, a[near] + i, b[near] + j)
-    return label
+def _factors() -> np.ndarray:
+    """Seeded odd factors; the order of a set's multiples is as good as a random one, since the set's members are hashes."""
+    return np.random.default_rng(SEED).integers(1 << 62, 1 << 63, BANDS * DEPTHS[-1], dtype=np.uint64) | np.uint64(1)
 
 
-def _node_proposals(three: np.ndarray, five: np.ndarray, key: np.ndarray, root: np.ndarray, every: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a node's places within the PROPOSE limits whose roots differ: all of them once, or of each place its nearest partner and
-    the one of the smallest key. A pair of tiles whose members all have one root is pruned whole."""
-    n = len(three)
-    best, least = np.full(n, _LAST), np.full(n, n)
-    by_key = np.argsort(key, kind="stable")
-    rank = np.argsort(by_key, kind="stable")
-    u, v = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for i in range(0, n, _TILE):
-        for j in range(i, n, _TILE):
-            own, other = root[i : i + _TILE], root[j : j + _TILE]
-            if own.min() == own.max() == other.min() == other.max():
-                continue
-            bits = np.bitwise_count(three[i : i + _TILE, None] ^ three[None, j : j + _TILE])
-            a, b = np.nonzero(bits <= PROPOSE[3])
-            fit = (root[a + i] != root[b + j]) & (a + i < b + j)
+def least_hashes(hashes: np.ndarray) -> np.ndarray:
+    """For each factor the member of the set whose multiple is least: equal in two sets as often as they are similar."""
+    return np.array([(hashes * f).min() for f in _factors()], np.uint64)
+
+
+def content_keys(least: np.ndarray) -> list[list[int]]:
+    """Node of each band at each level: a hash of its first least hashes."""
+    bands = least.reshape(BANDS, -1)
+    return [[xxhash.xxh3_64_intdigest(own[:d].tobytes(), seed=k) - (1 << 63) for d in DEPTHS] for k, own in enumerate(bands)]
+
+
+def _sketch(text: bytes | None) -> tuple[int, int, int, int, list[list[int]]]:
+    """(grams, fp, s0, s1, nodes): name of the set of shingles, its fingerprint, a byte of 16 least hashes each, its nodes."""
+    hashes = shingles(text)
+    if not len(hashes):
+        return _same(hashes), 0, 0, 0, []
+    least = least_hashes(hashes)
+    lead = least.reshape(BANDS, -1)[:, :2].ravel()
+    s0, s1 = (lead >> np.uint64(24)).astype(np.uint8).view(np.int64)
+    return _same(hashes), int(np.uint64(_majority(hashes)).view(np.int64)), int(s0), int(s1), content_keys(least)
+
+
+def _ranked(fps: np.ndarray) -> np.ndarray:
+    """Places of fingerprints in Gray order."""
+    rank = fps.copy()
+    for k in (1, 2, 4, 8, 16, 32):
+        rank ^= rank >> np.uint64(k)
+    return np.argsort(rank, kind="stable")
+
+
+def node_pairs(first: np.ndarray, fps: np.ndarray, fits) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places in the nodes that begin at the places ``first`` within WIDE_RADIUS bits, of which ``fits`` keeps some.
+
+    Pairs of small nodes are compared all at once; a larger node's by the Gray-order index over its fingerprints.
+    """
+    size = np.diff(np.append(first, len(fps)))
+    node, size_of = np.repeat(np.arange(len(first)), size), np.repeat(size, size)
+    for k in range(1, min(_SMALL, int(size.max(initial=1)))):
+        i = np.flatnonzero((node[k:] == node[:-k]) & (size_of[:-k] <= _SMALL))
+        i = i[np.bitwise_count(fps[i] ^ fps[i + k]) <= WIDE_RADIUS]
+        yield fits(i, i + k)
+    for s, n in zip(first[size > _SMALL], size[size > _SMALL], strict=True):
+        order = _ranked(fps[s : s + n]) + s
+        for i, j in _pairs_of_groups(fps[order], WIDE_RADIUS):
+            yield fits(order[i], order[j])
+
+
+_PROPOSAL = "u long, u_grams long, v long, v_grams long, far long"
+
+
+def _proposals(every: bool):
+    """Proposals inside the nodes of a partition that is sorted by node and part: all, or of each document its nearest
+    partner and the one of the smallest key.
+
+    A pair's roots differ, and so do its sides unless these are negative; LEAST_AGREED of its 16 least hashes or more agree.
+    """
+
+    def of_nodes(pdf: pd.DataFrame) -> pd.DataFrame:
+        key, grams, root, side = (pdf[c].to_numpy() for c in ("key", "grams", "root", "side"))
+        fps = pdf["fp"].to_numpy().view(np.uint64)
+        signs = np.ascontiguousarray(pdf[["s0", "s1"]].to_numpy(np.int64)).view(np.uint8)
+        n = len(pdf)
+        by_key = np.argsort(key, kind="stable")
+        rank = np.empty(n, np.int64)
+        rank[by_key] = np.arange(n)
+        best, least, found = np.full(n, _LAST), np.full(n, n), [(np.empty(0, np.int64),) * 3]
+
+        def fits(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            fit = (root[a] != root[b]) & ((side[a] != side[b]) | (side[a] < 0))
             a, b = a[fit], b[fit]
-            if not len(a):
-                continue
-            more = np.bitwise_count(five[a + i] ^ five[b + j])
-            both = more.astype(np.int64) + bits[a, b]
-            near = (more <= PROPOSE[5]) & (both <= PROPOSE_SUM)
-            a, b, both = a[near] + i, b[near] + j, both[near]
+            fit = (signs[a] == signs[b]).sum(axis=1) >= LEAST_AGREED
+            return a[fit], b[fit]
+
+        first = np.flatnonzero(np.append(True, (np.diff(pdf["node"]) != 0) | (np.diff(pdf["part"]) != 0)))
+        for a, b in node_pairs(first, fps, fits):
+            bits = np.bitwise_count(fps[a] ^ fps[b]).astype(np.int64)
             if every:
-                u.append(a)
-                v.append(b)
+                found.append((a, b, bits))
                 continue
             for x, y in ((a, b), (b, a)):
-                np.minimum.at(best, x, (both << 32) | y)
+                np.minimum.at(best, x, (bits << 32) | y)
                 np.minimum.at(least, x, rank[y])
-    if not every:
-        met = np.flatnonzero(least < n)
-        u += [met, met]
-        v += [best[met] & 0xFFFFFFFF, by_key[least[met]]]
-    return np.concatenate(u), np.concatenate(v)
-
-
-def _walk_wide(every: bool):
-    """Proposals inside the nodes of a partition that is sorted by node."""
-
-    def proposals(pdf: pd.DataFrame) -> pd.DataFrame:
-        starts = np.flatnonzero(np.append(True, (np.diff(pdf["mask"]) != 0) | (np.diff(pdf["node"]) != 0) | (np.diff(pdf["part"]) != 0)))
-        three, five = pdf["fp3"].to_numpy().view(np.uint64), pdf["fp5"].to_numpy().view(np.uint64)
-        key, root, grams = pdf["key"].to_numpy(), pdf["root"].to_numpy(), pdf["grams"].to_numpy()
-        u, v = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for a, b in zip(starts, np.append(starts[1:], len(pdf)), strict=True):
-            if b - a > 1:
-                x, y = _node_proposals(three[a:b], five[a:b], key[a:b], root[a:b], every)
-                if len(x):
-                    u.append(x + a)
-                    v.append(y + a)
-        x, y = np.concatenate(u), np.concatenate(v)
-        far = (np.bitwise_count(three[x] ^ three[y]) + np.bitwise_count(five[x] ^ five[y])).astype(np.int64)
-        return pd.DataFrame({"u": key[x], "u_grams": grams[x], "v": key[y], "v_grams": grams[y], "far": far}).drop_duplicates()
+        if not every:
+            met = np.flatnonzero(least < n)
+            low = by_key[least[met]]
+            found = [(met, best[met] & 0xFFFFFFFF, best[met] >> 32), (met, low, np.bitwise_count(fps[met] ^ fps[low]).astype(np.int64))]
+        u, v, far = (np.concatenate(x) for x in zip(*found, strict=True))
+        return pd.DataFrame({"u": key[u], "u_grams": grams[u], "v": key[v], "v_grams": grams[v], "far": far})
 
     def each(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
         for pdf in batches:
             pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            open_ = (pdf["mask"] == pdf["mask"].iloc[-1]) & (pdf["node"] == pdf["node"].iloc[-1]) & (pdf["part"] == pdf["part"].iloc[-1])
-            held = pdf[open_].reset_index(drop=True)  # the last node may go on in the next batch
-            if not open_.all():
-                yield proposals(pdf[~open_].reset_index(drop=True))
+            edges = np.flatnonzero((np.diff(pdf["node"]) != 0) | (np.diff(pdf["part"]) != 0)) + 1
+            whole = edges[-1] if len(edges) else 0  # the last node may go on in the next batch
+            if whole:
+                yield of_nodes(pdf.iloc[:whole])
+            held = pdf.iloc[whole:].reset_index(drop=True)
         if held is not None and len(held):
-            yield proposals(held)
+            yield of_nodes(held)
 
     return each
 
 
-def _dealt(rows: DataFrame, masks: list[int], every: bool) -> tuple[DataFrame, DataFrame]:
-    """Rows (key, grams, fp3, fp5, root) once for each mask and part of a node; and the keys in nodes of over NODE_LIMIT members.
+def _placed(distinct: DataFrame) -> DataFrame:
+    """(key, grams, fp, s0, s1, node, n, deeper): each document in its nodes that others share.
 
-    Such a node is split: into parts of about NODE_LIMIT rows or, where every pair counts, into pairs of blocks of about
-    NODE_LIMIT roots; a node of one root has no pairs left.
+    Members of a node of over NODE_LIMIT members are in their nodes of the next level, too, which ``deeper`` says.
     """
-    array = F.array(*(F.lit(_signed(m)) for m in masks for _ in (3, 5)))
-    keyed = rows.select("*", F.posexplode(array).alias("mask", "bits"))
-    keyed = keyed.withColumn("own", F.when(F.col("mask") % 2 == 0, F.col("fp3")).otherwise(F.col("fp5")))
-    keyed = keyed.withColumn("node", F.col("own").bitwiseAND(F.col("bits"))).drop("bits")
-    hot = materialize(keyed.groupBy("mask", "node").agg(F.count("*").alias("n")).filter(F.col("n") > NODE_LIMIT))
-    n_hot = hot.count()
-    if not n_hot:
-        return keyed.withColumn("part", F.lit(0).cast("long")), rows.select("key").limit(0)
-    hint = F.broadcast if n_hot <= BROADCAST_NODES else lambda x: x
-    in_hot = keyed.join(hint(hot.select("mask", "node")), ["mask", "node"])
-    if every:
-        roots = in_hot.select("mask", "node", "root").distinct().groupBy("mask", "node").agg(F.count("*").alias("n"))
-        hot = materialize(roots)
-    keyed = keyed.join(hint(hot), ["mask", "node"], "left")
-    blocks = F.ceil(F.col("n") / NODE_LIMIT)
-    if not every:
-        return keyed.withColumn("part", F.coalesce(F.pmod(F.xxhash64("key"), blocks), F.lit(0))).drop("n"), in_hot.select("key").distinct()
-    block = F.pmod(F.xxhash64("root"), blocks)
-    parts = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda k: F.least(block, k) * blocks + F.greatest(block, k))
-    keyed = keyed.filter("n is null or n > 1").withColumn("part", F.explode(F.coalesce(parts, F.array(F.lit(0).cast("long")))))
-    return keyed.drop("n"), in_hot.select("key").distinct()
+    columns = ["key", "grams", "fp", "s0", "s1"]
+    left, placed = distinct.select(*columns, F.explode("nodes").alias("levels")), None
+    for level in range(len(DEPTHS)):
+        at = left.withColumn("node", F.col("levels")[level])
+        counts = materialize(at.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1"))
+        # Written before their join, so that Spark splits a hot node.
+        met = materialize(mark_members(at, counts, "node").filter("maybe").drop("maybe").join(counts, "node"))
+        deeper = (F.col("n") > NODE_LIMIT) & F.lit(level + 1 < len(DEPTHS))
+        fit = met.select(*columns, "node", "n", deeper.alias("deeper"))
+        placed = fit if placed is None else placed.union(fit)
+        left = met.filter(F.col("n") > NODE_LIMIT).select(*columns, "levels")
+        if counts.filter(F.col("n") > NODE_LIMIT).isEmpty():
+            break
+    return materialize(placed)
+
+
+def _parted(members: DataFrame, salt: int) -> DataFrame:
+    """Members with ``part`` and ``side``: hot nodes in random parts of about NODE_LIMIT members, other ones for each salt."""
+    parts = F.ceil(F.col("n") / NODE_LIMIT)
+    return members.withColumns({"part": F.pmod(F.xxhash64("key", F.lit(salt)), parts), "side": F.lit(-1)})
+
+
+def _blocked(members: DataFrame) -> DataFrame:
+    """Members with ``part`` and ``side`` such that in each node all pairs of different roots meet in some part.
+
+    In a hot node the members of its largest group are dealt to parts, and every part also gets a block of the others, once
+    for each block; the blocks of the others meet in pairs. The largest group's own members need not meet. A hot node of
+    many groups (one passage that different texts share) with more than MOST_BLOCKS blocks is left to its deeper nodes.
+    """
+    is_hot = F.col("n") > NODE_LIMIT
+    cool = members.filter(~is_hot).withColumns({"part": F.lit(0).cast("long"), "side": F.lit(-1)})
+    groups = materialize(members.filter(is_hot).groupBy("node", "deeper", "root").agg(F.count("*").alias("m")))
+    if groups.isEmpty():
+        return cool
+    nodes = groups.groupBy("node", "deeper").agg(F.max_by("root", "m").alias("giant"), F.max("m").alias("m"), F.sum("m").alias("all"))
+    nodes = nodes.withColumns({"p": F.ceil(F.col("m") / NODE_LIMIT), "q": F.ceil((F.col("all") - F.col("m")) / NODE_LIMIT)})
+    nodes = materialize(nodes.filter((F.col("q") > 0) & ~(F.col("deeper") & (F.col("q") > MOST_BLOCKS))).select("node", "giant", "p", "q"))
+    hot = members.filter(is_hot).join(F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes, "node")
+    p, q, one = F.col("p"), F.col("q"), F.lit(1).cast("long")
+    each = lambda n: F.sequence(F.lit(0).cast("long"), n - one)
+    own, block = F.pmod(F.xxhash64("key"), p), F.pmod(F.xxhash64("key"), q)
+    place = lambda part, side: F.struct(part.alias("part"), F.lit(side).alias("side"))
+    giant = F.transform(each(q), lambda b: place(b * p + own, 1))
+    other = F.concat(
+        F.transform(each(p), lambda a: place(block * p + a, 0)),
+        F.transform(each(q), lambda b: place(q * p + F.least(block, b) * q + F.greatest(block, b), -1)),
+    )
+    at = F.when(F.col("root") == F.col("giant"), giant).otherwise(other)
+    hot = hot.withColumn("at", F.explode(at)).select(*members.columns, "at.part", "at.side")
+    return cool.union(hot)
 
 
 def _proposed(dealt: DataFrame, every: bool) -> DataFrame:
     """(u, u_grams, v, v_grams) candidates: all, or of each document its nearest one and the one of the smallest key."""
-    sorted_ = dealt.repartition("mask", "node", "part").withColumn("rank", gray_rank(F.col("own"))).sortWithinPartitions("mask", "node", "part", "root", "rank")
-    rows = sorted_.select("key", "grams", "fp3", "fp5", "root", "mask", "node", "part")
-    found = rows.mapInPandas(_walk_wide(every), "u long, u_grams long, v long, v_grams long, far long")
+    rows = dealt.repartition("node", "part").sortWithinPartitions("node", "part")
+    rows = rows.select("key", "grams", "fp", "s0", "s1", "root", "node", "part", "side")
+    found = rows.mapInPandas(_proposals(every), _PROPOSAL)
     if not every:
         two = F.array(F.min(F.struct("far", "v", "v_grams")), F.min_by(F.struct("far", "v", "v_grams"), F.struct("v", "v_grams")))
         found = found.groupBy("u", "u_grams").agg(two.alias("two")).select("u", "u_grams", F.explode("two").alias("x"))
@@ -395,65 +449,53 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return materialize(joined.select("u", "v").distinct())
 
 
-def _rooted(distinct: DataFrame, links: DataFrame) -> DataFrame:
+def _rooted(rows: DataFrame, links: DataFrame) -> DataFrame:
     """The rows with the ``root`` of their key."""
     roots = components(links).select(F.col("node").alias("own"), "root")
-    return distinct.join(roots, F.col("key") == F.col("own"), "left").drop("own").withColumn("root", F.coalesce("root", "key"))
-
-
-def shingles(text: bytes | None, shingle: int = 5) -> np.ndarray:
-    """The set of XXH64 hashes of a text's word shingles, in order; fewer words are one shingle, no words none."""
-    words = (text or b"").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    grams = map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False)) if len(words) >= shingle else iter([b" ".join(words)])
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64))
-
-
-def _same(hashes: np.ndarray) -> int:
-    """A name of a set of shingles."""
-    return xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63)
+    return rows.join(roots, F.col("key") == F.col("own"), "left").drop("own").withColumn("root", F.coalesce("root", "key"))
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(key, first) of each document: its id (null: the largest long) and the smallest id of its group of near copies.
 
-    Documents are linked where the Jaccard similarity of their sets of five-word shingles is SIMILAR or more. Fingerprints
-    only propose: candidates share the bits of a seeded mask of the three-word or the five-word fingerprint, and differ within
-    the PROPOSE limits. First each document's nearest candidate and that of the smallest id are compared, then, with the
-    groups so found, all candidates in different groups. Repeated rows are one document; empty texts are copies of each other.
+    Documents are linked where the Jaccard similarity of their sets of five-word shingles is SIMILAR or more; links are closed
+    transitively. Candidates share a node of content keys and are found there by the Gray-order index over their five-word
+    fingerprints, so a document is in BANDS nodes whatever the size of the table. First each document's nearest candidate and
+    that of the smallest id are compared, then, with the groups so found, all candidates in different groups. Repeated rows
+    are one document; empty texts are copies of each other; no documents give no rows.
     """
-    last = F.lit(_LAST)
+    schema = "key long, grams long, fp long, s0 long, s1 long, nodes array<array<long>>"
 
     def each(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            fps = [np.array([fingerprint(t, k) for t in pdf["text"]], np.uint64).view(np.int64) for k in (3, 5)]
-            yield pd.DataFrame({"key": pdf["key"], "fp3": fps[0], "fp5": fps[1], "grams": np.array([_same(shingles(t)) for t in pdf["text"]], np.int64)})
+            rows = [(key, *_sketch(text)) for key, text in zip(pdf["key"], pdf["text"], strict=True)]
+            yield pd.DataFrame(rows, columns=["key", "grams", "fp", "s0", "s1", "nodes"])
 
     def listed(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             sets = [shingles(t) for t in pdf["text"]]
             yield pd.DataFrame({"grams": np.array([_same(x) for x in sets], np.int64), "shingles": [x.view(np.int64) for x in sets]})
 
-    rows = docs.select(F.coalesce(docs[id_col].cast("long"), last).alias("key"), docs[text_col].cast("binary").alias("text"))
-    prints = materialize(rows.mapInPandas(each, "key long, fp3 long, fp5 long, grams long"))
-    distinct = prints.groupBy("grams").agg(F.min(F.struct("key", "fp3", "fp5")).alias("x")).select("grams", "x.*")
-    distinct = materialize(distinct)
-    masks = wide_masks(distinct.count())
-    dealt, hot = _dealt(distinct.withColumn("root", F.col("key")), masks, False)
-    pairs = _proposed(dealt, False)
-    # Only documents with a candidate, or in a node that was split, can get others.
-    active = pairs.select(F.col("u").alias("key")).union(hot).distinct()
-    active = materialize(distinct.join(active, "key", "left_semi"))
-    maybe = mark_members(rows, active.select("key")).filter("maybe").select("text").mapInPandas(listed, "grams long, shingles array<long>")
-    sets = materialize(maybe.join(active.select("grams").distinct(), "grams", "left_semi").dropDuplicates(["grams"]))
+    rows = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(_LAST)).alias("key"), docs[text_col].cast("binary").alias("text"))
+    prints = materialize(rows.mapInPandas(each, schema))
+    distinct = prints.groupBy("grams").agg(F.min(F.struct("key", "fp", "s0", "s1", "nodes")).alias("x")).select("grams", "x.*")
+    members = _placed(materialize(distinct))
+    pairs = _proposed(_parted(members.withColumn("root", F.col("key")), 0), False)
+    # Only documents with a candidate, or in a node that is split, can get others.
+    active = pairs.select(F.col("u").alias("key")).union(members.filter(F.col("n") > NODE_LIMIT).select("key")).distinct()
+    active = materialize(active)
+    members = materialize(members.join(active, "key", "left_semi"))
+    wanted = members.select("grams").distinct()
+    maybe = mark_members(rows, active).filter("maybe").select("text").mapInPandas(listed, "grams long, shingles array<long>")
+    sets = materialize(maybe.join(wanted, "grams", "left_semi").dropDuplicates(["grams"]))
     links = _verified(pairs, sets)
-    for every in (False, True):
-        rooted = materialize(_rooted(active, links))
-        pairs = _proposed(_dealt(rooted, masks, every)[0], every)
+    for k in range(1, ROUNDS + 1):
+        rooted = materialize(_rooted(members, links))
+        every = k == ROUNDS
+        pairs = _proposed(_blocked(rooted) if every else _parted(rooted, k), every)
         links = links.union(_verified(pairs, sets))
-    named = materialize(_rooted(distinct, links).select("grams", F.col("root").alias("first")))
-    return prints.join(named, "grams").select("key", "first")
+    named = materialize(_rooted(distinct.select("key", "grams"), links).select("grams", F.col("root").alias("first")))
+    return prints.select("key", "grams").join(named, "grams").select("key", "first")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
