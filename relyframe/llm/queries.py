@@ -24,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op2_warc": warc.OP2_SQL,
     "op3_chat_format": chat.OP3_SQL,
+    "op5_substring": substring.OP5_SQL,
     "op8_quality_rules": quality.OP8_SQL,
     "op9_decontamination": decontaminate.OP9_SQL,
 }

@@ -1,39 +1,43 @@
-"""Operator 5: removal of repeated word sequences with suffix automata of reference texts.
+"""Operator 5: removal of repeated word sequences with suffix automata of reference shards.
 
 A window of LENGTH words that also starts in a document with a smaller id marks its words for removal.
 
 1. Each document is read once: exact copies of a text are told by its hash, and winnowed hashes of GRAM words
-   (anchors; every window holds one) are kept. Anchors in two or more documents name the candidate documents.
-2. Stretches of windows around such an anchor are hashed whole; equal stretches become one row. Only where stretches
-   around one anchor differ, the windows of one document for each of them are hashed one by one. The first document of
-   each stretch or window owns it. First documents come from map-side aggregates, so a passage in a third of all
-   documents is one row a task.
-3. The owned runs of a document are its reference text. Candidate runs of later documents are joined with the
-   reference texts that they may match, not broadcast, as those grow with the corpus. A suffix automaton of each reference text
-   streams the runs for matching statistics; maximal spans of LENGTH words or more are removed. So hashes only
-   propose; the automaton decides on words.
+   (anchors; every window holds one) are kept. Anchors in two or more documents name the candidate documents, and stretches
+   of neighbouring windows around such an anchor what may repeat in them.
+2. The reference text is every window that documents share, once: in the first document that has it. Equal stretches
+   become one row by a hash of all their words. Only where stretches around one anchor differ, their windows are hashed one by
+   one. First documents come from map-side aggregates, so a passage in a third of all documents is one row a task.
+3. Reference texts are dealt to shards of about SHARD_WORDS words. The stretches of the candidates are sent to the shards that hold
+   text around their anchors; a shard that many documents ask for is copied. Each copy's suffix automaton is built once and
+   the stretches are streamed through it for matching statistics; spans of LENGTH words or more that another document owns
+   are removed. So hashes choose what is read; the automaton finds the spans, on words.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relyframe.llm.common import mark_members, materialize, table
 
 LENGTH = 50
 GRAM = 8
+#: Words of reference text to a shard, on average; windows to a piece of it; words streamed through one copy of a shard.
+SHARD_WORDS, PIECE, COPY_WORDS = 40_000, 4_096, 1_000_000
 #: Rows after which a task hands on a batch.
 BATCH_ROWS = 200_000
 _LAST = (1 << 63) - 1
-_WINDOW_NAMES = ["h1", "h2", "key", "at", "content", "n", "i"]
+_WINDOW_SCHEMA = "h1 long, h2 int, anchor long, key long, tk long, at int, high long"
+_PIECE_SCHEMA = "shard long, key long, tk long, at long, words binary, is_doc boolean"
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _EMPTY = hashlib.sha256(b"").hexdigest()
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -81,24 +85,28 @@ def window_minima(hashed: np.ndarray) -> np.ndarray:
 
 
 class Automaton:
-    """Suffix automaton of a word sequence; separators (None) match nothing."""
+    """Suffix automaton of word sequences; a state keeps the owner of the sequence that made it."""
 
-    def __init__(self, words: Iterable[bytes | None]):
+    def __init__(self) -> None:
         self.next: list[dict] = [{}]
-        self.link, self.length = [-1], [0]
-        last = 0
+        self.link, self.length, self.owner = [-1], [0], [None]
+        self._owners: list | None = None
+
+    def add(self, words: Iterable[bytes], owner: object) -> None:
+        last, self._owners = 0, None
         for w in words:
-            last = self._extend(last, w) if w is not None else 0
+            last = self._extend(last, w, owner)
 
-    def _extend(self, last: int, w: bytes) -> int:
+    def _extend(self, last: int, w: bytes, owner: object) -> int:
         nxt, link, length = self.next, self.link, self.length
-        if w in nxt[last]:  # a later text of a generalized automaton
+        if w in nxt[last]:  # of a sequence before
             q = nxt[last][w]
             return q if length[q] == length[last] + 1 else self._clone(last, w, q)
         cur = len(nxt)
         nxt.append({})
         length.append(length[last] + 1)
         link.append(0)
+        self.owner.append(owner)
         p = last
         while p != -1 and w not in nxt[p]:
             nxt[p][w] = cur
@@ -113,16 +121,30 @@ class Automaton:
         self.next.append(dict(self.next[q]))
         self.length.append(self.length[p] + 1)
         self.link.append(self.link[q])
+        self.owner.append(self.owner[q])
         self.link[q] = clone
         while p != -1 and self.next[p].get(w) == q:
             self.next[p][w] = clone
             p = self.link[p]
         return clone
 
-    def spans(self, words: list[bytes], least: int = LENGTH) -> list[tuple[int, int]]:
-        """Maximal spans [begin, end) that are unions of matches of ``least`` words or more."""
+    def _least_owners(self, least: int) -> list:
+        """For each state of ``least`` words or more, the owner of its last ``least`` words."""
+        link, length, owners = self.link, self.length, list(self.owner)
+        for s in sorted(range(1, len(length)), key=length.__getitem__):
+            if length[link[s]] >= least:
+                owners[s] = owners[link[s]]
+        return owners
+
+    def spans(self, words: list[bytes], least: int = LENGTH, own: object = None) -> list[tuple[int, int]]:
+        """Maximal spans [begin, end) that are unions of matches of ``least`` words that ``own`` doesn't own.
+
+        Each sequence of ``least`` words in the automaton must have one owner.
+        """
+        if self._owners is None:
+            self._owners = self._least_owners(least)
         state, matched, out = 0, 0, []
-        nxt, link, length = self.next, self.link, self.length
+        nxt, link, length, owners = self.next, self.link, self.length, self._owners
         for at, w in enumerate(words):
             while state and w not in nxt[state]:
                 state = link[state]
@@ -131,7 +153,7 @@ class Automaton:
                 state, matched = nxt[state][w], matched + 1
             else:
                 matched = 0
-            if matched >= least:
+            if matched >= least and (own is None or owners[state] != own):
                 if out and at - least + 1 <= out[-1][1]:
                     out[-1] = (out[-1][0], at + 1)
                 else:
@@ -164,7 +186,7 @@ def _stretches(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Stretches of neighbouring windows with one shared anchor: a hash of all their words, place and number."""
     for pdf in batches:
         out = []
-        for key, text, shared in zip(pdf["key"], pdf["text"], pdf["shared"], strict=True):
+        for key, tk, text, shared in zip(pdf["key"], pdf["tk"], pdf["text"], pdf["shared"], strict=True):
             hashed = _word_hashes(text.split())
             minima = window_minima(hashed)
             first = np.flatnonzero(np.append(True, minima[1:] != minima[:-1]))
@@ -174,31 +196,29 @@ def _stretches(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             up, down = _power_tables(_BASES[1], len(hashed))
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashed * up[: len(hashed)], dtype=np.uint64)])
             content = (sums[first + count + LENGTH - 1] - sums[first]) * down[first]
-            out.append((minima[first], content, np.full(len(first), key), first, count))
-        anchor, content, key, first, count = (np.concatenate(x) for x in zip(*out, strict=True))
-        yield pd.DataFrame({"anchor": anchor.view(np.int64), "content": content.view(np.int64), "key": key, "at": first, "n": count})
+            out.append((minima[first], content, np.full(len(first), key), np.full(len(first), tk), first, count))
+        anchor, content, key, tk, first, count = (np.concatenate(x) for x in zip(*out, strict=True))
+        yield pd.DataFrame({"anchor": anchor.view(np.int64), "content": content.view(np.int64), "key": key, "tk": tk, "at": first, "n": count})
 
 
 def _windows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Window hashes of the stretches that a document stands for."""
+    names = [x.split()[0] for x in _WINDOW_SCHEMA.split(", ")]
+    frame = lambda out: pd.DataFrame(dict(zip(names, (np.concatenate(x) for x in zip(*out, strict=True)), strict=True)))
     for pdf in batches:
         out, size = [], 0
-        for key, text, stretches in zip(pdf["key"], pdf["text"], pdf["stretches"], strict=True):
+        for key, tk, text, stretches in zip(pdf["key"], pdf["tk"], pdf["text"], pdf["stretches"], strict=True):
             hashed = _word_hashes(text.split())
             h1, h2 = _rolling(hashed, LENGTH, _BASES[0]).view(np.int64), _rolling(hashed, LENGTH, _BASES[1]).view(np.int64)
             at = np.concatenate([np.arange(s["at"], s["at"] + s["n"]) for s in stretches])
-            content = np.concatenate([np.full(s["n"], s["content"]) for s in stretches])
-            n = np.concatenate([np.full(s["n"], s["n"]) for s in stretches])
-            i = np.concatenate([np.arange(s["n"]) for s in stretches])
-            inside = at < len(h1)  # texts that share an id may differ in length
-            at, content, n, i = at[inside], content[inside], n[inside], i[inside]
-            out.append((h1[at], (h2[at] >> 32).astype(np.int32), np.full(len(at), key), at, content, n, i))
+            anchor, high = (np.repeat([s[c] for s in stretches], [s["n"] for s in stretches]) for c in ("anchor", "high"))
+            out.append((h1[at], (h2[at] >> 32).astype(np.int32), anchor, np.full(len(at), key), np.full(len(at), tk), at, high))
             size += len(at)
             if size > BATCH_ROWS:
-                yield pd.DataFrame(dict(zip(_WINDOW_NAMES, (np.concatenate(x) for x in zip(*out, strict=True)), strict=True)))
+                yield frame(out)
                 out, size = [], 0
         if out:
-            yield pd.DataFrame(dict(zip(_WINDOW_NAMES, (np.concatenate(x) for x in zip(*out, strict=True)), strict=True)))
+            yield frame(out)
 
 
 def _union(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -213,32 +233,34 @@ def _union(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _cut(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Words of a document's candidate runs, one row a run, and of its owned runs, one row in all."""
-    names = ["owner", "key", "tk", "at", "words"]
+    """The words of a document's reference windows, in pieces by shard, and of the stretches that each shard is to tell about."""
+    names = [x.split()[0] for x in _PIECE_SCHEMA.split(", ")]
     for pdf in batches:
         rows = []
-        for key, tk, text, owned, later in zip(pdf["key"], pdf["tk"], pdf["text"], pdf["owned"], pdf["later"], strict=True):
+        for key, tk, text, *lists in zip(pdf["key"], pdf["tk"], pdf["text"], pdf["owned"], pdf["later"], strict=True):
             words = text.split()
-            span = lambda a, b: b" ".join(words[a : b + LENGTH - 1])
-            if owned is not None:
-                rows.append((key, None, tk, 0, b"\n".join(span(a, b) for a, b in _union((p["at"], p["at"] + p["n"]) for p in owned))))
-            by_owner: dict[tuple[int, int], list] = {}
-            for p in later if later is not None else []:
-                by_owner.setdefault((p["owner"], p["at"] - p["owner_at"]), []).append((p["at"], p["at"] + p["n"]))
-            for (owner, _), spans in by_owner.items():
-                rows += [(owner, key, tk, a, span(a, b)) for a, b in _union(spans)]
+            for spans, is_doc in zip(lists, (False, True), strict=True):
+                by_shard: dict[tuple[int, int], list] = {}
+                for p in spans if spans is not None else []:
+                    piece = 0 if is_doc else p["at"] // PIECE
+                    by_shard.setdefault((p["shard"], piece), []).append((p["at"], p["at"] + p["n"]))
+                for (shard, _), own in by_shard.items():
+                    rows += [(shard, key, tk, a, b" ".join(words[a : b + LENGTH - 1]), is_doc) for a, b in _union(own)]
         yield pd.DataFrame(rows, columns=names, dtype=object)
 
 
 def _match(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    of, automaton = None, None
+    """Spans of the documents' stretches that the shards' references have; a shard's references come before the stretches."""
+    of, automaton = None, Automaton()
     for pdf in batches:
         rows = []
-        for reference, key, tk, at, words in zip(pdf["reference"], pdf["key"], pdf["tk"], pdf["at"], pdf["words"], strict=True):
-            if reference != of:
-                texts = (part.split() + [None] for part in b"\n".join(reference).split(b"\n"))
-                of, automaton = reference, Automaton(w for part in texts for w in part)
-            rows += [(key, tk, at + a, at + b) for a, b in automaton.spans(words.split())]
+        for shard, copy, key, tk, at, words, is_doc in zip(*(pdf[c] for c in ("shard", "copy", "key", "tk", "at", "words", "is_doc")), strict=True):
+            if (shard, copy) != of:
+                of, automaton = (shard, copy), Automaton()
+            if is_doc:
+                rows += [(key, tk, at + a, at + b) for a, b in automaton.spans(words.split(), own=key)]
+            else:
+                automaton.add(words.split(), key)
         yield pd.DataFrame(rows, columns=["key", "tk", "begin", "end"])
 
 
@@ -265,9 +287,52 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> list:
     return [doc_id.alias("doc_id"), key.alias("key"), F.xxhash64(text).alias("tk"), text.cast("binary").alias("text")]
 
 
-def _segment(i: Column, count: Column, owner: Column, at: Column) -> Column:
-    """Windows i to i + count - 1 of a stretch, which start in ``owner`` from word ``at``."""
-    return F.struct(i.cast("int").alias("i"), count.cast("int").alias("count"), owner.alias("owner"), at.cast("int").alias("owner_at"))
+def references(candidates: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """Stretches (anchor, content, key, tk, at, n) of the candidates, the reference windows (shard, anchor, key, tk, at, n), and
+    the number of shards.
+
+    A reference row is a run of n windows of a document from word ``at`` that a later document has, too, and no earlier one.
+    """
+    schema = "anchor long, content long, key long, tk long, at int, n int"
+    stretches = materialize(candidates.select("key", "tk", "text", "shared").mapInPandas(_stretches, schema))
+    # Equal stretches are one row from here on; the first document stands for it.
+    contents = stretches.groupBy("anchor", "content", "n").agg(F.min(F.struct("key", "tk", "at")).alias("own"), F.max("key").alias("high"))
+    contents = materialize(contents.select("anchor", "n", "own.*", "high"))
+    kinds = contents.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("key").alias("low"), F.max("high").alias("top"))
+    contents = contents.join(materialize(kinds.filter("low < top").select("anchor", "kinds")), "anchor")
+    alone = contents.filter("kinds = 1").select("anchor", "key", "tk", "at", "n")
+    # Stretches that differ around one anchor may still share windows: those are compared one by one.
+    asked = contents.filter("kinds > 1").groupBy("key", "tk").agg(F.collect_list(F.struct("at", "n", "high", "anchor")).alias("stretches"))
+    windows = candidates.select("key", "tk", "text").join(asked, ["key", "tk"]).mapInPandas(_windows, _WINDOW_SCHEMA)
+    first = windows.groupBy("h1", "h2").agg(F.min(F.struct("key", "tk", "at", "anchor")).alias("own"), F.max("high").alias("high"))
+    first = first.filter("own.key < high").select("own.anchor", "own.key", "own.tk", "own.at", F.lit(1).alias("n"))
+    runs = materialize(alone.union(first))
+    n_shards = max(1, math.ceil((runs.agg(F.sum("n")).first()[0] or 0) / SHARD_WORDS))
+    piece = F.explode(F.sequence(F.floor(F.col("at") / PIECE), F.floor((F.col("at") + F.col("n") - 1) / PIECE)))
+    runs = runs.withColumn("piece", piece)
+    begin = F.greatest(F.col("at"), F.col("piece") * PIECE)
+    end = F.least(F.col("at") + F.col("n"), (F.col("piece") + 1) * PIECE)
+    shard = F.pmod(F.xxhash64("key", "tk", "piece"), F.lit(n_shards)).alias("shard")
+    return stretches, runs.select(shard, "anchor", "key", "tk", begin.cast("int").alias("at"), (end - begin).cast("int").alias("n")), n_shards
+
+
+def _found(candidates: DataFrame, stretches: DataFrame, runs: DataFrame, n_shards: int) -> DataFrame:
+    """(key, tk, spans) of the documents' words that a shard's automaton finds in another document's reference text."""
+    listed = lambda df, name: df.groupBy("key", "tk").agg(F.collect_list(F.struct("shard", "at", "n")).alias(name))
+    asks = materialize(runs.groupBy("anchor", "shard").agg(F.min("key").alias("low")))
+    # A hot anchor is a plain row on both sides, which Spark splits.
+    later = stretches.join(asks, "anchor").filter("low < key").select("key", "tk", "shard", "at", "n")
+    parts = listed(runs, "owned").join(listed(later, "later"), ["key", "tk"], "full")
+    cut = materialize(candidates.select("key", "tk", "text").join(parts, ["key", "tk"]).mapInPandas(_cut, _PIECE_SCHEMA))
+    size = F.sum(F.when(F.col("is_doc"), F.octet_length("words")))
+    hot = cut.groupBy("shard").agg(F.ceil(size / (8 * COPY_WORDS)).alias("copies")).filter("copies > 1")
+    cut = cut.join(materialize(hot), "shard", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
+    every = F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)
+    one = F.array(F.pmod(F.xxhash64("key", "tk", "at"), F.col("copies")))
+    rows = cut.withColumn("copy", F.explode(F.when(F.col("is_doc"), one).otherwise(every)))
+    rows = rows.repartition("shard", "copy").sortWithinPartitions("shard", "copy", "is_doc")
+    spans = rows.select("shard", "copy", "key", "tk", "at", "words", "is_doc").mapInPandas(_match, "key long, tk long, begin long, end long")
+    return spans.groupBy("key", "tk").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -286,44 +351,15 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     copies = narrow.join(firsts, ["t1", "t2"]).filter("first < key").select("key", "tk").distinct()
     copies = materialize(copies)
     # Anchors of first texts that other documents have, too.
-    anchors = scanned.select("key", "tk", "anchors").join(copies, ["key", "tk"], "left_anti").select("key", F.explode("anchors").alias("anchor"))
+    anchors = scanned.select("key", "tk", "anchors").join(copies, ["key", "tk"], "left_anti").select("key", "tk", F.explode("anchors").alias("anchor"))
     shared = anchors.groupBy("anchor").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low < high").select("anchor")
     # Written first: only then is a hot anchor a plain row of the join, which Spark splits.
-    shared = materialize(anchors.join(materialize(shared), "anchor").groupBy("key").agg(F.collect_set("anchor").alias("shared")))
+    shared = materialize(anchors.join(materialize(shared), "anchor").groupBy("key", "tk").agg(F.collect_set("anchor").alias("shared")))
     candidates = mark_members(docs.select("key", "tk", "text"), shared.select("key")).filter("maybe").drop("maybe")
-    candidates = materialize(candidates.join(shared, "key"))
-    schema = "anchor long, content long, key long, at int, n int"
-    stretches = materialize(candidates.select("key", "text", "shared").mapInPandas(_stretches, schema))
-    # Equal stretches are one row from here on; the first document stands for it.
-    same = ["content", "n"]
-    own = F.min(F.struct("key", "at")).alias("own")
-    contents = materialize(stretches.groupBy("anchor", *same).agg(own, F.max("key").alias("high")))
-    kinds = contents.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("own.key").alias("low"), F.max("high").alias("top"))
-    contents = contents.join(kinds.filter("low < top"), "anchor")
-    alone = contents.filter("kinds = 1").select(*same, F.array(_segment(F.lit(0), F.col("n"), F.col("own.key"), F.col("own.at"))).alias("owners"))
-    # Stretches that differ around one anchor may still share windows: those are compared one by one.
-    asked = contents.filter("kinds > 1").select(F.col("own.key").alias("key"), F.struct(F.col("own.at").alias("at"), *same).alias("s"))
-    asked = asked.groupBy("key").agg(F.collect_list("s").alias("stretches"))
-    schema = "h1 long, h2 int, key long, at int, content long, n int, i int"
-    windows = materialize(candidates.select("key", "text").join(asked, "key").mapInPandas(_windows, schema))
-    first = materialize(windows.groupBy("h1", "h2").agg(own))
-    owners = windows.join(first, ["h1", "h2"]).groupBy(*same).agg(F.collect_list(_segment(F.col("i"), F.lit(1), F.col("own.key"), F.col("own.at"))).alias("owners"))
-    owners = alone.union(owners)
-    found = stretches.select("key", "at", *same).join(owners, same).select("key", F.col("at").alias("base"), F.inline("owners"))
-    found = materialize(found.filter("owner < key").select("key", (F.col("base") + F.col("i")).alias("at"), "count", "owner", "owner_at"))
-    later = found.groupBy("key").agg(F.collect_list(F.struct("owner", "at", "owner_at", F.col("count").alias("n"))).alias("later"))
-    owned = found.select(F.col("owner").alias("key"), F.col("owner_at").alias("at"), F.col("count").alias("n")).distinct()
-    owned = owned.groupBy("key").agg(F.collect_list(F.struct("at", "n")).alias("owned"))
-    parts = owned.join(later, "key", "full")
-    texts = candidates.select("key", "tk", "text")
-    cut = materialize(texts.join(parts, "key").mapInPandas(_cut, "owner long, key long, tk long, at long, words binary"))
-    references = materialize(cut.filter("key is null").groupBy("owner").agg(F.array_sort(F.collect_set("words")).alias("reference")))
-    # A hot reference text is a hot key of this join, which Spark splits.
-    spans = cut.filter("key is not null").join(references, "owner")
-    spans = spans.select("reference", "key", "tk", "at", "words").mapInPandas(_match, "key long, tk long, begin long, end long")
-    spans = spans.groupBy("key", "tk").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    candidates = materialize(candidates.join(shared, ["key", "tk"]).dropDuplicates(["key", "tk"]))
+    spans = _found(candidates, *references(candidates))
     schema = "key long, tk long, n_removed long, kept_sha256 string, removed array<struct<begin:long,end:long>>"
-    changed = texts.distinct().join(spans, ["key", "tk"]).mapInPandas(_remaining, schema)
+    changed = candidates.select("key", "tk", "text").join(spans, ["key", "tk"]).mapInPandas(_remaining, schema)
     whole = F.array(F.struct(F.lit(0).cast("long").alias("begin"), F.col("n_words").alias("end")))
     none = F.array().cast("array<struct<begin:long,end:long>>")
     out = scanned.select("doc_id", "key", "tk", "n_words", "whole_sha256").join(changed, ["key", "tk"], "left")
@@ -380,3 +416,26 @@ def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with the words that the contract removes."""
     found = repeated_spans(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256", F.size("removed").cast("long").alias("n_spans"))
+
+
+OP5_SQL = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), g AS (
+  SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS g FROM d, unnest(range(1, len(w) - 48)) AS t(i)
+), f AS (
+  SELECT g, min(doc_id) AS first_id FROM g GROUP BY g
+), gone AS (
+  SELECT DISTINCT doc_id, i + k AS pos FROM g JOIN f USING (g), unnest(range(50)) AS u(k) WHERE first_id < doc_id
+), spans AS (
+  SELECT doc_id, count(*) AS n_removed, count(*) FILTER (before IS NULL OR before < pos - 1) AS n_spans
+  FROM (SELECT doc_id, pos, lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM gone) GROUP BY doc_id
+), words AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM d
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS text FROM words ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256,
+  coalesce(n_spans, 0)::BIGINT AS n_spans
+FROM d LEFT JOIN spans USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""

@@ -250,9 +250,22 @@ def test_substring_keeps_other_texts(docs, empty):
 
 
 def test_automaton_spans():
-    a = substring.Automaton(b"a b c d e f".split() + [None] + b"c d x y".split())
+    a = substring.Automaton()
+    a.add(b"a b c d e f".split(), 1)
+    a.add(b"c d x y".split(), 2)
     assert a.spans(b"q b c d e z c d x".split(), 3) == [(1, 5), (6, 9)]
     assert a.spans(b"f c d".split(), 3) == []
+    assert a.spans(b"q b c d e z c d x".split(), 3, own=1) == [(6, 9)] and a.spans(b"a b c d x".split(), 3, own=2) == [(0, 4)]
+
+
+@pytest.mark.parametrize("piece, shard, copy", [(4096, 40_000, 1_000_000), (16, 60, 30), (7, 1, 1)])
+def test_substring_shards_of_any_size(spark, monkeypatch, piece, shard, copy):
+    monkeypatch.setattr(substring, "PIECE", piece)
+    monkeypatch.setattr(substring, "SHARD_WORDS", shard)
+    monkeypatch.setattr(substring, "COPY_WORDS", copy)
+    rows = [(d[0], d[1]) for d in documents(6, 30)] + [(7, "x " * 130), (9, "y " + "x " * 90), (9, documents(6, 30)[20][1]), (9, "z " + (documents(6, 30)[20][1] or ""))]
+    got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter(brute_repeats(rows))
 
 
 # Decontamination
