@@ -36,18 +36,19 @@ SIMILAR = (4, 5)
 #: Content keys of a document: BANDS series of least hashes, of which DEPTHS name the node at each level. Two sets of similarity
 #: 0.8 share a first-level node with probability 1 - (1 - 0.8 ** 2) ** 8 = 0.9997.
 BANDS, DEPTHS = 8, (2, 4, 8)
+#: Members up to which a node is compared by one task.
+MEMBERS = 512
 #: Differing bits of two fingerprints up to which a pair is proposed: at a similarity of 0.8 they differ in 64 acos(2 s / (1 + s)) / pi
-#: = 9.7 bits on average with a standard deviation of 2.9. Of 16 least hashes, 12.8 agree on average (deviation 1.6).
-WIDE_RADIUS, LEAST_AGREED = 20, 7
-#: Rounds in which each document has two proposals, before all that are left are compared.
-ROUNDS = 2
+#: = 9.7 bits on average with a standard deviation of 2.9. Of 64 least hashes, 51.2 agree on average (deviation 3.2); at a similarity of
+#: 0.6, 42 or more do in one pair of five, at 0.5 in one of a hundred.
+WIDE_RADIUS, LEAST_AGREED = 20, 42
 #: Blocks of documents outside the largest group of a hot node up to which all are compared there, and not in deeper nodes only.
 MOST_BLOCKS = 8
 #: Hot nodes up to which their list is broadcast.
 BROADCAST_NODES = 100_000
 _LAST = (1 << 63) - 1
 _LEAF, _FANOUT, _SMALL, _PIECE = 16, 8, 32, 1 << 15
-_PAIRS = 1 << 20
+_PAIRS = 1 << 18
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
@@ -276,15 +277,14 @@ def content_keys(least: np.ndarray) -> list[list[int]]:
     return [[xxhash.xxh3_64_intdigest(own[:d].tobytes(), seed=k) - (1 << 63) for d in DEPTHS] for k, own in enumerate(bands)]
 
 
-def _sketch(text: bytes | None) -> tuple[int, int, int, int, list[list[int]]]:
-    """(grams, fp, s0, s1, nodes): name of the set of shingles, its fingerprint, a byte of 16 least hashes each, its nodes."""
+def _sketch(text: bytes | None) -> tuple[int, int, bytes, list[list[int]]]:
+    """(grams, fp, sign, nodes): name of the set of shingles, its fingerprint, a byte of each least hash, its nodes."""
     hashes = shingles(text)
     if not len(hashes):
-        return _same(hashes), 0, 0, 0, []
+        return _same(hashes), 0, b"", []
     least = least_hashes(hashes)
-    lead = least.reshape(BANDS, -1)[:, :2].ravel()
-    s0, s1 = (lead >> np.uint64(24)).astype(np.uint8).view(np.int64)
-    return _same(hashes), int(np.uint64(_majority(hashes)).view(np.int64)), int(s0), int(s1), content_keys(least)
+    sign = (least >> np.uint64(24)).astype(np.uint8).tobytes()
+    return _same(hashes), int(np.uint64(_majority(hashes)).view(np.int64)), sign, content_keys(least)
 
 
 def _ranked(fps: np.ndarray) -> np.ndarray:
@@ -295,7 +295,7 @@ def _ranked(fps: np.ndarray) -> np.ndarray:
     return np.argsort(rank, kind="stable")
 
 
-def node_pairs(first: np.ndarray, fps: np.ndarray, fits) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def node_pairs(first: np.ndarray, fps: np.ndarray, fits) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Pairs of places in the nodes that begin at the places ``first`` within WIDE_RADIUS bits, of which ``fits`` keeps some.
 
     Pairs of small nodes are compared all at once; a larger node's by the Gray-order index over its fingerprints.
@@ -312,47 +312,8 @@ def node_pairs(first: np.ndarray, fps: np.ndarray, fits) -> Iterator[tuple[np.nd
             yield fits(order[i], order[j])
 
 
-_PROPOSAL = "u long, u_grams long, v long, v_grams long, far long"
-
-
-def _proposals(every: bool):
-    """Proposals inside the nodes of a partition that is sorted by node and part: all, or of each document its nearest
-    partner and the one of the smallest key.
-
-    A pair's roots differ, and so do its sides unless these are negative; LEAST_AGREED of its 16 least hashes or more agree.
-    """
-
-    def of_nodes(pdf: pd.DataFrame) -> pd.DataFrame:
-        key, grams, root, side = (pdf[c].to_numpy() for c in ("key", "grams", "root", "side"))
-        fps = pdf["fp"].to_numpy().view(np.uint64)
-        signs = np.ascontiguousarray(pdf[["s0", "s1"]].to_numpy(np.int64)).view(np.uint8)
-        n = len(pdf)
-        by_key = np.argsort(key, kind="stable")
-        rank = np.empty(n, np.int64)
-        rank[by_key] = np.arange(n)
-        best, least, found = np.full(n, _LAST), np.full(n, n), [(np.empty(0, np.int64),) * 3]
-
-        def fits(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            fit = (root[a] != root[b]) & ((side[a] != side[b]) | (side[a] < 0))
-            a, b = a[fit], b[fit]
-            fit = (signs[a] == signs[b]).sum(axis=1) >= LEAST_AGREED
-            return a[fit], b[fit]
-
-        first = np.flatnonzero(np.append(True, (np.diff(pdf["node"]) != 0) | (np.diff(pdf["part"]) != 0)))
-        for a, b in node_pairs(first, fps, fits):
-            bits = np.bitwise_count(fps[a] ^ fps[b]).astype(np.int64)
-            if every:
-                found.append((a, b, bits))
-                continue
-            for x, y in ((a, b), (b, a)):
-                np.minimum.at(best, x, (bits << 32) | y)
-                np.minimum.at(least, x, rank[y])
-        if not every:
-            met = np.flatnonzero(least < n)
-            low = by_key[least[met]]
-            found = [(met, best[met] & 0xFFFFFFFF, best[met] >> 32), (met, low, np.bitwise_count(fps[met] ^ fps[low]).astype(np.int64))]
-        u, v, far = (np.concatenate(x) for x in zip(*found, strict=True))
-        return pd.DataFrame({"u": key[u], "u_grams": grams[u], "v": key[v], "v_grams": grams[v], "far": far})
+def _by_node(rows: DataFrame, of_nodes, schema: str) -> DataFrame:
+    """``of_nodes`` over whole nodes, several at a time; rows have ``node`` and ``part``."""
 
     def each(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
@@ -366,52 +327,108 @@ def _proposals(every: bool):
         if held is not None and len(held):
             yield of_nodes(held)
 
-    return each
+    return rows.repartition("node", "part").sortWithinPartitions("node", "part").mapInPandas(each, schema)
+
+
+def _pairs(pdf: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(a, b, apart): pairs of rows in one node and part that may be similar, and how many of their least hashes differ.
+
+    A pair's roots differ, and so do its sides unless these are negative; LEAST_AGREED of its least hashes or more agree.
+    """
+    root, side = pdf["root"].to_numpy(), pdf["side"].to_numpy()
+    signs = np.frombuffer(b"".join(pdf["sign"]), np.uint8).reshape(len(pdf), -1)
+
+    def fits(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        fit = (root[a] != root[b]) & ((side[a] != side[b]) | (side[a] < 0))
+        a, b = a[fit], b[fit]
+        agreed = (signs[a] == signs[b]).sum(axis=1, dtype=np.int64)
+        fit = agreed >= LEAST_AGREED
+        return a[fit], b[fit], signs.shape[1] - agreed[fit]
+
+    first = np.flatnonzero(np.append(True, (np.diff(pdf["node"]) != 0) | (np.diff(pdf["part"]) != 0)))
+    return node_pairs(first, pdf["fp"].to_numpy().view(np.uint64), fits)
+
+
+def _met(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The rows that have a candidate in their node and part."""
+    met = np.zeros(len(pdf), bool)
+    for a, b, _ in _pairs(pdf):
+        met[a] = met[b] = True
+    return pdf[met][["key", "grams", "fp", "sign", "node", "part", "side", "root"]]
+
+
+def is_similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted sets have a Jaccard similarity of SIMILAR or more."""
+    a, b = (a, b) if len(a) <= len(b) else (b, a)
+    if len(a) * SIMILAR[1] < len(b) * SIMILAR[0]:
+        return False
+    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return both * SIMILAR[1] >= (len(a) + len(b) - both) * SIMILAR[0]
+
+
+def _linked(pdf: pd.DataFrame) -> pd.DataFrame:
+    """(u, v) links that join what the candidate pairs of exact similarity do; of these, pairs that are joined already are skipped."""
+    _, group = np.unique(pdf["root"].to_numpy(), return_inverse=True)
+    parent = list(range(int(group.max(initial=-1)) + 1))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    sets = [np.asarray(x).view(np.uint64) for x in pdf["shingles"]]
+    links, key = [], pdf["key"].to_numpy()
+    for a, b, apart in _pairs(pdf):
+        order = np.argsort(apart, kind="stable")  # the likeliest first
+        for i, j in zip(a[order].tolist(), b[order].tolist(), strict=True):
+            x, y = find(group[i]), find(group[j])
+            if x != y and is_similar(sets[i], sets[j]):
+                parent[max(x, y)] = min(x, y)
+                links.append((i, j))
+    u, v = (key[[x[k] for x in links]] for k in (0, 1)) if links else (key[:0], key[:0])
+    return pd.DataFrame({"u": u, "v": v})
 
 
 def _placed(distinct: DataFrame) -> DataFrame:
-    """(key, grams, fp, s0, s1, node, n, deeper): each document in its nodes that others share.
+    """(key, grams, fp, sign, node, n, deeper): each document in its nodes that others share.
 
-    Members of a node of over NODE_LIMIT members are in their nodes of the next level, too, which ``deeper`` says.
+    Members of a node of over MEMBERS members are in their nodes of the next level, too, which ``deeper`` says.
     """
-    columns = ["key", "grams", "fp", "s0", "s1"]
+    columns = ["key", "grams", "fp", "sign"]
     left, placed = distinct.select(*columns, F.explode("nodes").alias("levels")), None
     for level in range(len(DEPTHS)):
         at = left.withColumn("node", F.col("levels")[level])
         counts = materialize(at.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1"))
         # Written before their join, so that Spark splits a hot node.
         met = materialize(mark_members(at, counts, "node").filter("maybe").drop("maybe").join(counts, "node"))
-        deeper = (F.col("n") > NODE_LIMIT) & F.lit(level + 1 < len(DEPTHS))
+        deeper = (F.col("n") > MEMBERS) & F.lit(level + 1 < len(DEPTHS))
         fit = met.select(*columns, "node", "n", deeper.alias("deeper"))
         placed = fit if placed is None else placed.union(fit)
-        left = met.filter(F.col("n") > NODE_LIMIT).select(*columns, "levels")
-        if counts.filter(F.col("n") > NODE_LIMIT).isEmpty():
+        left = met.filter(F.col("n") > MEMBERS).select(*columns, "levels")
+        if counts.filter(F.col("n") > MEMBERS).isEmpty():
             break
     return materialize(placed)
 
 
-def _parted(members: DataFrame, salt: int) -> DataFrame:
-    """Members with ``part`` and ``side``: hot nodes in random parts of about NODE_LIMIT members, other ones for each salt."""
-    parts = F.ceil(F.col("n") / NODE_LIMIT)
-    return members.withColumns({"part": F.pmod(F.xxhash64("key", F.lit(salt)), parts), "side": F.lit(-1)})
+def _parted(members: DataFrame) -> DataFrame:
+    """Members with ``part``, ``side`` and ``root``: hot nodes in random parts of about MEMBERS members."""
+    part = F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / MEMBERS))
+    return members.withColumns({"part": part, "side": F.lit(-1), "root": F.col("key")})
 
 
-def _blocked(members: DataFrame) -> DataFrame:
-    """Members with ``part`` and ``side`` such that in each node all pairs of different roots meet in some part.
+def _blocked(hot: DataFrame) -> DataFrame:
+    """Rooted members of hot nodes with ``part`` and ``side`` such that in each node all pairs of different roots meet in some part.
 
-    In a hot node the members of its largest group are dealt to parts, and every part also gets a block of the others, once
+    The members of a node's largest group are dealt to parts, and every part also gets a block of the others, once
     for each block; the blocks of the others meet in pairs. The largest group's own members need not meet. A hot node of
     many groups (one passage that different texts share) with more than MOST_BLOCKS blocks is left to its deeper nodes.
     """
-    is_hot = F.col("n") > NODE_LIMIT
-    cool = members.filter(~is_hot).withColumns({"part": F.lit(0).cast("long"), "side": F.lit(-1)})
-    groups = materialize(members.filter(is_hot).groupBy("node", "deeper", "root").agg(F.count("*").alias("m")))
-    if groups.isEmpty():
-        return cool
+    groups = materialize(hot.groupBy("node", "deeper", "root").agg(F.count("*").alias("m")))
     nodes = groups.groupBy("node", "deeper").agg(F.max_by("root", "m").alias("giant"), F.max("m").alias("m"), F.sum("m").alias("all"))
-    nodes = nodes.withColumns({"p": F.ceil(F.col("m") / NODE_LIMIT), "q": F.ceil((F.col("all") - F.col("m")) / NODE_LIMIT)})
+    nodes = nodes.withColumns({"p": F.ceil(F.col("m") / MEMBERS), "q": F.ceil((F.col("all") - F.col("m")) / MEMBERS)})
     nodes = materialize(nodes.filter((F.col("q") > 0) & ~(F.col("deeper") & (F.col("q") > MOST_BLOCKS))).select("node", "giant", "p", "q"))
-    hot = members.filter(is_hot).join(F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes, "node")
+    columns = hot.columns
+    hot = hot.join(F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes, "node")
     p, q, one = F.col("p"), F.col("q"), F.lit(1).cast("long")
     each = lambda n: F.sequence(F.lit(0).cast("long"), n - one)
     own, block = F.pmod(F.xxhash64("key"), p), F.pmod(F.xxhash64("key"), q)
@@ -422,31 +439,15 @@ def _blocked(members: DataFrame) -> DataFrame:
         F.transform(each(q), lambda b: place(q * p + F.least(block, b) * q + F.greatest(block, b), -1)),
     )
     at = F.when(F.col("root") == F.col("giant"), giant).otherwise(other)
-    hot = hot.withColumn("at", F.explode(at)).select(*members.columns, "at.part", "at.side")
-    return cool.union(hot)
-
-
-def _proposed(dealt: DataFrame, every: bool) -> DataFrame:
-    """(u, u_grams, v, v_grams) candidates: all, or of each document its nearest one and the one of the smallest key."""
-    rows = dealt.repartition("node", "part").sortWithinPartitions("node", "part")
-    rows = rows.select("key", "grams", "fp", "s0", "s1", "root", "node", "part", "side")
-    found = rows.mapInPandas(_proposals(every), _PROPOSAL)
-    if not every:
-        two = F.array(F.min(F.struct("far", "v", "v_grams")), F.min_by(F.struct("far", "v", "v_grams"), F.struct("v", "v_grams")))
-        found = found.groupBy("u", "u_grams").agg(two.alias("two")).select("u", "u_grams", F.explode("two").alias("x"))
-        found = found.select("u", "u_grams", F.col("x.v").alias("v"), F.col("x.v_grams").alias("v_grams"))
-    return materialize(found.select("u", "u_grams", "v", "v_grams").distinct())
+    return hot.withColumn("at", F.explode(at)).select(*columns, "at.part", "at.side")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(u, v) of the candidates whose sets of five-word shingles have a Jaccard similarity of SIMILAR or more."""
-    own = sets.select(F.col("grams").alias("u_grams"), F.col("shingles").alias("a"))
-    other = sets.select(F.col("grams").alias("v_grams"), F.col("shingles").alias("b"))
-    pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"), F.greatest("u_grams", "v_grams").alias("u_grams"), F.least("u_grams", "v_grams").alias("v_grams"))
-    joined = materialize(pairs.distinct()).join(own, "u_grams").join(other, "v_grams")
-    both = F.size(F.array_intersect("a", "b"))
-    joined = joined.withColumn("both", both).filter(F.col("both") * SIMILAR[1] >= (F.size("a") + F.size("b") - F.col("both")) * SIMILAR[0])
-    return materialize(joined.select("u", "v").distinct())
+def _links(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, v) links inside the nodes and parts: pairs with candidates are told first, so that few sets are sent."""
+    columns = ["key", "grams", "fp", "sign", "node", "part", "side", "root"]
+    schema = "key long, grams long, fp long, sign binary, node long, part long, side int, root long"
+    met = materialize(_by_node(rows.select(*columns), _met, schema))
+    return materialize(_by_node(met.join(sets, "grams"), _linked, "u long, v long"))
 
 
 def _rooted(rows: DataFrame, links: DataFrame) -> DataFrame:
@@ -460,16 +461,17 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Documents are linked where the Jaccard similarity of their sets of five-word shingles is SIMILAR or more; links are closed
     transitively. Candidates share a node of content keys and are found there by the Gray-order index over their five-word
-    fingerprints, so a document is in BANDS nodes whatever the size of the table. First each document's nearest candidate and
-    that of the smallest id are compared, then, with the groups so found, all candidates in different groups. Repeated rows
-    are one document; empty texts are copies of each other; no documents give no rows.
+    fingerprints, so a document is in BANDS nodes whatever the size of the table. A node's task compares the sets themselves,
+    and gives a link only where it joins two groups. Hot nodes are compared in random parts first, and then across parts,
+    where only members of different groups meet. Repeated rows are one document; empty texts are copies of each other; no
+    documents give no rows.
     """
-    schema = "key long, grams long, fp long, s0 long, s1 long, nodes array<array<long>>"
+    schema = "key long, grams long, fp long, sign binary, nodes array<array<long>>"
 
     def each(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [(key, *_sketch(text)) for key, text in zip(pdf["key"], pdf["text"], strict=True)]
-            yield pd.DataFrame(rows, columns=["key", "grams", "fp", "s0", "s1", "nodes"])
+            yield pd.DataFrame(rows, columns=["key", "grams", "fp", "sign", "nodes"])
 
     def listed(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -478,22 +480,17 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     rows = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(_LAST)).alias("key"), docs[text_col].cast("binary").alias("text"))
     prints = materialize(rows.mapInPandas(each, schema))
-    distinct = prints.groupBy("grams").agg(F.min(F.struct("key", "fp", "s0", "s1", "nodes")).alias("x")).select("grams", "x.*")
-    members = _placed(materialize(distinct))
-    pairs = _proposed(_parted(members.withColumn("root", F.col("key")), 0), False)
-    # Only documents with a candidate, or in a node that is split, can get others.
-    active = pairs.select(F.col("u").alias("key")).union(members.filter(F.col("n") > NODE_LIMIT).select("key")).distinct()
-    active = materialize(active)
-    members = materialize(members.join(active, "key", "left_semi"))
-    wanted = members.select("grams").distinct()
-    maybe = mark_members(rows, active).filter("maybe").select("text").mapInPandas(listed, "grams long, shingles array<long>")
-    sets = materialize(maybe.join(wanted, "grams", "left_semi").dropDuplicates(["grams"]))
-    links = _verified(pairs, sets)
-    for k in range(1, ROUNDS + 1):
-        rooted = materialize(_rooted(members, links))
-        every = k == ROUNDS
-        pairs = _proposed(_blocked(rooted) if every else _parted(rooted, k), every)
-        links = links.union(_verified(pairs, sets))
+    distinct = prints.groupBy("grams").agg(F.min_by(F.struct("key", "fp", "sign", "nodes"), "key").alias("x")).select("grams", "x.*")
+    distinct = materialize(distinct)
+    members = _placed(distinct)
+    # Only documents that share a node can be similar; their sets are listed once.
+    active = materialize(members.select("key", "grams").distinct())
+    maybe = mark_members(rows, active.select("key")).filter("maybe").select("text").mapInPandas(listed, "grams long, shingles array<long>")
+    sets = materialize(maybe.join(active.select("grams"), "grams", "left_semi").dropDuplicates(["grams"]))
+    links = _links(_parted(members), sets)
+    hot = members.filter(F.col("n") > MEMBERS)
+    if not hot.isEmpty():
+        links = links.union(_links(_blocked(materialize(_rooted(hot, links))), sets))
     named = materialize(_rooted(distinct.select("key", "grams"), links).select("grams", F.col("root").alias("first")))
     return prints.select("key", "grams").join(named, "grams").select("key", "first")
 

@@ -423,7 +423,7 @@ def test_text_columns_are_whole(docs):
 def test_near_copies_are_links_of_exact_similarity(spark, monkeypatch):
     import random
 
-    monkeypatch.setattr(simhash, "NODE_LIMIT", 24)  # nodes are split, too
+    monkeypatch.setattr(simhash, "MEMBERS", 24)  # nodes are split, too
     r = random.Random(11)
     vocab = [f"w{i}" for i in range(5000)]
     texts = []
@@ -471,7 +471,7 @@ def family_of(n, edits, seed=21):
 def test_a_family_of_a_third_of_all_rows(spark, monkeypatch, limit):
     import random
 
-    monkeypatch.setattr(simhash, "NODE_LIMIT", limit)
+    monkeypatch.setattr(simhash, "MEMBERS", limit)
     r = random.Random(22)
     vocab = [f"w{i}" for i in range(4000)]
     passage = " ".join(r.choice(vocab) for _ in range(60))
