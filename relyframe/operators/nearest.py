@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from relyframe.sources.scratch import stored
+
 #: Prototypes up to which their matrix is broadcast; beyond, the reference side is split into blocks of rows.
 BLOCK_ROWS = 4_096
 
@@ -17,22 +19,28 @@ def taxonomic_distance(probe: DataFrame, reference: DataFrame, loso: bool, level
     """(category_id, distance) of (category_id, path) rows: fewest tree steps to any reference path.
 
     Each path is unnested into its prefixes; reference prefixes are counted, probes join by (depth, prefix), and
-    the deepest one with a count left gives the distance. With ``loso`` a probe in the reference is taken off the
-    counts of its own prefixes. Without a complete path, or with nothing left in the reference, it is null.
+    the deepest one with a count left gives the distance; the root is one number for all. With ``loso`` a probe in the
+    reference is taken off the counts of its own prefixes. Without a complete path, or with nothing left in the reference, it
+    is null.
     """
+
     def prefixes(rows: DataFrame) -> DataFrame:
-        depth = F.sequence(F.lit(0), F.lit(levels))
+        depth = F.sequence(F.lit(1), F.lit(levels))
         each = F.transform(depth, lambda d: F.struct(d.alias("depth"), F.array_join(F.slice("path", F.lit(1), d), "\x1f").alias("prefix")))
-        return rows.filter("path is not null").select("category_id", F.inline(each))
-
-    reference = reference.select("category_id", "path").distinct()
-    probe = probe.select("category_id", "path").distinct()
-    counts = prefixes(reference).groupBy("depth", "prefix").agg(F.count("*").alias("n"))
-    own = reference.filter("path is not null").select("category_id", F.lit(1).alias("own"))
-    asked = prefixes(probe).join(own, "category_id", "left").join(counts, ["depth", "prefix"])
-    left = F.col("n") - (F.coalesce("own", F.lit(0)) if loso else F.lit(0))
-    found = asked.filter(left > 0).groupBy("category_id").agg((F.lit(levels) - F.max("depth")).cast("double").alias("distance"))
-    return probe.select("category_id").join(found, "category_id", "left")
+        return rows.select("category_id", "own", F.inline(each))
+
+    reference = reference.filter("path is not null").select("category_id", "path").distinct()
+    own = F.coalesce("own", F.lit(0)) if loso else F.lit(0)
+    known = reference.select("category_id").distinct().withColumn("own", F.lit(1))
+    probe = probe.select("category_id", "path").distinct().join(known, "category_id", "left").withColumn("own", own)
+    whole = reference.agg(F.count("*").alias("whole"))
+    # Written first, so that Spark splits a prefix that many probes share.
+    counts = stored(prefixes(reference.withColumn("own", F.lit(0))).groupBy("depth", "prefix").agg(F.count("*").alias("n")))
+    asked = prefixes(probe.filter("path is not null")).join(counts, ["depth", "prefix"]).filter("n > own")
+    found = asked.groupBy("category_id").agg((F.lit(levels) - F.max("depth")).cast("double").alias("near"))
+    at_root = F.when(F.col("path").isNotNull() & (F.col("whole") > F.col("own")), F.lit(float(levels)))
+    joined = probe.join(found, "category_id", "left").crossJoin(F.broadcast(whole))  # one row
+    return joined.select("category_id", F.coalesce("near", at_root).alias("distance"))
 
 
 def temporal_gap(cells: DataFrame, years: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relyframe.functions.scalars import is_real, year_text
@@ -89,8 +89,21 @@ def structural_report(probes: DataFrame, paths: DataFrame) -> tuple[DataFrame, D
     return histogram, share.agg(F.round(F.avg("share"), 3).alias("shared_locations"))
 
 
-def save(partition: DataFrame, path: str) -> None:
-    partition.write.mode("overwrite").parquet(path)
+def save(partition: DataFrame, path: str, cells: DataFrame | None = None) -> None:
+    """Freeze a partition, and the manifest of its probe cells, as tables under a path."""
+    partition.write.mode("overwrite").parquet(f"{path}/members")
+    if cells is not None:
+        cells.write.mode("overwrite").parquet(f"{path}/manifest")
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """The members of a frozen partition."""
+    return spark.read.parquet(f"{path}/members")
+
+
+def load_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The manifest of a frozen partition."""
+    return spark.read.parquet(f"{path}/manifest")
 
 
 def variants_missing(wanted: DataFrame, found: DataFrame) -> DataFrame:

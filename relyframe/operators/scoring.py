@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from relyframe.functions.scalars import ratio, safe_corr
+from relyframe.sources.scratch import stored
 
 CELL = ["category_id", "species", "location_id", "time"]
 METRICS = ["pDetA", "pAssA", "pHOTA"]
@@ -24,6 +27,11 @@ def probe_support(probes: DataFrame, frames: DataFrame, keys: list[str]) -> Data
     return joined.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("n_frames", "n_masklets")})
 
 
+def with_metrics(probes: DataFrame, metrics: DataFrame, keys: list[str]) -> DataFrame:
+    """Probes with the evaluator's metrics of their keys; null where it has no row. ``metrics`` has a row a key."""
+    return probes.join(metrics.select(*keys, *METRICS), keys, "left")
+
+
 def score_cells(probes: DataFrame, cell: list[str] = CELL) -> DataFrame:
     """Cells: means of the metrics that exist, sums of support, and the number of probes, hard negatives included."""
     means = [F.avg(m).alias(m) for m in METRICS]
@@ -68,12 +76,36 @@ def confidence_cells(entries: DataFrame, threshold: float | Column, cell: list[s
     )
 
 
+def quantiles(rows: DataFrame, column: str, shares: list[float]) -> list[float] | None:
+    """Exact interpolated quantiles of a column's values, nulls left out; None without any value.
+
+    Equal values are counted first, then dealt to ranges; only the ranges that hold an asked rank are numbered. The driver
+    gets two numbers a share.
+    """
+    values = rows.select(F.col(column).cast("double").alias("v")).filter("v is not null").groupBy("v").agg(F.count("*").alias("n"))
+    ranged = stored(values.repartitionByRange("v").withColumn("range", F.spark_partition_id()))
+    sizes = {r.range: r.n for r in ranged.groupBy("range").agg(F.sum("n").alias("n")).orderBy("range").collect()}
+    total, starts, before = sum(sizes.values()), {}, 0
+    for k, n in sizes.items():
+        starts[k], before = before, before + n
+    if not total:
+        return None
+    asked = [s * (total - 1) for s in shares]
+    ranks = sorted({r for a in asked for r in (math.floor(a), math.ceil(a))})
+    held = sorted({k for r in ranks for k in sizes if starts[k] <= r < starts[k] + sizes[k]})
+    start = F.element_at(F.create_map(*(F.lit(x) for k in held for x in (k, starts[k]))), F.col("range"))
+    ends = ranged.filter(F.col("range").isin(held)).withColumn("end", F.sum("n").over(Window.partitionBy("range").orderBy("v")) + start)
+    wanted = F.filter(F.array(*map(F.lit, ranks)), lambda r: (r < F.col("end")) & (r >= F.col("end") - F.col("n")))
+    at = {r.rank: r.v for r in ends.select("v", F.explode(wanted).alias("rank")).collect()}
+    return [at[math.floor(a)] + (at[math.ceil(a)] - at[math.floor(a)]) * (a - math.floor(a)) for a in asked]
+
+
 def atc_threshold(reference_scores: DataFrame, anchor: float | None) -> DataFrame:
     """(threshold): the (1 - anchor) quantile of reference scores; 0.5 without scores or anchor."""
     if anchor is None:
         return reference_scores.agg(F.lit(0.5).alias("threshold"))
-    share = 1 - min(max(anchor, 0.0), 1.0)
-    return reference_scores.agg(F.coalesce(F.percentile("score", F.lit(share)), F.lit(0.5)).alias("threshold"))
+    found = quantiles(reference_scores, "score", [1 - min(max(anchor, 0.0), 1.0)])
+    return reference_scores.sparkSession.range(1).select(F.lit(found[0] if found else 0.5).alias("threshold"))
 
 
 def false_positives(negatives: DataFrame, predictions: DataFrame, threshold: float) -> DataFrame:
@@ -96,12 +128,11 @@ def fp_overall(fp: DataFrame) -> DataFrame:
 
 def quantile_bins(rows: DataFrame, x: str, y: str, q: int = 3) -> DataFrame:
     """(bin, n, y mean) by quantiles of x, right-closed, the lowest included; equal edges are one. No rows below q rows or two values."""
-    points = F.array(*(F.lit(k / q) for k in range(q + 1)))
-    edges = rows.agg(F.percentile(x, points).alias("e"), F.count(x).alias("n_x"), F.count_distinct(x).alias("n_v"))
-    edges = edges.filter((F.col("n_x") >= q) & (F.col("n_v") >= 2)).select(F.array_distinct("e").alias("edges"))
-    joined = rows.filter(F.col(x).isNotNull()).join(F.broadcast(edges))  # the edges are one row
-    inner = F.slice("edges", F.lit(2), F.size("edges") - 2)
-    binned = joined.withColumn("bin", F.size(F.filter(inner, lambda e: F.col(x) > e)))
+    rows = rows.filter(F.col(x).isNotNull())
+    edges = list(dict.fromkeys(quantiles(rows, x, [k / q for k in range(q + 1)]) or []))
+    if len(edges) < 2 or rows.limit(q).count() < q:
+        rows, edges = rows.limit(0), [0.0, 0.0]
+    binned = rows.withColumn("bin", sum((F.col(x) > e).cast("int") for e in edges[1:-1]) if len(edges) > 2 else F.lit(0))
     return binned.groupBy("bin").agg(F.count("*").alias("n"), F.avg(y).alias(y))
 
 

@@ -107,5 +107,11 @@ def assemble(detections: DataFrame, n_frames: int, threshold: float = 0.0, gain:
     rows = detections.withColumn("frame_idx", checked)
     each = rows.groupBy("video_id", "track_id").agg(F.max("score").alias("raw"), F.sort_array(F.collect_list(F.struct("frame_idx", "rle"))).alias("seen"))
     each = each.filter(F.col("raw") >= threshold)
-    at = lambda i: F.get(F.filter("seen", lambda s: s.frame_idx == i), F.lit(0)).rle
-    return each.select("video_id", "track_id", F.least(F.col("raw") * gain, F.lit(1.0)).alias("score"), F.transform(F.sequence(F.lit(0), F.lit(n_frames - 1)), at).alias("segmentations"))
+    # The first of a frame's rows counts; each is put behind as many nulls as frames lie between it and the one before.
+    once = F.filter("seen", lambda s, k: (k == 0) | (F.get("seen", k - 1).frame_idx != s.frame_idx))
+    each = each.withColumn("seen", once)
+    none = lambda n: F.array_repeat(F.lit(None).cast(rows.schema["rle"].dataType), n.cast("int"))
+    before = lambda k: F.when(k == 0, F.lit(-1)).otherwise(F.get("seen", k - 1).frame_idx)
+    filled = F.flatten(F.transform("seen", lambda s, k: F.concat(none(s.frame_idx - before(k) - 1), F.array(s.rle))))
+    padded = F.concat(filled, none(F.lit(n_frames - 1) - F.element_at("seen", -1).frame_idx))
+    return each.select("video_id", "track_id", F.least(F.col("raw") * gain, F.lit(1.0)).alias("score"), padded.alias("segmentations"))

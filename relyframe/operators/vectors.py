@@ -120,19 +120,23 @@ def gaussian_distance(probe: DataFrame, reference: DataFrame, key: str, loso: bo
     return _per_group(joined, key, rule)
 
 
+def _drawn(order: str):
+    return F.md5(F.col(order).cast("string"))
+
+
 def hash_sample(vectors: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:
     """n rows of each key by the rank of a hash: a sample that does not depend on partitions."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(order), order))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(_drawn(order), order))
     return vectors.withColumn("_r", rank).filter(F.col("_r") <= n).drop("_r")
 
 
 def mmd_distance(probe: DataFrame, reference: DataFrame, key: str, order: str, loso: bool, side: int = 512) -> DataFrame:
     """(key, value): MMD of samples of at most ``side`` vectors of the group and of the pool; null below two on a side.
 
-    The pool's sample is taken once, 8 times as large, and thinned for each group, so it is small enough to be in a task.
+    Samples are the first rows in the order of a hash of ``order``. The pool's is taken once, 8 times as large, by merging
+    small tops, and each group takes the first that are not its own, so it is small enough to be in a task.
     """
-    pool = hash_sample(reference.withColumn("_one", F.lit(1)), ["_one"], order, 8 * side).select(F.col(key).cast("string").alias("k"), order, "vec").toPandas()
-    pool = pool.sort_values(order)
+    pool = reference.orderBy(_drawn(order), order).limit(8 * side).select(F.col(key).cast("string").alias("k"), "vec").toPandas()
     names, matrix = pool["k"].to_numpy(), np.vstack(pool["vec"].to_numpy()).astype(float) if len(pool) else np.empty((0, 1))
     mine = hash_sample(probe, [key], order, side).groupBy(F.col(key).cast("string").alias("k")).agg(F.collect_list("vec").alias("vs"))
 
@@ -140,8 +144,7 @@ def mmd_distance(probe: DataFrame, reference: DataFrame, key: str, order: str, l
         for pdf in batches:
             values = []
             for k, vs in zip(pdf["k"], pdf["vs"], strict=True):
-                other = matrix[names != k] if loso else matrix
-                other = other[:: max(1, len(other) // side)][:side]
+                other = (matrix[names != k] if loso else matrix)[:side]
                 x = np.vstack(vs).astype(float)
                 values.append(mmd_rbf(x, other) if len(x) > 1 and len(other) > 1 else None)
             yield pd.DataFrame({"k": pdf["k"], "value": pd.Series(values, dtype="float64")})
@@ -149,6 +152,15 @@ def mmd_distance(probe: DataFrame, reference: DataFrame, key: str, order: str, l
     return mine.mapInPandas(each, "k string, value double").withColumnRenamed("k", key)
 
 
+def distribution_distance(probe: DataFrame, reference: DataFrame, key: str, order: str, loso: bool, variant: str) -> DataFrame:
+    """(key, value) by variant: ``frechet`` or ``mmd``; null below two vectors on a side. Raises ValueError for other variants."""
+    if variant == "frechet":
+        return gaussian_distance(probe, reference, key, loso, "frechet")
+    if variant == "mmd":
+        return mmd_distance(probe, reference, key, order, loso)
+    raise ValueError(f"unknown variant {variant}")
+
+
 def silhouette(vectors: DataFrame, key: str) -> DataFrame:
     """(key, value): (inter - intra) / the larger; null below two vectors or without another group."""
     protos = prototypes(vectors, key)

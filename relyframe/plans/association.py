@@ -12,17 +12,26 @@ from pyspark.sql import functions as F
 from relyframe.functions.scalars import ratio
 from relyframe.operators.scoring import corr_of_moments, moments, partial_corr, weighted_pearson
 from relyframe.plans.models import bootstrap_draws
+from relyframe.sources.scratch import stored
 
 _PAIR_NAMES = ("w", "wx", "wy", "wxx", "wyy", "wxy")
 
 
 def numbered(rows: DataFrame, key: str) -> DataFrame:
-    """Rows with ``g``, their place in the order of the key: a table of groups, not of records."""
-    return rows.withColumn("g", F.row_number().over(Window.orderBy(key)).cast("long") - 1)
+    """Rows with ``g``, their place in the order of the key, which is unique.
+
+    Rows are dealt to ranges of the key and written; each range is numbered from the count of those before it, so no window
+    holds more than a range.
+    """
+    ranged = stored(rows.repartitionByRange(key).withColumn("range", F.spark_partition_id()))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = ranged.groupBy("range").agg(F.count("*").alias("n")).select("range", before.alias("before"))  # a row a range
+    place = F.row_number().over(Window.partitionBy("range").orderBy(key)).cast("long") - 1
+    return ranged.withColumn("g", place).join(F.broadcast(starts), "range").withColumn("g", F.col("g") + F.col("before")).drop("range", "before")
 
 
 def _drawn(rows: DataFrame, key: str, draws: int, seed: int) -> tuple[DataFrame, int]:
-    ranked = numbered(rows, key)
+    ranked = stored(numbered(rows, key))
     n = ranked.count()
     return bootstrap_draws(rows.sparkSession, seed, draws, n).join(ranked, "g"), n
 

@@ -1,9 +1,9 @@
 """Many weighted fractional-logit models over one table, in shared scans.
 
-A model is a design and a multiplicity for each group: 1 or 0 for a fold, a count for a bootstrap draw. The rows stay
-where they are; each iteration is one scan in which every batch adds its part of X'WX, X'Wz and the deviance for all
-models, summed by map-side aggregates. The driver holds coefficients, a group-by-model count matrix, and p-by-p sums:
-its bounds are MOST_GROUPS groups and the number of models, not rows.
+A model is a design and a multiplicity for each group: all but one group for a fold, counts for a bootstrap draw. The
+prepared rows are written once; each iteration is one scan of them in which every batch adds its part of X'WX, X'Wz and the
+deviance for all models, summed by map-side aggregates. The driver holds coefficients, a row a group, the draws' counts, and
+p-by-p sums: its bounds are MOST_GROUPS groups and the number of models, not rows.
 """
 
 from __future__ import annotations
@@ -15,12 +15,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from relyframe.functions.scalars import number, unit, weight
+from relyframe.sources.scratch import stored
 
-#: Groups up to which every group may be a fold; beyond, groups are folded by hash into this many.
+#: Groups whose sums and coefficients the driver holds; for more, a caller folds whole groups by hash.
 MOST_GROUPS = 20_000
 #: Models that one scan handles.
 MODEL_BLOCK = 256
@@ -60,6 +61,47 @@ class Fits:
         return np.where(self.null_deviance > 0, 1 - self.deviance / np.where(self.null_deviance > 0, self.null_deviance, 1), 0.0)
 
 
+@dataclass(frozen=True)
+class Counts:
+    """How often each model (axis 1) takes each group (axis 0)."""
+
+    matrix: np.ndarray
+
+    @property
+    def n_models(self) -> int:
+        return self.matrix.shape[1]
+
+    def sums(self, x: np.ndarray) -> np.ndarray:
+        """The groups' sums of each model."""
+        return self.matrix.T @ x
+
+    def take(self, models: np.ndarray | slice) -> Counts:
+        return Counts(self.matrix[:, models])
+
+    def of(self, group: np.ndarray, model: int) -> np.ndarray:
+        return self.matrix[group, model]
+
+
+@dataclass(frozen=True)
+class LeaveOut:
+    """Models that take every group once but one: the index that each holds out, and no matrix."""
+
+    held: np.ndarray
+
+    @property
+    def n_models(self) -> int:
+        return len(self.held)
+
+    def sums(self, x: np.ndarray) -> np.ndarray:
+        return x.sum() - x[self.held]
+
+    def take(self, models: np.ndarray | slice) -> LeaveOut:
+        return LeaveOut(self.held[models])
+
+    def of(self, group: np.ndarray, model: int) -> np.ndarray:
+        return (group != self.held[model]).astype(np.int64)
+
+
 def draw_counts(seed: int, draws: int, n_groups: int) -> np.ndarray:
     """How often each draw (axis 1) takes each group (axis 0); slot j of draw b takes group md5(seed:b:j) mod n_groups."""
     out = np.zeros((n_groups, draws), np.int64)
@@ -101,12 +143,12 @@ def _moments(rows: DataFrame, design: Design) -> pd.DataFrame:
     return out
 
 
-def _standard(moments: pd.DataFrame, counts: np.ndarray, design: Design) -> tuple[np.ndarray, np.ndarray]:
+def _standard(moments: pd.DataFrame, counts: Counts | LeaveOut, design: Design) -> tuple[np.ndarray, np.ndarray]:
     """Mean and scale of each predictor in each model; a scale of NaN leaves the term out."""
     n_cont, n = len(design.continuous), len(design.terms) - 1
-    mean, scale = np.zeros((counts.shape[1], n)), np.ones((counts.shape[1], n))
+    mean, scale = np.zeros((counts.n_models, n)), np.ones((counts.n_models, n))
     for k in range(n_cont + design.support):
-        number_, total, square = (counts.T @ moments[f"{p}{k}"].to_numpy(float) for p in "nsq")
+        number_, total, square = (counts.sums(moments[f"{p}{k}"].to_numpy(float)) for p in "nsq")
         with np.errstate(all="ignore"):
             m = np.where(number_ > 0, total / number_, 0.0)
             sd = np.sqrt(np.maximum(np.where(number_ > 0, square / number_, 0.0) - m * m, 0.0))
@@ -122,37 +164,37 @@ def _design_matrix(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.nda
     return np.column_stack([np.ones(len(x)), np.nan_to_num(z)])
 
 
-def fit_many(rows: DataFrame, design: Design, counts: np.ndarray | None = None, groups: list[str] | None = None) -> Fits:
-    """All models of one design over prepared rows; ``counts`` is groups by models in the order of sorted groups."""
+def fit_many(rows: DataFrame, design: Design, counts: Counts | LeaveOut | None = None) -> Fits:
+    """All models of one design over prepared rows; ``counts`` has the groups in their order. The rows should be stored."""
     moments = _moments(rows, design)
     if len(moments) > MOST_GROUPS:
         raise ValueError(f"more than {MOST_GROUPS} groups: fold them by hash first")
     names = moments["grp"].tolist()
-    counts = np.ones((len(names), 1), np.int64) if counts is None else counts
+    counts = Counts(np.ones((len(names), 1), np.int64)) if counts is None else counts
     mean, scale = _standard(moments, counts, design)
-    n_models, p = counts.shape[1], len(design.terms)
+    n_models, p = counts.n_models, len(design.terms)
     coef, cov = np.zeros((n_models, p)), np.zeros((n_models, p, p))
     deviance, ok = np.full(n_models, np.nan), np.ones(n_models, bool)
-    weights = counts.T @ moments["w"].to_numpy(float)
+    weights = counts.sums(moments["w"].to_numpy(float))
     with np.errstate(all="ignore"):
-        base = np.where(weights > 0, counts.T @ moments["wy"].to_numpy(float) / weights, np.nan)
+        base = np.where(weights > 0, counts.sums(moments["wy"].to_numpy(float)) / weights, np.nan)
     null_deviance = np.full(n_models, np.nan)
     for at in range(0, n_models, MODEL_BLOCK):
         part = slice(at, at + MODEL_BLOCK)
-        got = _newton(rows, names, counts[:, part], mean[part], scale[part], base[part], p)
+        got = _newton(rows, names, counts.take(part), mean[part], scale[part], base[part], p)
         coef[part], cov[part], deviance[part], null_deviance[part], ok[part] = got
     coef[:, 1:][np.isnan(scale)] = np.nan
     coef[~ok] = np.nan
     return Fits(design, coef, cov, mean, scale, deviance, null_deviance, ok, names)
 
 
-def _newton(rows: DataFrame, names: list[str], counts: np.ndarray, mean: np.ndarray, scale: np.ndarray, base: np.ndarray, p: int):
-    n_models = counts.shape[1]
+def _newton(rows: DataFrame, names: list[str], counts: Counts | LeaveOut, mean: np.ndarray, scale: np.ndarray, base: np.ndarray, p: int):
+    n_models = counts.n_models
     coef, open_, last = np.zeros((n_models, p)), np.arange(n_models), np.full(n_models, np.inf)
     info, deviance, null = np.zeros((n_models, p, p)), np.full(n_models, np.nan), np.full(n_models, np.nan)
     place = {g: k for k, g in enumerate(names)}
     for _ in range(MAX_ITERATIONS):
-        sums = _scan(rows, place, counts[:, open_], mean[open_], scale[open_], base[open_], coef[open_], p)
+        sums = _scan(rows, place, counts.take(open_), mean[open_], scale[open_], base[open_], coef[open_], p)
         info[open_], grad = sums[:, : p * p].reshape(-1, p, p), sums[:, p * p : p * p + p]
         deviance[open_], null[open_] = sums[:, -2], sums[:, -1]
         for k, m in enumerate(open_):
@@ -163,7 +205,7 @@ def _newton(rows: DataFrame, names: list[str], counts: np.ndarray, mean: np.ndar
         open_ = open_[~settled & np.isfinite(deviance[open_])]
         if not len(open_):
             break
-    ok = np.isfinite(coef).all(axis=1) & np.isfinite(deviance) & (counts.sum(axis=0) > 0)
+    ok = np.isfinite(coef).all(axis=1) & np.isfinite(deviance) & (counts.sums(np.ones(len(names))) > 0)
     cov = np.stack([np.linalg.pinv(i) if np.isfinite(i).all() else np.full((p, p), np.nan) for i in info])
     return coef, cov, deviance, null, ok
 
@@ -174,9 +216,9 @@ def _bernoulli(y: np.ndarray, mu: np.ndarray) -> np.ndarray:
         return 2 * (one + np.where(y < 1, (1 - y) * np.log((1 - y) / (1 - mu)), 0.0))
 
 
-def _scan(rows: DataFrame, place: dict, counts: np.ndarray, mean: np.ndarray, scale: np.ndarray, base: np.ndarray, coef: np.ndarray, p: int) -> np.ndarray:
+def _scan(rows: DataFrame, place: dict, counts: Counts | LeaveOut, mean: np.ndarray, scale: np.ndarray, base: np.ndarray, coef: np.ndarray, p: int) -> np.ndarray:
     """Sums of all models: information, gradient, deviance, null deviance."""
-    n_models, width = counts.shape[1], p * p + p + 2
+    n_models, width = counts.n_models, p * p + p + 2
 
     def partial(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((n_models, width))
@@ -185,7 +227,7 @@ def _scan(rows: DataFrame, place: dict, counts: np.ndarray, mean: np.ndarray, sc
             x = pdf[[f"x{k}" for k in range(p - 1)]].to_numpy(float) if p > 1 else np.empty((len(y), 0))
             g = pdf["grp"].map(place).to_numpy(int)
             for b in range(n_models):
-                own = counts[g, b] * w
+                own = counts.of(g, b) * w
                 used = own > 0
                 if not used.any():
                     continue
@@ -230,11 +272,11 @@ def cluster_bootstrap(rows: DataFrame, target: str, support: str | None, design:
     """
     found = []
     for col in group_cols:
-        ready = prepare(rows, target, support, design, col)
+        ready = stored(prepare(rows, target, support, design, col))
         n = ready.select("grp").distinct().count()
         if n < 2:
             continue
-        fits = fit_many(ready, design, draw_counts(seed, draws, n))
+        fits = fit_many(ready, design, Counts(draw_counts(seed, draws, n)))
         with np.errstate(all="ignore"):
             ends = np.nanquantile(fits.coef, [alpha / 2, 1 - alpha / 2], axis=0)
         found.append(ends)
@@ -267,22 +309,21 @@ def _predict(rows: DataFrame, fits: Fits, model_of: dict[str, int] | None, keep:
     return rows.mapInPandas(each, f"{schema}, predicted double")
 
 
-def oos_predictions(rows: DataFrame, target: str, support: str | None, design: Design, group: str, scheme: str, cell: list[str]) -> DataFrame:
+def oos_predictions(rows: DataFrame, target: str, support: str | None, design: Design, group: str, scheme: str, cell: list[str], folds: int | None = None) -> DataFrame:
     """(cell, target, group_scheme, group, actual, predicted): each group predicted by a model without it.
 
-    Null targets and empty groups are left out; below two groups there are no rows. Above MOST_GROUPS groups, whole
-    groups are folded by hash.
+    Null targets and empty groups are left out; below two groups there are no rows. With ``folds``, whole groups are dealt by
+    hash to that many, which then are the groups; without, more than MOST_GROUPS groups raise.
     """
     ready = prepare(rows, target, support, design, group, cell)
+    if folds is not None:
+        ready = ready.withColumn("grp", F.pmod(F.xxhash64("grp"), F.lit(folds)).cast("string"))
+    ready = stored(ready.withColumn("group", F.col("grp")))
     n = ready.select("grp").distinct().count()
-    if n > MOST_GROUPS:
-        ready = ready.withColumn("grp", F.pmod(F.xxhash64("grp"), F.lit(100)).cast("string"))
-        n = ready.select("grp").distinct().count()
-    ready = ready.withColumn("group", F.col("grp"))
     if n < 2:
         ready = ready.limit(0)
         return ready.select(*cell, F.lit(target).alias("target"), F.lit(scheme).alias("group_scheme"), "group", F.col("y").alias("actual"), F.lit(None).cast("double").alias("predicted"))
-    fits = fit_many(ready, design, 1 - np.eye(n, dtype=np.int64))
+    fits = fit_many(ready, design, LeaveOut(np.arange(n)))
     out = _predict(ready, fits, {g: k for k, g in enumerate(fits.groups)}, [*cell, "group", "y"])
     return out.select(*cell, F.lit(target).alias("target"), F.lit(scheme).alias("group_scheme"), "group", F.col("y").alias("actual"), "predicted")
 
@@ -293,7 +334,7 @@ def cv_summary(oos: DataFrame, by: list[str], draws: int, seed: int = 0) -> Data
     The baseline is the plain mean of all predicted rows' actuals. The gain's interval and one-sided p come from draws
     of whole groups, over one (sum, count) row a group; nulls below two groups.
     """
-    done = oos.filter("predicted is not null")
+    done = stored(oos.filter("predicted is not null"))
     means = done.groupBy(*by).agg(F.avg("actual").alias("base"))
     errors = done.join(means, by).withColumns({"e": F.abs(F.col("actual") - F.col("predicted")), "e0": F.abs(F.col("actual") - F.col("base"))})
     summary = errors.groupBy(*by).agg(F.count("*").alias("n"), F.avg("e").alias("mae"), F.avg("e0").alias("baseline_mae"), F.avg(F.col("e0") - F.col("e")).alias("delta"))
@@ -302,14 +343,18 @@ def cv_summary(oos: DataFrame, by: list[str], draws: int, seed: int = 0) -> Data
 
 
 def paired_bootstrap(groups: DataFrame, by: list[str], draws: int, seed: int = 0) -> DataFrame:
-    """(by, delta_lo, delta_hi, p_value, significant) from (by, group, s, c) rows: draws of whole groups."""
-    ranked = groups.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("group", "s", "c"))).alias("rows"))
-    slots = ranked.filter(F.size("rows") > 1).select(*by, "rows", F.size("rows").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("b"))
-    pick = lambda j: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("b").cast("long"), j.cast("long"))), 1, 8), 16, 10).cast("long") % F.col("n")
-    taken = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.get("rows", pick(j).cast("int")))
-    slots = slots.withColumn("taken", taken)
-    add = lambda c: F.aggregate("taken", F.lit(0.0), lambda acc, r: acc + r[c])
-    boots = slots.select(*by, (add("s") / add("c")).alias("d"))
+    """(by, delta_lo, delta_hi, p_value, significant) from (by, group, s, c) rows: draws of whole groups.
+
+    Groups are numbered in their order; slot j of draw b takes group md5(seed:b:j) mod n. The slots of a draw are counted by
+    group, joined with the groups and summed, so no task holds more than one of many draws.
+    """
+    numbered = stored(groups.withColumn("g", F.row_number().over(Window.partitionBy(*by).orderBy("group")).cast("long") - 1))
+    sizes = numbered.groupBy(*by).agg(F.count("*").alias("n")).filter("n > 1")
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    slots = sizes.withColumn("b", each(F.lit(draws).cast("long"))).repartition(*by, "b").withColumn("j", each(F.col("n")))
+    slots = slots.withColumn("g", F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "b", "j")), 1, 8), 16, 10).cast("long") % F.col("n"))
+    taken = slots.groupBy(*by, "b", "g").agg(F.count("*").alias("m")).join(numbered, [*by, "g"])
+    boots = taken.groupBy(*by, "b").agg((F.sum(F.col("m") * F.col("s")) / F.sum(F.col("m") * F.col("c"))).alias("d"))
     low = F.percentile("d", F.lit(0.025))
     return boots.groupBy(*by).agg(
         low.alias("delta_lo"), F.percentile("d", F.lit(0.975)).alias("delta_hi"),
@@ -366,9 +411,9 @@ def contrast(spark: SparkSession, by_target: dict[str, Fits]) -> DataFrame:
 
 def score_reliability(queries: DataFrame, table: DataFrame, target: str, support: str | None, design: Design, group: str, draws: int, keep: list[str], seed: int = 0) -> DataFrame:
     """(keep, predicted, lo, hi) of each query row: the fitted score and a 95 % range over whole-group draws."""
-    ready = prepare(table, target, support, design, group)
+    ready = stored(prepare(table, target, support, design, group))
     point = fit_many(ready, design)
-    spread = fit_many(ready, design, draw_counts(seed, draws, len(point.groups)))
+    spread = fit_many(ready, design, Counts(draw_counts(seed, draws, len(point.groups))))
     asked = queries.withColumn("_y", F.lit(0.0)).withColumn("_g", F.lit("query"))
     asked = prepare(asked, "_y", support, design, "_g", keep)
     p, good = len(design.terms), np.flatnonzero(spread.ok)

@@ -12,7 +12,7 @@ from relyframe.operators import caps, nearest, partition, scoring, tracks, vecto
 from relyframe.plans import association, mapping, models, studies
 from relyframe.plans.mapping import CELLS_SQL, PROBE_SQL
 from relyframe.sources import tables
-from relyframe.sources.scratch import scratch_path
+from relyframe.sources.scratch import scratch_path, stored
 from relyframe.streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,6 +68,15 @@ def probe_support(spark, d):
     return scoring.probe_support(probes, frames, ["video_id", "category_id"])
 
 
+@query("""WITH m AS (SELECT l_orderkey, l_suppkey % 10 AS c, avg(l_discount * 10) AS pDetA, avg(l_tax * 12.5) AS pAssA, CAST(NULL AS DOUBLE) AS pHOTA FROM lineitem GROUP BY 1, 2)
+SELECT o_orderkey AS video_id, o_custkey % 10 AS category_id, round(pDetA + 1e-9, 6) AS pDetA, round(pAssA + 1e-9, 6) AS pAssA, pHOTA FROM orders LEFT JOIN m ON o_orderkey = l_orderkey AND o_custkey % 10 = c""")
+def scored_probes(spark, d):
+    keys = [F.col("l_orderkey").alias("video_id"), (F.col("l_suppkey") % 10).alias("category_id")]
+    metrics = mapping.read(spark, d, "lineitem").groupBy(*keys).agg(F.avg(F.col("l_discount") * 10).alias("pDetA"), F.avg(F.col("l_tax") * 12.5).alias("pAssA"), F.lit(None).cast("double").alias("pHOTA"))
+    probes = mapping.read(spark, d, "orders").select(F.col("o_orderkey").alias("video_id"), (F.col("o_custkey") % 10).alias("category_id"))
+    return scoring.with_metrics(probes, metrics, ["video_id", "category_id"]).select("video_id", "category_id", *_up("pDetA", "pAssA"), "pHOTA")
+
+
 @query(f"""{_CELLS}, s AS (SELECT * FROM cells WHERE pDetA IS NOT NULL)
 SELECT {", ".join(f"round(sum(n_frames * {m}) / nullif(sum(n_frames), 0), 6) AS {m}" for m in scoring.METRICS)}, count(*) AS n_scored, (SELECT count(*) FROM cells) AS n_cells FROM s""")
 def weighted_means(spark, d):
@@ -192,6 +201,15 @@ def partition_species(spark, d):
     return partition.species_partition(mapping.probes(spark, d), ["train", "test"])
 
 
+@query(_members("true", "true") + " SELECT axis, side, value, (SELECT count(*) FROM (SELECT DISTINCT category_id, location_id, time FROM probe)) AS n_cells FROM member")
+def frozen_partition(spark, d):
+    """A partition and its manifest, frozen and loaded again."""
+    rows, path = mapping.probes(spark, d), scratch_path(spark)
+    partition.save(partition.species_partition(rows, ["train", "test"]), path, partition.manifest(rows))
+    n_cells = partition.load_manifest(spark, path).agg(F.count("*").alias("n_cells"))
+    return partition.load(spark, path).select("axis", "side", "value").crossJoin(n_cells)  # one row
+
+
 @query(_members("origin_loc = 'train'", "origin_loc = 'test'") + " SELECT axis, side, value FROM member")
 def partition_location(spark, d):
     return partition.location_partition(mapping.probes(spark, d).withColumn("origin", F.col("origin_loc")))
@@ -265,6 +283,13 @@ def clean_taxonomy(spark, d):
     return mapping.read(spark, d, "part").select(F.lit("p").alias("category"), F.col("p_partkey").alias("id"), F.map_keys(cleaned).alias("levels"))
 
 
+@query("""SELECT DISTINCT CAST(p_partkey AS VARCHAR) AS id, p_name AS name, CASE WHEN p_size % 2 = 0 THEN p_brand END AS path FROM part JOIN lineitem ON l_partkey = p_partkey""")
+def category_entries(spark, d):
+    parts = mapping.read(spark, d, "part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("path"), "p_size")
+    pairs = mapping.read(spark, d, "lineitem").select(F.col("l_partkey").cast("string").alias("category_id"))
+    return tables.category_entries(pairs, parts, parts.filter("p_size % 2 = 0")).select("id", "name", "path")
+
+
 # Nearest joins and vectors
 
 
@@ -326,7 +351,7 @@ def silhouette(spark, d):
 @query()
 def frechet(spark, d):
     rows = mapping.vectors(spark, d)
-    return vectors.gaussian_distance(rows, rows.filter("is_reference"), "category_id", True, "frechet").select("category_id", *_r("value"))
+    return vectors.distribution_distance(rows, rows.filter("is_reference"), "category_id", "vec_id", True, "frechet").select("category_id", *_r("value"))
 
 
 @query()
@@ -334,10 +359,21 @@ def mahalanobis(spark, d):
     return vectors.familiarity(mapping.vectors(spark, d), "category_id", "mahalanobis").select("category_id", *_r("value"))
 
 
-@query()
+_MMD_SIDE = 512
+
+
+@query(f"""WITH v AS (SELECT vec_id, {_LABEL} AS k, vec_id % 4 <> 0 AS ref, CAST(embedding AS DOUBLE[]) AS x, md5(CAST(vec_id AS VARCHAR)) AS h FROM embeddings),
+pool AS (SELECT k, h, vec_id, x FROM v WHERE ref ORDER BY h, vec_id LIMIT {8 * _MMD_SIDE}),
+mine AS (SELECT k, x, row_number() OVER (PARTITION BY k ORDER BY h, vec_id) AS i FROM v QUALIFY i <= {_MMD_SIDE}),
+other AS (SELECT g.k, p.x, row_number() OVER (PARTITION BY g.k ORDER BY p.h, p.vec_id) AS i FROM (SELECT DISTINCT k FROM v) g JOIN pool p ON p.k <> g.k QUALIFY i <= {_MMD_SIDE}),
+side AS (SELECT k, true AS own, x FROM mine UNION ALL SELECT k, false, x FROM other),
+d AS (SELECT a.k, a.own AS a, b.own AS b, list_distance(a.x, b.x) ** 2 AS d2 FROM side a JOIN side b USING (k)),
+w AS (SELECT k, 2 * median(d2) + 1e-12 AS width FROM d GROUP BY 1)
+SELECT k AS category_id, round(avg(exp(-d2 / width)) FILTER (a AND b) + avg(exp(-d2 / width)) FILTER (NOT a AND NOT b) - 2 * avg(exp(-d2 / width)) FILTER (a AND NOT b), 6) AS value
+FROM d JOIN w USING (k) GROUP BY 1""")
 def mmd(spark, d):
     rows = mapping.vectors(spark, d)
-    return vectors.mmd_distance(rows, rows.filter("is_reference"), "category_id", "vec_id", True).select("category_id", *_r("value"))
+    return vectors.distribution_distance(rows, rows.filter("is_reference"), "category_id", "vec_id", True, "mmd").select("category_id", *_r("value"))
 
 
 @query("SELECT vec_id AS key, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 6) AS total FROM embeddings WHERE vec_id % 4 = 0")
@@ -396,6 +432,12 @@ def features_assembled(spark, d):
     return table.select(*CELL, *_up("pDetA"), *_r("log_area"), "temporal_gap", *_r("night"))
 
 
+def _drawn_sql(rows: str, n_draws: int = DRAWS, tag: str = "") -> str:
+    """Draws of numbered rows (g from 0) in DuckDB: the same slots as in Spark."""
+    return f"""gn{tag} AS (SELECT count(*) AS n FROM {rows}), slots{tag} AS (SELECT b, j, (('0x' || substr(md5('0:' || b || ':' || j), 1, 8))::BIGINT) % n AS g FROM gn{tag}, range({n_draws}) x(b), (SELECT unnest(range((SELECT n FROM gn{tag}))) AS j)),
+drawn{tag} AS (SELECT b, g, count(*) AS m FROM slots{tag} GROUP BY 1, 2)"""
+
+
 # Confidence and false positives
 
 
@@ -495,18 +537,21 @@ def fp_loo_line(spark, d):
     return association.leave_one_out_line(rows, "distance", "fp_rate", "n").select("category_id", *_r("predicted", "base"))
 
 
-@query()
+_LOO = f"""{_FP}, t AS (SELECT sum(n) AS w, sum(n * distance) AS wx, sum(n * fp_rate) AS wy, sum(n * distance * distance) AS wxx, sum(n * distance * fp_rate) AS wxy FROM sp),
+l AS (SELECT category_id, distance, fp_rate, n, w - n AS w, wx - n * distance AS wx, wy - n * fp_rate AS wy, wxx - n * distance * distance AS wxx, wxy - n * distance * fp_rate AS wxy FROM sp, t),
+held AS (SELECT category_id, n, abs(fp_rate - (wy / w + (w * wxy - wx * wy) / (w * wxx - wx * wx) * (distance - wx / w))) AS e, abs(fp_rate - wy / w) AS e0 FROM l)"""
+
+
+@query(f"""WITH {_LOO}, num AS (SELECT n AS w, e0 - e AS gain, row_number() OVER (ORDER BY category_id) - 1 AS g FROM held), {_drawn_sql('num')},
+boot AS (SELECT b, sum(m * w * gain) / sum(m * w) AS d FROM drawn JOIN num USING (g) GROUP BY 1),
+ends AS (SELECT quantile_cont(d, 0.025) AS lo, quantile_cont(d, 0.975) AS hi, avg(CAST(d <= 0 AS DOUBLE)) AS p FROM boot)
+SELECT round(sum(n * e) / sum(n), 6) AS mae, round(sum(n * e0) / sum(n), 6) AS baseline_mae, round(sum(n * (e0 - e)) / sum(n), 6) AS delta, round(any_value(lo), 6) AS ci_lo,
+  round(any_value(hi), 6) AS ci_hi, round(any_value(p), 6) AS p_value, any_value(lo) > 0 AS significant, count(*) AS n FROM held, ends""")
 def fp_line_validation(spark, d):
     found = association.line_validation(scoring.fp_by_species(_fp(spark, d)), "category_id", "distance", "fp_rate", "n", DRAWS)
     return found.select(*_r("mae", "baseline_mae", "delta", "ci_lo", "ci_hi", "p_value"), "significant", "n")
 
 
-def _drawn_sql(rows: str, n_draws: int = DRAWS) -> str:
-    """Draws of numbered rows (g from 0) in DuckDB: the same slots as in Spark."""
-    return f"""gn AS (SELECT count(*) AS n FROM {rows}), slots AS (SELECT b, j, (('0x' || substr(md5('0:' || b || ':' || j), 1, 8))::BIGINT) % n AS g FROM gn, range({n_draws}) x(b), (SELECT unnest(range((SELECT n FROM gn))) AS j)),
-drawn AS (SELECT b, g, count(*) AS m FROM slots GROUP BY 1, 2)"""
-
-
 @query(f"""WITH {_FP}, num AS (SELECT *, row_number() OVER (ORDER BY category_id) - 1 AS g FROM sp), {_drawn_sql('num')},
 boot AS (SELECT b, {_WR} AS r FROM (SELECT b, distance AS x, fp_rate AS y, n * m AS w FROM drawn JOIN num USING (g)) GROUP BY b), p AS (SELECT {_WR} AS r, count(*) AS n FROM (SELECT distance AS x, fp_rate AS y, n AS w FROM sp))
 SELECT round(any_value(p.r), 6) AS r, round(quantile_cont(boot.r, 0.025), 6) AS ci_lo, round(quantile_cont(boot.r, 0.975), 6) AS ci_hi, any_value(p.n) AS n,
@@ -516,7 +561,18 @@ def fp_correlation(spark, d):
     return found.select(*_r("r", "ci_lo", "ci_hi"), "n", "significant")
 
 
-@query()
+def _partial_sql(rows: str, by: str = "") -> str:
+    """Partial correlation of x and y given z over rows with x, y, z and w, one for each ``by``."""
+    of = lambda a, b: _WR.replace("* x", f"* _{a}").replace("* y", f"* _{b}").replace("_x", "x").replace("_y", "y").replace("_z", "z")
+    group = f"GROUP BY {by}" if by else ""
+    return f"""SELECT {by + ', ' if by else ''}(xy - xz * yz) / sqrt((1 - xz ** 2) * (1 - yz ** 2)) AS r, n FROM
+(SELECT {by + ', ' if by else ''}{of('x', 'y')} AS xy, {of('x', 'z')} AS xz, {of('y', 'z')} AS yz, count(*) AS n FROM {rows} {group})"""
+
+
+@query(f"""WITH {_FP}, num AS (SELECT distance AS x, fp_rate AS y, log_area AS z, n AS w, row_number() OVER (ORDER BY category_id) - 1 AS g FROM sp), {_drawn_sql('num')},
+boot AS ({_partial_sql('(SELECT b, x, y, z, w * m AS w FROM drawn JOIN num USING (g))', 'b')}), p AS ({_partial_sql('num')}),
+ends AS (SELECT quantile_cont(r, 0.025) AS lo, quantile_cont(r, 0.975) AS hi FROM boot WHERE isfinite(r))
+SELECT round(p.r, 6) AS r, round(lo, 6) AS ci_lo, round(hi, 6) AS ci_hi, p.n, lo > 0 OR hi < 0 AS significant FROM ends, p""")
 def fp_partial_correlation(spark, d):
     found = association.bootstrap_partial(_fp_species(spark, d), "category_id", "distance", "fp_rate", "log_area", "n", DRAWS)
     return found.select(*_r("r", "ci_lo", "ci_hi"), "n", "significant")
@@ -572,20 +628,20 @@ def logo_intercept(spark, d):
 l AS (SELECT max(CASE WHEN x = 0 THEN ln(mu / (1 - mu)) END) AS a, max(CASE WHEN x = 1 THEN ln(mu / (1 - mu)) END) AS b FROM m)
 SELECT 'const' AS term, round(a, 6) AS coef FROM l UNION ALL SELECT 'is_night_ir', round(b - a, 6) FROM l""")
 def glm_binary_closed_form(spark, d):
-    fits = models.fit_many(models.prepare(mapping.probes(spark, d), "pDetA", "n_frames", _BINARY, "category_id"), _BINARY)
+    fits = models.fit_many(stored(models.prepare(mapping.probes(spark, d), "pDetA", "n_frames", _BINARY, "category_id")), _BINARY)
     return models.coefficient_table(spark, "pDetA", fits).select("term", *_r("coef"))
 
 
 @query()
 def glm_full(spark, d):
-    fits = models.fit_many(models.prepare(mapping.probes(spark, d), "pDetA", "n_frames", _FULL, "category_id"), _FULL)
+    fits = models.fit_many(stored(models.prepare(mapping.probes(spark, d), "pDetA", "n_frames", _FULL, "category_id")), _FULL)
     table = models.coefficient_table(spark, "pDetA", fits)
     return table.select("target", "term", *_r("coef", "std_err", "z", "p_value", "ci_lo_naive", "ci_hi_naive", "pseudo_r2"))
 
 
 @query()
 def cluster_bootstrap_ci(spark, d):
-    found = models.cluster_bootstrap(_feat(spark, d), "pDetA", "n_frames", _CELL_FULL, ["category_id", "location_id"], DRAWS)
+    found = models.cluster_bootstrap(stored(_feat(spark, d)), "pDetA", "n_frames", _CELL_FULL, ["category_id", "location_id"], DRAWS)
     return found.select("term", *_r("ci_lo", "ci_hi"))
 
 
@@ -629,7 +685,24 @@ def shapley_r2(spark, d):
     return models.shapley_r2(_feat(spark, d), "pDetA", ["year", "frames"]).select("factor", *_r("r2_share", "vif"))
 
 
-@query()
+def _lmg_sql(target: str) -> str:
+    """LMG shares of three factors in closed form, from the correlations of the complete rows."""
+    names = ["year", "frames", "videos"]
+    v = [*names, target]
+    corr = ", ".join(f"corr({v[i]}, {v[j]}) AS r{i}{j}" for i in range(4) for j in range(i + 1, 4))
+    r = lambda i, j: f"r{min(i, j)}{max(i, j)}"
+    one = lambda i: f"{r(i, 3)} ** 2"
+    two = lambda i, j: f"(({r(i, 3)} ** 2 + {r(j, 3)} ** 2 - 2 * {r(i, 3)} * {r(j, 3)} * {r(i, j)}) / (1 - {r(i, j)} ** 2))"
+    det3 = "(1 + 2 * r01 * r02 * r12 - r01 ** 2 - r02 ** 2 - r12 ** 2)"
+    squares = " - ".join(f"r{i}{j} ** 2" for i in range(4) for j in range(i + 1, 4))
+    det4 = f"(1 - {squares} + 2 * (r01 * r02 * r12 + r01 * r03 * r13 + r02 * r03 * r23 + r12 * r13 * r23) + r01 ** 2 * r23 ** 2 + r02 ** 2 * r13 ** 2 + r03 ** 2 * r12 ** 2 - 2 * (r01 * r02 * r13 * r23 + r01 * r03 * r12 * r23 + r02 * r03 * r12 * r13))"
+    rest = {0: (1, 2), 1: (0, 2), 2: (0, 1)}
+    shares = ", ".join(f"{one(k)} / 3 + ({two(k, i)} - {one(i)} + {two(k, j)} - {one(j)}) / 6 + (1 - {det4} / {det3} - {two(i, j)}) / 3 AS s{k}, (1 - {r(i, j)} ** 2) / {det3} AS v{k}" for k, (i, j) in rest.items())
+    picked = " UNION ALL ".join(f"SELECT '{target}' AS target, '{n}' AS factor, round(s{k}, 6) AS r2_share, round(s{k} / (s0 + s1 + s2), 6) AS share, round(v{k}, 6) AS vif FROM s" for k, n in enumerate(names))
+    return f"SELECT * FROM (WITH r AS (SELECT {corr} FROM wide WHERE {target} IS NOT NULL), s AS (SELECT {shares} FROM r) {picked})"
+
+
+@query(f"{_FEATURES}, wide AS (SELECT *, CAST(n_videos AS DOUBLE) AS videos FROM feat) {_lmg_sql('pDetA')} UNION ALL {_lmg_sql('pAssA')}")
 def variance_partition(spark, d):
     rows = _feat(spark, d).withColumn("videos", F.col("n_videos").cast("double"))
     found = studies.variance_partition(rows, ["pDetA", "pAssA"], ["year", "frames", "videos"])
@@ -638,11 +711,16 @@ def variance_partition(spark, d):
 
 @query()
 def coefficient_contrast(spark, d):
-    fits = {t: models.fit_many(models.prepare(_feat(spark, d), t, "n_frames", _CELL_FULL, "category_id"), _CELL_FULL) for t in ("pDetA", "pAssA")}
+    rows = stored(_feat(spark, d))
+    fits = {t: models.fit_many(stored(models.prepare(rows, t, "n_frames", _CELL_FULL, "category_id")), _CELL_FULL) for t in ("pDetA", "pAssA")}
     return models.contrast(spark, fits).select("term", *_r("pDetA", "pAssA"))
 
 
-@query()
+@query(f"""{_CELLS}, num AS (SELECT pAssA AS x, pDetA AS y, row_number() OVER (ORDER BY concat_ws('|', {_CELL})) - 1 AS g FROM cells WHERE pAssA IS NOT NULL AND pDetA IS NOT NULL), {_drawn_sql('num', 100)},
+boot AS (SELECT (sum(m) * sum(m * x * y) - sum(m * x) * sum(m * y)) / (sum(m) * sum(m * x * x) - sum(m * x) ** 2) AS slope, sum(m * x) / sum(m) AS mx, sum(m * y) / sum(m) AS my FROM drawn JOIN num USING (g) GROUP BY b),
+fit AS (SELECT regr_slope(y, x) AS slope, regr_intercept(y, x) AS cut FROM num), grid AS (SELECT a + (z - a) * k / 49 AS x FROM (SELECT min(x) AS a, max(x) AS z FROM num), range(50) r(k))
+SELECT round(grid.x, 6) AS x, round(any_value(fit.cut + fit.slope * grid.x), 6) AS fit, round(quantile_cont(my + boot.slope * (grid.x - mx), 0.05), 6) AS lo, round(quantile_cont(my + boot.slope * (grid.x - mx), 0.95), 6) AS hi
+FROM grid, boot, fit GROUP BY grid.x""")
 def calibration_band(spark, d):
     rows = _feat(spark, d).withColumn("key", F.concat_ws("|", *CELL))
     return association.calibration_band(rows, "key", "pAssA", "pDetA", draws=100).select(*_r("x", "fit", "lo", "hi"))
@@ -650,7 +728,7 @@ def calibration_band(spark, d):
 
 @query()
 def reliability_scores(spark, d):
-    rows = _feat(spark, d)
+    rows = stored(_feat(spark, d))
     found = models.score_reliability(rows.filter("time = '2001'"), rows.filter("time <> '2001'"), "pDetA", "n_frames", _CELL_FULL, "category_id", 50, CELL)
     return found.select(*CELL, *_r("predicted", "lo", "hi"))
 
@@ -661,44 +739,120 @@ def reliability_scores(spark, d):
 _DESIGNS = [models.Design("year", ("year",), support=True), models.Design("frames", ("frames",), support=True)]
 
 
-@query()
+#: Designs of one 0/1 predictor: their models have one mean a class, which SQL can tell.
+_LATE, _LARGE = models.Design("late", binary=("late",)), models.Design("large", binary=("large",))
+_CLASSES = f"{_FEATURES}, cls AS (SELECT *, CAST(time >= '1995' AS INT) AS late, CAST(n_videos >= 3 AS INT) AS large FROM feat)"
+
+
+def _classes(spark, d) -> DataFrame:
+    return _feat(spark, d).withColumns({"late": (F.col("time") >= "1995").cast("int"), "large": (F.col("n_videos") >= 3).cast("int")})
+
+
+def _summary_sql(parts: list[tuple[str, str, str]], draws: int) -> str:
+    """CTEs c0.. and ``summary`` of the validation of one 0/1 predictor on both schemes.
+
+    A part is its name, the predictor, and rows with the columns of ``cls``; the summary has the names as ``name`` and ``design``.
+    """
+    ctes, found = [], []
+    for k, (name, x, rows) in enumerate(parts):
+        for scheme, column in studies.SCHEMES.items():
+            t = f"{k}{scheme[0]}"
+            ctes.append(f"""r{t} AS (SELECT {column} AS grp, {x} AS x, least(greatest(pDetA, 0), 1) AS y, n_frames AS w FROM {rows} WHERE pDetA IS NOT NULL),
+s{t} AS (SELECT grp, x, sum(w * y) AS wy, sum(w) AS w FROM r{t} GROUP BY 1, 2), a{t} AS (SELECT x, sum(wy) AS wy, sum(w) AS w FROM s{t} GROUP BY 1),
+e{t} AS (SELECT grp, abs(y - (a.wy - s.wy) / (a.w - s.w)) AS e, abs(y - (SELECT avg(y) FROM r{t})) AS e0 FROM r{t} JOIN s{t} s USING (grp, x) JOIN a{t} a USING (x)),
+num{t} AS (SELECT sum(e0 - e) AS s, count(*) AS c, row_number() OVER (ORDER BY grp) - 1 AS g FROM e{t} GROUP BY grp), {_drawn_sql(f'num{t}', draws, t)},
+boot{t} AS (SELECT b, sum(m * s) / sum(m * c) AS d FROM drawn{t} JOIN num{t} USING (g) GROUP BY 1),
+c{t} AS (SELECT '{name}' AS name, '{x}' AS design, '{scheme}' AS group_scheme, 'pDetA' AS target, (SELECT count(*) FROM e{t}) AS n, (SELECT avg(e) FROM e{t}) AS mae, (SELECT avg(e0) FROM e{t}) AS baseline_mae,
+  (SELECT avg(e0 - e) FROM e{t}) AS delta, quantile_cont(d, 0.025) AS delta_lo, quantile_cont(d, 0.975) AS delta_hi, avg(CAST(d <= 0 AS DOUBLE)) AS p_value FROM boot{t})""")
+            found.append(f"SELECT * FROM c{t}")
+    return ", ".join(ctes) + f", summary AS ({' UNION ALL '.join(found)})"
+
+
+@query(f"""{_CLASSES}, {_summary_sql([('late', 'late', 'cls'), ('large', 'large', 'cls')], DRAWS)}
+SELECT design, bool_and(delta > 0) AS both_positive, bool_and(p_value < 0.05 / 2) AS both_significant FROM summary GROUP BY 1""")
 def designs_verdict(spark, d):
+    return studies.verdicts(studies.run_designs(_classes(spark, d), [_LATE, _LARGE], ["pDetA"], "n_frames", DRAWS), 2)
+
+
+@query(f"{_CLASSES}, {_summary_sql([('late', 'late', 'cls')], DRAWS)} SELECT group_scheme, target, n, round(mae, 6) AS mae, round(delta, 6) AS delta FROM summary")
+def cv_sorted(spark, d):
+    found = studies.sorted_summary(studies.run_designs(_classes(spark, d), [_LATE], ["pDetA"], "n_frames", DRAWS))
+    return found.select("group_scheme", "target", "n", *_r("mae", "delta"))
+
+
+@query()
+def design_verdicts_scaled(spark, d):
+    """The verdicts of designs with continuous predictors."""
     return studies.verdicts(studies.run_designs(_feat(spark, d), _DESIGNS, ["pDetA"], "n_frames", DRAWS), len(_DESIGNS))
 
 
+@query()
+def confidence_study(spark, d):
+    rows = _feat(spark, d).withColumns({"conf_share": F.col("pAssA"), "conf_mean": F.col("pHOTA"), "log_area": F.log1p("frames")})
+    found = studies.confidence_experiment(rows, ["conf_share", "conf_mean"], "log_area", "pDetA", "n_frames", 50)
+    return found.select("design", "group_scheme", "n", *_r("mae", "delta", "p_value"), "both_positive", "both_significant", "is_primary")
+
+
+@query()
+def difficulty_study(spark, d):
+    rows = _classes(spark, d).withColumns({"clutter": F.col("num_masklets") / F.col("n_videos"), "log_area": F.log1p("frames")})
+    _, parts = studies.difficulty_experiment(rows, ["clutter"], ["late"], "log_area", "pDetA", "n_frames", 50)
+    return parts.select("design", "group_scheme", "n", *_r("mae", "delta", "p_value"), "size_carries")
+
+
+@query()
+def familiarity_study(spark, d):
+    rows = _feat(spark, d).withColumns({"familiar": F.col("pAssA"), "log_area": F.log1p("frames")})
+    _, gains = studies.familiarity_experiment(rows, ["familiar"], "year", "log_area", "pDetA", "n_frames", 50)
+    return gains.select("design", *_r("gain_species", "gain_location"), "adds", *_r("r_base", "r_size"))
+
+
+@query(f"""{_CELLS}, m AS (SELECT category_id, avg(pAssA) AS other FROM cells GROUP BY 1) SELECT {_CELL}, round(other + 1e-9, 6) AS pDetA FROM cells LEFT JOIN (SELECT * FROM m WHERE category_id < 'Brand#4') USING (category_id)""")
+def replaced_feature(spark, d):
+    rows = mapping.cells(spark, d)
+    other = rows.filter("category_id < 'Brand#4'").groupBy("category_id").agg(F.avg("pAssA").alias("pDetA"))
+    return studies.replace_feature(rows, other, ["category_id"]).select(*CELL, *_up("pDetA"))
+
+
 @query()
 def ablation(spark, d):
     found = studies.ablation(_feat(spark, d), "pDetA", ["year"], "frames", "n_frames", 50)
     return found.select("design", "group_scheme", *_r("delta", "p_value", "pseudo_r2"))
 
 
-@query()
+@query(f"""{_CLASSES}, {_summary_sql([('early', 'large', "(SELECT * FROM cls WHERE time < '1998')"), ('late', 'large', "(SELECT * FROM cls WHERE time >= '1998')")], 50)}
+SELECT name AS variant, group_scheme, n, round(mae, 6) AS mae, round(delta, 6) AS delta, round(p_value, 6) AS p_value FROM summary""")
 def robustness_variants(spark, d):
-    rows = _feat(spark, d)
+    rows = _classes(spark, d)
     wanted = spark.createDataFrame([("early",), ("late",), ("absent",)], "variant string")
-    found = studies.robustness({"early": rows.filter("time < '1998'"), "late": rows.filter("time >= '1998'")}, wanted, _DESIGNS[0], ["pDetA"], "n_frames", 50)
+    found = studies.robustness({"early": rows.filter("time < '1998'"), "late": rows.filter("time >= '1998'")}, wanted, _LARGE, ["pDetA"], "n_frames", 50)
     return found[0].select("variant", "group_scheme", "n", *_r("mae", "delta", "p_value"))
 
 
-@query()
+@query(f"""{_CLASSES}, swapped AS (SELECT * REPLACE (pAssA AS pDetA) FROM cls), {_summary_sql([('swap', 'late', 'swapped')], 50)}
+SELECT design, group_scheme, target, n, round(mae, 6) AS mae, round(delta, 6) AS delta, round(p_value, 6) AS p_value FROM summary""")
 def model_swap(spark, d):
-    rows = _feat(spark, d)
+    rows = _classes(spark, d)
     other = rows.select(*CELL, F.col("pAssA").alias("pDetA"))
-    found = studies.model_swap(rows, other, _DESIGNS[:1], ["pDetA"], "n_frames", 50)
+    found = studies.model_swap(rows, other, [_LATE], ["pDetA"], "n_frames", 50)
     return found.select("design", "group_scheme", "target", "n", *_r("mae", "delta", "p_value"))
 
 
-@query()
+@query(f"""{_CLASSES}, {_summary_sql([('all', 'late', 'cls'), ('full_taxonomy', 'late', "(SELECT * FROM cls WHERE category_id IN (SELECT category_id FROM cls WHERE species < 'Brand#5'))"),
+  ('species_mean', 'late', '(SELECT * REPLACE (avg(frames) OVER (PARTITION BY species) AS frames) FROM cls)')], 50)}
+SELECT name AS subset, design, group_scheme, n, round(mae, 6) AS mae, round(delta, 6) AS delta, round(p_value, 6) AS p_value FROM summary""")
 def replication(spark, d):
-    rows = _feat(spark, d)
-    found = studies.replication(rows, _DESIGNS[:1], "pDetA", "n_frames", rows.filter("species < 'Brand#5'"), "frames", 50)
+    rows = _classes(spark, d)
+    found = studies.replication(rows, [_LATE], "pDetA", "n_frames", rows.filter("species < 'Brand#5'"), "frames", 50)
     return found.select("subset", "design", "group_scheme", "n", *_r("mae", "delta", "p_value"))
 
 
-@query()
+@query(f"""{_CLASSES}, {_summary_sql([('late', 'late', 'cls')], 50)}
+SELECT 'validation' AS section, design || '/' || group_scheme || '/' || target AS metric, round(delta, 6) AS value, round(delta_lo, 6) AS lo, round(delta_hi, 6) AS hi, round(p_value, 6) AS p, n FROM summary
+UNION ALL SELECT 'coverage', 'pDetA', count(pDetA), NULL, NULL, NULL, count(*) FROM cls UNION ALL SELECT 'coverage', 'year', count(year), NULL, NULL, NULL, count(*) FROM cls""")
 def results_roll_up(spark, d):
-    rows = _feat(spark, d)
-    found = studies.roll_up(studies.run_designs(rows, _DESIGNS[:1], ["pDetA"], "n_frames", 50), rows, ["pDetA", "year"])
+    rows = _classes(spark, d)
+    found = studies.roll_up(studies.run_designs(rows, [_LATE], ["pDetA"], "n_frames", 50), rows, ["pDetA", "year"])
     return found.select("section", "metric", *_r("value", "lo", "hi", "p"), "n")
 
 

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from relyframe.operators.caps import species_mean
 from relyframe.operators.partition import assert_no_leakage, variants_missing
-from relyframe.operators.scoring import CELL, coverage, fp_by_species, fp_overall, quantile_bins
+from relyframe.operators.scoring import CELL, correlations, coverage, fp_by_species, fp_overall, quantile_bins
 from relyframe.plans.association import bootstrap_corr, bootstrap_partial, line_validation
 from relyframe.plans.models import Design, cv_summary, fit_many, oos_predictions, prepare, shapley_r2
+from relyframe.sources.scratch import stored
 
 SCHEMES = {"species": "category_id", "location": "location_id"}
 
@@ -21,12 +22,17 @@ def merge_features(cells: DataFrame, per_species: list[DataFrame] = (), per_loca
     out = cells
     for keys, features in ((["category_id"], per_species), (["location_id"], per_location), (CELL, per_cell)):
         for f in features:
-            if f.groupBy(*keys).count().filter("count > 1").limit(1).count():
-                raise ValueError(f"a feature has more than one row a {keys}")
-            out = out.join(f, keys, "left")
+            out = merge_features_at(out, f, keys)
     return out
 
 
+def merge_features_at(cells: DataFrame, feature: DataFrame, keys: list[str]) -> DataFrame:
+    feature = stored(feature)  # once for the test and the join
+    if not feature.groupBy(*keys).count().filter("count > 1").isEmpty():
+        raise ValueError(f"a feature has more than one row a {keys}")
+    return cells.join(feature, keys, "left")
+
+
 def assemble_features(cells: DataFrame, partition: DataFrame, held_axis: str, loso: bool, **features: list[DataFrame]) -> DataFrame:
     """Feature table of one partition, after its firewall."""
     assert_no_leakage(partition, held_axis, loso)
@@ -35,6 +41,7 @@ def assemble_features(cells: DataFrame, partition: DataFrame, held_axis: str, lo
 
 def run_designs(cells: DataFrame, designs: list[Design], targets: list[str], support: str | None, draws: int, schemes: dict[str, str] = SCHEMES, seed: int = 0) -> DataFrame:
     """(design, group_scheme, target, n, mae, baseline_mae, delta, delta_lo, delta_hi, p_value, significant)."""
+    cells = stored(cells)  # each design, target and scheme reads them
     parts = [
         oos_predictions(cells, target, support, design, column, scheme, CELL).withColumn("design", F.lit(design.name))
         for design in designs for target in targets for scheme, column in schemes.items()
@@ -61,6 +68,67 @@ def head_to_head(summary: DataFrame, challenger: str, base: str) -> DataFrame:
     return pick(challenger, "a").join(pick(base, "b"), ["group_scheme", "target"]).select("group_scheme", "target", (F.col("a") - F.col("b")).alias("gain"))
 
 
+def sorted_summary(summary: DataFrame) -> DataFrame:
+    """A validation summary in the order of its scheme and target."""
+    return summary.orderBy("group_scheme", "target")
+
+
+def experiment(cells: DataFrame, designs: list[Design], target: str, support: str | None, draws: int, n_tests: int | None = None) -> DataFrame:
+    """The designs' validation rows, each with its verdict over the schemes at 5 % over ``n_tests`` (the designs' number)."""
+    summary = stored(run_designs(cells, designs, [target], support, draws))
+    return summary.join(verdicts(summary, n_tests or len(designs)), "design")
+
+
+def confidence_experiment(cells: DataFrame, signals: list[str], size: str, target: str, support: str | None, draws: int) -> DataFrame:
+    """After-running estimators: each confidence signal alone, controlled for size; the first is the primary one."""
+    designs = [Design(s, (s, size), support=True) for s in signals]
+    return experiment(cells, designs, target, support, draws).withColumn("is_primary", F.col("design") == signals[0])
+
+
+def difficulty_experiment(cells: DataFrame, continuous: list[str], binary: list[str], size: str, target: str, support: str | None, draws: int) -> tuple[DataFrame, DataFrame]:
+    """(verdicts of the single signals and of all together, size decomposition with ``size_carries``).
+
+    Signals are controlled for size and tested at 5 % over their number. The nested designs tell whether size alone
+    carries the gain: support only, size only, the first signal without size, and with it.
+    """
+    single = [Design(c, (c, size), support=True) for c in continuous] + [Design(b, (size,), (b,), support=True) for b in binary]
+    both = Design("combined", (*continuous, size), tuple(binary), support=True)
+    first = continuous[0]
+    nested = [Design("support_only", support=True), Design("size_only", (size,), support=True), Design("first_only", (first,), support=True), Design("first_plus_size", (first, size), support=True)]
+    parts = stored(run_designs(cells, nested, [target], support, draws))
+    found = experiment(cells, [*single, both], target, support, draws, len(single))
+    return found, parts.crossJoin(size_carries(parts, "size_only", "first_only"))  # one row
+
+
+def familiarity_experiment(cells: DataFrame, metrics: list[str], base: str, size: str, target: str, support: str | None, draws: int) -> tuple[DataFrame, DataFrame]:
+    """(verdicts of the metrics, a row a metric: gain over base and size on each scheme, ``adds``, correlations).
+
+    A metric adds over the base distance with size if its gain on the species scheme exceeds theirs and is significant.
+    """
+    found = experiment(cells, [Design(m, (m, size), support=True) for m in metrics], target, support, draws)
+    base_design = Design("base", (base, size), support=True)
+    joint = [Design(m, (m, base, size), support=True) for m in metrics]
+    summary = stored(run_designs(cells, [base_design, *joint], [target], support, draws))
+    gains = reduce(DataFrame.unionByName, [head_to_head(summary, m, "base").withColumn("design", F.lit(m)) for m in metrics])
+    gains = gains.join(summary.select("design", "group_scheme", "p_value"), ["design", "group_scheme"])
+    pick = lambda c, scheme: F.max(F.when(F.col("group_scheme") == scheme, F.col(c)))
+    gains = gains.groupBy("design").agg(
+        *(pick("gain", s).alias(f"gain_{s}") for s in SCHEMES),
+        F.coalesce(pick("gain", "species") > 1e-4, F.lit(False)).alias("more"),
+        F.coalesce(pick("p_value", "species") < 0.05, F.lit(False)).alias("sure"),
+    )
+    corr = correlations(cells, metrics, [base, size]).groupBy("feature").pivot("target", [base, size]).agg(F.first("r"))
+    corr = corr.select(F.col("feature").alias("design"), F.col(base).alias("r_base"), F.col(size).alias("r_size"))
+    gains = gains.withColumn("adds", F.col("more") & F.col("sure")).drop("more", "sure")
+    return found, gains.join(corr, "design", "left")
+
+
+def replace_feature(cells: DataFrame, feature: DataFrame, keys: list[str]) -> DataFrame:
+    """Cells with the feature's columns replaced by those of another partition, at its keys; null where that has none."""
+    columns = [c for c in feature.columns if c not in keys]
+    return merge_features_at(cells.drop(*columns), feature, keys)
+
+
 def robustness(variants: dict[str, DataFrame], wanted: DataFrame, design: Design, targets: list[str], support: str, draws: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(summary by variant, verdicts with m = tested variants, variants that are missing)."""
     parts = [run_designs(cells, [design], targets, support, draws).withColumn("variant", F.lit(name)) for name, cells in variants.items()]
@@ -83,8 +151,8 @@ def ablation_designs(factors: list[str], size: str) -> list[Design]:
 
 def ablation(cells: DataFrame, target: str, factors: list[str], size: str, support: str, draws: int) -> DataFrame:
     """(design, group_scheme, delta, p_value, pseudo_r2) of the ablation designs."""
-    designs = ablation_designs(factors, size)
-    fits = [(d.name, float(fit_many(prepare(cells, target, support, d, "category_id"), d).pseudo_r2[0])) for d in designs]
+    designs, cells = ablation_designs(factors, size), stored(cells)
+    fits = [(d.name, float(fit_many(stored(prepare(cells, target, support, d, "category_id")), d).pseudo_r2[0])) for d in designs]
     r2 = cells.sparkSession.createDataFrame(fits, "design string, pseudo_r2 double")
     return run_designs(cells, designs, [target], support, draws).join(r2, "design").select("design", "group_scheme", "delta", "p_value", "pseudo_r2")
 

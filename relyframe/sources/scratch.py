@@ -5,13 +5,29 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_path(spark: SparkSession) -> str:
-    """A new path in the folder named by spark.checkpoint.dir; a temporary folder only where that is unset."""
+    """A new path in the folder named by spark.checkpoint.dir.
+
+    Where that is unset, a temporary folder is made and set, on a local master only: on a cluster each executor would write
+    to a disk of its own.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.conf.get("spark.master", "local")
+        if master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/table-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows written once and read back; the files go when the application ends."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession)
+    df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)

@@ -146,7 +146,7 @@ def convert_tracks(spark: SparkSession, path: str, wanted: DataFrame, max_frames
 
     doc = spark.read.schema(TRACK_SCHEMA).option("multiLine", True).json(path)
     classes = doc.select(F.inline("categories")).select(F.col("id").alias("category_id"), "name", normal_class_name(F.col("name")).alias("class_name"))
-    classes = classes.join(F.broadcast(wanted.select("class_name").distinct()), "class_name", "left_semi")
+    classes = classes.join(wanted.select("class_name").distinct(), "class_name", "left_semi")
     seq = doc.select(F.posexplode("sequences").alias("seq_ord", "s")).select("seq_ord", "s.*")
     every = F.sequence(F.lit(0), F.size("annotated_image_paths") - 1)
     kept = F.when(F.size("annotated_image_paths") > 0, sample_evenly(every, max_frames))
@@ -155,7 +155,7 @@ def convert_tracks(spark: SparkSession, path: str, wanted: DataFrame, max_frames
         "seq_ord", F.concat_ws("__", "dataset", "seq_name").alias("video_name"), F.col("seq_name").alias("location_id"), "kept", "annotated_image_paths",
         "segmentations", "height", "width", F.explode("track_category_ids").alias("track_id", "category_id"),
     )
-    tracks = tracks.join(F.broadcast(classes.select("category_id", F.col("name").alias("noun_phrase"))), "category_id")
+    tracks = tracks.join(classes.select("category_id", F.col("name").alias("noun_phrase")), "category_id")
     tracks = tracks.withColumn("rles", F.transform("kept", lambda i: F.get(F.transform("segmentations", lambda m: F.nullif(m[F.col("track_id")].rle, F.lit(""))), i)))
     tracks = tracks.filter(F.exists("rles", lambda r: r.isNotNull()))
     firsts = first_n(tracks.select("category_id", "seq_ord").distinct(), ["category_id"], ["seq_ord"], per_category)
@@ -165,6 +165,12 @@ def convert_tracks(spark: SparkSession, path: str, wanted: DataFrame, max_frames
     )
 
 
+def category_entries(pairs: DataFrame, names: DataFrame, paths: DataFrame) -> DataFrame:
+    """(id, name, path) of the categories that pairs have, in the order of ids; a null path where the taxonomy has none."""
+    used = pairs.select(F.col("category_id").alias("id")).distinct()
+    return used.join(names.select("id", "name"), "id").join(paths.select("id", "path"), "id", "left").orderBy("id")
+
+
 def read_frames(spark: SparkSession, path: str) -> DataFrame:
     """(name, height, width, rgb) of image files; files that can't be decoded are dropped."""
     images = spark.read.format("image").option("dropInvalid", True).load(path)

@@ -39,13 +39,10 @@ def ingest_embeddings(spark: SparkSession, source: str, schema: str, table_path:
     backlog = spark.readStream.schema(schema).parquet(source)
 
     def batch(new: DataFrame, batch_id: int) -> None:
-        try:
-            done = spark.read.schema(out_schema).parquet(table_path).filter(F.col("batch") != batch_id) if batch_id else None
-        except Exception as e:  # nothing has been written yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            done = None
-        done = spark.createDataFrame([], out_schema) if done is None else done
+        # Batches write in turn, so before the first there is no table, and each later one finds those before it.
+        done = spark.createDataFrame([], out_schema)
+        if batch_id:
+            done = spark.read.schema(f"{out_schema}, batch long").parquet(table_path).filter(F.col("batch") != batch_id)
         encode_missing(new.dropDuplicates(["key"]), done, encoder, out_schema).write.mode("overwrite").parquet(f"{table_path}/batch={batch_id}")
 
     return backlog.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -28,4 +28,5 @@ def differences(spark, query, sql, sf_dir):
     assert sorted(columns) == names
     order = sorted(range(len(columns)), key=columns.__getitem__)
     want = sorted(tuple(plain(r[k]) for k in order) for r in cur.fetchall())
-    return [x for x in got if x not in set(want)][:3], [x for x in want if x not in set(got)][:3], len(got), len(want)
+    more, less = set(got) - set(want), set(want) - set(got)
+    return sorted(more)[:3], sorted(less)[:3], len(got), len(want)

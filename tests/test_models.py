@@ -127,7 +127,9 @@ def test_folds_and_draws_match_single_fits(law):
     ready = models.prepare(law, "pAssA", "n_frames", FULL, "location_id")
     groups = sorted({r.location_id for r in law.select("location_id").collect()})
     counts = np.column_stack([1 - np.eye(12, dtype=int)[:, :2], models.draw_counts(3, 2, 12)])
-    fits = models.fit_many(ready, FULL, counts)
+    fits = models.fit_many(ready, FULL, models.Counts(counts))
+    folds = models.fit_many(ready, FULL, models.LeaveOut(np.arange(2)))
+    assert np.allclose(folds.coef, fits.coef[:2], equal_nan=True) and np.allclose(folds.mean, fits.mean[:2], equal_nan=True) and np.allclose(folds.null_deviance, fits.null_deviance[:2])
     pdf = law.toPandas()
     for b in range(4):
         weights = pdf["location_id"].map({g: counts[k, b] for k, g in enumerate(groups)})

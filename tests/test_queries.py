@@ -16,7 +16,7 @@ def test_query_equals_sql(spark, name):
     assert not extra and not missing and n == m > 0
 
 
-@pytest.mark.parametrize("name", ["glm_full", "frechet", "mmd", "mahalanobis", "cv_species", "designs_verdict", "calibration_band", "track_linking", "frame_suppression"])
+@pytest.mark.parametrize("name", ["glm_full", "frechet", "mahalanobis", "cv_species", "design_verdicts_scaled", "confidence_study", "difficulty_study", "familiarity_study", "track_linking", "frame_suppression"])
 def test_query_gives_rows(spark, name):
     assert queries.QUERIES[name](spark, SMALL).count() > 0
 

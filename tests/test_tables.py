@@ -206,7 +206,7 @@ def test_partition_firewall(spark):
     assert pooled.count() == 6 and pooled.filter("video_key = 'test:v1' and origin_rank = 1").count() == 1
     path = f"{tempfile.mkdtemp(prefix='spark-')}/p"
     partition.save(ok, path)
-    assert spark.read.parquet(path).count() == ok.count()
+    assert partition.load(spark, path).count() == ok.count()
     assert [r.variant for r in partition.variants_missing(spark.createDataFrame([("x",), ("y",)], "variant string"), spark.createDataFrame([("x",)], "variant string")).collect()] == ["y"]
 
 
@@ -294,3 +294,35 @@ def test_fetch_list_and_images(spark):
     videos = spark.createDataFrame([("s1", ["a", "b"]), ("s2", ["a"])], "source string, file_names array<string>")
     have = spark.createDataFrame([("s1", "a")], "source string, file_name string")
     assert {tuple(r) for r in tables.frames_to_fetch(videos, have).collect()} == {("s1", "b"), ("s2", "a")}
+
+
+def test_quantiles_are_exact_with_hot_values(spark):
+    import numpy as np
+
+    values = [3.0] * 400 + [float(k % 37) / 3 for k in range(501)] + [None] * 7
+    rows = spark.createDataFrame([(v,) for v in values], "v double").repartition(5)
+    shares = [0.0, 0.025, 1 / 3, 0.5, 0.71, 1.0]
+    want = np.quantile([v for v in values if v is not None], shares)
+    assert np.allclose(scoring.quantiles(rows, "v", shares), want, rtol=0, atol=1e-12)
+    assert scoring.quantiles(rows.filter("v is null"), "v", [0.5]) is None
+
+
+def test_numbering_spans_ranges(spark):
+    from relyframe.plans import association
+
+    rows = spark.range(1000).selectExpr("concat('k', lpad(cast(id * 7919 % 1000 as string), 4, '0')) as key")
+    got = {r.key: r.g for r in association.numbered(rows, "key").collect()}
+    assert got == {f"k{k:04d}": k for k in range(1000)}
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from relyframe.sources.scratch import scratch_path
+
+    settings = {"spark.master": "spark://host:7077"}
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: settings.get(k, d)))
+    with pytest.raises(ValueError):
+        scratch_path(cluster)
+    settings["spark.checkpoint.dir"] = "hdfs://shared/x/"
+    assert scratch_path(cluster).startswith("hdfs://shared/x/table-")
