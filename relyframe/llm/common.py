@@ -24,21 +24,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new path in the folder that all executors share.
 
-    The cluster names the folder in spark.checkpoint.dir. Only where that is unset (tests on one
-    machine) a temporary folder is made and set.
+    The cluster names the folder in spark.checkpoint.dir. Where that is unset, a temporary folder is made and set, on a local
+    master only: on a cluster each executor would write to a disk of its own.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.conf.get("spark.master", "local").split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/relyframe-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write a frame to the shared folder and read it back: the lineage ends at files that outlive executors."""
-    path = shared_dir(df.sparkSession)
+    """Write a frame to the shared folder and read it back: the lineage ends at files that outlive executors.
+
+    The files go when the application ends; what is read later may still need them before.
+    """
+    spark, path = df.sparkSession, shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def split_words(text: Column) -> Column:

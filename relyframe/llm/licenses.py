@@ -34,7 +34,6 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"),
 }
 _TERM = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
-_LINE_TERMS = r"[^a-z0-9.]+"
 
 
 def terms(line: str) -> list[str]:
@@ -137,23 +136,24 @@ def inherit(scanned: DataFrame) -> DataFrame:
 
     A directory's licence is that of its licence files (the smallest path that has one). A file's own licence comes
     first, with a null ``from_dir``; else that of the nearest ancestor directory, its own directory included. Null
-    paths have no ancestors. Directories are made distinct before their ancestors are listed.
+    paths have no ancestors. Directories are made distinct before their ancestors are listed. Other columns are kept, whatever
+    their names, but for ``effective`` and ``from_dir``, which are replaced. No files give no rows.
     """
-    files = scanned.withColumn("dir", F.regexp_replace("path", r"/?[^/]*$", ""))
-    own = F.struct("path", "licence")
-    licensed = files.filter(F.col("is_licence_file") & F.col("licence").isNotNull() & F.col("path").isNotNull())
-    licensed = licensed.groupBy("dir").agg(F.min(own).alias("own")).select(F.col("dir").alias("ancestor"), F.col("own.licence").alias("given"))
+    names = [c for c in scanned.columns if c not in ("effective", "from_dir")]
+    files = scanned.select(F.struct(*(scanned[c] for c in names)).alias("row"), F.regexp_replace("path", r"/?[^/]*$", "").alias("dir"))
+    licensed = files.filter("row.is_licence_file and row.licence is not null and row.path is not null")
+    licensed = licensed.groupBy("dir").agg(F.min(F.struct("row.path", "row.licence")).alias("own")).select(F.col("dir").alias("ancestor"), F.col("own.licence").alias("given"))
     parts = F.split("dir", "/", -1)
     levels = F.sequence(F.lit(0), F.size(parts))
     ancestors = F.transform(levels, lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(parts, F.lit(1), k), "/").alias("ancestor")))
     dirs = files.select("dir").filter("dir is not null").distinct().select("dir", F.inline(ancestors))
     nearest = dirs.join(licensed, "ancestor").groupBy("dir").agg(F.max(F.struct("depth", "ancestor", "given")).alias("near"))
-    nearest = nearest.select("dir", F.col("near.ancestor").alias("ancestor"), F.col("near.given").alias("given"))
-    # A directory with a third of all files is a hot key of this join, which Spark splits.
+    # Written first: only then is a directory with a third of all files a plain row of the join, which Spark splits.
+    nearest = materialize(nearest.select("dir", F.col("near.ancestor").alias("ancestor"), F.col("near.given").alias("given")))
     return files.join(nearest, "dir", "left").select(
-        *scanned.columns,
-        F.coalesce("licence", "given").alias("effective"),
-        F.when(F.col("licence").isNull(), F.col("ancestor")).alias("from_dir"),
+        "row.*",
+        F.coalesce("row.licence", "given").alias("effective"),
+        F.when(F.col("row.licence").isNull(), F.col("ancestor")).alias("from_dir"),
     )
 
 

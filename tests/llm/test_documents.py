@@ -396,6 +396,13 @@ def test_licences_and_inheritance(spark):
     assert licenses.scan(table.limit(0)).count() == 0
 
 
+def test_inherit_keeps_clashing_columns(spark):
+    rows = [(1, "a/LICENSE", "MIT", True, "own dir", "own row", "old", 5), (2, "a/b/x.py", None, False, "own dir", "own row", "old", 6)]
+    files = spark.createDataFrame(rows, "id long, path string, licence string, is_licence_file boolean, dir string, row string, from_dir string, ancestor long")
+    got = {r.id: r for r in licenses.inherit(files).collect()}
+    assert got[2].effective == "MIT" and got[2].from_dir == "a" and got[2].dir == "own dir" and got[2].row == "own row" and got[2].ancestor == 6
+
+
 def test_prefix_filter_loses_nothing():
     corpus = ["the terms of this work", "Licensed under CC BY-NC 4.0", "licensed under CC BY 4.0 the same", "released under MIT", "Released under the MIT License", "under the License version of the terms"]
     scorer = licenses.Scorer(licenses.TEMPLATES, {"the": 50, "of": 60, "under": 3}, 100)
