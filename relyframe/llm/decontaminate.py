@@ -3,8 +3,8 @@
 Each text becomes hashes of GRAM consecutive words; of every WINDOW - GRAM + 1 neighbouring hashes the least is
 kept. Any WINDOW words that a document shares with a benchmark item contain a kept hash of both, so a join of the
 kept hashes finds every document that may be hit. Hits are then extended: only those documents are read again,
-and their whole windows are joined with the items' windows. Items shorter than a window are windows as a whole,
-and are looked for at their own length.
+their whole windows are joined with the items' windows by hash, and the words of what is found are compared. Items
+shorter than a window are windows as a whole, and are looked for at their own length.
 
 Arrays are unnested with the outer forms of explode: for the inner ones Spark adds a filter on the array's size and
 pushes it down, where it repeats the whole chain of array expressions many times over.
@@ -76,10 +76,10 @@ def _winnowed(rows: DataFrame, hashed: str, out: str) -> DataFrame:
 
 
 def _fingerprints(rows: DataFrame, lengths: list[int]) -> DataFrame:
-    """``rows`` (keys, text) without the text, with the array ``kept``."""
-    keys = [c for c in rows.columns if c != "text"]
-    rows = rows.select(*keys, F.transform(_words(F.col("text")), lambda w: F.xxhash64(w)).alias("_h"))
-    rows = _winnowed(rows, "_h", "kept")
+    """``rows`` (keys, text) without the text, with ``n_words`` and the array ``kept``."""
+    keys = [*(c for c in rows.columns if c != "text"), "n_words"]
+    rows = rows.withColumn("_h", F.transform(_words(F.col("text")), lambda w: F.xxhash64(w))).drop("text")
+    rows = _winnowed(rows.withColumn("n_words", F.size("_h").cast("long")), "_h", "kept")
     for length in lengths:
         rows = _grams(rows, "_h", length, "_short").withColumn("kept", F.concat("kept", F.array_distinct("_short")))
     return rows.select(*keys, "kept")
@@ -95,28 +95,37 @@ def short_lengths(items: DataFrame) -> list[int]:
     return sorted(r.n for r in n.distinct().collect())
 
 
+def _said(words: str, at: Column, length: Column) -> Column:
+    return F.array_join(F.slice(words, at + 1, length), " ")
+
+
 def item_windows(items: DataFrame, lengths: list[int]) -> DataFrame:
-    """(item_id, window, length) of each item: its windows, or itself if it is shorter."""
-    hashed = items.select("item_id", F.transform(_words(F.col("text")), lambda w: F.xxhash64(w)).alias("_h"))
+    """(item_id, window, length, said) of each item: its windows, or itself if it is shorter, hashed and in words."""
+    rows = items.select("item_id", _words(F.col("text")).alias("words"))
+    rows = rows.withColumn("_h", F.transform("words", lambda w: F.xxhash64(w)))
     made = None
     for length in [*lengths, WINDOW]:
-        fit = hashed.filter(F.size("_h") == length) if length < WINDOW else hashed
-        part = _grams(fit, "_h", length, "_g").select("item_id", F.explode_outer("_g").alias("window"), F.lit(length).alias("length"))
+        fit = rows.filter(F.size("_h") == length) if length < WINDOW else rows
+        part = _grams(fit, "_h", length, "_g").select("item_id", "words", F.posexplode_outer("_g").alias("at", "window"))
+        part = part.select("item_id", "window", F.lit(length).alias("length"), _said("words", F.col("at"), F.lit(length)).alias("said"))
         made = part if made is None else made.union(part)
     return materialize(made.filter("window is not null").distinct())
 
 
-def find_windows(docs: DataFrame, items: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFrame:
-    """Occurrences (doc_id, text_key, at, length, window) of items' windows in documents, at word ``at`` (from 0)."""
+def find_windows(docs: DataFrame, prints: DataFrame, items: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFrame:
+    """Occurrences (doc_id, text_key, at, length, window, said) of items' windows in documents, at word ``at`` (from 0).
+
+    ``prints`` are the fingerprints of the documents.
+    """
     marked = materialize(_fingerprints(items.select("text"), lengths).select(F.explode_outer("kept").alias("mark")).filter("mark is not null").distinct())
-    kept = _fingerprints(docs.select("doc_id", "text_key", "text"), lengths)
     # Kept hashes leave the text behind; a document with several hits is named once.
-    named = kept.select("doc_id", "text_key", F.explode_outer("kept").alias("mark"))
+    named = prints.select("doc_id", "text_key", F.explode_outer("kept").alias("mark"))
     named = named.join(_sized(marked, marked.count()), "mark", "left_semi").select("doc_id", "text_key").distinct()
     named = materialize(named)
     same = docs["text_key"].eqNullSafe(named["text_key"]) & docs["doc_id"].eqNullSafe(named["doc_id"])
     again = docs.join(named, same, "left_semi").distinct()
-    rows = again.select("doc_id", "text_key", F.transform(_words(F.col("text")), lambda w: F.xxhash64(w)).alias("_h"))
+    again = materialize(again.select("doc_id", "text_key", _words(F.col("text")).alias("words")))
+    rows = again.select("doc_id", "text_key", F.transform("words", lambda w: F.xxhash64(w)).alias("_h"))
     wanted = windows.select("window", "length").distinct()
     wanted = _sized(wanted, wanted.count())
     found = None
@@ -124,7 +133,10 @@ def find_windows(docs: DataFrame, items: DataFrame, windows: DataFrame, lengths:
         placed = _grams(rows, "_h", length, "_g").select("doc_id", "text_key", F.posexplode_outer("_g").alias("at", "window"))
         hit = placed.withColumn("length", F.lit(length)).join(wanted, ["window", "length"], "left_semi")
         found = hit if found is None else found.union(hit)
-    return found.select("doc_id", "text_key", "at", "length", "window")
+    found = materialize(found).alias("f")
+    same = F.col("f.text_key").eqNullSafe(F.col("a.text_key")) & F.col("f.doc_id").eqNullSafe(F.col("a.doc_id"))
+    found = found.join(again.alias("a"), same).select("f.*", _said("words", F.col("at"), F.col("length")).alias("said"))
+    return found.join(windows.select("window", "length", "said").distinct(), ["window", "length", "said"], "left_semi")
 
 
 def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -139,17 +151,18 @@ def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     items = items.select(F.coalesce(items["item_id"].cast("string"), F.lit("")).alias("item_id"), F.coalesce(items["text"], F.lit("")).alias("text"))
     lengths = short_lengths(items)
     windows = item_windows(items, lengths)
-    found = materialize(find_windows(docs, items, windows, lengths))
+    prints = materialize(_fingerprints(docs, lengths))  # read for the marks and for the numbers of words
+    found = materialize(find_windows(docs, prints, items, windows, lengths))
     keys = ["doc_id", "text_key"]
     covered = found.select(*keys, F.explode(F.sequence("at", F.col("at") + F.col("length") - 1)).alias("word"))
     n_hit = covered.distinct().groupBy(*keys).agg(F.count("*").alias("n_hit"))
-    by_item = found.select(*keys, "window", "length").distinct().join(windows, ["window", "length"])
+    by_item = found.select(*keys, "window", "length", "said").distinct().join(windows, ["window", "length", "said"])
     by_item = by_item.select(*keys, "item_id").distinct()
     by_item = by_item.groupBy(*keys).agg(F.array_sort(F.collect_set("item_id")).alias("items"))
     n_hit, by_item = n_hit.alias("h"), by_item.alias("i")
     same = F.col("h.text_key").eqNullSafe(F.col("i.text_key")) & F.col("h.doc_id").eqNullSafe(F.col("i.doc_id"))
     hit = materialize(n_hit.join(by_item, same).select("h.doc_id", "h.text_key", "n_hit", "items")).alias("h")
-    sized = docs.select(*keys, F.size(_words(F.col("text"))).cast("long").alias("n_words")).alias("d")
+    sized = prints.select(*keys, "n_words").alias("d")
     same = F.col("h.text_key").eqNullSafe(F.col("d.text_key")) & F.col("h.doc_id").eqNullSafe(F.col("d.doc_id"))
     items_or_none = F.coalesce("items", F.array().cast("array<string>"))
     return sized.join(hit, same, "left").select(
@@ -172,7 +185,7 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     items = items.select(F.coalesce(items["text"], F.lit("")).alias("text"), F.lit("").alias("item_id"))
     lengths = short_lengths(items)
     plain = docs.select(doc_id.alias("doc_id"), text_key.alias("text_key"), text.alias("text"))
-    found = find_windows(plain, items, item_windows(items, lengths), lengths).select("doc_id", "text_key").distinct()
+    found = find_windows(plain, _fingerprints(plain, lengths), items, item_windows(items, lengths), lengths).select("doc_id", "text_key").distinct()
     found = materialize(found.withColumn("key", F.xxhash64("doc_id", "text_key")))
     rows = mark_members(keyed, found)
     touched = rows.filter("maybe")
