@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,18 +38,42 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/relyframe-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
+#: Paths written inside each open ``temporary`` block.
+_made: list[list[str]] = []
+
+
+def _folder(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def materialize(df: DataFrame, kept: bool = False) -> DataFrame:
     """Write a frame to the shared folder and read it back: the lineage ends at files that outlive executors.
 
-    The files go when the application ends; what is read later may still need them before.
+    The files go with the ``temporary`` block that they are written in, or, with ``kept``, the block around that; outside any
+    block they go when the application ends.
     """
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
     df.write.parquet(path)
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    system, place = _folder(spark, path)
+    system.deleteOnExit(place)
+    if len(_made) > kept:
+        _made[-1 - kept].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """A block whose written frames, but for kept ones, are deleted behind it: none of them may be read later."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        for path in _made.pop():
+            system, place = _folder(spark, path)
+            system.delete(place, True)
+
+
 def split_words(text: Column) -> Column:
     """Words between runs of ASCII white space, unchanged; none for an empty text."""
     bare = F.btrim(text, F.lit(SPACE_CHARS))

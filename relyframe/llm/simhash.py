@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relyframe.llm.common import mark_members, materialize, table
+from relyframe.llm.common import mark_members, materialize, table, temporary
 from relyframe.llm.components import components
 
 RADIUS = 2
@@ -407,7 +407,7 @@ def _placed(distinct: DataFrame) -> DataFrame:
         left = met.filter(F.col("n") > MEMBERS).select(*columns, "levels")
         if counts.filter(F.col("n") > MEMBERS).isEmpty():
             break
-    return materialize(placed)
+    return placed
 
 
 def _parted(members: DataFrame) -> DataFrame:
@@ -482,7 +482,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     prints = materialize(rows.mapInPandas(each, schema))
     distinct = prints.groupBy("grams").agg(F.min_by(F.struct("key", "fp", "sign", "nodes"), "key").alias("x")).select("grams", "x.*")
     distinct = materialize(distinct)
-    members = _placed(distinct)
+    with temporary(docs.sparkSession):
+        members = materialize(_placed(distinct), kept=True)
     # Only documents that share a node can be similar; their sets are listed once.
     active = materialize(members.select("key", "grams").distinct())
     maybe = mark_members(rows, active.select("key")).filter("maybe").select("text").mapInPandas(listed, "grams long, shingles array<long>")
@@ -501,7 +502,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Repeated rows of an id are one document, of which one row stays; a null id counts as larger than all others.
     Only documents that may have to go are shuffled.
     """
-    found = materialize(near_copies(docs, id_col, text_col))
+    with temporary(docs.sparkSession):
+        found = materialize(near_copies(docs, id_col, text_col), kept=True)
     gone = found.filter("key <> first").select("key").distinct()
     repeated = found.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     whole = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.coalesce(docs[id_col].cast("long"), F.lit(_LAST)).alias("key"))

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relyframe.llm.common import mark_members, materialize, table
+from relyframe.llm.common import mark_members, materialize, table, temporary
 
 LENGTH = 50
 GRAM = 8
@@ -295,6 +295,19 @@ def references(candidates: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     """
     schema = "anchor long, content long, key long, tk long, at int, n int"
     stretches = materialize(candidates.select("key", "tk", "text", "shared").mapInPandas(_stretches, schema))
+    with temporary(candidates.sparkSession):
+        runs = materialize(_first_runs(candidates, stretches), kept=True)
+    n_shards = max(1, math.ceil((runs.agg(F.sum("n")).first()[0] or 0) / SHARD_WORDS))
+    piece = F.explode(F.sequence(F.floor(F.col("at") / PIECE), F.floor((F.col("at") + F.col("n") - 1) / PIECE)))
+    runs = runs.withColumn("piece", piece)
+    begin = F.greatest(F.col("at"), F.col("piece") * PIECE)
+    end = F.least(F.col("at") + F.col("n"), (F.col("piece") + 1) * PIECE)
+    shard = F.pmod(F.xxhash64("key", "tk", "piece"), F.lit(n_shards)).alias("shard")
+    return stretches, runs.select(shard, "anchor", "key", "tk", begin.cast("int").alias("at"), (end - begin).cast("int").alias("n")), n_shards
+
+
+def _first_runs(candidates: DataFrame, stretches: DataFrame) -> DataFrame:
+    """(anchor, key, tk, at, n) of the reference windows."""
     # Equal stretches are one row from here on; the first document stands for it.
     contents = stretches.groupBy("anchor", "content", "n").agg(F.min(F.struct("key", "tk", "at")).alias("own"), F.max("key").alias("high"))
     contents = materialize(contents.select("anchor", "n", "own.*", "high"))
@@ -306,14 +319,7 @@ def references(candidates: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     windows = candidates.select("key", "tk", "text").join(asked, ["key", "tk"]).mapInPandas(_windows, _WINDOW_SCHEMA)
     first = windows.groupBy("h1", "h2").agg(F.min(F.struct("key", "tk", "at", "anchor")).alias("own"), F.max("high").alias("high"))
     first = first.filter("own.key < high").select("own.anchor", "own.key", "own.tk", "own.at", F.lit(1).alias("n"))
-    runs = materialize(alone.union(first))
-    n_shards = max(1, math.ceil((runs.agg(F.sum("n")).first()[0] or 0) / SHARD_WORDS))
-    piece = F.explode(F.sequence(F.floor(F.col("at") / PIECE), F.floor((F.col("at") + F.col("n") - 1) / PIECE)))
-    runs = runs.withColumn("piece", piece)
-    begin = F.greatest(F.col("at"), F.col("piece") * PIECE)
-    end = F.least(F.col("at") + F.col("n"), (F.col("piece") + 1) * PIECE)
-    shard = F.pmod(F.xxhash64("key", "tk", "piece"), F.lit(n_shards)).alias("shard")
-    return stretches, runs.select(shard, "anchor", "key", "tk", begin.cast("int").alias("at"), (end - begin).cast("int").alias("n")), n_shards
+    return alone.union(first)
 
 
 def _found(candidates: DataFrame, stretches: DataFrame, runs: DataFrame, n_shards: int) -> DataFrame:
@@ -353,11 +359,13 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # Anchors of first texts that other documents have, too.
     anchors = scanned.select("key", "tk", "anchors").join(copies, ["key", "tk"], "left_anti").select("key", "tk", F.explode("anchors").alias("anchor"))
     shared = anchors.groupBy("anchor").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low < high").select("anchor")
-    # Written first: only then is a hot anchor a plain row of the join, which Spark splits.
-    shared = materialize(anchors.join(materialize(shared), "anchor").groupBy("key", "tk").agg(F.collect_set("anchor").alias("shared")))
-    candidates = mark_members(docs.select("key", "tk", "text"), shared.select("key")).filter("maybe").drop("maybe")
-    candidates = materialize(candidates.join(shared, ["key", "tk"]).dropDuplicates(["key", "tk"]))
-    spans = _found(candidates, *references(candidates))
+    with temporary(docs.sparkSession):
+        # Written first: only then is a hot anchor a plain row of the join, which Spark splits.
+        shared = materialize(anchors.join(materialize(shared), "anchor").groupBy("key", "tk").agg(F.collect_set("anchor").alias("shared")))
+        candidates = mark_members(docs.select("key", "tk", "text"), shared.select("key")).filter("maybe").drop("maybe")
+        candidates = materialize(candidates.join(shared, ["key", "tk"]).dropDuplicates(["key", "tk"]), kept=True)
+    with temporary(docs.sparkSession):
+        spans = materialize(_found(candidates, *references(candidates)), kept=True)
     schema = "key long, tk long, n_removed long, kept_sha256 string, removed array<struct<begin:long,end:long>>"
     changed = candidates.select("key", "tk", "text").join(spans, ["key", "tk"]).mapInPandas(_remaining, schema)
     whole = F.array(F.struct(F.lit(0).cast("long").alias("begin"), F.col("n_words").alias("end")))
@@ -396,8 +404,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A removed word goes with the white space behind it. Null texts stay null; columns are kept.
     """
-    spans = repeated_spans(docs, id_col, text_col).filter("n_removed > 0").select("key", "tk", "removed")
-    spans = materialize(spans.distinct())
+    with temporary(docs.sparkSession):
+        spans = repeated_spans(docs, id_col, text_col).filter("n_removed > 0").select("key", "tk", "removed")
+        spans = materialize(spans.distinct(), kept=True)
     names = docs.columns
     # Under numbers, so that no column clashes with those of the work.
     kinds = ", ".join(f"c{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(names) if c != text_col)
