@@ -31,7 +31,7 @@ from relyframe.llm.common import mark_members, materialize, table, temporary
 
 LENGTH = 50
 GRAM = 8
-#: Words of reference text to a shard, on average; windows to a piece of it; words streamed through one copy of a shard.
+#: Words of reference text to a shard, on average; words of a document whose anchors share a home; words streamed through one copy.
 SHARD_WORDS, PIECE, COPY_WORDS = 40_000, 4_096, 1_000_000
 #: Rows after which a task hands on a batch.
 BATCH_ROWS = 200_000
@@ -233,18 +233,17 @@ def _union(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _cut(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The words of a document's reference windows, in pieces by shard, and of the stretches that each shard is to tell about."""
+    """The words of a document's reference windows by shard, and of the stretches that each shard is to tell about."""
     names = [x.split()[0] for x in _PIECE_SCHEMA.split(", ")]
     for pdf in batches:
         rows = []
         for key, tk, text, *lists in zip(pdf["key"], pdf["tk"], pdf["text"], pdf["owned"], pdf["later"], strict=True):
             words = text.split()
             for spans, is_doc in zip(lists, (False, True), strict=True):
-                by_shard: dict[tuple[int, int], list] = {}
+                by_shard: dict[int, list] = {}
                 for p in spans if spans is not None else []:
-                    piece = 0 if is_doc else p["at"] // PIECE
-                    by_shard.setdefault((p["shard"], piece), []).append((p["at"], p["at"] + p["n"]))
-                for (shard, _), own in by_shard.items():
+                    by_shard.setdefault(p["shard"], []).append((p["at"], p["at"] + p["n"]))
+                for shard, own in by_shard.items():
                     rows += [(shard, key, tk, a, b" ".join(words[a : b + LENGTH - 1]), is_doc) for a, b in _union(own)]
         yield pd.DataFrame(rows, columns=names, dtype=object)
 
@@ -287,9 +286,9 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> list:
     return [doc_id.alias("doc_id"), key.alias("key"), F.xxhash64(text).alias("tk"), text.cast("binary").alias("text")]
 
 
-def references(candidates: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """Stretches (anchor, content, key, tk, at, n) of the candidates, the reference windows (shard, anchor, key, tk, at, n), and
-    the number of shards.
+def references(candidates: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Stretches (anchor, content, key, tk, at, n) of the candidates, the reference windows (shard, key, tk, at, n), and the
+    shards that a stretch around an anchor asks (anchor, shard, low: the anchor's first owner).
 
     A reference row is a run of n windows of a document from word ``at`` that a later document has, too, and no earlier one.
     """
@@ -298,12 +297,15 @@ def references(candidates: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     with temporary(candidates.sparkSession):
         runs = materialize(_first_runs(candidates, stretches), kept=True)
     n_shards = max(1, math.ceil((runs.agg(F.sum("n")).first()[0] or 0) / SHARD_WORDS))
-    piece = F.explode(F.sequence(F.floor(F.col("at") / PIECE), F.floor((F.col("at") + F.col("n") - 1) / PIECE)))
-    runs = runs.withColumn("piece", piece)
-    begin = F.greatest(F.col("at"), F.col("piece") * PIECE)
-    end = F.least(F.col("at") + F.col("n"), (F.col("piece") + 1) * PIECE)
-    shard = F.pmod(F.xxhash64("key", "tk", "piece"), F.lit(n_shards)).alias("shard")
-    return stretches, runs.select(shard, "anchor", "key", "tk", begin.cast("int").alias("at"), (end - begin).cast("int").alias("n")), n_shards
+    # An anchor's windows go to the shard of its first owner's piece, so that a stretch asks one shard, and neighbouring ones the
+    # same; an anchor with more windows than a shard has words is spread over several.
+    first = F.min(F.struct("key", "tk", F.floor(F.col("at") / PIECE).alias("piece"))).alias("first")
+    homes = materialize(runs.groupBy("anchor").agg(first, F.ceil(F.sum("n") / SHARD_WORDS).alias("parts")))
+    shard = lambda part: F.pmod(F.xxhash64("first.key", "first.tk", "first.piece", part), F.lit(n_shards)).alias("shard")
+    placed = runs.join(homes, "anchor").select(shard(F.pmod(F.xxhash64("key", "tk"), F.col("parts"))), "key", "tk", "at", "n")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")
+    asks = homes.select("anchor", "first", every).select("anchor", shard(F.col("part")), F.col("first.key").alias("low")).distinct()
+    return stretches, placed, asks
 
 
 def _first_runs(candidates: DataFrame, stretches: DataFrame) -> DataFrame:
@@ -322,12 +324,11 @@ def _first_runs(candidates: DataFrame, stretches: DataFrame) -> DataFrame:
     return alone.union(first)
 
 
-def _found(candidates: DataFrame, stretches: DataFrame, runs: DataFrame, n_shards: int) -> DataFrame:
+def _found(candidates: DataFrame, stretches: DataFrame, runs: DataFrame, asks: DataFrame) -> DataFrame:
     """(key, tk, spans) of the documents' words that a shard's automaton finds in another document's reference text."""
     listed = lambda df, name: df.groupBy("key", "tk").agg(F.collect_list(F.struct("shard", "at", "n")).alias(name))
-    asks = materialize(runs.groupBy("anchor", "shard").agg(F.min("key").alias("low")))
-    # A hot anchor is a plain row on both sides, which Spark splits.
-    later = stretches.join(asks, "anchor").filter("low < key").select("key", "tk", "shard", "at", "n")
+    # Written first: a hot anchor is then a plain row on both sides, which Spark splits.
+    later = stretches.join(materialize(asks), "anchor").filter("low < key").select("key", "tk", "shard", "at", "n")
     parts = listed(runs, "owned").join(listed(later, "later"), ["key", "tk"], "full")
     cut = materialize(candidates.select("key", "tk", "text").join(parts, ["key", "tk"]).mapInPandas(_cut, _PIECE_SCHEMA))
     size = F.sum(F.when(F.col("is_doc"), F.octet_length("words")))
