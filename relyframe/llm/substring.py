@@ -27,12 +27,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relyframe.llm.common import mark_members, materialize, table, temporary
+from relyframe.llm.common import bucketed, mark_members, materialize, table, temporary
 
 LENGTH = 50
 GRAM = 8
 #: Words of reference text to a shard, on average; words of a document whose anchors share a home; words streamed through one copy.
 SHARD_WORDS, PIECE, COPY_WORDS = 40_000, 4_096, 1_000_000
+#: Words of all documents to a bucket of the candidates.
+BUCKET_WORDS = 4_000_000
 #: Rows after which a task hands on a batch.
 BATCH_ROWS = 200_000
 _LAST = (1 << 63) - 1
@@ -358,13 +360,18 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     copies = narrow.join(firsts, ["t1", "t2"]).filter("first < key").select("key", "tk").distinct()
     copies = materialize(copies)
     # Anchors of first texts that other documents have, too.
-    anchors = scanned.select("key", "tk", "anchors").join(copies, ["key", "tk"], "left_anti").select("key", "tk", F.explode("anchors").alias("anchor"))
+    marked = mark_members(scanned.select("key", "tk", "anchors"), copies.select("key"))
+    anchors = marked.filter("not maybe").union(marked.filter("maybe").join(copies, ["key", "tk"], "left_anti"))
+    anchors = anchors.select("key", "tk", F.explode("anchors").alias("anchor"))
     shared = anchors.groupBy("anchor").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low < high").select("anchor")
     with temporary(docs.sparkSession):
         # Written first: only then is a hot anchor a plain row of the join, which Spark splits.
         shared = materialize(anchors.join(materialize(shared), "anchor").groupBy("key", "tk").agg(F.collect_set("anchor").alias("shared")))
         candidates = mark_members(docs.select("key", "tk", "text"), shared.select("key")).filter("maybe").drop("maybe")
-        candidates = materialize(candidates.join(shared, ["key", "tk"]).dropDuplicates(["key", "tk"]), kept=True)
+        # In buckets: their texts are joined by document three times below, and are shuffled this once only.
+        n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil((scanned.agg(F.sum("n_words")).first()[0] or 0) / BUCKET_WORDS))
+        candidates = candidates.repartition(n, "key", "tk").join(shared, ["key", "tk"]).dropDuplicates(["key", "tk"])
+        candidates = bucketed(candidates, n, "key", "tk")
     with temporary(docs.sparkSession):
         spans = materialize(_found(candidates, *references(candidates)), kept=True)
     schema = "key long, tk long, n_removed long, kept_sha256 string, removed array<struct<begin:long,end:long>>"
@@ -384,20 +391,22 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
-def _without(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _without(texts: pd.Series, removed: pd.Series) -> pd.Series:
+    """The texts without their removed words; a null list leaves a text as it is."""
     word = re.compile(rb"[^\x20\x09-\x0D]+")
-    for pdf in batches:
-        texts = []
-        for text, removed in zip(pdf["text"], pdf["removed"], strict=True):
-            text = bytes(text)
-            at = [m.start() for m in word.finditer(text)] + [len(text)]
-            begins, out = 0, []
-            for r in sorted((r["begin"], r["end"]) for r in removed):
-                out.append(text[begins : at[r[0]]])
-                begins = at[r[1]]
-            out.append(text[begins:])
-            texts.append(b"".join(out).decode())
-        yield pdf.drop(columns=["text", "removed"]).assign(text=texts)
+    out = []
+    for text, spans in zip(texts, removed, strict=True):
+        if text is None or spans is None:
+            out.append(None if text is None else bytes(text).decode())
+            continue
+        text, begins, kept = bytes(text), 0, []
+        at = [m.start() for m in word.finditer(text)] + [len(text)]
+        for r in sorted((r["begin"], r["end"]) for r in spans):
+            kept.append(text[begins : at[r[0]]])
+            begins = at[r[1]]
+        kept.append(text[begins:])
+        out.append(b"".join(kept).decode())
+    return pd.Series(out, dtype=object)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -410,16 +419,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         spans = materialize(spans.distinct(), kept=True)
     names = docs.columns
     # Under numbers, so that no column clashes with those of the work.
-    kinds = ", ".join(f"c{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(names) if c != text_col)
     whole = docs.select(F.struct(*(docs[c].alias(f"c{k}") for k, c in enumerate(names))).alias("row"), *_keyed(docs, id_col, text_col)[1:3])
     rows = mark_members(whole, spans.select("key"))
     touched = rows.filter("maybe").join(spans, ["key", "tk"], "left")
-    at = names.index(text_col)
-    others = [f"row.c{k}" for k in range(len(names)) if k != at]
-    bare = touched.filter("removed is not null").select(*others, F.col(f"row.c{at}").cast("binary").alias("text"), "removed")
-    cut = bare.mapInPandas(_without, f"{kinds}, text string".lstrip(", ")).withColumnRenamed("text", f"c{at}")
-    same = rows.filter("not maybe").select("row.*").union(touched.filter("removed is null").select("row.*"))
-    return same.unionByName(cut).toDF(*names)
+    at = f"c{names.index(text_col)}"
+    cut = F.pandas_udf(_without, "string")(F.col(f"row.{at}").cast("binary"), F.col("removed"))
+    touched = touched.select(F.col("row").withField(at, cut).alias("row"))
+    return rows.filter("not maybe").select("row").union(touched).select("row.*").toDF(*names)
 
 
 def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
