@@ -240,6 +240,15 @@ def test_substring_overlapping_passages(spark):
     assert got == Counter(brute_repeats(rows))
 
 
+def test_cut_keeps_other_columns_exactly(spark):
+    passage = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, passage, (1 << 62) + 1), (2, f"own {passage} end", None), (3, f"more {passage}", (1 << 53) + 1), (4, None, 7), (5, "", None), (None, None, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, big long")
+    got = sorted(((r.doc_id, r.text, r.big) for r in substring.remove_repeats(table).collect()), key=str)
+    want = [rows[0], (2, "own end", None), (3, "more ", (1 << 53) + 1), *rows[3:]]
+    assert got == sorted(want, key=str)
+
+
 def test_substring_keeps_other_texts(docs, empty):
     cut = substring.remove_repeats(docs)
     assert cut.columns == docs.columns and cut.count() == len(documents())
