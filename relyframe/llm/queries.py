@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relyframe.llm import chat, decontaminate, html_text, licenses, packing, quality, sharding, simhash, substring, warc
+from relyframe.llm import alignment, chat, decontaminate, html_text, licenses, packing, quality, secrets, sharding, simhash, spelling, substring, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_simhash": simhash.op10_simhash,
+    "op11_alignment": alignment.op11_alignment,
+    "op12_secrets": secrets.op12_secrets,
+    "op13_spelling": spelling.op13_spelling,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -27,4 +30,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_substring": substring.OP5_SQL,
     "op8_quality_rules": quality.OP8_SQL,
     "op9_decontamination": decontaminate.OP9_SQL,
+    "op12_secrets": secrets.OP12_SQL,
+    "op13_spelling": spelling.OP13_SQL,
 }
