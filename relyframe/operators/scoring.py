@@ -54,21 +54,38 @@ def coverage(rows: DataFrame, columns: list[str]) -> DataFrame:
     return counts.select(F.inline(each))
 
 
+def score_counts(entries: DataFrame, cell: list[str]) -> DataFrame:
+    """(cell, score, n): how often each score occurs; a null score ran and found nothing. Counts of parts of the rows can be added."""
+    return entries.groupBy(*cell, "score").agg(F.count("*").alias("n"))
+
+
+def frame_sums(entries: DataFrame, cell: list[str]) -> DataFrame:
+    """(cell, covered, total): frames of the distinct probes. Sums of parts can be added where no probe is in two of them."""
+    frames = entries.select(*cell, "probe", "covered", "total").distinct().groupBy(*cell)
+    return frames.agg(F.sum("covered").alias("covered"), F.sum("total").alias("total"))
+
+
 def confidence_cells(entries: DataFrame, threshold: float | Column, cell: list[str]) -> DataFrame:
     """Confidence of cells from prediction rows (cell, probe, score, covered, total; null score: ran and found nothing).
 
     ``conf_share`` of masklets at or above the threshold, mean, exact median, and covered over total frames; an
     inferred cell without masklets gives zeros.
     """
+    return confidence_of_counts(score_counts(entries, cell), frame_sums(entries, cell), threshold, cell)
+
+
+def confidence_of_counts(counts: DataFrame, frames: DataFrame, threshold: float | Column, cell: list[str]) -> DataFrame:
+    """``confidence_cells`` from sums of ``score_counts`` and ``frame_sums``; several rows of one score or cell are added."""
     threshold = threshold if isinstance(threshold, Column) else F.lit(threshold)
-    frames = entries.select(*cell, "probe", "covered", "total").distinct().groupBy(*cell)
-    frames = frames.agg(F.sum("covered").alias("covered"), F.sum("total").alias("total"))
-    scores = entries.groupBy(*cell).agg(
-        F.avg(F.when(F.col("score").isNotNull(), (F.col("score") >= threshold).cast("double"))).alias("conf_share"),
-        F.avg("score").alias("conf_mean"),
-        F.percentile("score", F.lit(0.5)).alias("conf_median"),
+    counts = stored(counts.groupBy(*cell, "score").agg(F.sum("n").alias("n")))
+    real = F.when(F.col("score").isNotNull(), F.col("n"))
+    scores = counts.groupBy(*cell).agg(
+        ratio(F.sum(F.when(F.col("score") >= threshold, F.col("n"))), F.sum(real)).alias("conf_share"),
+        ratio(F.sum(F.col("score") * F.col("n")), F.sum(real)).alias("conf_mean"),
     )
-    joined = scores.join(frames, cell)
+    medians = grouped_quantile(counts, cell, "score", 0.5).withColumnRenamed("quantile", "conf_median")
+    frames = frames.groupBy(*cell).agg(F.sum("covered").alias("covered"), F.sum("total").alias("total"))
+    joined = scores.join(frames, cell).join(medians, cell, "left")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     return joined.select(
         *cell, zero(F.col("conf_share")).alias("conf_share"), zero(F.col("conf_mean")).alias("conf_mean"),
@@ -76,6 +93,44 @@ def confidence_cells(entries: DataFrame, threshold: float | Column, cell: list[s
     )
 
 
+#: Distinct values of a group up to which one aggregate holds them, and parts into which a larger group's range is cut in each pass.
+GROUP_VALUES, RANGE_PARTS = 65_536, 4_096
+
+
+def grouped_quantile(counts: DataFrame, keys: list[str], value: str, share: float) -> DataFrame:
+    """(keys, quantile): the exact interpolated quantile of each group of (keys, value, n) rows, nulls left out.
+
+    ``counts`` has a row a group and value, and should be stored. Groups with more than GROUP_VALUES values are never brought
+    together: all of them are narrowed at once, by counts of RANGE_PARTS parts of the range in which the asked rank lies, until
+    that range is one value. A part is a map-side sum, and each pass divides the range.
+    """
+    counts = counts.select(*keys, F.col(value).cast("double").alias("v"), "n").filter("v is not null")
+    sizes = stored(counts.groupBy(*keys).agg(F.count("*").alias("values"), F.sum("n").alias("total"), F.min("v").alias("low"), F.max("v").alias("high")))
+    large = sizes.filter(F.col("values") > GROUP_VALUES)
+    same = lambda a, b: [a[k].eqNullSafe(b[k]) for k in keys]
+    if large.isEmpty():
+        return counts.groupBy(*keys).agg(F.percentile("v", F.lit(share), F.col("n")).alias("quantile"))
+    small = counts.join(large, same(counts, large), "left_anti").groupBy(*keys).agg(F.percentile("v", F.lit(share), F.col("n")).alias("quantile"))
+    place = F.lit(share) * (F.col("total") - 1)
+    ranks = F.array_distinct(F.array(F.floor(place), F.ceil(place)))
+    zero = F.lit(0).cast("long")
+    asked = stored(large.select(*(F.col(k).alias(f"_{k}") for k in keys), F.explode(ranks).alias("rank"), "low", "high", zero.alias("before"), place.alias("place")))
+    of = [f"_{k}" for k in keys]
+    while not asked.filter("low < high").isEmpty():
+        done = asked.filter("low >= high")
+        met = counts.join(asked.filter("low < high"), [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]).filter("v between low and high")
+        # Halves first, so that a range of all doubles doesn't overflow.
+        part = F.least(F.floor((F.col("v") / 2 - F.col("low") / 2) / (F.col("high") / 2 - F.col("low") / 2) * RANGE_PARTS), F.lit(RANGE_PARTS - 1))
+        parts = met.groupBy(*of, "rank", "before", "place", part.alias("part")).agg(F.sum("n").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+        upto = F.sum("n").over(Window.partitionBy(*of, "rank").orderBy("part")) + F.col("before")
+        found = parts.withColumn("upto", upto).filter("rank < upto and rank >= upto - n")
+        asked = stored(done.union(found.select(*of, "rank", "low", "high", (F.col("upto") - F.col("n")).alias("before"), "place")))
+    first, last = F.min_by("low", "rank"), F.max_by("low", "rank")
+    share_of = F.max("place") - F.min("rank")
+    ends = asked.groupBy(*of).agg((first + (last - first) * share_of).alias("quantile"))
+    return small.union(ends.select(*(F.col(f"_{k}").alias(k) for k in keys), "quantile"))
+
+
 def quantiles(rows: DataFrame, column: str, shares: list[float]) -> list[float] | None:
     """Exact interpolated quantiles of a column's values, nulls left out; None without any value.
 

@@ -288,46 +288,6 @@ def cluster_bootstrap(rows: DataFrame, target: str, support: str | None, design:
     return spark.createDataFrame([(t, clean(a), clean(b)) for t, a, b in zip(design.terms, lo, hi, strict=True)], names)
 
 
-def _predict(rows: DataFrame, fits: Fits, model_of: dict[str, int] | None, keep: list[str]) -> DataFrame:
-    """Prepared rows with ``predicted`` from the model of their group (or the only one); null where that fit failed."""
-    p, fields = len(fits.design.terms), rows.select(*keep).schema.fields
-    coef, mean, scale = np.nan_to_num(fits.coef), fits.mean, fits.scale
-    ok = fits.ok
-
-    def each(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            x = pdf[[f"x{k}" for k in range(p - 1)]].to_numpy(float) if p > 1 else np.empty((len(pdf), 0))
-            own = pdf["grp"].map(model_of).to_numpy(int) if model_of else np.zeros(len(pdf), int)
-            out = np.full(len(pdf), np.nan)
-            for b in np.unique(own):
-                at = own == b
-                if ok[b]:
-                    out[at] = 1 / (1 + np.exp(-_design_matrix(x[at], mean[b], scale[b]) @ coef[b]))
-            yield pdf[keep].assign(predicted=pd.Series(out, index=pdf.index).astype(object).where(~np.isnan(out), None).astype("Float64"))
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return rows.mapInPandas(each, f"{schema}, predicted double")
-
-
-def oos_predictions(rows: DataFrame, target: str, support: str | None, design: Design, group: str, scheme: str, cell: list[str], folds: int | None = None) -> DataFrame:
-    """(cell, target, group_scheme, group, actual, predicted): each group predicted by a model without it.
-
-    Null targets and empty groups are left out; below two groups there are no rows. With ``folds``, whole groups are dealt by
-    hash to that many, which then are the groups; without, more than MOST_GROUPS groups raise.
-    """
-    ready = prepare(rows, target, support, design, group, cell)
-    if folds is not None:
-        ready = ready.withColumn("grp", F.pmod(F.xxhash64("grp"), F.lit(folds)).cast("string"))
-    ready = stored(ready.withColumn("group", F.col("grp")))
-    n = ready.select("grp").distinct().count()
-    if n < 2:
-        ready = ready.limit(0)
-        return ready.select(*cell, F.lit(target).alias("target"), F.lit(scheme).alias("group_scheme"), "group", F.col("y").alias("actual"), F.lit(None).cast("double").alias("predicted"))
-    fits = fit_many(ready, design, LeaveOut(np.arange(n)))
-    out = _predict(ready, fits, {g: k for k, g in enumerate(fits.groups)}, [*cell, "group", "y"])
-    return out.select(*cell, F.lit(target).alias("target"), F.lit(scheme).alias("group_scheme"), "group", F.col("y").alias("actual"), "predicted")
-
-
 def cv_summary(oos: DataFrame, by: list[str], draws: int, seed: int = 0) -> DataFrame:
     """(by, n, mae, baseline_mae, delta, delta_lo, delta_hi, p_value, significant) over predicted rows.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from relyframe.functions import scalars as S
 from relyframe.operators import caps, nearest, partition, scoring, tracks, vectors
-from relyframe.plans import association, mapping, models, studies
+from relyframe.plans import association, grid, mapping, models, studies
 from relyframe.plans.mapping import CELLS_SQL, PROBE_SQL
 from relyframe.sources import tables
 from relyframe.sources.scratch import scratch_path, stored
@@ -466,9 +466,11 @@ def stream_confidence(spark, d):
     rows = mapping.predictions(spark, d).withColumn("video_id", F.col("day")).withColumn("category_id", F.col("user_id"))
     frames = rows.groupBy("video_id", "category_id").agg(F.count_distinct("frame_idx").alias("covered"), (F.max("frame_idx") + 1).alias("total"))
     source, made = scratch_path(spark), scratch_path(spark)
-    rows.join(frames, ["video_id", "category_id"]).select("video_id", "category_id", "score", "covered", "total").write.parquet(source)
-    stream = spark.readStream.schema("video_id string, category_id string, score double, covered long, total long").parquet(source)
-    incremental.ingest_rows(stream, made, scratch_path(spark)).awaitTermination()
+    probes = rows.groupBy("video_id", "category_id").agg(F.collect_list("score").alias("scores")).join(frames, ["video_id", "category_id"])
+    probes.write.parquet(source)
+    probes.filter(F.col("category_id") % 2 == 0).write.mode("append").parquet(source)  # delivered again under another name
+    stream = spark.readStream.schema(probes.schema).option("maxFilesPerTrigger", 8).parquet(source)
+    incremental.ingest_probes(stream, made, scratch_path(spark)).awaitTermination()
     cells = incremental.confidence_of(spark, made, 0.3)
     return cells.select("category_id", *_r("conf_share"), *_up("conf_mean", "conf_median"), *_r("conf_coverage"))
 
@@ -620,7 +622,7 @@ _CELL_FULL = models.Design("full", ("year", "frames"), support=True)
 @query(f"""{_CELLS}, t AS (SELECT category_id, sum(n_frames * pDetA) AS wy, sum(n_frames) AS w FROM cells WHERE pDetA IS NOT NULL GROUP BY 1)
 SELECT {_CELL}, round(pDetA + 1e-9, 6) AS actual, round(((SELECT sum(wy) FROM t) - wy) / ((SELECT sum(w) FROM t) - w), 6) AS predicted FROM cells JOIN t USING (category_id) WHERE pDetA IS NOT NULL""")
 def logo_intercept(spark, d):
-    oos = models.oos_predictions(mapping.cells(spark, d), "pDetA", "n_frames", _INTERCEPT, "category_id", "species", CELL)
+    oos = grid.oos_predictions(mapping.cells(spark, d), "pDetA", "n_frames", _INTERCEPT, "category_id", "species", CELL)
     return oos.select(*CELL, *_up("actual"), *_r("predicted"))
 
 
@@ -646,7 +648,7 @@ def cluster_bootstrap_ci(spark, d):
 
 
 def _cv(spark, d, scheme: str) -> DataFrame:
-    oos = models.oos_predictions(_feat(spark, d), "pDetA", "n_frames", _CELL_FULL, studies.SCHEMES[scheme], scheme, CELL)
+    oos = grid.oos_predictions(_feat(spark, d), "pDetA", "n_frames", _CELL_FULL, studies.SCHEMES[scheme], scheme, CELL)
     found = models.cv_summary(oos, ["group_scheme", "target"], DRAWS)
     return found.select("group_scheme", "target", "n", *_r("mae", "baseline_mae", "delta", "delta_lo", "delta_hi", "p_value"), "significant")
 
@@ -674,7 +676,7 @@ num AS (SELECT category_id, sum(d) AS s, count(*) AS c, row_number() OVER (ORDER
 boot AS (SELECT b, sum(m * s) / sum(m * c) AS d FROM drawn JOIN num USING (g) GROUP BY 1)
 SELECT 'species' AS group_scheme, round(quantile_cont(d, 0.025), 6) AS delta_lo, round(quantile_cont(d, 0.975), 6) AS delta_hi, round(avg(CAST(d <= 0 AS DOUBLE)), 6) AS p_value, quantile_cont(d, 0.025) > 0 AS significant FROM boot""")
 def paired_bootstrap_delta(spark, d):
-    oos = models.oos_predictions(mapping.cells(spark, d), "pDetA", "n_frames", _INTERCEPT, "category_id", "species", CELL)
+    oos = grid.oos_predictions(mapping.cells(spark, d), "pDetA", "n_frames", _INTERCEPT, "category_id", "species", CELL)
     return models.cv_summary(oos, ["group_scheme"], DRAWS).select("group_scheme", *_r("delta_lo", "delta_hi", "p_value"), "significant")
 
 

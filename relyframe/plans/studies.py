@@ -11,7 +11,8 @@ from relyframe.operators.caps import species_mean
 from relyframe.operators.partition import assert_no_leakage, variants_missing
 from relyframe.operators.scoring import CELL, correlations, coverage, fp_by_species, fp_overall, quantile_bins
 from relyframe.plans.association import bootstrap_corr, bootstrap_partial, line_validation
-from relyframe.plans.models import Design, cv_summary, fit_many, oos_predictions, prepare, shapley_r2
+from relyframe.plans.grid import oos_grid
+from relyframe.plans.models import Design, cv_summary, shapley_r2
 from relyframe.sources.scratch import stored
 
 SCHEMES = {"species": "category_id", "location": "location_id"}
@@ -41,12 +42,8 @@ def assemble_features(cells: DataFrame, partition: DataFrame, held_axis: str, lo
 
 def run_designs(cells: DataFrame, designs: list[Design], targets: list[str], support: str | None, draws: int, schemes: dict[str, str] = SCHEMES, seed: int = 0) -> DataFrame:
     """(design, group_scheme, target, n, mae, baseline_mae, delta, delta_lo, delta_hi, p_value, significant)."""
-    cells = stored(cells)  # each design, target and scheme reads them
-    parts = [
-        oos_predictions(cells, target, support, design, column, scheme, CELL).withColumn("design", F.lit(design.name))
-        for design in designs for target in targets for scheme, column in schemes.items()
-    ]
-    return cv_summary(reduce(DataFrame.unionByName, parts), ["design", "group_scheme", "target"], draws, seed)
+    oos, _ = oos_grid(cells, designs, targets, support, schemes, CELL)  # one grid: all share each scan
+    return cv_summary(oos, ["design", "group_scheme", "target"], draws, seed)
 
 
 def verdicts(summary: DataFrame, n_tests: int, by: list[str] = ("design",), schemes: int = 2) -> DataFrame:
@@ -151,10 +148,11 @@ def ablation_designs(factors: list[str], size: str) -> list[Design]:
 
 def ablation(cells: DataFrame, target: str, factors: list[str], size: str, support: str, draws: int) -> DataFrame:
     """(design, group_scheme, delta, p_value, pseudo_r2) of the ablation designs."""
-    designs, cells = ablation_designs(factors, size), stored(cells)
-    fits = [(d.name, float(fit_many(stored(prepare(cells, target, support, d, "category_id")), d).pseudo_r2[0])) for d in designs]
-    r2 = cells.sparkSession.createDataFrame(fits, "design string, pseudo_r2 double")
-    return run_designs(cells, designs, [target], support, draws).join(r2, "design").select("design", "group_scheme", "delta", "p_value", "pseudo_r2")
+    oos, fits = oos_grid(cells, ablation_designs(factors, size), [target], support, SCHEMES, CELL)
+    r2 = [(f.item.design.name, float(f.pseudo_r2)) for f in fits if f.item.scheme == "species"]
+    r2 = cells.sparkSession.createDataFrame(r2, "design string, pseudo_r2 double")
+    summary = cv_summary(oos, ["design", "group_scheme", "target"], draws)
+    return summary.join(r2, "design").select("design", "group_scheme", "delta", "p_value", "pseudo_r2")
 
 
 def variance_partition(cells: DataFrame, targets: list[str], factors: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from relyframe.operators import nearest, scoring, vectors
-from relyframe.plans import association, models, studies
+from relyframe.plans import association, grid, models, studies
 
 
 def test_distribution_distances():
@@ -145,7 +145,7 @@ def test_draw_counts_match_spark(spark):
 
 
 def test_out_of_sample_gain(law):
-    oos = models.oos_predictions(law, "pAssA", "n_frames", models.Design("env", ("env",), support=True), "location_id", "location", ["category_id", "location_id"])
+    oos = grid.oos_predictions(law, "pAssA", "n_frames", models.Design("env", ("env",), support=True), "location_id", "location", ["category_id", "location_id"])
     summary = models.cv_summary(oos, ["group_scheme", "target"], 200).first()
     assert summary.n == 144 and summary.delta > 0 and summary.significant and summary.p_value < 0.05
     rows = oos.toPandas()
@@ -154,7 +154,7 @@ def test_out_of_sample_gain(law):
     groups, counts = sorted(rows.group.unique()), models.draw_counts(0, 200, 12)
     boots = [np.concatenate([np.repeat(delta[rows.group == g].to_numpy(), 1) for k, g in enumerate(groups) for _ in range(counts[k, b])]).mean() for b in range(200)]
     assert abs(np.percentile(boots, 2.5) - summary.delta_lo) < 1e-9
-    one = models.oos_predictions(law.filter("location_id = 'site1'"), "pAssA", "n_frames", FULL, "location_id", "location", ["category_id"])
+    one = grid.oos_predictions(law.filter("location_id = 'site1'"), "pAssA", "n_frames", FULL, "location_id", "location", ["category_id"])
     assert one.count() == 0
 
 
