@@ -32,7 +32,9 @@ A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Characters of the texts of a block, but for one longer text.
 BLOCK_CHARS = 8 << 20
 #: Distinct chunks that a Python worker keeps.
-ROOM = 300_000
+ROOM = 200_000
+#: Chunks that are encoded at once, and places of chunks in texts that are multiplied at once.
+ENCODED, MULTIPLIED = 8_192, 200_000
 #: White space of the tokenizers' patterns (Unicode's property of that name).
 _WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _CHUNK = re.compile(f"[ \\n][{_WHITE}]*[^{_WHITE}]*(?:[\\t\\x0b-\\r\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000][{_WHITE}]*[^{_WHITE}]*)*")
@@ -152,10 +154,13 @@ class Aligner:
         self.pairs = Csr(np.zeros(1, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), 1 << 2 * _SHIFT)
 
     def _learn(self) -> None:
-        """Encode the new chunks and multiply their matrices, all in one row of bytes."""
+        """Encode the new chunks, some at a time."""
         chunks, self.chunks.new = self.chunks.new, []
-        if not chunks:
-            return
+        for at in range(0, len(chunks), ENCODED):
+            self._multiply(chunks[at : at + ENCODED])
+
+    def _multiply(self, chunks: list[str]) -> None:
+        """Encode chunks and multiply their matrices, all in one row of bytes."""
         a_ids, b_ids = self.tokenizers.encode(chunks)
         a_of, b_of = self.tokenizers.a_bytes, self.tokenizers.b_bytes
         spelled = []
@@ -209,6 +214,21 @@ class Aligner:
         ptr = self.pairs.ptr[: self.room + 1]
         self.pairs = Csr(ptr, self.pairs.col[: ptr[-1]], self.pairs.val[: ptr[-1]], self.pairs.n_cols)
 
+    def _links(self, text: np.ndarray, chunk: np.ndarray, n_texts: int) -> Csr:
+        """Texts by chunks times chunks by pairs of ids, a part of the texts at a time."""
+        ends, parts, first = np.searchsorted(text, np.arange(n_texts), side="right"), [], 0
+        while first < n_texts:
+            at = int(ends[first - 1]) if first else 0
+            to = max(first + 1, int(np.searchsorted(ends, at + MULTIPLIED, side="right")))
+            own = slice(at, int(ends[to - 1]))
+            by_chunk = summed(text[own] - first, chunk[own], np.ones(own.stop - at, np.int64), to - first, len(self.groups))
+            parts.append(product(by_chunk, self.pairs))
+            first = to
+        if not parts:
+            return Csr(np.zeros(1, np.int64), chunk[:0], chunk[:0], self.pairs.n_cols)
+        sizes = np.concatenate([np.diff(p.ptr) for p in parts])
+        return Csr(np.append(0, np.cumsum(sizes)), np.concatenate([p.col for p in parts]), np.concatenate([p.val for p in parts]), self.pairs.n_cols)
+
     def align(self, texts: list[str | None]) -> tuple[np.ndarray, list[str], Csr]:
         """Of each text: tokens of either side, groups and links; the digest of its groups; links by pairs of ids."""
         known = self.chunks
@@ -224,8 +244,7 @@ class Aligner:
         lengths = [len(own) for own in numbers]
         chunk, text = np.concatenate([*numbers, np.empty(0, np.int64)]), np.repeat(np.arange(len(texts)), lengths)
         sizes = np.column_stack([np.bincount(text, weights=self.sizes[chunk, k], minlength=len(texts)).astype(np.int64) for k in range(4)])
-        by_chunk = summed(text, chunk, np.ones(len(chunk), np.int64), len(texts), len(self.groups))
-        pairs = product(by_chunk, self.pairs)
+        pairs = self._links(text, chunk, len(texts))
         if len(known) > self.room:
             self._forget()
         return sizes, digests, pairs
