@@ -33,17 +33,20 @@ NODE_LIMIT = 2_048
 #: Near copies: sets of five-word shingles whose Jaccard similarity is SIMILAR or more.
 WORDS = 5
 SIMILAR = (4, 5)
-#: Content keys of a document: BANDS series of least hashes, of which DEPTHS name the node at each level. Two sets of similarity
-#: 0.8 share a first-level node with probability 1 - (1 - 0.8 ** 2) ** 8 = 0.9997.
-BANDS, DEPTHS = 8, (2, 4, 8)
+#: Least hashes of a document.
+LEAST = 64
+#: Content keys of a document at each level: how many, and how many least hashes name a node. Two sets of similarity 0.8 share a node of
+#: the first level with probability 1 - (1 - 0.8 ** 2) ** 8 = 0.9997, one of each later level with 0.9999999, 0.9999 and 0.9994.
+LEVELS = ((8, 2), (24, 3), (24, 5), (40, 8))
 #: Members up to which a node is compared by one task.
 MEMBERS = 512
 #: Differing bits of two fingerprints up to which a pair is proposed: at a similarity of 0.8 they differ in 64 acos(2 s / (1 + s)) / pi
 #: = 9.7 bits on average with a standard deviation of 2.9. Of 64 least hashes, 51.2 agree on average (deviation 3.2); at a similarity of
 #: 0.6, 42 or more do in one pair of five, at 0.5 in one of a hundred.
 WIDE_RADIUS, LEAST_AGREED = 20, 42
-#: Blocks of documents outside the largest group of a hot node up to which all are compared there, and not in deeper nodes only.
-MOST_BLOCKS = 8
+#: Blocks of documents outside the largest group of a hot node up to which all are compared there. Beyond, the node's documents are
+#: dealt anew by the more and longer keys of the next level; at the last level all nodes are compared whole.
+WHOLE_BLOCKS = 8
 #: Hot nodes up to which their list is broadcast.
 BROADCAST_NODES = 100_000
 _LAST = (1 << 63) - 1
@@ -263,7 +266,7 @@ def _same(hashes: np.ndarray) -> int:
 
 def _factors() -> np.ndarray:
     """Seeded odd factors; the order of a set's multiples is as good as a random one, since the set's members are hashes."""
-    return np.random.default_rng(SEED).integers(1 << 62, 1 << 63, BANDS * DEPTHS[-1], dtype=np.uint64) | np.uint64(1)
+    return np.random.default_rng(SEED).integers(1 << 62, 1 << 63, LEAST, dtype=np.uint64) | np.uint64(1)
 
 
 def least_hashes(hashes: np.ndarray) -> np.ndarray:
@@ -271,20 +274,29 @@ def least_hashes(hashes: np.ndarray) -> np.ndarray:
     return np.array([(hashes * f).min() for f in _factors()], np.uint64)
 
 
-def content_keys(least: np.ndarray) -> list[list[int]]:
-    """Node of each band at each level: a hash of its first least hashes."""
-    bands = least.reshape(BANDS, -1)
-    return [[xxhash.xxh3_64_intdigest(own[:d].tobytes(), seed=k) - (1 << 63) for d in DEPTHS] for k, own in enumerate(bands)]
+def _chosen(level: int) -> list[list[int]]:
+    """Which least hashes name each node of a level: none twice on the first, seeded draws on the others."""
+    n, depth = LEVELS[level]
+    if n * depth <= LEAST:
+        return [[k * depth + i for i in range(depth)] for k in range(n)]
+    rng = np.random.default_rng(SEED + level)
+    return [sorted(rng.choice(LEAST, depth, replace=False).tolist()) for _ in range(n)]
 
 
-def _sketch(text: bytes | None) -> tuple[int, int, bytes, list[list[int]]]:
-    """(grams, fp, sign, nodes): name of the set of shingles, its fingerprint, a byte of each least hash, its nodes."""
+def content_keys(least: Column, level: int) -> Column:
+    """The nodes of a document at a level, from the four bytes of each of its least hashes; none without words."""
+    part = lambda i: F.substring(least, 4 * i + 1, 4)
+    keys = [F.xxhash64(F.lit(level), F.lit(k), *(part(i) for i in own)) for k, own in enumerate(_chosen(level))]
+    return F.when(F.octet_length(least) > 0, F.array(*keys)).otherwise(F.array().cast("array<long>"))
+
+
+def _sketch(text: bytes | None) -> tuple[int, int, bytes]:
+    """(grams, fp, least): name of the set of shingles, its fingerprint, four bytes of each least hash."""
     hashes = shingles(text)
     if not len(hashes):
-        return _same(hashes), 0, b"", []
-    least = least_hashes(hashes)
-    sign = (least >> np.uint64(24)).astype(np.uint8).tobytes()
-    return _same(hashes), int(np.uint64(_majority(hashes)).view(np.int64)), sign, content_keys(least)
+        return _same(hashes), 0, b""
+    least = (least_hashes(hashes) >> np.uint64(16)).astype("<u4").tobytes()
+    return _same(hashes), int(np.uint64(_majority(hashes)).view(np.int64)), least
 
 
 def _ranked(fps: np.ndarray) -> np.ndarray:
@@ -354,7 +366,7 @@ def _met(pdf: pd.DataFrame) -> pd.DataFrame:
     met = np.zeros(len(pdf), bool)
     for a, b, _ in _pairs(pdf):
         met[a] = met[b] = True
-    return pdf[met][["key", "grams", "fp", "sign", "node", "part", "side", "root"]]
+    return pdf[met][["grams", "fp", "sign", "node", "part", "side", "root"]]
 
 
 def is_similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -377,7 +389,7 @@ def _linked(pdf: pd.DataFrame) -> pd.DataFrame:
         return x
 
     sets = [np.asarray(x).view(np.uint64) for x in pdf["shingles"]]
-    links, key = [], pdf["key"].to_numpy()
+    links, key = [], pdf["grams"].to_numpy()
     for a, b, apart in _pairs(pdf):
         order = np.argsort(apart, kind="stable")  # the likeliest first
         for i, j in zip(a[order].tolist(), b[order].tolist(), strict=True):
@@ -389,49 +401,41 @@ def _linked(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"u": u, "v": v})
 
 
-def _placed(distinct: DataFrame) -> DataFrame:
-    """(key, grams, fp, sign, node, n, deeper): each document in its nodes that others share.
-
-    Members of a node of over MEMBERS members are in their nodes of the next level, too, which ``deeper`` says.
-    """
-    columns = ["key", "grams", "fp", "sign"]
-    left, placed = distinct.select(*columns, F.explode("nodes").alias("levels")), None
-    for level in range(len(DEPTHS)):
-        at = left.withColumn("node", F.col("levels")[level])
-        counts = materialize(at.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1"))
-        # Written before their join, so that Spark splits a hot node.
-        met = materialize(mark_members(at, counts, "node").filter("maybe").drop("maybe").join(counts, "node"))
-        deeper = (F.col("n") > MEMBERS) & F.lit(level + 1 < len(DEPTHS))
-        fit = met.select(*columns, "node", "n", deeper.alias("deeper"))
-        placed = fit if placed is None else placed.union(fit)
-        left = met.filter(F.col("n") > MEMBERS).select(*columns, "levels")
-        if counts.filter(F.col("n") > MEMBERS).isEmpty():
-            break
-    return placed
+def _placed(left: DataFrame, level: int) -> DataFrame:
+    """(grams, fp, sign, node, n): each document in those of its nodes of a level that others share."""
+    at = left.select("grams", "fp", F.explode(content_keys(F.col("least"), level)).alias("node"))
+    counts = materialize(at.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1"))
+    # Documents that share no node are left out before their signs are sent. Written first, so that Spark splits a hot node.
+    # A sign is the lowest byte of each least hash.
+    sign = F.concat(*(F.substring("least", 4 * i + 1, 1) for i in range(LEAST)))
+    rows = left.select("grams", "fp", sign.alias("sign"), F.explode(content_keys(F.col("least"), level)).alias("node"))
+    return materialize(mark_members(rows, counts, "node").filter("maybe").drop("maybe").join(counts, "node"))
 
 
 def _parted(members: DataFrame) -> DataFrame:
-    """Members with ``part``, ``side`` and ``root``: hot nodes in random parts of about MEMBERS members."""
-    part = F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / MEMBERS))
-    return members.withColumns({"part": part, "side": F.lit(-1), "root": F.col("key")})
+    """Rooted members with ``part`` and ``side``: hot nodes in random parts of about MEMBERS members."""
+    part = F.pmod(F.xxhash64("grams"), F.ceil(F.col("n") / MEMBERS))
+    return members.withColumns({"part": part, "side": F.lit(-1)})
 
 
-def _blocked(hot: DataFrame) -> DataFrame:
-    """Rooted members of hot nodes with ``part`` and ``side`` such that in each node all pairs of different roots meet in some part.
+def _blocked(hot: DataFrame, last: bool) -> tuple[DataFrame, DataFrame]:
+    """(members, open nodes): rooted members of hot nodes with ``part`` and ``side`` such that in each node all pairs of different
+    roots meet in some part, and the nodes that are left to the next level.
 
-    The members of a node's largest group are dealt to parts, and every part also gets a block of the others, once
-    for each block; the blocks of the others meet in pairs. The largest group's own members need not meet. A hot node of
-    many groups (one passage that different texts share) with more than MOST_BLOCKS blocks is left to its deeper nodes.
+    The members of a node's largest group are dealt to parts, and every part also gets a block of the others, once for each
+    block; the blocks of the others meet in pairs. The largest group's own members need not meet. Unless the level is the last,
+    a hot node of many groups (one passage that different texts share) with more than WHOLE_BLOCKS blocks is left open.
     """
-    groups = materialize(hot.groupBy("node", "deeper", "root").agg(F.count("*").alias("m")))
-    nodes = groups.groupBy("node", "deeper").agg(F.max_by("root", "m").alias("giant"), F.max("m").alias("m"), F.sum("m").alias("all"))
+    groups = materialize(hot.groupBy("node", "root").agg(F.count("*").alias("m")))
+    nodes = groups.groupBy("node").agg(F.max_by("root", "m").alias("giant"), F.max("m").alias("m"), F.sum("m").alias("all"))
     nodes = nodes.withColumns({"p": F.ceil(F.col("m") / MEMBERS), "q": F.ceil((F.col("all") - F.col("m")) / MEMBERS)})
-    nodes = materialize(nodes.filter((F.col("q") > 0) & ~(F.col("deeper") & (F.col("q") > MOST_BLOCKS))).select("node", "giant", "p", "q"))
+    nodes = materialize(nodes.filter("q > 0").select("node", "giant", "p", "q"))
+    whole = nodes if last else nodes.filter(F.col("q") <= WHOLE_BLOCKS)
     columns = hot.columns
-    hot = hot.join(F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes, "node")
+    hot = hot.join(F.broadcast(whole) if nodes.count() <= BROADCAST_NODES else whole, "node")
     p, q, one = F.col("p"), F.col("q"), F.lit(1).cast("long")
     each = lambda n: F.sequence(F.lit(0).cast("long"), n - one)
-    own, block = F.pmod(F.xxhash64("key"), p), F.pmod(F.xxhash64("key"), q)
+    own, block = F.pmod(F.xxhash64("grams"), p), F.pmod(F.xxhash64("grams"), q)
     place = lambda part, side: F.struct(part.alias("part"), F.lit(side).alias("side"))
     giant = F.transform(each(q), lambda b: place(b * p + own, 1))
     other = F.concat(
@@ -439,39 +443,41 @@ def _blocked(hot: DataFrame) -> DataFrame:
         F.transform(each(q), lambda b: place(q * p + F.least(block, b) * q + F.greatest(block, b), -1)),
     )
     at = F.when(F.col("root") == F.col("giant"), giant).otherwise(other)
-    return hot.withColumn("at", F.explode(at)).select(*columns, "at.part", "at.side")
+    return hot.withColumn("at", F.explode(at)).select(*columns, "at.part", "at.side"), nodes.select("node", "q")
 
 
 def _links(rows: DataFrame, sets: DataFrame) -> DataFrame:
     """(u, v) links inside the nodes and parts: pairs with candidates are told first, so that few sets are sent."""
-    columns = ["key", "grams", "fp", "sign", "node", "part", "side", "root"]
-    schema = "key long, grams long, fp long, sign binary, node long, part long, side int, root long"
+    columns = ["grams", "fp", "sign", "node", "part", "side", "root"]
+    schema = "grams long, fp long, sign binary, node long, part long, side int, root long"
     met = materialize(_by_node(rows.select(*columns), _met, schema))
     return materialize(_by_node(met.join(sets, "grams"), _linked, "u long, v long"))
 
 
-def _rooted(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """The rows with the ``root`` of their key."""
+def _rooted(rows: DataFrame, links: DataFrame | None) -> DataFrame:
+    """The rows with the ``root`` of their set; without links each is its own."""
+    if links is None:
+        return rows.withColumn("root", F.col("grams"))
     roots = components(links).select(F.col("node").alias("own"), "root")
-    return rows.join(roots, F.col("key") == F.col("own"), "left").drop("own").withColumn("root", F.coalesce("root", "key"))
+    return rows.join(roots, F.col("grams") == F.col("own"), "left").drop("own").withColumn("root", F.coalesce("root", "grams"))
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(key, first) of each document: its id (null: the largest long) and the smallest id of its group of near copies.
-
-    Documents are linked where the Jaccard similarity of their sets of five-word shingles is SIMILAR or more; links are closed
-    transitively. Candidates share a node of content keys and are found there by the Gray-order index over their five-word
-    fingerprints, so a document is in BANDS nodes whatever the size of the table. A node's task compares the sets themselves,
-    and gives a link only where it joins two groups. Hot nodes are compared in random parts first, and then across parts,
-    where only members of different groups meet. Repeated rows are one document; empty texts are copies of each other; no
-    documents give no rows.
+    """(key, grams, first, first_grams) of each document: its id (null: the largest long), the name of its set of five-word
+    shingles, and the same of the first document of its group of near copies by id and then name.
+
+    Documents are linked where the Jaccard similarity of their sets is SIMILAR or more; links are closed transitively. Documents
+    are told apart by their sets, so unlike texts with one id, or without, are documents of their own, and equal sets are one.
+    Candidates share a node of content keys and are found there by the Gray-order index over their five-word fingerprints. A
+    node's task compares the sets themselves, and gives a link only where it joins two groups. Hot nodes are compared in random
+    parts first, and then across parts, where only members of different groups meet; those with too many of these are dealt
+    anew by more and longer keys. Empty texts are copies of each other; no documents give no rows.
     """
-    schema = "key long, grams long, fp long, sign binary, nodes array<array<long>>"
 
     def each(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [(key, *_sketch(text)) for key, text in zip(pdf["key"], pdf["text"], strict=True)]
-            yield pd.DataFrame(rows, columns=["key", "grams", "fp", "sign", "nodes"])
+            yield pd.DataFrame(rows, columns=["key", "grams", "fp", "least"])
 
     def listed(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -479,36 +485,52 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             yield pd.DataFrame({"grams": np.array([_same(x) for x in sets], np.int64), "shingles": [x.view(np.int64) for x in sets]})
 
     rows = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(_LAST)).alias("key"), docs[text_col].cast("binary").alias("text"))
-    prints = materialize(rows.mapInPandas(each, schema))
-    distinct = prints.groupBy("grams").agg(F.min_by(F.struct("key", "fp", "sign", "nodes"), "key").alias("x")).select("grams", "x.*")
+    prints = materialize(rows.mapInPandas(each, "key long, grams long, fp long, least binary"))
+    distinct = prints.groupBy("grams").agg(F.min_by(F.struct("key", "fp", "least"), "key").alias("x")).select("grams", "x.*")
     distinct = materialize(distinct)
-    with temporary(docs.sparkSession):
-        members = materialize(_placed(distinct), kept=True)
-    # Only documents that share a node can be similar; their sets are listed once.
-    active = materialize(members.select("key", "grams").distinct())
-    maybe = mark_members(rows, active.select("key")).filter("maybe").select("text").mapInPandas(listed, "grams long, shingles array<long>")
-    sets = materialize(maybe.join(active.select("grams"), "grams", "left_semi").dropDuplicates(["grams"]))
-    links = _links(_parted(members), sets)
-    hot = members.filter(F.col("n") > MEMBERS)
-    if not hot.isEmpty():
-        links = links.union(_links(_blocked(materialize(_rooted(hot, links))), sets))
-    named = materialize(_rooted(distinct.select("key", "grams"), links).select("grams", F.col("root").alias("first")))
-    return prints.select("key", "grams").join(named, "grams").select("key", "first")
+    links, left, sets = None, distinct, None
+    for level in range(len(LEVELS)):
+        members = _placed(left, level)
+        if sets is None:
+            # Only documents that share a node can be similar; their sets are listed once.
+            active = materialize(distinct.select("key", "grams").join(members.select("grams").distinct(), "grams"))
+            maybe = mark_members(rows, active.select("key")).filter("maybe").select("text").mapInPandas(listed, "grams long, shingles array<long>")
+            sets = materialize(maybe.join(active.select("grams"), "grams", "left_semi").dropDuplicates(["grams"]))
+        found = _links(_parted(_rooted(members, links)), sets)
+        links = found if links is None else links.union(found)
+        hot = members.filter(F.col("n") > MEMBERS)
+        if hot.isEmpty():
+            break
+        last = level + 1 == len(LEVELS)
+        blocked, nodes = _blocked(materialize(_rooted(hot, links)), last)
+        links = links.union(_links(blocked, sets))
+        open_ = nodes.filter(F.col("q") > WHOLE_BLOCKS).select("node")
+        if last or open_.isEmpty():
+            break
+        left = materialize(left.join(hot.join(open_, "node", "left_semi").select("grams").distinct(), "grams", "left_semi"))
+    rooted = materialize(_rooted(distinct.select("grams", "key"), links))
+    firsts = materialize(rooted.groupBy("root").agg(F.min(F.struct("key", "grams")).alias("x")))
+    named = rooted.join(firsts, "root").select("grams", F.col("x.key").alias("first"), F.col("x.grams").alias("first_grams"))
+    return prints.select("key", "grams").join(materialize(named), "grams").select("key", "grams", "first", "first_grams")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Of each group of near copies the document with the smallest id, with its columns as they were.
 
-    Repeated rows of an id are one document, of which one row stays; a null id counts as larger than all others.
-    Only documents that may have to go are shuffled.
+    Rows with one id and one set of shingles are one document, of which one row stays; unlike texts that share an id, or have
+    none, are told apart. A null id counts as larger than all others. Only documents that may have to go are shuffled.
     """
     with temporary(docs.sparkSession):
         found = materialize(near_copies(docs, id_col, text_col), kept=True)
-    gone = found.filter("key <> first").select("key").distinct()
-    repeated = found.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    whole = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.coalesce(docs[id_col].cast("long"), F.lit(_LAST)).alias("key"))
-    rows = mark_members(whole, gone.union(repeated))
-    touched = rows.filter("maybe").join(gone, "key", "left_anti").dropDuplicates(["key"])
+    gone = found.filter("key <> first or grams <> first_grams").select("key", "grams").distinct()
+    repeated = found.groupBy("key", "grams").agg(F.count("*").alias("n")).filter("n > 1").select("key", "grams")
+    whole = docs.select(
+        F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.coalesce(docs[id_col].cast("long"), F.lit(_LAST)).alias("key"),
+        docs[text_col].cast("binary").alias("text"),
+    )
+    rows = mark_members(whole, gone.union(repeated).select("key"))
+    name = F.pandas_udf(lambda texts: pd.Series([_same(shingles(t)) for t in texts], dtype="int64"), "long")
+    touched = rows.filter("maybe").withColumn("grams", name("text")).join(gone, ["key", "grams"], "left_anti").dropDuplicates(["key", "grams"])
     return rows.filter("not maybe").select("row").union(touched.select("row")).select("row.*")
 
 

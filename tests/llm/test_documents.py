@@ -178,7 +178,7 @@ def test_keep_one_catches_near_copies_and_leaves_others(spark, docs, empty):
     wrong = [i for i in kept if i < 900 and any(jaccard(rows[i][1], rows[j][1]) >= 0.8 for j in kept if j < i)]
     assert len(wrong) <= 2  # masks and bits find almost all
     out = simhash.keep_one(docs)
-    assert out.columns == docs.columns and out.count() == len({x.first for x in simhash.near_copies(docs).collect()})
+    assert out.columns == docs.columns and out.count() == len({(x["first"], x.first_grams) for x in simhash.near_copies(docs).collect()})
     assert simhash.keep_one(empty).count() == 0 and simhash.near_duplicates(empty).count() == 0
 
 
@@ -502,3 +502,34 @@ def test_a_family_of_a_third_of_all_rows(spark, monkeypatch, limit):
                 want = [low if x == high else x for x in want]
     got = {x.key: x["first"] for x in simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert all(got[i] == i for i in range(400, 1200)) and [got[i] for i in range(400)] == want
+
+
+def test_unlike_texts_with_one_id_or_none_stay(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(None, text(1)), (None, text(2)), (None, text(3)), (7, text(4)), (7, text(5)), (7, text(6)), (7, text(6)), (8, text(5)), (9, text(1)), (None, text(1)), (None, None), (10, "")]
+    kept = sorted(((x.doc_id, x.text) for x in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()), key=str)
+    assert kept == sorted([(None, text(2)), (None, text(3)), (7, text(4)), (7, text(5)), (7, text(6)), (9, text(1)), (10, "")], key=str)
+
+
+def test_pairs_in_many_texts_that_share_a_passage(spark, monkeypatch):
+    """A hot node of far more than WHOLE_BLOCKS blocks: its pairs are found through the keys of later levels."""
+    import random
+
+    monkeypatch.setattr(simhash, "MEMBERS", 24)
+    r = random.Random(6)
+    words = lambda n: [f"v{r.randrange(100_000)}" for _ in range(n)]
+    passage, texts, planted = words(150), [], []
+    for k in range(1000):
+        own = [*passage, *words(50)]
+        texts.append(own)
+        if k % 5 == 0:
+            planted.append((k, 1000 + len(planted)))
+    for k, at in planted:
+        copy = list(texts[k])
+        copy[152 : 167 + k % 3] = words(15 + k % 3)
+        texts.append(copy)
+    joined = [" ".join(t) for t in texts]
+    close = [(a, b) for a, b in planted if jaccard(joined[a], joined[b]) >= 0.8]
+    got = {x.key: x["first"] for x in simhash.near_copies(spark.createDataFrame(list(enumerate(joined)), "doc_id long, text string")).collect()}
+    assert len(close) > 100 and sum(got[a] == got[b] for a, b in close) >= 0.99 * len(close)
+    assert len({got[k] for k in range(1000)}) == 1000
