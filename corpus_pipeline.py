@@ -26,8 +26,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id.
 
-    Repeated rows of an id are one document, of which one row stays; a null id counts as larger than all others. Texts
-    without words are copies of each other.
+    Repeated rows of an id and text are one document, of which one row stays; unlike texts with one id, or without, are documents
+    of their own. A null id counts as larger than all others. Texts without words are copies of each other.
     """
     return simhash.keep_one(docs.select(COLUMNS)).select(COLUMNS)
 
