@@ -196,7 +196,7 @@ def pack_block(sizes: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
 def pack(cut: DataFrame, capacity: int = CAPACITY, block_pieces: int = BLOCK_PIECES) -> DataFrame:
     """Pieces with ``sequence_id`` and ``offset``; every sequence holds at most ``capacity`` tokens without gaps.
 
-    A piece of a whole window is a sequence of its own. Repeated documents are packed like others; equal pieces are
+    ``cut`` should be written, so that its rows keep their places. A piece of a whole window is a sequence of its own. Repeated documents are packed like others; equal pieces are
     interchangeable. No pieces give no rows. Other columns are kept, whatever their names; ``sequence_id`` and ``offset`` of
     the input are replaced.
     """
@@ -217,7 +217,8 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, block_pieces: int = BLOCK_PIE
         return pdf[own].assign(sequence_id=(int(pdf["block"].iloc[0]) << 24) + place, offset=offset)
 
     keyed = cut.select(*(cut[c].alias(k) for c, k in zip(names, own, strict=True)))
-    keyed = keyed.withColumn("block", F.pmod(F.xxhash64(id_, start, crc), F.lit(n_blocks)))
+    # With a row's place, since equal pieces (of repeated rows) would be one block.
+    keyed = keyed.withColumn("block", F.pmod(F.xxhash64(id_, start, crc, F.monotonically_increasing_id()), F.lit(n_blocks)))
     schema = ", ".join(f"{k} {cut.schema[c].dataType.simpleString()}" for c, k in zip(names, own, strict=True))
     packed = keyed.groupBy("block").applyInPandas(block, f"{schema}, sequence_id long, offset long")
     return packed.toDF(*names, "sequence_id", "offset")
