@@ -122,8 +122,11 @@ def find_windows(docs: DataFrame, prints: DataFrame, items: DataFrame, windows:
     named = prints.select("doc_id", "text_key", F.explode_outer("kept").alias("mark"))
     named = named.join(_sized(marked, marked.count()), "mark", "left_semi").select("doc_id", "text_key").distinct()
     named = materialize(named)
-    same = docs["text_key"].eqNullSafe(named["text_key"]) & docs["doc_id"].eqNullSafe(named["doc_id"])
-    again = docs.join(named, same, "left_semi").distinct()
+    # A bit table tells most other documents before their texts are sent.
+    key = F.xxhash64("text_key", "doc_id").alias("_key")
+    maybe = mark_members(docs.select(*docs.columns, key), named.select(key), "_key").filter("maybe").select(*docs.columns)
+    same = maybe["text_key"].eqNullSafe(named["text_key"]) & maybe["doc_id"].eqNullSafe(named["doc_id"])
+    again = maybe.join(named, same, "left_semi").distinct()
     again = materialize(again.select("doc_id", "text_key", _words(F.col("text")).alias("words")))
     rows = again.select("doc_id", "text_key", F.transform("words", lambda w: F.xxhash64(w)).alias("_h"))
     wanted = windows.select("window", "length").distinct()
