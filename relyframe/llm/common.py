@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -38,8 +39,18 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/relyframe-{uuid.uuid4().hex}"
 
 
-#: Paths written inside each open ``temporary`` block.
-_made: list[list[str]] = []
+class _Blocks(threading.local):
+    """The open ``temporary`` blocks of a thread, with the paths and tables that each has made: queries of other threads have their own."""
+
+    def __init__(self) -> None:
+        self.made: list[list[tuple[str, str | None]]] = []
+
+    def note(self, path: str, table: str | None = None, kept: bool = False) -> None:
+        if len(self.made) > kept:
+            self.made[-1 - kept].append((path, table))
+
+
+_blocks = _Blocks()
 
 
 def _folder(spark: SparkSession, path: str):
@@ -57,35 +68,35 @@ def materialize(df: DataFrame, kept: bool = False) -> DataFrame:
     df.write.parquet(path)
     system, place = _folder(spark, path)
     system.deleteOnExit(place)
-    if len(_made) > kept:
-        _made[-1 - kept].append(path)
+    _blocks.note(path, kept=kept)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def bucketed(df: DataFrame, n: int, *keys: str) -> DataFrame:
     """``materialize`` for a frame that is joined by ``keys`` several times: ``n`` buckets, so that only the other side is shuffled.
 
-    ``df`` must be partitioned by ``repartition(n, *keys)``: each task then writes one bucket. The files go like kept ones; the
-    table's entry in the catalog stays until the session ends, without any file.
+    ``df`` must be partitioned by ``repartition(n, *keys)``: each task then writes one bucket. The files and the
+    table's entry in the catalog go like kept ones.
     """
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
     name = path.rsplit("/", 1)[1].replace("-", "_")
     df.write.bucketBy(n, *keys).option("path", path).saveAsTable(name)
     system, place = _folder(spark, path)
     system.deleteOnExit(place)
-    if len(_made) > 1:
-        _made[-2].append(path)
+    _blocks.note(path, name, kept=True)
     return spark.table(name)
 
 
 @contextmanager
 def temporary(spark: SparkSession) -> Iterator[None]:
     """A block whose written frames, but for kept ones, are deleted behind it: none of them may be read later."""
-    _made.append([])
+    _blocks.made.append([])
     try:
         yield
     finally:
-        for path in _made.pop():
+        for path, name in _blocks.made.pop():
+            if name:
+                spark.sql(f"DROP TABLE IF EXISTS {name}")
             system, place = _folder(spark, path)
             system.delete(place, True)
 

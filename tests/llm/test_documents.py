@@ -533,3 +533,21 @@ def test_pairs_in_many_texts_that_share_a_passage(spark, monkeypatch):
     got = {x.key: x["first"] for x in simhash.near_copies(spark.createDataFrame(list(enumerate(joined)), "doc_id long, text string")).collect()}
     assert len(close) > 100 and sum(got[a] == got[b] for a, b in close) >= 0.99 * len(close)
     assert len({got[k] for k in range(1000)}) == 1000
+
+
+def test_equal_rows_are_packed_in_many_blocks(spark):
+    text = " ".join(f"word{k}" for k in range(40))
+    rows = spark.range(6000).select(F.lit(1).cast("long").alias("doc_id"), F.lit(text).alias("text"))
+    packed = packing.pack_documents(rows).select("sequence_id", "offset", "length").toPandas()
+    assert len(packed) == 6000 and packed.groupby(packed["sequence_id"] // (1 << 24)).size().max() <= 1.3 * packing.BLOCK_PIECES
+    used = packed.groupby("sequence_id")["length"].sum()
+    assert used.max() <= packing.CAPACITY and len(used) * packing.CAPACITY <= 1.06 * used.sum()
+
+
+def test_two_threads_keep_their_files_apart(spark, docs):
+    from concurrent.futures import ThreadPoolExecutor
+
+    want = [sorted(map(str, run(docs).collect())) for run in (simhash.keep_one, substring.remove_repeats)]
+    with ThreadPoolExecutor(2) as pool:
+        got = list(pool.map(lambda run: sorted(map(str, run(docs).collect())), (simhash.keep_one, substring.remove_repeats)))
+    assert got == want and not [t for t in spark.catalog.listTables() if t.name.startswith("relyframe")]
