@@ -2,43 +2,48 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relyframe.functions.scalars import LEVELS, clean_taxonomy, display_name, is_real, normal_class_name, sample_evenly
+from relyframe.sources.documents import read_sections
 
 _RLE = "struct<size:array<int>,counts:string>"
 _CATEGORY = "struct<id:string,name:string," + ",".join(f"{level}:string" for level in LEVELS) + ">"
-ANNOTATION_SCHEMA = (
-    "videos array<struct<id:string,file_names:array<string>,location_id:string,video_creation_datetime:string>>,"
-    "annotations array<struct<id:string,video_id:string,category_id:string,height:int,width:int,noun_phrase:string,"
-    f"segmentations:array<{_RLE}>,bboxes:array<array<double>>,areas:array<double>>>,"
-    f"categories array<{_CATEGORY}>,video_np_pairs array<struct<id:string,video_id:string,category_id:string,noun_phrase:string,num_masklets:bigint>>"
-)
+ANNOTATION_SCHEMA = {
+    "videos": "struct<id:string,file_names:array<string>,location_id:string,video_creation_datetime:string>",
+    "annotations": "struct<id:string,video_id:string,category_id:string,height:int,width:int,noun_phrase:string,"
+    f"segmentations:array<{_RLE}>,bboxes:array<array<double>>,areas:array<double>>",
+    "categories": _CATEGORY,
+    "video_np_pairs": "struct<id:string,video_id:string,category_id:string,noun_phrase:string,num_masklets:bigint>",
+}
 _ENTRY = f"array<struct<score:double,segmentations:array<{_RLE}>>>"
 #: Spellings of each metric, in the order of preference; mask first.
 METRIC_NAMES = {m: (f"mask_{m[1:]}", f"bbox_{m[1:]}", m, m[1:]) for m in ("pDetA", "pAssA", "pHOTA")}
-TRACK_SCHEMA = (
-    "sequences array<struct<seq_name:string,dataset:string,width:int,height:int,fps:double,all_image_paths:array<string>,"
-    "annotated_image_paths:array<string>,segmentations:array<map<string,struct<rle:string>>>,track_category_ids:map<string,int>>>,"
-    "categories array<struct<id:int,name:string>>"
-)
+TRACK_SCHEMA = {
+    "sequences": "struct<seq_name:string,dataset:string,width:int,height:int,fps:double,all_image_paths:array<string>,"
+    "annotated_image_paths:array<string>,segmentations:array<map<string,struct<rle:string>>>,track_category_ids:map<string,int>>",
+    "categories": "struct<id:int,name:string>",
+}
 
 
 def read_annotations(spark: SparkSession, path: str, origin: str) -> dict[str, DataFrame]:
     """Tables videos, annotations, categories and pairs of an annotation document, with their order in the file.
 
-    Raises ValueError if ``videos`` or ``annotations`` is missing. Write the tables once: such JSON can't be split.
+    The document is cut into elements by byte ranges, once for all tables, so its size is no task's. Raises ValueError if
+    ``videos`` or ``annotations`` is missing.
     """
-    doc = spark.read.schema(ANNOTATION_SCHEMA).option("multiLine", True).json(path)
-    missing = doc.filter("videos is null or annotations is null").limit(1).count()
-    if missing:
+    elements, names = read_sections(spark, path)
+    if not {"videos", "annotations"} <= names:
         raise ValueError("an annotation document needs videos and annotations")
+    return {out: section_rows(elements, name, ANNOTATION_SCHEMA[name]).select(F.lit(origin).alias("origin"), "ord", "r.*") for out, name in (("videos", "videos"), ("annotations", "annotations"), ("categories", "categories"), ("pairs", "video_np_pairs"))}
 
-    def rows(name: str) -> DataFrame:
-        return doc.select(F.posexplode(name).alias("ord", "r")).select(F.lit(origin).alias("origin"), "ord", "r.*")
 
-    return {"videos": rows("videos"), "annotations": rows("annotations"), "categories": rows("categories"), "pairs": rows("video_np_pairs")}
+def section_rows(elements: DataFrame, name: str, schema: str) -> DataFrame:
+    """(ord, r): the parsed elements of one section."""
+    return elements.filter(F.col("section") == name).select("ord", F.from_json("text", schema).alias("r"))
 
 
 def taxonomy(categories: DataFrame) -> DataFrame:
@@ -96,16 +101,19 @@ def read_predictions(spark: SparkSession, path: str, tracker: str, stream: bool
     )
 
 
-def prediction_rows(files: DataFrame) -> DataFrame:
-    """A row a predicted masklet (one with a null score for an empty file), with covered and total frames of its probe."""
+def probe_rows(files: DataFrame) -> DataFrame:
+    """(tracker, video_id, category_id, covered, total, scores): a row a prediction file, with its masklets' scores."""
     lengths = F.transform("entries", lambda e: F.coalesce(F.size(e.segmentations), F.lit(0)))
     seen = F.transform("entries", lambda e: F.filter(F.transform(e.segmentations, lambda s, i: F.when(s.isNotNull(), i)), lambda i: i.isNotNull()))
-    counted = files.withColumn("total", F.coalesce(F.array_max(lengths), F.lit(0))).withColumn(
-        "covered", F.size(F.array_distinct(F.flatten(F.filter(seen, lambda s: s.isNotNull()))))
-    )
-    return counted.select("tracker", "video_id", "category_id", "covered", "total", F.explode_outer("entries").alias("e")).select(
-        "tracker", "video_id", "category_id", "covered", "total", F.coalesce("e.score", F.when(F.col("e").isNotNull(), 0.0)).alias("score")
-    )
+    total = F.coalesce(F.array_max(lengths), F.lit(0))
+    covered = F.size(F.array_distinct(F.flatten(F.filter(seen, lambda s: s.isNotNull()))))
+    scores = F.transform("entries", lambda e: F.when(e.isNotNull(), F.coalesce(e.score, F.lit(0.0))))
+    return files.select("tracker", "video_id", "category_id", covered.alias("covered"), total.alias("total"), scores.alias("scores"))
+
+
+def prediction_rows(files: DataFrame) -> DataFrame:
+    """A row a predicted masklet (one with a null score for an empty file), with covered and total frames of its probe."""
+    return probe_rows(files).select("tracker", "video_id", "category_id", "covered", "total", F.explode_outer("scores").alias("score"))
 
 
 def read_evaluator(spark: SparkSession, path: str, prefer_bbox: bool = False) -> DataFrame:
@@ -144,10 +152,10 @@ def convert_tracks(spark: SparkSession, path: str, wanted: DataFrame, max_frames
     """
     from relyframe.operators.caps import first_n
 
-    doc = spark.read.schema(TRACK_SCHEMA).option("multiLine", True).json(path)
-    classes = doc.select(F.inline("categories")).select(F.col("id").alias("category_id"), "name", normal_class_name(F.col("name")).alias("class_name"))
+    elements, _ = read_sections(spark, path)
+    classes = section_rows(elements, "categories", TRACK_SCHEMA["categories"]).select("r.*").select(F.col("id").alias("category_id"), "name", normal_class_name(F.col("name")).alias("class_name"))
     classes = classes.join(wanted.select("class_name").distinct(), "class_name", "left_semi")
-    seq = doc.select(F.posexplode("sequences").alias("seq_ord", "s")).select("seq_ord", "s.*")
+    seq = section_rows(elements, "sequences", TRACK_SCHEMA["sequences"]).select(F.col("ord").alias("seq_ord"), "r.*")
     every = F.sequence(F.lit(0), F.size("annotated_image_paths") - 1)
     kept = F.when(F.size("annotated_image_paths") > 0, sample_evenly(every, max_frames))
     seq = seq.withColumn("kept", kept).filter(F.size("kept") >= min_frames)
@@ -188,6 +196,40 @@ def pending(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return rows.join(done.select(key), key, "left_anti")
 
 
+def committed(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of the finished runs of ``append_once``; none before the first."""
+    system, root = _folder(spark, f"{path}/commits")
+    runs = [f.getPath().getName() for f in system.listStatus(root)] if system.exists(root) else []
+    if not runs:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*(f"{path}/data/{run}" for run in runs))
+
+
+def _folder(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def append_once(rows: DataFrame, path: str, keys: list[str]) -> None:
+    """Append the rows whose keys no finished run has; a run counts as a whole or not at all.
+
+    A run writes its rows to a folder of its own, and then an empty file of its name into the commit log, which is the one
+    step that makes them visible. A run that dies leaves a folder that nobody reads and that the next run deletes, so running
+    again neither loses nor doubles a key. All rows of a key must be in one call; one writer at a time.
+    """
+    spark, schema = rows.sparkSession, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    done = committed(spark, path, schema).select(*keys).distinct()
+    (system, data), (_, log) = _folder(spark, f"{path}/data"), _folder(spark, f"{path}/commits")
+    known = {f.getPath().getName() for f in system.listStatus(log)} if system.exists(log) else set()
+    for f in system.listStatus(data) if system.exists(data) else ():
+        if f.getPath().getName() not in known:
+            system.delete(f.getPath(), True)
+    run = uuid.uuid4().hex
+    same = [rows[k].eqNullSafe(done[k]) for k in keys]
+    rows.join(done, same, "left_anti").write.parquet(f"{path}/data/{run}")
+    system.create(_folder(spark, f"{path}/commits/{run}")[1], False).close()
+
+
 def write_long(rows: DataFrame, path: str, kind: str = "parquet") -> None:
     """Results as Parquet, or on request CSV or JSON."""
     writer = rows.write.mode("overwrite")
