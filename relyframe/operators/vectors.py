@@ -1,43 +1,97 @@
 """Distribution distances and familiarity over an embedding table.
 
-A group's vectors are reduced to (n, sum, sum of outer products) by a map-side partial in each batch, so no group's
-vectors meet in one task; the pool without a group is the pool's sums less the group's.
+A group's vectors are reduced to (n, sum, upper triangle of the sum of outer products) where they are read, one packed row a group
+and task. These rows are added in a tree: no task adds more than FAN of them at a time, so neither a group's vectors nor its partial
+sums meet in one place, whatever the number of tasks. The pool without a group is the pool's sums less the group's.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from relyframe.functions.scalars import l2_normal
 from relyframe.operators.nearest import nearest_prototype, prototypes
+from relyframe.sources.scratch import stored
 
 EPS = 1e-6
 
 
-def sufficient(vectors: DataFrame, key: str, vec: str = "vec") -> DataFrame:
-    """(key, n, s, ss): count, sum, and flattened sum of outer products of each group."""
+#: Partial sums that one task adds.
+FAN = 16
+#: Bytes of partial sums that a task holds before it hands them on.
+HELD_BYTES = 64 << 20
+_SUMS = "k string, slot long, n long, s binary, ss binary"
+
+
+def _bytes(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(x, "<f8").tobytes()
+
+
+def _upper(m: np.ndarray) -> np.ndarray:
+    return m[np.triu_indices(len(m))]
+
+
+def square(packed: np.ndarray, d: int) -> np.ndarray:
+    """The symmetric matrix of a packed upper triangle."""
+    out = np.zeros((d, d))
+    out[np.triu_indices(d)] = packed
+    return out + np.triu(out, 1).T
+
+
+def partial_sums(vectors: DataFrame, key: str, vec: str = "vec") -> DataFrame:
+    """(k, slot, n, s, ss): sums of each group in each task, packed; ``slot`` is the task's number."""
 
     def partial(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict = {}
+        slot, sums, held = TaskContext.get().partitionId(), {}, 0
+
+        def out() -> pd.DataFrame:
+            return pd.DataFrame([(k, slot, n, _bytes(s), _bytes(_upper(ss))) for k, (n, s, ss) in sums.items()], columns=["k", "slot", "n", "s", "ss"])
+
         for pdf in batches:
             for k, rows in pdf.groupby("k", dropna=False):
-                x = np.vstack(rows["v"].to_numpy()).astype(float)
-                own = sums.setdefault(k, [0, 0.0, 0.0])
+                x, k = np.vstack(rows["v"].to_numpy()).astype(float), None if pd.isna(k) else k
+                if k not in sums:
+                    sums[k] = [0, np.zeros(x.shape[1]), np.zeros((x.shape[1], x.shape[1]))]
+                    held += 8 * x.shape[1] * (x.shape[1] + 1)
+                own = sums[k]
                 own[0] += len(x)
-                own[1] = own[1] + x.sum(axis=0)
-                own[2] = own[2] + (x.T @ x).ravel()
-        yield pd.DataFrame([(k, n, s, ss) for k, (n, s, ss) in sums.items()], columns=["k", "n", "s", "ss"])
+                own[1] += x.sum(axis=0)
+                own[2] += x.T @ x
+                if held > HELD_BYTES:
+                    yield out()
+                    sums, held = {}, 0
+        yield out()
+
+    return vectors.select(F.col(key).cast("string").alias("k"), F.col(vec).alias("v")).mapInPandas(partial, _SUMS)
+
+
+def _added(rows: pd.DataFrame) -> pd.DataFrame:
+    add = lambda c: _bytes(sum(np.frombuffer(b, "<f8") for b in rows[c]))
+    return pd.DataFrame({"k": [rows["k"].iloc[0]], "slot": [rows["slot"].iloc[0] // FAN], "n": [rows["n"].sum()], "s": [add("s")], "ss": [add("ss")]})
 
-    parts = vectors.select(F.col(key).cast("string").alias("k"), F.col(vec).alias("v")).mapInPandas(partial, "k string, n long, s array<double>, ss array<double>")
-    wide = lambda c: parts.select("k", F.posexplode(c).alias("i", "x")).groupBy("k", "i").agg(F.sum("x").alias("x"))
-    packed = lambda c: wide(c).groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e.x).alias(c))
-    counts = parts.groupBy("k").agg(F.sum("n").alias("n"))
-    return counts.join(packed("s"), "k").join(packed("ss"), "k").withColumnRenamed("k", key)
+
+def merged(parts: DataFrame) -> DataFrame:
+    """(k, n, s, ss) of stored partial sums, added FAN slots at a time."""
+    slots = (parts.agg(F.max("slot").alias("m")).first().m or 0) + 1
+    while True:
+        parts = parts.groupBy("k", F.floor(F.col("slot") / FAN).alias("_group")).applyInPandas(_added, _SUMS)
+        slots = -(-slots // FAN)
+        if slots <= 1:
+            return parts.drop("slot")
+        parts = stored(parts)
+
+
+def sufficient(vectors: DataFrame, key: str, vec: str = "vec") -> DataFrame:
+    """(key, n, s, ss): count, sum, and packed upper triangle of the sum of outer products of each group, both as bytes of doubles."""
+    return merged(stored(partial_sums(vectors, key, vec))).withColumnRenamed("k", key)
 
 
 def gaussian(n: float, s: np.ndarray, ss: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -76,11 +130,17 @@ def mahalanobis(mean: np.ndarray, pool: tuple[np.ndarray, np.ndarray]) -> float:
     return float(np.sqrt(max(0.0, gap @ np.linalg.pinv(pool[1] + EPS * np.eye(len(gap))) @ gap)))
 
 
-def _pool_row(pool: DataFrame) -> tuple[int, np.ndarray, np.ndarray] | None:
+def _pool_row(pool: DataFrame, key: str) -> tuple[int, np.ndarray, np.ndarray] | None:
     """Sums of all groups: one row of a fixed size."""
-    one = lambda c: pool.select(F.posexplode(c).alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e.x).alias("v")).first()
-    n = pool.agg(F.sum("n").alias("n")).first().n
-    return (n, np.array(one("s").v, float), np.array(one("ss").v, float)) if n else None
+
+    def whole(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        slot = TaskContext.get().partitionId()
+        for pdf in batches:
+            if len(pdf):
+                yield _added(pdf.assign(slot=slot * FAN, k=""))
+
+    row = merged(stored(pool.withColumnRenamed(key, "k").mapInPandas(whole, _SUMS))).first()
+    return (row.n, np.frombuffer(row.s, "<f8"), np.frombuffer(row.ss, "<f8")) if row else None
 
 
 def _per_group(stats: DataFrame, key: str, rule) -> DataFrame:
@@ -99,8 +159,8 @@ def gaussian_distance(probe: DataFrame, reference: DataFrame, key: str, loso: bo
     """
     if variant not in ("frechet", "mahalanobis"):
         raise ValueError(f"unknown variant {variant}")
-    ref = sufficient(reference, key)
-    total = _pool_row(ref)
+    ref = stored(sufficient(reference, key))
+    total = _pool_row(ref, key)
     own = ref.select(key, F.col("n").alias("rn"), F.col("s").alias("rs"), F.col("ss").alias("rss"))
     joined = sufficient(probe, key).join(own, key, "left")
 
@@ -109,10 +169,11 @@ def gaussian_distance(probe: DataFrame, reference: DataFrame, key: str, loso: bo
             return None
         n, s, ss = total
         if loso and r.rn is not None and not pd.isna(r.rn):
-            n, s, ss = n - int(r.rn), s - np.asarray(r.rs), ss - np.asarray(r.rss)
+            n, s, ss = n - int(r.rn), s - np.frombuffer(r.rs, "<f8"), ss - np.frombuffer(r.rss, "<f8")
         if n < 2 or (variant == "frechet" and r.n < 2):
             return None
-        pool, mine = gaussian(n, s, ss), gaussian(r.n, np.asarray(r.s), np.asarray(r.ss))
+        d = len(s)
+        pool, mine = gaussian(n, s, square(ss, d)), gaussian(r.n, np.frombuffer(r.s, "<f8"), square(np.frombuffer(r.ss, "<f8"), d))
         if variant == "frechet":
             return frechet(mine, pool)
         return mahalanobis(mine[0] / max(np.linalg.norm(mine[0]), 1e-12), pool)
@@ -152,12 +213,65 @@ def mmd_distance(probe: DataFrame, reference: DataFrame, key: str, order: str, l
     return mine.mapInPandas(each, "k string, value double").withColumnRenamed("k", key)
 
 
+def mean_square_distance(vectors: DataFrame, vec: str = "vec") -> float:
+    """The mean squared distance of two vectors of the table: twice the mean square less twice the square of the mean."""
+    x = F.col("x").cast("double")
+    by_place = vectors.select(F.posexplode(vec).alias("i", "x")).groupBy("i").agg((F.avg(x * x) - F.avg(x) * F.avg(x)).alias("v"))
+    return 2 * float(by_place.agg(F.sum("v")).first()[0] or 0.0)
+
+
+def frequencies(n: int, d: int, seed: int) -> np.ndarray:
+    """n by d standard normal numbers from md5(seed:feature:place), by the Box-Muller law on its first two 32-bit words."""
+    words = [hashlib.md5(f"{seed}:{j}:{i}".encode()).digest()[:8] for j in range(n) for i in range(d)]
+    u = (np.frombuffer(b"".join(words), ">u4").reshape(n, d, 2).astype(float) + 1) / 2**32
+    return np.sqrt(-2 * np.log(u[..., 0])) * np.cos(2 * np.pi * u[..., 1])
+
+
+def mmd_features(probe: DataFrame, reference: DataFrame, key: str, loso: bool, features: int = 256, seed: int = 0) -> DataFrame:
+    """(key, value): squared MMD of each group and the pool (less the group with ``loso``) by random Fourier features.
+
+    The kernel is exp(-d2 / (2 m)) with m the mean squared distance over the reference. A vector becomes the cosines and sines of
+    seeded frequencies, so that products of two are the kernel up to an error of 1 / sqrt(features); a group is the mean of its
+    vectors, and all vectors count. Only sums of fixed size are shuffled. Null below two vectors on a side.
+    """
+    width = max(mean_square_distance(reference), 1e-12)
+
+    def partial(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        omega, sums = None, {}
+        for pdf in batches:
+            for (k, side), rows in pdf.groupby(["k", "side"], dropna=False):
+                x = np.vstack(rows["v"].to_numpy()).astype(float)
+                omega = frequencies(features, x.shape[1], seed) / math.sqrt(width) if omega is None else omega
+                angle, k = x @ omega.T, None if pd.isna(k) else k
+                own = sums.setdefault((k, side), [0, np.zeros(2 * features)])
+                own[0] += len(x)
+                own[1] += np.concatenate([np.cos(angle).sum(axis=0), np.sin(angle).sum(axis=0)])
+        yield pd.DataFrame([(k, side, i, v, n) for (k, side), (n, own) in sums.items() for i, v in enumerate(own)], columns=["k", "side", "i", "v", "n"])
+
+    both = probe.select(F.col(key).cast("string").alias("k"), F.lit("p").alias("side"), F.col("vec").alias("v"))
+    both = both.union(reference.select(F.col(key).cast("string").alias("k"), F.lit("r").alias("side"), F.col("vec").alias("v")))
+    sums = both.mapInPandas(partial, "k string, side string, i int, v double, n long").groupBy("k", "side", "i").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
+    sums = stored(sums)
+    pool = sums.filter("side = 'r'").groupBy("i").agg(F.sum("v").alias("pv"), F.sum("n").alias("pn"))  # a row a feature
+    wide = sums.groupBy("k", "i").agg(*(F.coalesce(F.max(F.when(F.col("side") == s, F.col(c))), F.lit(0)).alias(f"{s}{c}") for s in "pr" for c in "vn"))
+    joined = wide.withColumnsRenamed({"pv": "v", "pn": "n"}).filter("n > 0").join(F.broadcast(pool), "i", "left")
+    left = (lambda c: F.col(f"p{c}") - F.col(f"r{c}")) if loso else (lambda c: F.col(f"p{c}"))
+    gap = F.col("v") / F.col("n") - left("v") / F.nullif(left("n"), F.lit(0))
+    fit = (F.min("n") > 1) & (F.min(F.coalesce(left("n"), F.lit(0))) > 1)
+    return joined.groupBy("k").agg(F.when(fit, F.sum(gap * gap) / features).alias("value")).withColumnRenamed("k", key)
+
+
 def distribution_distance(probe: DataFrame, reference: DataFrame, key: str, order: str, loso: bool, variant: str) -> DataFrame:
-    """(key, value) by variant: ``frechet`` or ``mmd``; null below two vectors on a side. Raises ValueError for other variants."""
+    """(key, value) by variant: ``frechet``, ``mmd`` of samples, or ``mmd_features`` of all vectors; null below two vectors on a side.
+
+    Raises ValueError for other variants.
+    """
     if variant == "frechet":
         return gaussian_distance(probe, reference, key, loso, "frechet")
     if variant == "mmd":
         return mmd_distance(probe, reference, key, order, loso)
+    if variant == "mmd_features":
+        return mmd_features(probe, reference, key, loso)
     raise ValueError(f"unknown variant {variant}")
 
 

@@ -376,6 +376,22 @@ def mmd(spark, d):
     return vectors.distribution_distance(rows, rows.filter("is_reference"), "category_id", "vec_id", True, "mmd").select("category_id", *_r("value"))
 
 
+_UNIT = "(('0x' || substr(md5('0:' || j || ':' || (i - 1)), {at}, 8))::BIGINT + 1) / 4294967296.0"
+
+
+@query(f"""WITH v AS (SELECT vec_id, {_LABEL} AS k, vec_id % 4 <> 0 AS ref, i, CAST(embedding[i] AS DOUBLE) AS x FROM embeddings, range(1, 65) r(i)),
+m AS (SELECT 2 * sum(v) AS width FROM (SELECT avg(x * x) - avg(x) ** 2 AS v FROM v WHERE ref GROUP BY i)),
+o AS (SELECT j, i, sqrt(-2 * ln({_UNIT.format(at=1)})) * cos(2 * pi() * {_UNIT.format(at=9)}) / sqrt(width) AS o FROM range(256) a(j), range(1, 65) b(i), m),
+a AS (SELECT k, vec_id, any_value(ref) AS ref, j, sum(x * o) AS angle FROM v JOIN o USING (i) GROUP BY k, vec_id, j),
+f AS (SELECT k, ref, j, cos(angle) AS c, sin(angle) AS s FROM a),
+p AS (SELECT j, sum(c) AS c, sum(s) AS s, count(*) AS n FROM f WHERE ref GROUP BY j),
+g AS (SELECT k, j, avg(c) AS c, avg(s) AS s, sum(c) FILTER (ref) AS rc, sum(s) FILTER (ref) AS rs, count(*) FILTER (ref) AS rn FROM f GROUP BY k, j)
+SELECT k AS category_id, round(sum((g.c - (p.c - rc) / (n - rn)) ** 2 + (g.s - (p.s - rs) / (n - rn)) ** 2) / 256, 6) AS value FROM g JOIN p USING (j) GROUP BY k""")
+def mmd_features(spark, d):
+    rows = mapping.vectors(spark, d)
+    return vectors.distribution_distance(rows, rows.filter("is_reference"), "category_id", "vec_id", True, "mmd_features").select("category_id", *_r("value"))
+
+
 @query("SELECT vec_id AS key, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 6) AS total FROM embeddings WHERE vec_id % 4 = 0")
 def encode_backlog(spark, d):
     rows = mapping.vectors(spark, d).select(F.col("vec_id").alias("key"), "vec", "is_reference")
