@@ -30,11 +30,11 @@ from relyframe.llm.common import materialize, table, temporary
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Characters of the texts of a block, but for one longer text.
-BLOCK_CHARS = 8 << 20
+BLOCK_CHARS = 4 << 20
 #: Distinct chunks that a Python worker keeps.
 ROOM = 200_000
 #: Chunks that are encoded at once, and places of chunks in texts that are multiplied at once.
-ENCODED, MULTIPLIED = 8_192, 200_000
+ENCODED, MULTIPLIED = 8_192, 100_000
 #: White space of the tokenizers' patterns (Unicode's property of that name).
 _WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _CHUNK = re.compile(f"[ \\n][{_WHITE}]*[^{_WHITE}]*(?:[\\t\\x0b-\\r\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000][{_WHITE}]*[^{_WHITE}]*)*")
