@@ -1,10 +1,12 @@
 """Operator 1: licence scans by sparse TF-IDF cosine, then inheritance from the nearest ancestor directory.
 
-Every line of every file is compared with licence templates. Terms are weighted by their inverse frequency over
-all lines of the corpus, which is counted for the templates' terms only; other terms count as seen once. A line
-is scored only if it holds a term without which no template's cosine can reach the threshold (prefix filter), so
-most lines cost one set test. Files without a licence of their own take that of the nearest ancestor directory
-with a licence file; directories are resolved once each, by joining their ancestors with licensed directories.
+Every file is compared with licence statements, headers and whole licence texts. A template of n terms is compared with each
+window of n consecutive terms of the file, so words around a statement don't dilute it, and line ends inside it don't matter.
+Terms are weighted by their inverse frequency over all lines of the corpus, which is counted for the templates' terms only; other
+terms count as never seen, and stand only where a window lacks a term of the template. A window is scored only if it holds a term
+without which the template's cosine can't reach the threshold (prefix filter), so most texts cost one set test. Files without a
+licence of their own take that of the nearest ancestor directory with a licence file; directories are resolved once each, by
+joining their ancestors with licensed directories.
 """
 
 from __future__ import annotations
@@ -23,14 +25,34 @@ from relyframe.llm.common import materialize, table
 THRESHOLD = 0.8
 #: Files to a derived directory of the documents table, per level.
 FANOUT = 64
-# Short licence statements as they stand in file headers, by SPDX identifier.
+# Licence statements, headers and a whole text, by SPDX identifier.
 TEMPLATES: dict[str, tuple[str, ...]] = {
-    "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: Apache-2.0"),
-    "BSD-3-Clause": ("Use of this source code is governed by a BSD-style license.", "SPDX-License-Identifier: BSD-3-Clause"),
+    "Apache-2.0": (
+        "Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: Apache-2.0",
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
+    ),
+    "BSD-3-Clause": (
+        "Use of this source code is governed by a BSD-style license.", "SPDX-License-Identifier: BSD-3-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    ),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "SPDX-License-Identifier: CC-BY-4.0"),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "SPDX-License-Identifier: CC-BY-NC-4.0"),
-    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0-only"),
-    "MIT": ("Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "SPDX-License-Identifier: MIT"),
+    "GPL-3.0": (
+        "This work is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0-only",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
+        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
+    "MIT": (
+        "Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "SPDX-License-Identifier: MIT",
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), '
+        "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
+        "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, '
+        "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER "
+        "LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS "
+        "IN THE SOFTWARE.",
+    ),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"),
 }
 _TERM = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
@@ -42,7 +64,7 @@ def terms(line: str) -> list[str]:
 
 
 class Scorer:
-    """TF-IDF cosine of lines to templates."""
+    """TF-IDF cosine of the windows of a text to templates."""
 
     def __init__(self, templates: dict[str, tuple[str, ...]], frequency: dict[str, int], n_lines: int, threshold: float = THRESHOLD):
         self.threshold, self.other = threshold, math.log(1 + n_lines)
@@ -50,29 +72,71 @@ class Scorer:
         self.templates, self.triggers = [], set()
         for name, statements in sorted(templates.items()):
             for statement in statements:
-                weights = {t: n * self.idf[t] for t, n in Counter(terms(statement)).items()}
+                counts = Counter(terms(statement))
+                weights = {t: n * self.idf[t] for t, n in counts.items()}
                 norm = math.sqrt(sum(w * w for w in weights.values())) or 1.0
-                self.templates.append((name, {t: w / norm for t, w in weights.items()}))
-                # A line with none of the first, heaviest terms shares less than the threshold with this template.
-                rest = 1.0
+                # A window with none of the first, heaviest terms shares less than the threshold with this template.
+                own, rest = set(), 1.0
                 for t, w in sorted(weights.items(), key=lambda x: (-x[1], x[0])):
                     if rest < threshold * threshold:
                         break
-                    self.triggers.add(t)
+                    own.add(t)
                     rest -= (w / norm) ** 2
+                self.triggers |= own
+                self.templates.append((name, {t: w / norm for t, w in weights.items()}, own, sum(counts.values())))
 
-    def best(self, line_terms: list[str]) -> tuple[str, float] | None:
-        """The best template at or above the threshold; ties go to the first name."""
-        if self.triggers.isdisjoint(line_terms):
-            return None
-        counts = Counter(line_terms)
-        weights = {t: n * self.idf.get(t, self.other) for t, n in counts.items()}
+    def weight(self, term: str) -> float:
+        return self.idf.get(term, self.other)
+
+    def cosine(self, template: dict[str, float], window: list[str]) -> float:
+        weights = {t: n * self.weight(t) for t, n in Counter(window).items()}
         norm = math.sqrt(sum(w * w for w in weights.values()))
-        if not norm:
-            return None
-        scored = [(sum(w * weights[t] for t, w in own.items() if t in weights) / norm, name) for name, own in self.templates]
-        score, name = max(scored, key=lambda x: (round(x[0], 9), [-ord(c) for c in x[1]]))
-        return (name, score) if score >= self.threshold else None
+        return sum(w * weights[t] for t, w in template.items() if t in weights) / norm if norm else 0.0
+
+    def found(self, stream: list[str]) -> Iterator[tuple[float, int, str]]:
+        """(score, first term, name) of each window at or above the threshold; a text shorter than a template is one window."""
+        at = [p for p, t in enumerate(stream) if t in self.triggers]
+        for name, template, own, n in self.templates:
+            last, done = max(0, len(stream) - n), -1
+            for p in at:
+                if stream[p] not in own:
+                    continue
+                first, end = max(done + 1, p - n + 1, 0), min(p, last)
+                if first <= end:
+                    for start in self._passing(template, stream, first, end, n):
+                        score = self.cosine(template, stream[start : start + n])
+                        if score >= self.threshold:
+                            yield score, start, name
+                    done = end
+
+    def _passing(self, template: dict[str, float], stream: list[str], first: int, end: int, n: int) -> Iterator[int]:
+        """Starts from ``first`` to ``end`` whose windows may pass, by sums that move along; they are scored again exactly."""
+        counts = Counter(stream[first : first + n])
+        dot = sum(counts[t] * self.weight(t) * w for t, w in template.items())
+        square = sum((c * self.weight(t)) ** 2 for t, c in counts.items())
+        for start in range(first, end + 1):
+            if dot >= (self.threshold - 1e-6) * math.sqrt(max(square, 0.0)):
+                yield start
+            if start < end:
+                for t, step in ((stream[start], -1), (stream[start + n], 1)):
+                    w = self.weight(t)
+                    square += ((counts[t] + step) ** 2 - counts[t] ** 2) * w * w
+                    dot += step * w * template.get(t, 0.0)
+                    counts[t] += step
+
+    def best(self, lines: list[list[str]]) -> tuple[str | None, float | None, int | None, int]:
+        """(licence, score, line where its window begins, lines where such windows begin) of a text's lines of terms.
+
+        Of equal scores the first window counts, and then the first name.
+        """
+        if all(self.triggers.isdisjoint(line) for line in lines):
+            return None, None, None, 0
+        found = list(self.found([t for line in lines for t in line]))
+        if not found:
+            return None, None, None, 0
+        line_of = [k for k, line in enumerate(lines) for _ in line]
+        score, start, name = min(found, key=lambda x: (-round(x[0], 9), x[1], x[2]))
+        return name, score, line_of[start], len({line_of[s] for _, s, _ in found})
 
 
 def vocabulary(templates: dict[str, tuple[str, ...]]) -> set[str]:
@@ -102,10 +166,10 @@ def line_frequency(files: DataFrame, words: set[str]) -> tuple[dict[str, int], i
 
 
 def scan(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(path, id, licence, score, line, n_lines) of files (id, path, text): the best line of each file, nulls without any.
+    """(path, id, licence, score, line, n_lines) of files (id, path, text): the best window of each file, nulls without any.
 
-    Ties between lines go to the first. A null or empty text has no licence. Repeated rows are scanned alike; an
-    empty table gives no rows. Other columns are dropped.
+    ``line`` is where it begins, ``n_lines`` how many lines begin one. Of equal scores the first counts. A null or empty text has
+    no licence. Repeated rows are scanned alike; an empty table gives no rows. Other columns are dropped.
     """
     rows = files.select("id", "path", F.coalesce("text", F.lit("")).alias("text"))
     frequency, n_lines = line_frequency(rows, vocabulary(templates))
@@ -113,16 +177,7 @@ def scan(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, th
 
     def best(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for text in pdf["text"]:
-                top, n = (None, None, None), 0
-                for at, line in enumerate(text.split("\n")):
-                    found = scorer.best(terms(line))
-                    if found:
-                        n += 1
-                        if top[1] is None or found[1] > top[1] + 1e-12:
-                            top = (*found, at)
-                out.append((*top, n))
+            out = [scorer.best([terms(line) for line in text.split("\n")]) for text in pdf["text"]]
             names = ["licence", "score", "line", "n_lines"]
             found = pd.DataFrame(out, columns=names, index=pdf.index).astype({"line": "Int64"})
             yield pd.concat([pdf[["id", "path"]], found], axis=1)

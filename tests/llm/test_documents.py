@@ -413,13 +413,32 @@ def test_inherit_keeps_clashing_columns(spark):
 
 
 def test_prefix_filter_loses_nothing():
-    corpus = ["the terms of this work", "Licensed under CC BY-NC 4.0", "licensed under CC BY 4.0 the same", "released under MIT", "Released under the MIT License", "under the License version of the terms"]
-    scorer = licenses.Scorer(licenses.TEMPLATES, {"the": 50, "of": 60, "under": 3}, 100)
+    corpus = ["the terms of this work", "Licensed under CC BY-NC 4.0", "licensed under CC BY 4.0 the same", "released under MIT", "Released under the MIT License", "under the License version of the terms", "so released under the very MIT License and licensed under CC BY 4.0"]
+    make = lambda: licenses.Scorer(licenses.TEMPLATES, {"the": 50, "of": 60, "under": 3}, 100)
     for line in corpus:
-        t = licenses.terms(line)
-        open_ = licenses.Scorer(licenses.TEMPLATES, {"the": 50, "of": 60, "under": 3}, 100)
+        t, open_ = licenses.terms(line), make()
         open_.triggers = set(t)
-        assert scorer.best(t) == open_.best(t)
+        open_.templates = [(name, template, set(t), n) for name, template, _, n in open_.templates]
+        assert make().best([t]) == open_.best([t])
+
+
+@pytest.mark.parametrize("times", [1, 300])
+def test_statements_inside_lines_at_any_size(spark, times):
+    """With the frequencies of a whole table, and of one so many times as large."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text")
+    counts, n = licenses.line_frequency(rows, licenses.vocabulary(licenses.TEMPLATES))
+    scorer = licenses.Scorer(licenses.TEMPLATES, {t: times * c for t, c in counts.items()}, times * n)
+    best = lambda text: scorer.best([licenses.terms(x) for x in text.split("\n")])
+    assert best("This file is licensed under the Apache License, Version 2.0.")[:2] == ("Apache-2.0", pytest.approx(1.0))
+    assert best("Copyright 2020 Foo. Licensed under the Apache License, Version 2.0.")[0] == "Apache-2.0"
+    assert best("\nAll text here was released under the MIT License.\n")[0::2] == ("MIT", 1)
+    assert best("# Licensed under the Apache License,\n# Version 2.0 (the Licence)")[0] == "Apache-2.0"
+    gpl, mit = licenses.TEMPLATES["GPL-3.0"][2], licenses.TEMPLATES["MIT"][3]
+    wrapped = "\n".join(f" * {gpl[k : k + 60]}" for k in range(0, len(gpl), 60))
+    assert best(f"/*\n{wrapped}\n */\ncode")[0] == "GPL-3.0"
+    words = mit.split(" ")
+    assert best("Copyright (c) 2019 Some One\n\n" + "\n".join(" ".join(words[k : k + 11]) for k in range(0, len(words), 11)))[0] == "MIT"
+    assert best("the license of this version is public and the work is free")[0] is None and best("")[0] is None
 
 
 def test_clashing_columns_survive(spark, docs):

@@ -80,7 +80,7 @@ def test_op7_whole_table(spark, texts):
 
 
 def test_op1_whole_table(spark, texts):
-    """Cosines of every line with every template over all terms, without the prefix filter."""
+    """Cosines of every window of every text with every template, without the prefix filter, with frequencies counted anew."""
     lines = {i: [licenses.terms(x) for x in (t or "").split("\n")] for i, t in texts}
     n_lines = sum(bool(x) for own in lines.values() for x in own)
     vocabulary = licenses.vocabulary(licenses.TEMPLATES)
@@ -88,22 +88,25 @@ def test_op1_whole_table(spark, texts):
     weight = lambda t: math.log((1 + n_lines) / (1 + (seen[t] if t in vocabulary else 0)))
     vector = lambda x: {t: n * weight(t) for t, n in Counter(x).items()}
     length = lambda v: math.sqrt(sum(w * w for w in v.values()))
-    known = [(name, vector(licenses.terms(s))) for name, own in licenses.TEMPLATES.items() for s in own]
-
-    def cosine(x):
-        v = vector(x)
-        return [(sum(w * v.get(t, 0) for t, w in k.items()) / (length(k) * length(v)), name) for name, k in known] if x and length(v) else [(0.0, "")]
-
+    known = [(name, vector(licenses.terms(s)), len(licenses.terms(s))) for name, own in licenses.TEMPLATES.items() for s in own]
     rows = {r.doc_id: r for r in queries.QUERIES["op1_license_scan"](spark, SMALL).collect()}
     for i, own in lines.items():
-        scores = [max(cosine(x)) for x in own]
-        best = max(s for s, _ in scores)
-        if best < licenses.THRESHOLD - 1e-9:
+        stream, at = [t for x in own for t in x], [k for k, x in enumerate(own) for _ in x]
+        found = []
+        for name, k, n in known:
+            for start in range(max(0, len(stream) - n) + 1):
+                window = stream[start : start + n]
+                if not k.keys().isdisjoint(window):
+                    v = vector(window)
+                    score = sum(w * v.get(t, 0) for t, w in k.items()) / (length(k) * length(v))
+                    if score >= licenses.THRESHOLD - 1e-9:
+                        found.append((-round(score, 9), start, name))
+        if not found:
             assert rows[i].own_license is None and rows[i].n_lines == 0
         else:
-            first = next(k for k, (s, _) in enumerate(scores) if s > best - 1e-12)
-            assert (rows[i].own_license, rows[i].line) == (scores[first][1], first) and abs(rows[i].score - best) < 1e-6
-            assert rows[i].n_lines == sum(s >= licenses.THRESHOLD for s, _ in scores)
+            score, start, name = min(found)
+            assert (rows[i].own_license, rows[i].line) == (name, at[start]) and abs(rows[i].score + score) < 1e-6
+            assert rows[i].n_lines == len({at[s] for _, s, _ in found})
     assert sum(r.own_license is not None for r in rows.values()) > 0
 
 
