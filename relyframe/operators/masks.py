@@ -1,4 +1,4 @@
-"""Masks and pixels: run-length masks, crops, backgrounds and scene measures in Arrow batches."""
+"""Masks and pixels: run-length masks and scene measures in Arrow batches."""
 
 from __future__ import annotations
 
@@ -67,15 +67,6 @@ def log_area(frames: DataFrame, species: DataFrame, cap: int = 40) -> DataFrame:
     return species.select("category_id").distinct().join(areas, "category_id", "left")
 
 
-def fit_mask(mask: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
-    """Nearest-neighbour resize."""
-    if mask.shape == shape:
-        return mask
-    rows = ((np.arange(shape[0]) + 0.5) * mask.shape[0] / shape[0]).astype(int)
-    cols = ((np.arange(shape[1]) + 0.5) * mask.shape[1] / shape[1]).astype(int)
-    return mask[rows][:, cols]
-
-
 def achromatic(rgb: np.ndarray, threshold: float = 12.0) -> bool:
     spread = rgb.max(axis=2).astype(int) - rgb.min(axis=2)
     return float(spread.mean()) < threshold
@@ -91,48 +82,15 @@ def clutter(rgb: np.ndarray) -> float:
     return float(inner.var())
 
 
-def background(rgb: np.ndarray, masks: list[np.ndarray], fill: str = "mean") -> np.ndarray:
-    """The frame with the union of masks filled; unchanged if the union is empty or everything."""
-    union = np.zeros(rgb.shape[:2], bool)
-    for m in masks:
-        union |= fit_mask(m, union.shape)
-    if not union.any() or union.all():
-        return rgb
-    out = rgb.copy()
-    out[union] = rgb[~union].mean(axis=0).astype(np.uint8) if fill == "mean" else 0
-    return out
-
-
-def crop(rgb: np.ndarray, mask: np.ndarray, least: int = 64, hide_background: bool = True) -> np.ndarray | None:
-    """The mask's box with the background at zero; null below ``least`` mask pixels."""
-    mask = fit_mask(mask, rgb.shape[:2])
-    if mask.sum() < least:
-        return None
-    ys, xs = np.nonzero(mask)
-    cut = (slice(ys.min(), ys.max() + 1), slice(xs.min(), xs.max() + 1))
-    return rgb[cut] * mask[cut][..., None] if hide_background else rgb[cut]
-
-
-def scene_pass(pixels: DataFrame, fill: str = "mean") -> DataFrame:
-    """Scene measures and crops in one pass over (key, location_id, height, width, rgb, masks) rows.
-
-    ``masks`` holds run-length texts of the frame's size. Out: key, location_id, is_achromatic, clutter,
-    background (bytes), crops (array of height, width, rgb).
-    """
+def scene_pass(pixels: DataFrame) -> DataFrame:
+    """(key, location_id, is_achromatic, clutter) of (key, location_id, height, width, rgb) rows."""
 
     def each(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for key, loc, h, w, rgb, masks in zip(*(pdf[c] for c in ("key", "location_id", "height", "width", "rgb", "masks")), strict=True):
-                image = np.frombuffer(rgb, np.uint8).reshape(h, w, 3)
-                decoded = [decode_mask(h, w, m) for m in (masks if masks is not None else []) if m]
-                crops = [c for c in (crop(image, m) for m in decoded) if c is not None]
-                cut = [{"height": c.shape[0], "width": c.shape[1], "rgb": np.ascontiguousarray(c, np.uint8).tobytes()} for c in crops]
-                rows.append((key, loc, achromatic(image), clutter(image), background(image, decoded, fill).tobytes(), cut))
-            yield pd.DataFrame(rows, columns=["key", "location_id", "is_achromatic", "clutter", "background", "crops"])
-
-    crops = "array<struct<height:int,width:int,rgb:binary>>"
-    return pixels.mapInPandas(each, f"key string, location_id string, is_achromatic boolean, clutter double, background binary, crops {crops}")
+            images = [np.frombuffer(rgb, np.uint8).reshape(h, w, 3) for h, w, rgb in zip(pdf["height"], pdf["width"], pdf["rgb"], strict=True)]
+            yield pdf[["key", "location_id"]].assign(is_achromatic=[achromatic(x) for x in images], clutter=[clutter(x) for x in images])
+
+    return pixels.mapInPandas(each, "key string, location_id string, is_achromatic boolean, clutter double")
 
 
 def location_scene(frames: DataFrame, flag: str = "is_achromatic", clutter_col: str = "clutter") -> DataFrame:

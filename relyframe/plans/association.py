@@ -1,11 +1,16 @@
-"""Bootstrapped associations over group rows: correlations, a leave-one-out line, and a calibration band.
+"""Bootstrapped associations: correlations, a leave-one-out line, and a calibration band.
 
-Draws are made by row: slot j of draw b takes row md5(seed:b:j) mod n of the rows in the order of their key. A draw is
-reduced to weighted moments by an aggregate, so nothing larger than the drawn (b, row) pairs is shuffled.
+Over group rows, draws are made by row: slot j of draw b takes row md5(seed:b:j) mod n of the rows in the order of their key, and the
+drawn (b, row) pairs are joined and summed. Over records (``split_draws``) no pair is ever made: the n slots of a draw are
+split down a tree of row ranges by binomial draws, each task derives how often its rows are taken, and hands on a row a draw.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +19,8 @@ from relyframe.operators.scoring import corr_of_moments, moments, partial_corr,
 from relyframe.plans.models import bootstrap_draws
 from relyframe.sources.scratch import stored
 
+#: Rows of a range whose draws are made together.
+RANGE_ROWS = 16_384
 _PAIR_NAMES = ("w", "wx", "wy", "wxx", "wyy", "wxy")
 
 
@@ -36,6 +43,69 @@ def _drawn(rows: DataFrame, key: str, draws: int, seed: int) -> tuple[DataFrame,
     return bootstrap_draws(rows.sparkSession, seed, draws, n).join(ranked, "g"), n
 
 
+def range_slots(seed: int, draws: int, upto: np.ndarray, leaf: int) -> np.ndarray:
+    """How many of a draw's slots fall on a range, for all draws; ``upto`` has the number of rows before each range, and of all.
+
+    Each node of the tree splits its slots in proportion to its children's rows by a generator of its own, so all tasks that pass
+    it see the same numbers, and the ranges' slots are multinomial.
+    """
+    low, high, n = 0, len(upto) - 1, np.full(draws, upto[-1])
+    while high - low > 1:
+        middle = (low + high) // 2
+        left = np.random.default_rng([seed, low, high]).binomial(n, (upto[middle] - upto[low]) / (upto[high] - upto[low]))
+        low, high, n = (low, middle, left) if leaf < middle else (middle, high, n - left)
+    return n
+
+
+def split_draws(rows: DataFrame, draws: int, seed: int = 0) -> DataFrame:
+    """(b, columns, m): of each draw of n of the n rows with replacement, the sums of all (numeric) columns and the number of rows.
+
+    The rows are written once; a range is RANGE_ROWS rows of a file in their order, so the draws are those of the written table,
+    however it is split among tasks. What is shuffled is a row a draw and task. The driver holds a number a file. Nulls count as
+    zero; no rows give no draws.
+    """
+    names = rows.columns
+    kept = stored(rows.select(*(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in names)))
+    placed = kept.select(*names, F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    files = {r["_file"]: r["count"] for r in placed.groupBy("_file").count().collect()}
+    first, sizes = {}, []
+    for name in sorted(files):
+        first[name] = len(sizes)
+        sizes += [min(RANGE_ROWS, files[name] - at) for at in range(0, files[name], RANGE_ROWS)]
+    upto = np.append(0, np.cumsum(sizes)).astype(np.int64)
+
+    def add(total: np.ndarray, leaf: int, places: np.ndarray, values: np.ndarray) -> None:
+        n = int(upto[leaf + 1] - upto[leaf])
+        generator = np.random.default_rng([seed, leaf])
+        for b, slots in enumerate(range_slots(seed, draws, upto, leaf)):
+            taken = np.bincount(generator.integers(0, n, slots), minlength=n)[places]
+            total[b, :-1] += taken @ values
+            total[b, -1] += taken.sum()
+
+    def each(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, held = np.zeros((draws, len(names) + 1)), []
+
+        def flush() -> None:
+            if held:
+                add(total, held[0][0], np.concatenate([h[1] for h in held]), np.vstack([h[2] for h in held]))
+                held.clear()
+
+        for pdf in batches:
+            leaves = pdf["_file"].map(first).to_numpy(np.int64) + pdf["_row"].to_numpy() // RANGE_ROWS
+            edges = np.append(np.flatnonzero(np.append(True, leaves[1:] != leaves[:-1])), len(pdf))
+            values, places = pdf[names].to_numpy(float), pdf["_row"].to_numpy() % RANGE_ROWS
+            for a, z in zip(edges, edges[1:], strict=False):
+                if held and held[0][0] != leaves[a]:
+                    flush()
+                held.append((int(leaves[a]), places[a:z], values[a:z]))
+        flush()
+        if total[:, -1].any():
+            yield pd.DataFrame(total, columns=[*names, "m"]).assign(b=np.arange(draws))[["b", *names, "m"]]
+
+    parts = placed.mapInPandas(each, ", ".join(["b long", *(f"`{c}` double" for c in names), "m double"]))
+    return parts.groupBy("b").agg(*(F.sum(c).alias(c) for c in names), F.sum("m").cast("long").alias("m"))
+
+
 def bootstrap_corr(rows: DataFrame, key: str, x: str, y: str, w: str, draws: int, seed: int = 0) -> DataFrame:
     """(r, ci_lo, ci_hi, n, significant): weighted correlation and its interval over draws; nulls below 3 rows or without spread."""
     rows = rows.select(key, x, y, w).dropna()
@@ -100,16 +170,23 @@ def line_validation(rows: DataFrame, key: str, x: str, y: str, w: str, draws: in
     return point.crossJoin(ends).withColumn("significant", F.coalesce(F.col("ci_lo") > 0, F.lit(False)))
 
 
-def calibration_band(rows: DataFrame, key: str, predicted: str, actual: str, points: int = 50, draws: int = 500, seed: int = 0) -> DataFrame:
-    """(x, fit, lo, hi): least-squares line of actual on predicted over a grid, with its 5 to 95 % band over draws of rows."""
-    rows = rows.select(key, predicted, actual).dropna()
+def calibration_band(rows: DataFrame, key: str | None, predicted: str, actual: str, points: int = 50, draws: int = 500, seed: int = 0) -> DataFrame:
+    """(x, fit, lo, hi): least-squares line of actual on predicted over a grid, with its 5 to 95 % band over draws of rows.
+
+    With a ``key`` the rows are few (groups) and draws follow their order; without, they are records and drawn by ``split_draws``.
+    """
+    rows = rows.select(*([key] if key else []), predicted, actual).dropna()
     one = F.lit(1.0)
     px, py = F.col(predicted).cast("double"), F.col(actual).cast("double")
     det = F.col("s_w") * F.col("s_wxx") - F.col("s_wx") * F.col("s_wx")
     slope = (F.col("s_w") * F.col("s_wxy") - F.col("s_wx") * F.col("s_wy")) / F.nullif(det, F.lit(0.0))
     line = lambda df: df.withColumn("slope", slope).withColumn("cut", (F.col("s_wy") - F.col("slope") * F.col("s_wx")) / F.col("s_w"))
-    drawn, _ = _drawn(rows, key, draws, seed)
-    boots = line(drawn.groupBy("b").agg(*moments(px, py, F.col("m").cast("double"))))
+    if key:
+        drawn, _ = _drawn(rows, key, draws, seed)
+        boots = line(drawn.groupBy("b").agg(*moments(px, py, F.col("m").cast("double"))))
+    else:
+        own = {"w": one, "wx": px, "wy": py, "wxx": px * px, "wxy": px * py}
+        boots = line(split_draws(rows.select(*(c.alias(f"s_{k}") for k, c in own.items())), draws, seed))
     grid = rows.agg(F.min(predicted).alias("a"), F.max(predicted).alias("z")).select(
         F.explode(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda k: F.col("a") + (F.col("z") - F.col("a")) * k / (points - 1))).alias("x")
     )

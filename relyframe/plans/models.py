@@ -111,6 +111,19 @@ def draw_counts(seed: int, draws: int, n_groups: int) -> np.ndarray:
     return out
 
 
+#: Slots of all draws up to which the driver counts them itself.
+LOCAL_SLOTS = 200_000
+
+
+def counted_draws(spark: SparkSession, seed: int, draws: int, n_groups: int) -> np.ndarray:
+    """``draw_counts``, made by Spark where they are many: a number for each group and draw comes back."""
+    if draws * n_groups <= LOCAL_SLOTS:
+        return draw_counts(seed, draws, n_groups)
+    out, made = np.zeros((n_groups, draws), np.int64), bootstrap_draws(spark, seed, draws, n_groups).toPandas()
+    out[made["g"].to_numpy(int), made["b"].to_numpy(int)] = made["m"].to_numpy(int)
+    return out
+
+
 def bootstrap_draws(spark: SparkSession, seed: int, draws: int, n_groups: int) -> DataFrame:
     """(b, g, m): the same counts as a table, made by Spark."""
     slots = spark.range(draws * n_groups).select(
@@ -276,7 +289,7 @@ def cluster_bootstrap(rows: DataFrame, target: str, support: str | None, design:
         n = ready.select("grp").distinct().count()
         if n < 2:
             continue
-        fits = fit_many(ready, design, Counts(draw_counts(seed, draws, n)))
+        fits = fit_many(ready, design, Counts(counted_draws(rows.sparkSession, seed, draws, n)))
         with np.errstate(all="ignore"):
             ends = np.nanquantile(fits.coef, [alpha / 2, 1 - alpha / 2], axis=0)
         found.append(ends)
@@ -373,7 +386,7 @@ def score_reliability(queries: DataFrame, table: DataFrame, target: str, support
     """(keep, predicted, lo, hi) of each query row: the fitted score and a 95 % range over whole-group draws."""
     ready = stored(prepare(table, target, support, design, group))
     point = fit_many(ready, design)
-    spread = fit_many(ready, design, Counts(draw_counts(seed, draws, len(point.groups))))
+    spread = fit_many(ready, design, Counts(counted_draws(table.sparkSession, seed, draws, len(point.groups))))
     asked = queries.withColumn("_y", F.lit(0.0)).withColumn("_g", F.lit("query"))
     asked = prepare(asked, "_y", support, design, "_g", keep)
     p, good = len(design.terms), np.flatnonzero(spread.ok)

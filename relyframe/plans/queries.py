@@ -744,6 +744,12 @@ def calibration_band(spark, d):
     return association.calibration_band(rows, "key", "pAssA", "pDetA", draws=100).select(*_r("x", "fit", "lo", "hi"))
 
 
+@query()
+def calibration_band_records(spark, d):
+    """The band over draws of all scored probes, of which no (draw, row) pair is made."""
+    return association.calibration_band(mapping.probes(spark, d), None, "pAssA", "pDetA", draws=100).select(*_r("x", "fit", "lo", "hi"))
+
+
 @query()
 def reliability_scores(spark, d):
     rows = stored(_feat(spark, d))
@@ -847,6 +853,31 @@ def robustness_variants(spark, d):
     return found[0].select("variant", "group_scheme", "n", *_r("mae", "delta", "p_value"))
 
 
+@query(f"""{_CLASSES}, found AS (SELECT 'early' AS variant FROM cls WHERE time < '1998' AND pDetA IS NOT NULL UNION SELECT 'late' FROM cls WHERE time >= '1998' AND pDetA IS NOT NULL)
+SELECT variant FROM (VALUES ('early'), ('late'), ('absent')) v(variant) WHERE variant NOT IN (SELECT variant FROM found)""")
+def robustness_missing(spark, d):
+    """The variants that were asked for and have no table."""
+    rows = _classes(spark, d)
+    wanted = spark.createDataFrame([("early",), ("late",), ("absent",)], "variant string")
+    return studies.robustness({"early": rows.filter("time < '1998'"), "late": rows.filter("time >= '1998'")}, wanted, _LARGE, ["pDetA"], "n_frames", 10)[2]
+
+
+@query()
+def difficulty_verdicts(spark, d):
+    """The validation of the single signals and of all together, with their verdicts."""
+    rows = _classes(spark, d).withColumns({"clutter": F.col("num_masklets") / F.col("n_videos"), "log_area": F.log1p("frames")})
+    found, _ = studies.difficulty_experiment(rows, ["clutter"], ["late"], "log_area", "pDetA", "n_frames", 50)
+    return found.select("design", "group_scheme", "n", *_r("mae", "delta", "p_value"), "both_positive", "both_significant")
+
+
+@query()
+def familiarity_verdicts(spark, d):
+    """The validation of the familiarity metrics, with their verdicts."""
+    rows = _feat(spark, d).withColumns({"familiar": F.col("pAssA"), "log_area": F.log1p("frames")})
+    found, _ = studies.familiarity_experiment(rows, ["familiar"], "year", "log_area", "pDetA", "n_frames", 50)
+    return found.select("design", "group_scheme", "n", *_r("mae", "delta", "p_value"), "both_positive", "both_significant")
+
+
 @query(f"""{_CLASSES}, swapped AS (SELECT * REPLACE (pAssA AS pDetA) FROM cls), {_summary_sql([('swap', 'late', 'swapped')], 50)}
 SELECT design, group_scheme, target, n, round(mae, 6) AS mae, round(delta, 6) AS delta, round(p_value, 6) AS p_value FROM summary""")
 def model_swap(spark, d):

@@ -20,18 +20,34 @@ SCHEMES = {"species": "category_id", "location": "location_id"}
 
 def merge_features(cells: DataFrame, per_species: list[DataFrame] = (), per_location: list[DataFrame] = (), per_cell: list[DataFrame] = ()) -> DataFrame:
     """Cells with features joined at their grain; rows are kept as they are. Raises ValueError if a feature has two rows a key."""
-    out = cells
-    for keys, features in ((["category_id"], per_species), (["location_id"], per_location), (CELL, per_cell)):
-        for f in features:
-            out = merge_features_at(out, f, keys)
-    return out
+    grains = ((["category_id"], per_species), (["location_id"], per_location), (CELL, per_cell))
+    return merge_features_at(cells, [(f, keys) for keys, features in grains for f in features])
 
 
-def merge_features_at(cells: DataFrame, feature: DataFrame, keys: list[str]) -> DataFrame:
-    feature = stored(feature)  # once for the test and the join
-    if not feature.groupBy(*keys).count().filter("count > 1").isEmpty():
-        raise ValueError(f"a feature has more than one row a {keys}")
-    return cells.join(feature, keys, "left")
+def merge_features_at(cells: DataFrame, features: list[tuple[DataFrame, list[str]]]) -> DataFrame:
+    """Cells with (feature, keys) joined, written by one job.
+
+    That job groups each feature by its keys and fails where a key has two rows, so no feature is read a second time to test it.
+    """
+    for feature, keys in features:
+        cells = cells.join(_single(feature, keys), keys, "left")
+    try:
+        return stored(cells)
+    except Exception as e:
+        if _TWICE in str(e):
+            raise ValueError(str(e)[str(e).index(_TWICE) :].split("\n")[0]) from e
+        raise
+
+
+_TWICE = "a feature has more than one row a"
+
+
+def _single(feature: DataFrame, keys: list[str]) -> DataFrame:
+    """The feature with a failure in place of the values of a key that occurs twice."""
+    names = [c for c in feature.columns if c not in keys]
+    grouped = feature.groupBy(*keys).agg(F.count("*").alias("_n"), *(F.min_by(c, F.lit(0)).alias(c) for c in names))
+    fails = F.raise_error(F.lit(f"{_TWICE} {keys}"))
+    return grouped.select(*keys, *(F.when(F.col("_n") > 1, fails.cast(feature.schema[c].dataType)).otherwise(F.col(c)).alias(c) for c in names))
 
 
 def assemble_features(cells: DataFrame, partition: DataFrame, held_axis: str, loso: bool, **features: list[DataFrame]) -> DataFrame:
@@ -123,7 +139,7 @@ def familiarity_experiment(cells: DataFrame, metrics: list[str], base: str, size
 def replace_feature(cells: DataFrame, feature: DataFrame, keys: list[str]) -> DataFrame:
     """Cells with the feature's columns replaced by those of another partition, at its keys; null where that has none."""
     columns = [c for c in feature.columns if c not in keys]
-    return merge_features_at(cells.drop(*columns), feature, keys)
+    return merge_features_at(cells.drop(*columns), [(feature, keys)])
 
 
 def robustness(variants: dict[str, DataFrame], wanted: DataFrame, design: Design, targets: list[str], support: str, draws: int) -> tuple[DataFrame, DataFrame, DataFrame]:
