@@ -44,15 +44,16 @@ def confidence_of(spark: SparkSession, table_path: str, threshold: float, cell:
     return confidence_of_counts(counts, frames, threshold, list(cell))
 
 
-def ingest_embeddings(spark: SparkSession, source: str, schema: str, table_path: str, checkpoint: str, encoder, out_schema: str) -> StreamingQuery:
-    """Encode new keys of a Parquet source that the table doesn't hold yet; ends when all present files are read."""
-    backlog = spark.readStream.schema(schema).parquet(source)
+def ingest_embeddings(spark: SparkSession, source: str, schema: str, table_path: str, checkpoint: str, encoder, out_schema: str, known: DataFrame | None = None) -> StreamingQuery:
+    """Encode the keys of a Parquet source that have not come before; ends when all present files are read.
+
+    A state store holds the keys that have come, so no batch reads the table that it adds to; ``known`` are keys that were encoded
+    elsewhere. A batch overwrites its own folder if it is run again.
+    """
+    backlog = spark.readStream.schema(schema).parquet(source).dropDuplicates(["key"])
+    done = spark.createDataFrame([], out_schema) if known is None else known
 
     def batch(new: DataFrame, batch_id: int) -> None:
-        # Batches write in turn, so before the first there is no table, and each later one finds those before it.
-        done = spark.createDataFrame([], out_schema)
-        if batch_id:
-            done = spark.read.schema(f"{out_schema}, batch long").parquet(table_path).filter(F.col("batch") != batch_id)
-        encode_missing(new.dropDuplicates(["key"]), done, encoder, out_schema).write.mode("overwrite").parquet(f"{table_path}/batch={batch_id}")
+        encode_missing(new, done, encoder, out_schema).write.mode("overwrite").parquet(f"{table_path}/batch={batch_id}")
 
     return backlog.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

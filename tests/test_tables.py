@@ -130,6 +130,9 @@ def test_incremental_embedding(spark):
     import os
 
     assert len(os.listdir(seen)) == 5 and spark.read.parquet(made).count() == 5
+    spark.range(3, 9).withColumnRenamed("id", "key").write.mode("append").parquet(source)
+    run()
+    assert len(os.listdir(seen)) == 9 and sorted(r.key for r in spark.read.parquet(made).collect()) == list(range(9))
 
 
 def test_evaluator_spellings(spark):
