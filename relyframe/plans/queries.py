@@ -923,7 +923,15 @@ def _boxes(spark, d) -> DataFrame:
     return rows.withColumn("box", F.array(x, y, x + 3, y + 3)).withColumn("embed", F.array(x + 1, y + 1, F.lit(1.0)))
 
 
-@query()
+_SHARED = "greatest(3 - abs(k.x - r[1].x), 0) * greatest(3 - abs(k.y - r[1].y), 0)"
+
+
+@query(f"""WITH det AS (SELECT l_orderkey AS video_id, l_linenumber AS frame_idx, concat_ws(':', l_partkey, l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT)) AS det_id,
+  l_discount * 10 AS score, CAST(l_suppkey % 7 AS DOUBLE) AS x, CAST(l_suppkey % 5 AS DOUBLE) AS y FROM lineitem),
+f AS (SELECT video_id, frame_idx, list({{'det_id': det_id, 'score': score, 'x': x, 'y': y}} ORDER BY score DESC, det_id) AS ds FROM det GROUP BY 1, 2),
+kept AS (SELECT video_id, frame_idx, list_reduce(list_transform(ds, lambda q: [q]),
+  lambda acc, r: CASE WHEN len(list_filter(acc, lambda k: {_SHARED} / greatest(18 - {_SHARED}, 1e-12) > 0.5)) > 0 THEN acc ELSE acc || r END) AS ks FROM f)
+SELECT video_id, frame_idx, k.det_id AS det_id, round(k.score, 6) AS score FROM (SELECT video_id, frame_idx, unnest(ks) AS k FROM kept)""")
 def frame_suppression(spark, d):
     return tracks.suppress(_boxes(spark, d).select("video_id", "frame_idx", "det_id", "score", "box"), 0.5).select("video_id", "frame_idx", "det_id", *_r("score"))
 
