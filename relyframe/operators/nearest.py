@@ -25,29 +25,28 @@ _SLACK = 1e-6
 def taxonomic_distance(probe: DataFrame, reference: DataFrame, loso: bool, levels: int = 7) -> DataFrame:
     """(category_id, distance) of (category_id, path) rows: fewest tree steps to any reference path.
 
-    Each path is unnested into its prefixes; reference prefixes are counted, probes join by (depth, prefix), and
-    the deepest one with a count left gives the distance; the root is one number for all. With ``loso`` a probe in the
-    reference is taken off the counts of its own prefixes. Without a complete path, or with nothing left in the reference, it
-    is null.
+    Each path is unnested into its prefixes; a reference prefix keeps its least and greatest id, probes join by (depth, prefix),
+    and the deepest one that holds an id (with ``loso``, another one than the probe's) gives the distance; the root is one row for
+    all. A category has one row, the nearest over its paths. Without a complete path, or with nothing left in the reference, it is null.
     """
 
     def prefixes(rows: DataFrame) -> DataFrame:
         depth = F.sequence(F.lit(1), F.lit(levels))
         each = F.transform(depth, lambda d: F.struct(d.alias("depth"), F.array_join(F.slice("path", F.lit(1), d), "\x1f").alias("prefix")))
-        return rows.select("category_id", "own", F.inline(each))
+        return rows.select("category_id", F.inline(each))
 
     reference = reference.filter("path is not null").select("category_id", "path").distinct()
-    own = F.coalesce("own", F.lit(0)) if loso else F.lit(0)
-    known = reference.select("category_id").distinct().withColumn("own", F.lit(1))
-    probe = probe.select("category_id", "path").distinct().join(known, "category_id", "left").withColumn("own", own)
-    whole = reference.agg(F.count("*").alias("whole"))
-    # Written first, so that Spark splits a prefix that many probes share.
-    counts = stored(prefixes(reference.withColumn("own", F.lit(0))).groupBy("depth", "prefix").agg(F.count("*").alias("n")))
-    asked = prefixes(probe.filter("path is not null")).join(counts, ["depth", "prefix"]).filter("n > own")
-    found = asked.groupBy("category_id").agg((F.lit(levels) - F.max("depth")).cast("double").alias("near"))
-    at_root = F.when(F.col("path").isNotNull() & (F.col("whole") > F.col("own")), F.lit(float(levels)))
-    joined = probe.join(found, "category_id", "left").crossJoin(F.broadcast(whole))  # one row
-    return joined.select("category_id", F.coalesce("near", at_root).alias("distance"))
+    probe = probe.select("category_id", "path").distinct()
+    ends = F.min("category_id").alias("least"), F.max("category_id").alias("most")
+    held = (F.col("least") != F.col("category_id")) | (F.col("most") != F.col("category_id")) if loso else F.lit(True)
+    whole = reference.agg(*ends, F.count("*").alias("n"))
+    # Written first, so that Spark splits a prefix that many probes share. Packed, prefixes look small enough for a broadcast, which the
+    # driver would have to hold: the join is a merge whatever their size.
+    known = stored(prefixes(reference).groupBy("depth", "prefix").agg(*ends))
+    asked = prefixes(probe.filter("path is not null")).join(known.hint("merge"), ["depth", "prefix"]).filter(held)
+    at_root = F.when(F.col("path").isNotNull() & (F.col("n") > 0) & held, F.lit(0))
+    found = asked.select("category_id", "depth").unionByName(probe.crossJoin(F.broadcast(whole)).select("category_id", at_root.alias("depth")))  # one row
+    return found.groupBy("category_id").agg((F.lit(levels) - F.max("depth")).cast("double").alias("distance"))
 
 
 def temporal_gap(cells: DataFrame, years: DataFrame) -> DataFrame:

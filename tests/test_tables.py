@@ -175,6 +175,23 @@ def test_taxonomic_nothing_left(spark):
     assert nearest.taxonomic_distance(rows, other, loso=True).first().distance == 7.0
 
 
+def test_taxonomic_distance_without_broadcast(spark):
+    from relyframe.plans import mapping
+
+    paths = mapping.taxonomy(spark, "/root/testdata/sf0.001")
+    found = nearest.taxonomic_distance(paths, paths, loso=True)
+    assert found.count() > 0 and "BroadcastHashJoin" not in found._jdf.queryExecution().toString()
+
+
+def test_taxonomic_several_paths(spark):
+    rows = spark.createDataFrame([("a", list("1234567")), ("a", list("1234568")), ("b", list("12xxxxx")), ("c", None), (None, list("1234567"))], "category_id string, path array<string>")
+    got = {r.category_id: r.distance for r in nearest.taxonomic_distance(rows, rows, loso=True).collect()}
+    assert got == {"a": 5.0, "b": 5.0, "c": None, None: None} and nearest.taxonomic_distance(rows, rows, loso=True).count() == 4
+    own = rows.filter("category_id = 'a'")
+    assert [r.distance for r in nearest.taxonomic_distance(own, own, loso=True).collect()] == [None]
+    assert [r.distance for r in nearest.taxonomic_distance(own, own, loso=False).collect()] == [0.0]
+
+
 def test_temporal_gap(spark):
     cells = spark.createDataFrame([("a", "2003"), ("b", ""), ("c", "1990"), ("d", "2010")], "category_id string, time string")
     years = spark.createDataFrame([("2001",), ("2007",)], "year string")
